@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, simhash
 
-_MODULES = (packing,)
+_MODULES = (packing, simhash)
 
 
 def queries():
