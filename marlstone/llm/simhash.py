@@ -46,14 +46,10 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     words = text.encode().translate(_LOWER).split()
     if not words:
         return 0
-    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
-    buffer, starts = b" ".join(words), [0, *ends[:-1]]
-    digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        h = [digest(buffer, 42)]
-    else:
-        # An end lies one past the word, on the space after it.
-        h = [digest(buffer[a : b - 1] if b <= len(buffer) else buffer[a:], 42) for a, b in zip(starts, [e for e in ends[shingle - 1 :]], strict=False)]
+    ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
+    starts, buffer = [0, *(e + 1 for e in ends)], b" ".join(words)
+    digest, last = xxhash.xxh64_intdigest, min(shingle, len(words)) - 1
+    h = [digest(buffer[a:b], 42) for a, b in zip(starts, ends[last:], strict=False)]
     bits = np.unpackbits(np.array(h, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).view(">i8")[0])
 
