@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, secrets, simhash
 
-_MODULES = (packing, simhash)
+_MODULES = (packing, secrets, simhash)
 
 
 def queries():
