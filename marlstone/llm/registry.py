@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, secrets, simhash, toxicity
+from . import packing, quality, secrets, simhash, toxicity
 
-_MODULES = (packing, secrets, simhash, toxicity)
+_MODULES = (packing, quality, secrets, simhash, toxicity)
 
 
 def queries():
