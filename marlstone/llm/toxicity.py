@@ -121,6 +121,8 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
             for text, label in zip(b["text"], b["label"], strict=True):
                 seen[label].update(terms_of(text))
             for label, c in enumerate(seen):
+                if not c:  # an empty column of strings cannot be sent
+                    continue
                 yield pd.DataFrame({"term": list(c.keys()), "label": label, "n": list(c.values())})
 
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
