@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash, topk, toxicity
+from . import packing, quality, secrets, simhash, suffix_lm, topk, toxicity
 
-_MODULES = (packing, quality, secrets, simhash, topk, toxicity)
+_MODULES = (packing, quality, secrets, simhash, suffix_lm, topk, toxicity)
 
 
 def queries():
