@@ -211,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int =
             s, n = context_sums(b["text"].tolist(), index)
             sums, seen = sums + s, seen + n
         own = np.flatnonzero(seen)
-        yield pd.DataFrame({"bucket": own, "n": seen[own], "near": list(sums[own])})
+        if len(own):
+            yield pd.DataFrame({"bucket": own, "n": seen[own], "near": list(sums[own])})
 
     # The sample is bounded, and so are the rows of each of its few partitions: at most one for each bucket.
     sums, seen = np.zeros_like(index, dtype=np.float64), np.zeros(len(index))
@@ -227,7 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int =
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "x": list(pooled(b["text"].tolist(), shared.value)), "label": b["label"]})
+            if len(b):
+                yield pd.DataFrame({"id": b["doc_id"].to_numpy(), "x": list(pooled(b["text"].tolist(), shared.value)), "label": b["label"].to_numpy()})
 
     rows = sample.mapInPandas(pool, "id long, x array<double>, label int").toPandas().sort_values("id")
     if not len(rows):

@@ -156,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int =
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(weights, exceptions)
         for b in batches:
-            x = np.array([lexicon.features(t) for t in b["text"]]).reshape(-1, FEATURES)
-            yield pd.DataFrame({"x": list(x), "label": b["label"]})
+            if len(b):
+                yield pd.DataFrame({"x": [np.array(lexicon.features(t)) for t in b["text"]], "label": b["label"].to_numpy()})
 
     measured = sample.filter(part == 0).mapInPandas(measure, "x array<double>, label int").toPandas()  # at most about sample_rows/3 rows of numbers
     if measured["label"].nunique() < 2:
