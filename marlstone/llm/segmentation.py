@@ -13,6 +13,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ class Vocabulary:
     """The pieces, scores and byte pieces of a model file."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,8 +47,11 @@ class Vocabulary:
         self.unknown = min(s for _, s in scores.values() if s > NEVER) - UNKNOWN_PENALTY
         # Some models give pieces of last resort a score that stands for none; they count as unknown characters do.
         self.pieces = {p: (i, s if s > NEVER else self.unknown) for p, (i, s) in scores.items()}
+        self.automaton = ahocorasick.Automaton()
+        for p, (i, score) in self.pieces.items():
+            self.automaton.add_word(p, (len(p), (i,), score))
+        self.automaton.make_automaton()
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.pieces))
         self.plain = [b"" if s else p.replace(SPACE, " ").encode() for p, s in zip(pieces, special, strict=True)]
         for b, i in enumerate(self.byte_ids):
             self.plain[i] = bytes([b])
@@ -55,49 +60,43 @@ class Vocabulary:
         self.new: dict[str, tuple[bytes, float, float, int]] = {}
         self.old: dict[str, tuple[bytes, float, float, int]] = {}
 
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """By end, the edges (start, ids, score) of a word's lattice."""
-        n, get, longest = len(word), self.pieces.get, self.longest
-        ends: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if found := get(word[i:j]):
-                    ends[j].append((i, (found[0],), found[1]))
-            if word[i] not in self.pieces:
-                raw = {_LITERAL: SPACE, SPACE: " "}.get(word[i], word[i]).encode()
-                ends[i + 1].append((i, tuple(self.byte_ids[b] for b in raw), self.unknown * len(raw)))
-        return ends
+    def edges(self, word: str) -> Iterator[tuple[int, int, tuple[int, ...], float]]:
+        """The edges (start, end, ids, score) of a word's lattice by their ends."""
+        bare = [k for k, c in enumerate(word) if c not in self.pieces]
+        matches = ((end + 1 - n, end + 1, ids, score) for end, (n, ids, score) in self.automaton.iter(word))
+        if not bare:
+            return matches
+        raw = [{_LITERAL: SPACE, SPACE: " "}.get(word[k], word[k]).encode() for k in bare]
+        in_bytes = [(k, k + 1, tuple(self.byte_ids[b] for b in r), self.unknown * len(r)) for k, r in zip(bare, raw, strict=True)]
+        return heapq.merge(matches, in_bytes, key=lambda edge: edge[1])
 
     def best_two(self, word: str) -> tuple[bytes, float, float, int]:
         """The best segmentation's ids (little-endian, 32 bits), its score, what the second best loses, and its number of pieces."""
-        ends = self.edges(word)
         n = len(word)
-        first, second, back = [0.0] * (n + 1), [-np.inf] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            a = b = -np.inf
-            for edge in ends[j]:
-                s = first[edge[0]] + edge[2]
-                if s > a:
-                    a, b, back[j] = s, a, edge
-                elif s > b:
-                    b = s
-                if (s := second[edge[0]] + edge[2]) > b:
-                    b = s
-            first[j], second[j] = a, b
-        ids: list[int] = []
-        j = n
+        first, second, back = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [None] * (n + 1)
+        for edge in self.edges(word):
+            i, j, _, weight = edge
+            s = first[i] + weight
+            if s > first[j]:
+                first[j], second[j], back[j] = s, first[j], edge
+            elif s > second[j]:
+                second[j] = s
+            if (s := second[i] + weight) > second[j]:
+                second[j] = s
+        parts, j = [], n
         while j:
-            start, piece, _ = back[j]
-            ids[:0] = piece
-            j = start
-        return np.array(ids, dtype="<u4").tobytes(), first[n], first[n] - second[n], len(ids)
+            parts.append(back[j][2])
+            j = back[j][0]
+        ids = [x for part in reversed(parts) for x in part]
+        return pack(f"<{len(ids)}I", *ids), first[n], first[n] - second[n], len(ids)
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a word, best first, ties to the ids that compare lower."""
-        ends = self.edges(word)
+        ends: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(word) + 1)]
         forward = [0.0] + [-np.inf] * len(word)
-        for j in range(1, len(word) + 1):
-            forward[j] = max(forward[i] + s for i, _, s in ends[j])
+        for i, j, ids, s in self.edges(word):
+            ends[j].append((i, ids, s))
+            forward[j] = max(forward[j], forward[i] + s)
         agenda: list[tuple[float, tuple[int, ...], int, float]] = [(-forward[-1], (), len(word), 0.0)]
         out: list[tuple[float, tuple[int, ...]]] = []
         while agenda and len(out) < n:
@@ -120,14 +119,13 @@ class Vocabulary:
             self.old, self.new = self.new, {}
         found = list(map(self.new.get, words))
         if None in found:
-            for k, x in enumerate(found):
-                if x is None:
-                    w = words[k]
-                    if (x := self.new.get(w)) is None:
-                        x = self.old.get(w) or self.best_two(w)
-                        if len(w) < 64:
-                            self.new[w] = x
-                    found[k] = x
+            for k in [k for k, x in enumerate(found) if x is None]:
+                w = words[k]
+                if (x := self.new.get(w)) is None:
+                    x = self.old.get(w) or self.best_two(w)
+                    if len(w) < 64:
+                        self.new[w] = x
+                found[k] = x
         return found
 
     def segment(self, text: str, n: int) -> list[tuple[float, bytes]]:
