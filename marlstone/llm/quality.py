@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fold_of, labelled_sample, read_table, text_of
+from .words import SYMBOL, in_batches, mixed, words_of
 
 DIMENSIONS = 64
 NONZERO = 6
@@ -26,94 +27,45 @@ SAMPLE_ROWS = 12_000
 HIDDEN = 32
 EPOCHS = 200
 
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
 _UPPER = np.zeros(256, dtype=np.int64)
 _UPPER[65:91] = 1
 _DIGIT = np.zeros(256, dtype=np.int64)
 _DIGIT[48:58] = 1
-_SYMBOL = np.zeros(256, dtype=np.int64)
-_SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
-_TURN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), np.uint64(base))]), dtype=np.uint64)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * _TURN
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-_BASE = 0x100000001B3
-_BACK = pow(_BASE, -1, 1 << 64)
-_STEP = 1 << 20  # positions of a pass, so that the power tables stay small
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the tokens of all texts in a row, (tokens, 3): word, shape, repetition; and each text's number of tokens."""
-    data = [t.encode() for t in texts]
-    raw = np.frombuffer(b" ".join(data) + b" ", dtype=np.uint8)
-    space = _SPACES[raw]
-    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    text_end = np.cumsum([len(d) + 1 for d in data])
-    counts = np.diff(np.concatenate([[0], np.searchsorted(start, text_end)]))
+    w = words_of(texts)
+    raw, start, end, word = w.raw, w.start, w.end, w.hash
     if not len(start):
-        return np.zeros((0, 3), dtype=np.int32), counts
+        return np.zeros((0, 3), dtype=np.int32), w.counts
     n = end - start
-    word = np.zeros(len(start), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        # A polynomial hash of each lower-cased word without its symbols, by differences of running sums.
-        at = np.arange(len(raw)) % _STEP
-        up, down = _powers(_BASE, min(len(raw), _STEP)), _powers(_BACK, min(len(raw), _STEP))
-        letters = np.where(_SYMBOL[raw] > 0, np.uint64(0), _LOWER[raw])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(letters * up[at], dtype=np.uint64)])
-        word = (sums[end] - sums[start]) * down[start % _STEP]
     total = lambda table: (c := np.concatenate([[0], np.cumsum(table[raw])]))[end] - c[start]
-    upper, digit, symbol = total(_UPPER), total(_DIGIT), total(_SYMBOL)
-    last = np.where(_SYMBOL[raw[end - 1]] > 0, raw[end - 1], 0).astype(np.int64)
+    upper, digit, symbol = total(_UPPER), total(_DIGIT), total(SYMBOL)
+    last = np.where(SYMBOL[raw[end - 1]] > 0, raw[end - 1], 0).astype(np.int64)
     shape = np.minimum(upper, 3) + 4 * np.minimum(digit, 2) + 12 * np.minimum(symbol, 3) + 48 * np.minimum(n // 6, 3) + 192 * last
-    bucket = (_mixed(word) % np.uint64(BUCKETS)).astype(np.int64)
+    bucket = (mixed(word) % np.uint64(BUCKETS)).astype(np.int64)
     repeats = np.zeros(len(start), dtype=np.int64)
     for lag in (1, 2, 3, 4, 5, 6, 8, 10, 12):
         repeats[lag:] |= (word[lag:] == word[:-lag]) & (n[lag:] > 4)
-    shapes = (_mixed(shape.astype(np.uint64)) % np.uint64(SHAPES)).astype(np.int64)
-    return np.stack([bucket, BUCKETS + shapes, BUCKETS + SHAPES + repeats], axis=1), counts
+    shapes = (mixed(shape.astype(np.uint64)) % np.uint64(SHAPES)).astype(np.int64)
+    return np.stack([bucket, BUCKETS + shapes, BUCKETS + SHAPES + repeats], axis=1), w.counts
 
 
 def index_vectors() -> np.ndarray:
     """The sparse ternary vectors of all buckets, the same everywhere."""
     rows = BUCKETS + SHAPES + 2
-    h = _mixed(np.arange(rows * NONZERO, dtype=np.uint64) + np.uint64(1)).reshape(rows, NONZERO)
+    h = mixed(np.arange(rows * NONZERO, dtype=np.uint64) + np.uint64(1)).reshape(rows, NONZERO)
     out = np.zeros((rows, DIMENSIONS), dtype=np.float32)
     for k in range(NONZERO):
         np.add.at(out, (np.arange(rows), (h[:, k] % np.uint64(DIMENSIONS)).astype(int)), np.where(h[:, k] >> np.uint64(63), 1.0, -1.0))
     return out
 
 
-def _batches(texts: list[str], size: int = 1 << 21) -> Iterator[list[str]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t)
-        n += len(t)
-        if n >= size:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
-
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """The mean word vector of each text and the logarithm of its number of tokens; zeros for a text without tokens."""
     out = []
-    for some in _batches(texts):
+    for some in in_batches(texts):
         buckets, counts = tokens_of(some)
         sums, first = np.zeros((len(some), vectors.shape[1])), 0
         for i, c in enumerate(counts):
@@ -129,7 +81,7 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
 def context_sums(texts: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket, the sum of the index vectors of the words next to it, and its number of occurrences."""
     sums, seen = np.zeros_like(index, dtype=np.float64), np.zeros(len(index), dtype=np.int64)
-    for some in _batches(texts):
+    for some in in_batches(texts):
         buckets, counts = tokens_of(some)
         words, text = buckets[:, 0], np.repeat(np.arange(len(some)), counts)
         near = np.zeros((len(words), index.shape[1]), dtype=np.float32)

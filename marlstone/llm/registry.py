@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity
+from . import fingerprints, licenses, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity
 
-_MODULES = (fingerprints, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity)
+_MODULES = (fingerprints, licenses, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity)
 
 
 def queries():
