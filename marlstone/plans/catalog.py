@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import search
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple = ()
+_MODULES = (search,)
 
 
 def queries() -> dict[str, Query]:
