@@ -29,6 +29,8 @@ BITS = 64
 SEEN_BITS = 12
 #: Work of a probe row against that of comparing a candidate.
 PROBE_COST = 20.0
+#: Fingerprints with the same value in a part, on average.
+MEMBERS = 48
 #: Rows of either side in a block of a crowded value.
 BLOCK = 8192
 
@@ -79,17 +81,8 @@ def _part_value(bits: np.ndarray, part: list[int]) -> np.ndarray:
 
 
 def part_count(n: int, radius: int = RADIUS) -> int:
-    """The number of parts with the least work for n evenly spread fingerprints."""
-
-    def work(m: int) -> float:
-        width, total = BITS / m, 0.0
-        for i in range(m):
-            share = (radius + 1) // m + (i < (radius + 1) % m)
-            ball = sum(comb(round(width), k) for k in range(share)) if share else 0
-            total += ball * (PROBE_COST + n / 2**width)
-        return total
-
-    return min(range(1, radius + 2), key=work)
+    """The most parts, up to one more than the radius, whose values have at most ``MEMBERS`` of n fingerprints on average."""
+    return max([m for m in range(1, radius + 2) if n / 2 ** (BITS / m) <= MEMBERS], default=1)
 
 
 def group_bits(n: int, pairs: np.ndarray, m: int) -> list[list[int]]:
@@ -243,10 +236,11 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     probes = fps.mapInPandas(probe_rows, "part int, value long, q long")
     key = ["part", "value"]
-    crowd = 64 + 4 * int(n / 2 ** (BITS // m))
+    crowd = 16 + 2 * int(n / 2 ** (BITS / m))
     crowded = cut(index.groupBy(*key).agg(F.count("*").alias("members")).filter(F.col("members") > crowd))
+    # Either of a pair finds the other, so it is enough that the larger does.
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("q"))) <= radius
-    links = probes.join(index.join(crowded, key, "left_anti"), key).filter(near & (F.col("x") != F.col("q"))).select(F.col("x").alias("a"), F.col("q").alias("b"))
+    links = probes.join(index.join(crowded, key, "left_anti"), key).filter(near & (F.col("x") < F.col("q"))).select(F.col("x").alias("a"), F.col("q").alias("b"))
     if crowded.isEmpty():
         return links
     asked = crowded.join(probes.join(crowded, key, "left_semi").groupBy(*key).agg(F.count("*").alias("probes")), key)
