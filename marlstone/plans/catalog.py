@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import conversation, search, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (search,)
+_MODULES = (conversation, search, texts)
 
 
 def queries() -> dict[str, Query]:
