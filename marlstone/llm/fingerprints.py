@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, read_table, text_of
 
 SHINGLE = 5
-SLOTS = 128
+SLOTS = 96
 #: Bits below the slot's in a sample's code; ln a + 64 is held in units of 2^-48.
 _LOW = 55
 _UNIT = float(1 << 48)
@@ -56,7 +56,7 @@ def _sample(term: Column, weight: Column | None) -> Column:
 
 
 def slots(text: Column) -> Column:
-    """The fingerprint: for each of ``SLOTS`` slots a number from 1 to 65535 for what it keeps, or 0 if no term fell into it."""
+    """The fingerprint: for each of ``SLOTS`` slots a number from 1 to 32767 for what it keeps, or 0 if no term fell into it."""
 
     def codes(t: Column) -> Column:
         def weighted(s: Column) -> Column:
@@ -69,9 +69,9 @@ def slots(text: Column) -> Column:
     def kept(s: Column) -> Column:
         slot = lambda x: F.shiftright(x, _LOW)
         first = F.filter(s, lambda x, i: (i == 0) | (slot(x) != slot(F.get(s, i - 1))))
-        none = F.array().cast("array<int>")
-        value = lambda x: (F.pmod(F.xxhash64(x), F.lit(65535)) + 1).cast("int")
-        gap = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+        none = F.array().cast("array<smallint>")
+        value = lambda x: (F.pmod(F.xxhash64(x), F.lit(32767)) + 1).cast("smallint")
+        gap = lambda n: F.array_repeat(F.lit(0).cast("smallint"), n.cast("int"))
         step = lambda acc, x: F.struct((slot(x) + 1).cast("int").alias("at"), F.concat(acc["out"], gap(slot(x) - acc["at"]), F.array(value(x))).alias("out"))
         return F.aggregate(first, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(acc["out"], gap(SLOTS - acc["at"])))
 
@@ -92,25 +92,23 @@ def likeness(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- each document and its next
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_chars, next_id, next_key, next_chars): each distinct document and the one after it by doc_id,
-    the first after the last. Null ids come first; texts of one id are in the order of their hashes.
+def next_documents(rows: DataFrame) -> DataFrame:
+    """(id, key, is_null, n_chars, next_id, next_key): each distinct document and the one after it by doc_id, the first
+    after the last. Null ids come first; texts of one id are in the order of their keys.
 
-    The ids alone are sorted, by range; the first of each range goes to the range before it."""
-    keys = docs.groupBy("doc_id", "text_key").agg(F.min("n_chars").alias("n_chars"))
-    ranges = max(2, docs.rdd.getNumPartitions())
-    dealt = cut(keys.repartitionByRange(ranges, F.asc_nulls_first("doc_id"), F.asc("text_key")).withColumn("part", F.spark_partition_id()))
-    order = [F.asc_nulls_first("doc_id"), F.asc("text_key")]
-    item = F.struct("doc_id", "text_key", "n_chars")
-    firsts = dealt.groupBy("part").agg(F.min_by(item, F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "text_key")).alias("first"))
+    ``rows``: id (0 for null), key (of text and whether the id is null), is_null, n_chars. The ids alone are sorted, by range; the
+    first of each range goes to the range before it."""
+    keys = rows.groupBy("id", "key").agg(F.first("is_null").alias("is_null"), F.first("n_chars").alias("n_chars"))
+    place = [F.desc("is_null"), F.asc("id"), F.asc("key")]
+    dealt = cut(keys.repartitionByRange(max(2, rows.rdd.getNumPartitions()), *place).withColumn("part", F.spark_partition_id()))
+    item = F.struct("id", "key")
+    firsts = dealt.groupBy("part").agg(F.min_by(item, F.struct((~F.col("is_null")).alias("n"), "id", "key")).alias("first"))
     # A row for each range.
-    heads = firsts.select(
-        "part",
-        F.coalesce(F.lead("first").over(Window.orderBy("part")), F.first("first").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"),
-    )
-    with_next = dealt.withColumn("next", F.lead(item).over(Window.partitionBy("part").orderBy(*order))).join(heads, "part")
-    after = F.coalesce("next", "head")
-    return with_next.select("doc_id", "text_key", "n_chars", after["doc_id"].alias("next_id"), after["text_key"].alias("next_key"), after["n_chars"].alias("next_chars"))
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.first("first").over(whole)).alias("head"))
+    after = F.coalesce(F.lead(item).over(Window.partitionBy("part").orderBy(*place)), F.col("head"))
+    found = dealt.join(heads, "part").withColumn("after", after)
+    return found.select("id", "key", "is_null", "n_chars", F.col("after.id").alias("next_id"), F.col("after.key").alias("next_key"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -120,23 +118,23 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     document's. Null texts count as empty; a repeated row gives its result as often, and its next document is the next
     different one (itself if there is no other); other columns are not read. An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").cast("long").alias("n_chars"), "text")
-    order = cut(next_documents(rows))
-    same = lambda a, x, b, y: F.col(a).eqNullSafe(F.col(b)) & (F.col(x) == F.col(y))
-    # What each document lends to the one before it.
-    asked = order.select(F.col("doc_id").alias("to_id"), F.col("text_key").alias("to_key"), F.expr("n_chars div 2").cast("int").alias("half"), "next_id", "next_key")
-    once = rows.dropDuplicates(["doc_id", "text_key"])
-    lent = once.join(asked, same("doc_id", "text_key", "next_id", "next_key")).select("to_id", "to_key", "next_id", "next_key", "half", F.expr("substring(text, 1, half)").alias("part"))
-    joined = rows.join(lent, same("doc_id", "text_key", "to_id", "to_key"))
-    edited = F.concat(F.expr("substring(text, 1, int(n_chars - half))"), F.col("part"))
-    made = joined.withColumn("edited", edited).select("doc_id", "text_key", "n_chars", "next_id", "next_key", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), slots(F.col("text")).alias("own"), slots(F.col("edited")).alias("other"))
-    made = cut(made)
-    following = made.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), F.col("own").alias("f_own"))
-    both = made.join(following, same("next_id", "next_key", "f_id", "f_key"))
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text_of(docs), doc_id.isNull()).alias("key"), doc_id.isNull().alias("is_null"), text_of(docs).alias("text"))
+    order = cut(next_documents(rows.select("id", "key", "is_null", F.length("text").cast("long").alias("n_chars"))))
+    texts = rows.select("id", "key", "text")
+    # What each document lends to the one before it; the texts are dealt by (id, key) once for both joins.
+    asked = order.select(F.col("id").alias("to_id"), F.col("key").alias("to_key"), F.expr("n_chars div 2").cast("int").alias("half"), "next_id", "next_key")
+    lent = texts.join(asked, (F.col("id") == F.col("next_id")) & (F.col("key") == F.col("next_key"))).select("to_id", "to_key", F.expr("substring(text, 1, half)").alias("part"))
+    own_half = F.expr("substring(text, 1, length(text) - length(text) div 2)")
+    joined = texts.join(lent.dropDuplicates(["to_id", "to_key"]), (F.col("id") == F.col("to_id")) & (F.col("key") == F.col("to_key")))
+    edited = joined.select("id", "key", "text", F.concat(own_half, F.col("part")).alias("edited"))
+    made = cut(edited.select("id", "key", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha"), slots(F.col("text")).alias("own"), slots(F.col("edited")).alias("other")))
+    following = made.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("own").alias("next_own")).dropDuplicates(["next_id", "next_key"])
+    both = made.join(order, ["id", "key"]).join(following, ["next_id", "next_key"])
     return both.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("f_own")).alias("near_next"),
+        F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
 
 
