@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation, search, store, texts
+from . import conversation, extras, search, store, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (conversation, search, store, texts)
+_MODULES = (conversation, extras, search, store, texts)
 
 
 def queries() -> dict[str, Query]:
