@@ -58,7 +58,7 @@ def log_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import logs
 
     rows = table(spark, sf_dir, "events").select("event_id", "props")
-    return logs.lifted(rows, "props", "page string, ref string")
+    return logs.lifted(rows, "props", "k long")
 
 
 def ext_user_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,7 @@ def ext_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
 ORACLE_SQL = {
+    "log_lift": "SELECT event_id, regexp_extract(props, '\\d+')::BIGINT AS k FROM events",
     "find_in_base64": "SELECT event_id, user_id = 7 AS found FROM events",
     "stream_rate_limit": 'SELECT event_id, user_id, admitted FROM (' + store.ORACLE_SQL["rate_limit"] + ")",
     "stream_assembly": "SELECT conv_id * 1000 + turn AS message_id, '<think>why ' || role || '</think>' || substr(text, 1, 60) AS text, 1 AS tokens FROM conversations",
