@@ -85,7 +85,7 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("tokens"))
 
 
-_N = "CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), ' +')) END"
+_N = "(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), ' +')) END)::INTEGER"
 _ANSWERS = """a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('<think>', event_type, '</think> ', props) WHEN 1 THEN concat('<think>', event_type, '</think>', props)
   WHEN 2 THEN concat('```json', props, '```') ELSE concat('Answer: ', event_type) END AS whole, CASE event_id % 4 WHEN 0 THEN concat('<think>', event_type, '</think> ', props) WHEN 1 THEN concat(event_type, '</think>', props)
   WHEN 2 THEN concat('```json', props, '```') ELSE concat('Answer: ', event_type) END AS answer FROM events)"""

@@ -20,8 +20,9 @@ def kb_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_image_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 4 = 1")
-    found = V.filtered_top_k(rows, _vec(spark, sf_dir, 1), F.col("label") == 1, 20, 0.8)
+    # Every fourth vector stands for an image's.
+    rows = table(spark, sf_dir, "embeddings").withColumn("chunk_type", F.expr("CASE WHEN vec_id % 4 = 1 THEN 'image' ELSE 'text' END"))
+    found = V.filtered_top_k(rows, _vec(spark, sf_dir, 1), (F.col("label") == 1) & (F.col("chunk_type") == "image"), 20, 0.8)
     return found.select("vec_id", F.col("label").alias("collection"), "score")
 
 
@@ -56,8 +57,8 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings")
-    text = V.filtered_top_k(rows.filter("vec_id % 3 != 0"), _vec(spark, sf_dir, 0), F.lit(True), 30, 0.0)
-    image = V.filtered_top_k(rows.filter("vec_id % 2 = 0"), _vec(spark, sf_dir, 1), F.lit(True), 20, 0.0)
+    text = V.filtered_top_k(rows, _vec(spark, sf_dir, 0), F.lit(True), 30, 0.0)
+    image = V.filtered_top_k(rows, _vec(spark, sf_dir, 1), F.lit(True), 20, 0.0)
     return text.select("vec_id", "score"), image.select("vec_id", "score")
 
 
@@ -84,10 +85,10 @@ def field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_k_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector's nearest five of its own collection; candidates meet queries within a collection only."""
+    """The nearest five of its own collection for every twentieth vector; candidates meet queries within a collection only."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 500")
+    rows = table(spark, sf_dir, "embeddings")
     q = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     found = q.join(rows, "label").filter("query_id != vec_id").withColumn("score", F.round(V.cosine(F.col("q"), F.col("embedding")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -102,8 +103,8 @@ def _score(where: str, query: int, shift: str = " + 1", extra: str = "") -> str:
     return f"SELECT e.vec_id, e.label{extra}, round({cos}{shift}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {query}) q WHERE {where}"
 
 
-_LISTS = f"""t AS (SELECT vec_id, score FROM ({_score("e.vec_id % 3 <> 0", 0)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 30),
-i AS (SELECT vec_id, score FROM ({_score("e.vec_id % 2 = 0", 1)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 20)"""
+_LISTS = f"""t AS (SELECT vec_id, score FROM ({_score("true", 0)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 30),
+i AS (SELECT vec_id, score FROM ({_score("true", 1)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 20)"""
 
 QUERIES = {f.__name__: f for f in (kb_text_search, kb_image_search, kb_query_modality, hybrid_knn, pairwise_cosine, preview_search, dedup_first, rrf_fusion, single_list_fallback, word_split_search, field_mapping, top_k_per_collection)}
 ORACLE_SQL = {
@@ -127,5 +128,5 @@ ORACLE_SQL = {
       (SELECT vec_id, text, score FROM m ORDER BY score DESC, vec_id LIMIT 5) UNION ALL (SELECT vec_id, text, score FROM o ORDER BY score DESC, vec_id LIMIT 5)""",
     "field_mapping": "SELECT event_id, event_type AS input, props AS supplementary FROM events WHERE event_type IS NOT NULL AND value > 50 AND props IS NOT NULL",
     "top_k_per_collection": f"""SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-      SELECT q.vec_id AS query_id, c.vec_id, round({_COS.format(a='q.embedding', b='c.embedding')}, 6) AS score FROM embeddings q JOIN embeddings c ON c.label = q.label AND c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND q.vec_id < 500 AND c.vec_id < 500)) WHERE rank <= 5""",
+      SELECT q.vec_id AS query_id, c.vec_id, round({_COS.format(a='q.embedding', b='c.embedding')}, 6) AS score FROM embeddings q JOIN embeddings c ON c.label = q.label AND c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 5""",
 }

@@ -55,7 +55,7 @@ def folder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failed_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir).withColumn("failed", F.coalesce(F.col("status") == "failed", F.lit(False))).orderBy("failed", "id").limit(900).select("id", "failed")
+    return _states(spark, sf_dir).withColumn("failed", F.coalesce(F.col("status") == "failed", F.lit(False))).orderBy("failed", "id").select("id", "failed")
 
 
 def chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,7 @@ ORACLE_SQL = {
     "modified_predicate": f"SELECT l.id, coalesce(s.modified_ms <> l.modified_ms, true) AS modified, coalesce({AS_OF} - s.upserted_ms > 43200000, true) AS expired FROM ({_L}) l LEFT JOIN ({_S}) s ON l.id = s.id",
     "failure_retry": f"SELECT l.id, CASE WHEN s.id IS NULL OR coalesce(s.modified_ms <> l.modified_ms, true) THEN 0 ELSE s.retry + 1 END AS retry FROM ({_L}) l LEFT JOIN ({_S}) s ON l.id = s.id",
     "folder_status": f"SELECT f.parent_id, CASE WHEN coalesce(bool_or(s.status = 'failed'), false) THEN 'failed' ELSE 'successful' END AS status FROM (SELECT DISTINCT source AS parent_id FROM documents UNION ALL SELECT 'empty') f LEFT JOIN ({_S}) s ON f.parent_id = s.parent_id GROUP BY f.parent_id",
-    "failed_last": f"SELECT id, coalesce(status = 'failed', false) AS failed FROM ({_S}) ORDER BY failed, id LIMIT 900",
+    "failed_last": f"SELECT id, coalesce(status = 'failed', false) AS failed FROM ({_S}) ORDER BY failed, id",
     "chunk_diff": f"{_DIFF} SELECT doc_id, content_key, nth, action FROM d",
     "chunk_outcome": f"{_DIFF} SELECT action, count(*) AS n FROM d GROUP BY action",
     "image_diff": """WITH n AS (SELECT doc_id % 50 AS doc_id, doc_id::INT AS page, 'u' || doc_id AS u FROM documents WHERE doc_id % 4 <> 1), o AS (SELECT doc_id % 50 AS doc_id, doc_id::INT AS page, 'u' || CASE WHEN doc_id % 6 = 0 THEN 0 ELSE doc_id END AS u FROM documents WHERE doc_id % 5 <> 2)
