@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from marlstone.llm import packing, quality, secrets, simhash, toxicity
 from marlstone.llm.common import read_table, shared_folder
 
-#: The near-duplicate stage looks at five-word shingles; at a Jaccard similarity of 0.8 to 1, fingerprints differ in few bits.
-NEAR_SHINGLE = 5
-NEAR_RADIUS = 8
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon scores under one half."""
@@ -34,7 +30,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id. Rows without an id stay, one for each text,
     if any of them has no near copy with an id."""
-    kept = simhash.near_duplicates(docs, NEAR_RADIUS, NEAR_SHINGLE).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    kept = simhash.near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 

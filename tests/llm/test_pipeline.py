@@ -17,7 +17,7 @@ def test_stages_and_run(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
         if k == 2:
-            found = simhash.near_duplicates(before, C.NEAR_RADIUS, C.NEAR_SHINGLE)
+            found = simhash.near_copies(before)
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted({r["component_id"] for r in found.collect()})
         if k == 3:
             assert docs.count() == before.count()
