@@ -30,10 +30,21 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+#: Bytes of a batch of rows on its way to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
 def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; Python workers get its rows ``BATCH_BYTES`` at a time, so that long texts don't add up. A size that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(key, df.sparkSession.conf.get(key, str(BATCH_BYTES)))
+    return df
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out_fold: int, max_rows: int) -> DataFrame:
     """At most about ``max_rows`` labelled texts outside the held-out fold: doc_id, text, label (0 or 1).
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, text_of
+from .common import cut, in_small_batches, read_table, text_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,7 +37,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth l
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_KEPT = 400_000
+_KEPT = 200_000
 _AT_ONCE = 500
 
 
@@ -152,7 +152,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(cut_up, PIECES + (", ids binary" if with_ids else ""))
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(cut_up, PIECES + (", ids binary" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- layout on the histogram

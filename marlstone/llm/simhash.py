@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, text_of
+from .common import cut, in_small_batches, read_table, text_of
 from .components import components
 from .words import mixed
 
@@ -89,7 +89,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = Fals
             made = [wide_fingerprint(t, shingle) if wide else [fingerprint(t, shingle)] for t in b["text"]]
             yield pd.DataFrame(np.array(made, dtype=np.int64).reshape(-1, len(names)), columns=names).assign(doc_id=b["doc_id"].astype("Int64").to_numpy())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
 
 
 # ---------------------------------------------------------------- parts and shares

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, labelled_sample, read_table, text_of
+from .common import cut, fold_of, in_small_batches, labelled_sample, read_table, text_of
 
 #: Letters that look alike, by the Latin letter they are read as.
 HOMOGLYPHS = {
@@ -149,7 +149,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[dict[str, float], list[float]]:
     """The lexicon's weights and the scale's. Two thirds of at most about ``sample_rows`` labelled rows
     make the lexicon, the rest the scale."""
-    sample = cut(labelled_sample(docs, labels, "toxic", folds, held_out_fold, sample_rows).dropDuplicates(["text"]))
+    sample = cut(labelled_sample(in_small_batches(docs), labels, "toxic", folds, held_out_fold, sample_rows).dropDuplicates(["text"]))
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3))
     weights = learn_lexicon(sample.filter(part != 0))
 
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int =
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """``docs`` with toxicity (0 to 1) and n_hits; a column of either name is replaced. Null and empty texts get the
     score of no hits; rows with repeated or null ids are scored one by one; an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_SIZE terms
+    shared = in_small_batches(docs).sparkSession.sparkContext.broadcast(model)  # at most LEXICON_SIZE terms
 
     @F.pandas_udf("score double, n_hits long")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
