@@ -25,6 +25,9 @@ BUCKETS = 1 << 14
 SHAPES = 256
 SAMPLE_ROWS = 12_000
 HIDDEN = 32
+#: Characters and words that a task looks at together.
+TEXT_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 15
 EPOCHS = 200
 
 _UPPER = np.zeros(256, dtype=np.int64)
@@ -65,7 +68,7 @@ def index_vectors() -> np.ndarray:
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """The mean word vector of each text and the logarithm of its number of tokens; zeros for a text without tokens."""
     out = []
-    for some in in_batches(texts):
+    for some in in_batches(texts, TEXT_AT_ONCE):
         buckets, counts = tokens_of(some)
         sums, first = np.zeros((len(some), vectors.shape[1])), 0
         for i, c in enumerate(counts):
@@ -81,17 +84,19 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
 def context_sums(texts: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket, the sum of the index vectors of the words next to it, and its number of occurrences."""
     sums, seen = np.zeros_like(index, dtype=np.float64), np.zeros(len(index), dtype=np.int64)
-    for some in in_batches(texts):
+    for some in in_batches(texts, TEXT_AT_ONCE):
         buckets, counts = tokens_of(some)
         words, text = buckets[:, 0], np.repeat(np.arange(len(some)), counts)
-        near = np.zeros((len(words), index.shape[1]), dtype=np.float32)
         same = (text[1:] == text[:-1])[:, None]
-        near[1:] += index[words[:-1]] * same
-        near[:-1] += index[words[1:]] * same
-        for column in buckets.T:
-            order = np.argsort(column, kind="stable")
-            own, first = np.unique(column[order], return_index=True)
-            if len(own):
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(words))
+            near = np.zeros((b - a, index.shape[1]), dtype=np.float32)
+            after, before = max(a, 1), min(b, len(words) - 1)
+            near[after - a :] += index[words[after - 1 : b - 1]] * same[after - 1 : b - 1]
+            near[: before - a] += index[words[a + 1 : before + 1]] * same[a:before]
+            for column in buckets[a:b].T:
+                order = np.argsort(column, kind="stable")
+                own, first = np.unique(column[order], return_index=True)
                 sums[own] += np.add.reduceat(near[order], first, axis=0)
                 seen[own] += np.diff(np.append(first, len(column)))
     return sums, seen

@@ -81,3 +81,14 @@ def test_odd_rows(spark, odd, none):
         assert all(0 <= r["toxicity"] <= 1 for r in toxic) and all(0 <= r["quality"] <= 1 for r in good)
     assert T.score_toxicity(none, T.fit(none, labels)).count() == 0
     assert Q.score_quality(none, Q.fit(none, labels)).count() == 0
+
+
+def test_context_sums_by_parts(monkeypatch):
+    """The same sums whatever is looked at together."""
+    texts = ["a bb ccc dddd bb a", "", "one", "a bb a bb a bb a", "x y"]
+    index = Q.index_vectors()
+    whole = Q.context_sums(texts, index)
+    monkeypatch.setattr(Q, "WORDS_AT_ONCE", 2)
+    monkeypatch.setattr(Q, "TEXT_AT_ONCE", 5)
+    parts = Q.context_sums(texts, index)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all() and whole[1].sum() == 3 * 17
