@@ -49,8 +49,9 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shape = np.minimum(upper, 3) + 4 * np.minimum(digit, 2) + 12 * np.minimum(symbol, 3) + 48 * np.minimum(n // 6, 3) + 192 * last
     bucket = (mixed(word) % np.uint64(BUCKETS)).astype(np.int64)
     repeats = np.zeros(len(start), dtype=np.int64)
+    text = np.repeat(np.arange(len(w.counts)), w.counts)
     for lag in (1, 2, 3, 4, 5, 6, 8, 10, 12):
-        repeats[lag:] |= (word[lag:] == word[:-lag]) & (n[lag:] > 4)
+        repeats[lag:] |= (word[lag:] == word[:-lag]) & (text[lag:] == text[:-lag]) & (n[lag:] > 4)
     shapes = (mixed(shape.astype(np.uint64)) % np.uint64(SHAPES)).astype(np.int64)
     return np.stack([bucket, BUCKETS + shapes, BUCKETS + SHAPES + repeats], axis=1), w.counts
 

@@ -91,4 +91,4 @@ def test_context_sums_by_parts(monkeypatch):
     monkeypatch.setattr(Q, "WORDS_AT_ONCE", 2)
     monkeypatch.setattr(Q, "TEXT_AT_ONCE", 5)
     parts = Q.context_sums(texts, index)
-    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all() and whole[1].sum() == 3 * 17
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all() and whole[1].sum() == 3 * 16
