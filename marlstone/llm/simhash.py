@@ -34,7 +34,7 @@ PROBE_COST = 20.0
 MEMBERS = 48
 #: Rows of either side in a block of a crowded value.
 BLOCK = 8192
-#: Of near_copies: shingles of the fingerprint that is searched, its radius, shingles of the more fingerprints that verify, their number
+#: Of wide fingerprints: shingles of the fingerprint that is searched, its radius, shingles of the more fingerprints that verify, their number
 #: and in how many of their bits a pair may differ. At a Jaccard similarity of 0.8 a pair differs in 29 of 192 on average.
 NEAR_SHINGLE = 2
 NEAR_RADIUS = 8
@@ -309,13 +309,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return _linked(cut(with_fingerprints(docs, shingle)), radius)
 
 
-def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """As near_duplicates, for texts of a Jaccard similarity of about 0.8 or more over five-word shingles.
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id over links of a Jaccard similarity of 0.8 or more over sets of five-word shingles; see near_texts."""
+    from .near_texts import near_texts
 
-    One changed word spoils five long shingles but two short ones, so pairs are searched by a fingerprint
-    over ``shingle``-word shingles within ``radius`` bits, and verified by ``WIDE`` more over five-word shingles.
-    """
-    return _linked(cut(with_fingerprints(docs, shingle, wide=True)), radius)
+    return near_texts(docs)
 
 
 def _linked(marked: DataFrame, radius: int) -> DataFrame:
