@@ -42,8 +42,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),  # the runs of AKIA[A-Z0-9]+ with 20 characters or more
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+_GAP, _LINE = r"[\x20\t\r\n\\]", r"[A-Za-z0-9+/]{16,}={0,2}"
+#: From a private key's header over its body to the END line, with no other such line between; where END is missing, over
+#: the lines of base64 that follow, 360 at most (23 KB, twice the longest keys; Java's matcher nests by the line), and a short last one.
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_GAP}*(?:Proc-Type|DEK-Info):[^\n]{{0,80}}){{0,8}}{_GAP}*{_LINE}{rf'(?:{_GAP}+{_LINE}){{0,60}}' * 6}(?:{_GAP}+[A-Za-z0-9+/]{{1,15}}={{0,2}})?|)"
+)
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("code_host", r"gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -50,3 +50,28 @@ def test_redaction_and_odd_rows(odd, none):
     rows = {r["doc_id"]: r for r in got.collect()}
     assert rows[10]["clean"] == '[SECRET]" and [SECRET] then [SECRET]' and rows[1]["clean"] == rows[1]["text"]
     assert got.count() == odd.count() and S.find_secrets(none).count() == 0
+
+
+def test_whole_private_keys_are_redacted(spark, duck):
+    """Body and END line go with the header; what stands around them stays."""
+    lines = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "wXyZ"]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join([*lines, "abcd+/=="])
+    coded = head + "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011223344556677\n\n" + body + "\n" + end
+    texts = [
+        (1, f"before {head}\n{body}\n{end} after", "before [SECRET] after"),
+        (2, f"before {head}\n{body}\nafter, all", "before [SECRET]\nafter, all"),
+        (3, f"before {head} {' '.join(lines)} {end} after", "before [SECRET] after"),
+        (4, f'k = "{head}\\n' + "\\n".join(lines) + f'\\n{end}\\n"', 'k = "[SECRET]\\n"'),
+        (5, f"before {coded} after", "before [SECRET] after"),
+        (6, f"{head}\n{body}\n\nbetween - them {head}\n{body}\n{end}.", "[SECRET]\n\nbetween - them [SECRET]."),
+        (7, f"only the line {head}, no key", "only the line [SECRET], no key"),
+        (8, head + "\n" + "\n".join(lines * 75) + "\n" + "a-b " * 20000, "[SECRET]-b " + "a-b " * 19999),
+    ]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {r["doc_id"]: r["clean"] for r in S.find_secrets(docs).select("doc_id", S.redact(F.col("text"), F.col("secrets")).alias("clean")).collect()}
+    assert got == {i: clean for i, _, clean in texts}
+    rule = next(r for r in S.RULES if r.kind == "private_key")
+    for _, text, _ in texts:
+        want = [m[0] for m in re.finditer(rule.pattern, text)]
+        assert duck.execute("SELECT regexp_extract_all(?, ?, 0)", [text, rule.pattern]).fetchone()[0] == want
