@@ -86,7 +86,8 @@ def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with a thought, cut every five characters."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("<think>why "), F.col("role"), F.lit("</think>"), F.substring("text", 1, 60)).alias("body"))
     cut = F.transform(F.sequence(F.lit(0), F.expr("int((length(body) - 1) / 5)")), lambda k: F.substring(F.col("body"), k * 5 + 1, F.lit(5)))
-    return rows.select("message_id", F.posexplode(cut).alias("nth", "delta")).withColumn("nth", F.col("nth").cast("long"))
+    made = rows.select("message_id", F.posexplode(cut).alias("nth", "delta"), F.size(cut).alias("n"))
+    return made.select("message_id", F.col("nth").cast("long").alias("nth"), "delta", (F.col("nth") == F.col("n") - 1).alias("last_chunk"))
 
 
 def stream_think(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,7 @@ def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, table(spark, sf_dir, "events").select("ts", "event_type"), lambda s: S.windowed_counts(s, "ts", "event_type"))
+    return _streamed(spark, S.closing(table(spark, sf_dir, "events").select("ts", "event_type"), "ts"), lambda s: S.windowed_counts(s, "ts", "event_type"))
 
 
 QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}

@@ -36,12 +36,14 @@ def rate_limited(requests: DataFrame, limit: float, window_ms: int) -> DataFrame
 
 def split_thoughts(chunks: DataFrame) -> DataFrame:
     """message_id, nth, kind (thought or answer) and text for a stream of message_id, nth, delta. Text between think tags is
-    thought, also where a tag is cut by a chunk's end: what may be the start of a tag waits for the next chunk."""
+    thought, also where a tag is cut by a chunk's end: what may be the start of a tag waits for the next chunk, or until the
+    message ends with a chunk whose last_chunk, if there is such a column, is true."""
+    flagged = "last_chunk" in chunks.columns
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, inside = state.get if state.exists else ("", False)
         out = []
-        for nth, delta in sorted((int(n), d) for part in parts for n, d in zip(part["nth"], part["delta"], strict=True)):
+        for nth, delta, ends in sorted((int(n), d, bool(e)) for part in parts for n, d, e in zip(part["nth"], part["delta"], part["last_chunk"] if flagged else [False] * len(part), strict=True)):
             held += delta
             while held:
                 tag = "</think>" if inside else "<think>"
@@ -56,6 +58,9 @@ def split_thoughts(chunks: DataFrame) -> DataFrame:
                 if not turn:
                     break
                 inside = not inside
+            if ends and held:
+                out.append((key[0], nth, "thought" if inside else "answer", held))
+                held = ""
         state.update((held, inside))
         yield pd.DataFrame(out, columns=["message_id", "nth", "kind", "text"]) if out else pd.DataFrame({"message_id": pd.Series([], dtype="int64"), "nth": pd.Series([], dtype="int64"), "kind": pd.Series([], dtype=object), "text": pd.Series([], dtype=object)})
 
@@ -79,6 +84,13 @@ def log_sink(logs: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events a key and window, closed by a watermark."""
+    """Events a key and window, closed by a watermark. See closing for a table that ends."""
     timed = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     return timed.groupBy(F.window("_at", window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def closing(events: DataFrame, ts: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """The rows of a table that ends and one more, without other values, so late that windowed_counts closes all of their windows. Its own
+    window stays open, so it counts nowhere."""
+    beyond = F.max(ts) + F.expr(f"INTERVAL {window}") + F.expr(f"INTERVAL {window}") + F.expr(f"INTERVAL {late}")
+    return events.unionByName(events.agg(beyond.cast(events.schema[ts].dataType).alias(ts)).filter(F.col(ts).isNotNull()), allowMissingColumns=True)
