@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,6 +13,9 @@ from ..session import shaped, table
 from ..streaming import operators as S
 from . import store
 
+#: Fixed value: characters of a page, of texts that come without pages.
+PAGE = 1500
+
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,8 +32,12 @@ def find_in_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("pages", F.array(F.substring("text", 1, 40), F.substring("text", 41, 30), F.lit("last page")))
-    return rows.select("doc_id", chunking.page_range(F.col("pages"), F.substring("text", 41, 20)).alias("p")).select("doc_id", "p.start_page", "p.end_page")
+    """The pages of every chunk of whole texts, cut into pages of ``PAGE`` characters."""
+    count = F.ceil(F.length("text") / PAGE).cast("int")
+    pages = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.substring(F.col("text"), (k - 1) * PAGE + 1, F.lit(PAGE)))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", pages.alias("pages")).withColumn("body", F.array_join("pages", "\n\n"))
+    found = chunking.chunks(rows, "body").select("doc_id", "nth", chunking.page_range(F.col("pages"), F.col("content")).alias("p"))
+    return found.select("doc_id", "nth", "p.start_page", "p.end_page")
 
 
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,20 +89,20 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, store._requests(spark, sf_dir), lambda s: S.rate_limited(s, 150.0, store.WINDOW_MS)).select("event_id", "user_id", "admitted")
 
 
-def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _deltas(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     """Answers with a thought, cut every five characters."""
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("<think>why "), F.col("role"), F.lit("</think>"), F.substring("text", 1, 60)).alias("body"))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("<think>why "), F.col("role"), F.lit("</think>"), text).alias("body"))
     cut = F.transform(F.sequence(F.lit(0), F.expr("int((length(body) - 1) / 5)")), lambda k: F.substring(F.col("body"), k * 5 + 1, F.lit(5)))
     made = rows.select("message_id", F.posexplode(cut).alias("nth", "delta"), F.size(cut).alias("n"))
     return made.select("message_id", F.col("nth").cast("long").alias("nth"), "delta", (F.col("nth") == F.col("n") - 1).alias("last_chunk"))
 
 
 def stream_think(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, _deltas(spark, sf_dir), S.split_thoughts).groupBy("message_id", "kind").agg(F.count("*").alias("parts"), F.sum(F.length("text")).alias("n_chars"))
+    return _streamed(spark, _deltas(spark, sf_dir, F.col("text")), S.split_thoughts).groupBy("message_id", "kind").agg(F.count("*").alias("parts"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.assembled(_deltas(spark, sf_dir).withColumn("tokens", F.lit(1)))
+    return S.assembled(_deltas(spark, sf_dir, F.substring("text", 1, 60)).withColumn("tokens", F.lit(1)))
 
 
 def ext_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,3 +24,20 @@ def test_a_message_that_ends_like_a_tag(spark, tmp_path, tail):
     made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = [r["text"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("nth").collect()]
     assert "".join(got) == tail.removeprefix("<think>")
+
+
+def test_thoughts_of_whole_messages(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    want = rows.agg(F.sum(F.length("text"))).first()[0]
+    assert extras.stream_think(spark, SF).filter("kind = 'answer'").agg(F.sum("n_chars")).first()[0] == want
+
+
+def test_pages_of_whole_texts(spark):
+    """Every chunk of every text has its pages, up to the last."""
+    lengths = {r["doc_id"]: len(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r["text"]}
+    last = {}
+    for r in extras.page_range(spark, SF).collect():
+        assert r["start_page"] <= r["end_page"]
+        last[r["doc_id"]] = max(last.get(r["doc_id"], 0), r["end_page"])
+    for i, n in lengths.items():
+        assert last[i] == -(-n // extras.PAGE)
