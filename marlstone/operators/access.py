@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def every_collection(chunks: DataFrame) -> DataFrame:
+    """All groups of chunks with one collection name each."""
+    return chunks.groupBy("parent_id").agg(F.count("*").alias("n_chunks"), F.min("collection").alias("collection"))
+
+
 def collections(chunks: DataFrame, most: int = 1000) -> DataFrame:
-    """The largest groups of chunks with one collection name each, ties to the smaller id."""
-    return chunks.groupBy("parent_id").agg(F.count("*").alias("n_chunks"), F.min("collection").alias("collection")).orderBy(F.desc("n_chunks"), "parent_id").limit(most)
+    """The largest groups of chunks with one collection name each, ties to the smaller id: a page for listing."""
+    return every_collection(chunks).orderBy(F.desc("n_chunks"), "parent_id").limit(most)
 
 
 def granted(listed: DataFrame, grants: DataFrame) -> DataFrame:

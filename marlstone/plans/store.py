@@ -183,20 +183,20 @@ def _grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(spark, sf_dir, "SELECT c_custkey AS user_id, concat('src', c_custkey % 20) AS parent_id, concat('https://s/', c_nationkey) AS web_url FROM {customer} WHERE c_custkey % 20 <> 6", "customer")
 
 
-def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.collections(shaped(spark, sf_dir, "SELECT source AS parent_id, concat('c-', source) AS collection FROM {documents}", "documents"))
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaped(spark, sf_dir, "SELECT source AS parent_id, concat('c-', source) AS collection FROM {documents}", "documents")
 
 
 def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _collections(spark, sf_dir)
+    return access.collections(_sourced(spark, sf_dir))
 
 
 def granted_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.granted(_collections(spark, sf_dir), _grants(spark, sf_dir))
+    return access.granted(access.every_collection(_sourced(spark, sf_dir)), _grants(spark, sf_dir))
 
 
 def accessible_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.accessible(_collections(spark, sf_dir), _grants(spark, sf_dir)).select("parent_id", "collection")
+    return access.accessible(access.every_collection(_sourced(spark, sf_dir)), _grants(spark, sf_dir)).select("parent_id", "collection")
 
 
 def access_check(spark: SparkSession, sf_dir: str) -> DataFrame:
