@@ -8,6 +8,7 @@ import corpus_pipeline as C
 from compare import SF
 
 from marlstone.llm import near_texts as N
+from marlstone.llm import simhash
 
 
 def shingles(text):
@@ -71,3 +72,11 @@ def test_pipeline_keeps_texts_below_the_threshold(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id IN (70, 92, 87, 144, 106, 185)")
     kept = sorted(r["doc_id"] for r in C.keep_one_of_near_copies(spark, docs, SF).collect())
     assert kept == [70, 87, 92, 106, 144, 185]
+
+
+def test_texts_ruled_by_one_line_stay_apart(spark):
+    """Equal fingerprints by majority, different sets of shingles."""
+    line = "the same line of seven words here " * 40
+    rows = [(i, line + " ".join(f"own{i}x{k}" for k in range(20))) for i in range(3)]
+    assert len({simhash.fingerprint(t, 2) for _, t in rows}) == 1
+    assert found(spark, rows) == {0: 0, 1: 1, 2: 2}
