@@ -9,11 +9,11 @@ lengths take the places of the rounded ones, and the short lengths are then plac
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -33,90 +33,72 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth l
 
 # ---------------------------------------------------------------- tokens
 
-#: ASCII and Latin-1 letters: text that needs no normalising but lower-casing.
+#: Chunks of ASCII and Latin-1 letters need no normalising but lower-casing.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_KEPT = 200_000
-_AT_ONCE = 500
+_SPACES = re.compile(r"[ \t-\r]+")
+_KEPT = 500_000
+
+
+class Memory(dict):
+    """What ``make`` gives for each key, remembered in two generations of up to ``_KEPT`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (found := self.old.get(key)) is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > _KEPT:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordTokens:
     """Ids of texts as little-endian 32-bit bytes, put together from those of white-space-free chunks.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are its chunks' ids in
-    a row. Chunks are remembered in two generations of bounded size.
+    The vocabulary drops white space and never joins across it, nor across its words, digits and runs of symbols. So a text's ids
+    are its chunks' ids in a row, and a plain chunk's those of its parts; other chunks go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.split_id = self.whole.encode("\0", add_special_tokens=False).ids
-        self.lean = Tokenizer.from_file(path)
-        self.lean.encode_special_tokens = True
-        self.lean.normalizer = normalizers.Sequence([])
-        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.lean_split = self.lean.encode("\0", add_special_tokens=False).ids
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, tokenizer, split_id: list[int], items: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        groups = [items[i : i + _AT_ONCE] for i in range(0, len(items), _AT_ONCE)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([" \0 ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            raw, at = ids.tobytes(), 0
-            ends = [*(np.flatnonzero(ids == split_id[0]) * 4).tolist(), len(raw)]
-            assert len(ends) == len(group)
-            for end in ends:
-                out.append(raw[at:end])
-                at = end + 4
-        return out
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.words) > 2 * _KEPT:
-            self.words = {}
-        split: list[tuple[str, list[str]]] = []
-        odd: list[str] = []
-        for c in chunks:
-            if (known := self.old.get(c)) is not None:
-                self.new[c] = known
-            elif _PLAIN.fullmatch(c):
-                split.append((c, _PARTS.findall(c.lower())))
-            else:
-                odd.append(c)
-        words = self.words
-        if missing := list({w for _, parts in split for w in parts if w not in words}):
-            words.update(zip(missing, self._encode(self.lean, self.lean_split, missing), strict=True))
-        for c, parts in split:
-            self.new[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
-        simple = [c for c in odd if "\0" not in c]
-        self.new.update(zip(simple, self._encode(self.whole, self.split_id, simple), strict=True))
-        for c in odd:
-            if "\0" in c:
-                self.new[c] = np.array(self.whole.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.model = self.whole.model
+        # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for letters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.parts, self.chunks = Memory(self._part), Memory(self._chunk)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _PLAIN.fullmatch(chunk):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(chunk.lower())))
+        ids = self.whole.encode(chunk, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > _KEPT:
-            self.old, self.new = self.new, {}
-        found, missing = [], set()
+        self.parts.turn()
+        self.chunks.turn()
+        out = []
         for text in texts:
-            chunks = re.split(r"[ \t-\r]+", text.strip(" \t\n\v\f\r")) if _ODD_SPACE.search(text) else text.split()
-            if chunks == [""]:
-                chunks = []
-            ids = list(map(self.new.get, chunks))
-            if None in ids:
-                missing.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
-                ids = None
-            found.append((chunks, ids))
-        if missing:
-            self.learn(list(missing))
-        get = self.new.__getitem__
-        return [b"".join(map(get, chunks) if ids is None else ids) for chunks, ids in found]
+            # str.split also splits at characters that are spaces to Python alone.
+            chunks = filter(None, _SPACES.split(text)) if _ODD_SPACE.search(text) else text.split()
+            out.append(b"".join(map(self.chunks.__getitem__, chunks)))
+        return out
 
 
 _tokens: dict[str, WordTokens] = {}
