@@ -1,10 +1,15 @@
 """Language-model scores from a probabilistic suffix tree.
 
 Texts are lower-cased words, each spelt as its UTF-8 bytes and a separator, and then an end; the tree's symbols are these
-bytes. Its contexts are of variable length, up to ``DEPTH`` symbols: those frequent enough (a share ``LEAST_SHARE`` of all
-symbols, which bounds their number) whose next-symbol distribution diverges from that of the context one
-symbol shorter, and the contexts that these end in. Distributions are smoothed by those of the shorter contexts, and
-each symbol is scored in the longest context that ends the history. All training texts are counted.
+bytes. Its contexts are of variable length, up to ``DEPTH`` symbols: those that occur ``LEAST_COUNT`` times or more and whose
+next-symbol distribution diverges from that of the context one symbol shorter, the contexts that these end in, and every single
+symbol. Distributions are smoothed by those of the shorter contexts, and each symbol is scored in the longest context of the
+tree that ends the history. All training texts are counted, and the tree grows with them.
+
+One task's part of the documents is a unit. A unit's distinct grams (a symbol and the ``DEPTH`` before it) are summed with the
+other units' by parts of the grams' hashes. A subtree holds what ends in the same two symbols, so it is learned by itself from
+its grams; the probabilities go back by the same parts to the units, which score their documents with them. No task and no
+broadcast holds the tree.
 """
 
 from __future__ import annotations
@@ -13,265 +18,157 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, read_table, shared_folder, text_of
+from .common import fold_of, in_small_batches, read_table, shared_folder, text_of
+from .words import mixed
 
 DEPTH = 6
-#: A context must make up this share of all symbols, so at most 1/LEAST_SHARE contexts of a length are kept.
-LEAST_SHARE = 2e-6
-#: The model sent to the executors has at most so many (context, next symbol) entries; the share doubles until it fits.
-MOST_ENTRIES = 1_500_000
+#: A context must occur so often.
+LEAST_COUNT = 4
 #: Log-likelihood gain that a context must bring for each of its next symbols.
 GAIN = 2.0
 END = b"\n"
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_SYMBOLS_AT_ONCE = 1 << 22
+_SYMBOLS_AT_ONCE = 1 << 21
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
-def spelt(text: str) -> bytes:
-    words = words_of(text)
+def spelt(words: list[bytes]) -> bytes:
     return b" ".join(words) + b" \n" if words else END
 
 
-def grams_of(texts: list[str], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of the texts in a row, it and the ``depth`` before it as a number; and each text's number of symbols."""
+def grams_of(data: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """For every symbol of the spelt texts in a row, it and the ``depth`` before it as a number."""
     pad = END * depth
-    data = [spelt(t) for t in texts]
-    raw = np.frombuffer(b"".join(pad + d for d in data), dtype=np.uint8)
-    sizes = np.array([len(d) for d in data], dtype=np.int64)
+    raw = np.frombuffer(b"".join([pad + d for d in data]), dtype=np.uint8)
     grams = np.zeros(len(raw), dtype=np.int64)
     for j in range(depth + 1):
-        grams[depth:] = (grams[depth:] << 8) | raw[j : len(raw) - depth + j]
+        grams[depth:] <<= 8
+        grams[depth:] |= raw[j : len(raw) - depth + j]
     own = np.ones(len(raw), dtype=bool)
-    first = np.concatenate([[0], np.cumsum(sizes + depth)[:-1]]).astype(np.int64)
+    first = np.cumsum([0, *(len(d) + depth for d in data[:-1])])
     own[(first[:, None] + np.arange(depth)).ravel()] = False
-    return grams[own], sizes
-
-
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t)
-        n += len(t) + 8
-        if n >= _SYMBOLS_AT_ONCE:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(all_keys)
-    found, first = np.unique(all_keys[order], return_index=True)
-    return found, np.add.reduceat(all_counts[order], first)
-
-
-def count_grams(texts: DataFrame, depth: int = DEPTH, contexts: Broadcast | None = None) -> DataFrame:
-    """(gram, n) over all texts of column text; if ``contexts`` (sorted numbers) is given, of grams that begin with one."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts, held = [], [], 0
-        for b in batches:
-            for some in _chunks(b["text"].tolist()):
-                k, n = np.unique(grams_of(some, depth)[0], return_counts=True)
-                if contexts is not None:
-                    own = _among(k >> 8, contexts.value)
-                    k, n = k[own], n[own]
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > 2_500_000:
-                    k, n = _merged(keys, counts)
-                    keys, counts, held = [k], [n], len(k)
-        if held:
-            k, n = _merged(keys, counts)
-            for at in range(0, len(k), 200_000):
-                yield pd.DataFrame({"gram": k[at : at + 200_000], "n": n[at : at + 200_000]})
-
-    return texts.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(x), dtype=bool)
-    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
-
-
-# ---------------------------------------------------------------- tree
-
-
-class SuffixTree:
-    """Retained contexts by depth with the smoothed probabilities of their next symbols."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], gain: float = GAIN):
-        """levels[d]: grams of d+1 symbols, sorted, with their counts, of all contexts frequent enough; levels[0] has the empty context's."""
-        self.depth = len(levels) - 1
-        root = np.ones(256)
-        root[levels[0][0]] += levels[0][1]
-        self.root = root / root.sum()
-        kept = self._retained(levels, gain)
-        self.contexts: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
-        self.back: list[np.ndarray] = [np.ones(1)]
-        self.grams: list[np.ndarray] = [np.arange(256)]
-        self.p: list[np.ndarray] = [self.root]
-        for d in range(1, self.depth + 1):
-            grams, n = levels[d]
-            own = np.isin(grams >> 8, kept[d])
-            grams, n = grams[own], n[own]
-            contexts, at, kinds = np.unique(grams >> 8, return_inverse=True, return_counts=True)
-            total = np.bincount(at, weights=n, minlength=len(contexts))
-            shorter = self._p(grams & ((1 << 8 * d) - 1), d - 1)
-            self.contexts.append(contexts)
-            self.back.append(kinds / (total + kinds))
-            self.grams.append(grams)
-            self.p.append((n + kinds[at] * shorter) / (total[at] + kinds[at]))
-        self.slots = 1 << 21
-        self.key, self.log = np.full(self.slots, -1, dtype=np.int64), np.zeros(self.slots)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("key", "log")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.key, self.log = np.full(self.slots, -1, dtype=np.int64), np.zeros(self.slots)
-
-    @staticmethod
-    def _retained(levels: list[tuple[np.ndarray, np.ndarray]], gain: float) -> list[np.ndarray]:
-        kept = [np.zeros(1, dtype=np.int64)]
-        for d in range(1, len(levels)):
-            grams, n = levels[d]
-            contexts, at, kinds = np.unique(grams >> 8, return_inverse=True, return_counts=True)
-            total = np.bincount(at, weights=n, minlength=len(contexts))
-            below, m = levels[d - 1]
-            b_contexts, b_at = np.unique(below >> 8, return_inverse=True)
-            b_total = np.bincount(b_at, weights=m, minlength=len(b_contexts))
-            k = np.searchsorted(below, grams & ((1 << 8 * d) - 1))
-            divergence = np.bincount(at, weights=n * np.log(n / total[at] * b_total[b_at[k]] / m[k]), minlength=len(contexts))
-            kept.append(contexts[divergence > gain * kinds])
-        for d in range(len(levels) - 1, 1, -1):
-            kept[d - 1] = np.union1d(kept[d - 1], kept[d] & ((1 << 8 * (d - 1)) - 1))
-        return kept
-
-    def _p(self, grams: np.ndarray, depth: int) -> np.ndarray:
-        """The probability of each gram's last symbol in its longest context of up to ``depth`` symbols."""
-        p = self.root[grams & 255].copy()
-        at = np.arange(len(grams))
-        for d in range(1, depth + 1):
-            if not len(self.contexts[d]):
-                break
-            context = (grams[at] >> 8) & ((1 << 8 * d) - 1)
-            k = np.minimum(np.searchsorted(self.contexts[d], context), len(self.contexts[d]) - 1)
-            hit = self.contexts[d][k] == context
-            at, k = at[hit], k[hit]
-            p[at] *= self.back[d][k]
-            gram = grams[at] & ((1 << 8 * (d + 1)) - 1)
-            g = np.minimum(np.searchsorted(self.grams[d], gram), len(self.grams[d]) - 1)
-            same = self.grams[d][g] == gram
-            p[at[same]] = self.p[d][g[same]]
-        return p
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """Scores of grams; recent ones are remembered in a table of fixed size."""
-        with np.errstate(over="ignore"):
-            slot = (grams * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) >> np.int64(40)) & np.int64(self.slots - 1)
-        out = self.log[slot]
-        new = np.flatnonzero(self.key[slot] != grams)
-        if len(new):
-            found, first, back = np.unique(grams[new], return_index=True, return_inverse=True)
-            log = np.log10(self._p(found, self.depth))
-            out[new] = log[back]
-            at = slot[new[first]]
-            self.key[at], self.log[at] = found, log
-            # Of several that share a slot, what was written last holds for both.
-            self.log[at] = np.where(self.key[at] == found, log, self.log[at])
-        return out
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        out = []
-        for some in _chunks(texts):
-            grams, sizes = grams_of(some, self.depth)
-            out.append(np.add.reduceat(self.log10(grams), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)))
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def learn(texts: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, most_entries: int = MOST_ENTRIES, gain: float = GAIN) -> SuffixTree:
-    """The tree of all texts of column text. Two passes: the longest grams are counted only behind frequent contexts,
-    which the first pass finds."""
-    grams = cut(count_grams(texts, depth - 1))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    share = least_share
-    while (levels := _levels(grams, depth, total * share, most_entries)) is None:
-        share *= 2
-    # A gram of the first pass is a context of the second; there are at most 1/share frequent ones.
-    contexts = grams.filter(F.col("n") >= max(2, total * share)).select("gram").toArrow()["gram"].to_numpy()
-    before_text = int.from_bytes(END * depth, "big")  # no gram ends there, but every text begins behind it
-    last = count_grams(texts, depth, texts.sparkSession.sparkContext.broadcast(np.union1d(contexts, [before_text])))
-    room = most_entries - sum(len(k) for k, _ in levels)
-    while (longest := _collected(last, room)) is None:
-        share *= 2
-        kept = grams.filter((F.col("n") >= max(2, total * share)) | (F.col("gram") == before_text)).select(F.col("gram").alias("context"))
-        last = last.join(kept, F.shiftright("gram", 8) == F.col("context"), "left_semi")
-    return SuffixTree([*levels, longest], gain)
-
-
-def _collected(level: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The sorted grams and counts of a level, or None if there are over ``room``."""
-    level = cut(level)
-    if level.count() > room:
-        return None
-    rows = level.toArrow()
-    grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(grams)
-    return grams[order], n[order].astype(np.float64)
-
-
-def _levels(grams: DataFrame, depth: int, least: float, room: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
-    """For contexts of 0 to depth-1 symbols that occur ``least`` times or more, their grams; None if there are over ``room``."""
-    level, levels = grams, []
-    for d in range(depth - 1, -1, -1):
-        if d < depth - 1:
-            level = level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        in_context = F.sum("n").over(Window.partitionBy(F.shiftright("gram", 8)))
-        # Below a frequent context all shorter ones are frequent too.
-        found = _collected(level.withColumn("total", in_context).filter(F.col("total") >= max(2, least)).select("gram", "n"), room - sum(len(k) for k, _ in levels))
-        if found is None:
-            return None
-        levels.append(found)
-    return levels[::-1]
-
-
-# ---------------------------------------------------------------- unigram base
-
-
-_WORD_ROWS = "kind string, unit int, doc_id long, held_out boolean, text_key long, n_tokens long, words binary, local int, key long, n long"
-
-
-def _word_rows(docs: DataFrame) -> DataFrame:
-    """Rows of kind 'doc' (unit, doc_id, held_out, text_key, n_tokens, words) and 'word' (unit, local, key, n). A unit is a
-    task's part of the documents; words holds a document's word numbers within its unit and their counts."""
+    return grams[own]
+
+
+def _runs(data: list[bytes]) -> Iterator[slice]:
+    """Consecutive texts of about ``_SYMBOLS_AT_ONCE`` symbols."""
+    first, n = 0, 0
+    for k, d in enumerate(data):
+        n += len(d)
+        if n >= _SYMBOLS_AT_ONCE or k + 1 == len(data):
+            yield slice(first, k + 1)
+            first, n = k + 1, 0
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    return found, np.add.reduceat(n[order], first) if len(found) else n[:0]
+
+
+# ---------------------------------------------------------------- the tree
+
+
+def probabilities(grams: np.ndarray, n: np.ndarray, pairs: np.ndarray, depth: int = DEPTH, least: int = LEAST_COUNT, gain: float = GAIN) -> np.ndarray:
+    """The smoothed probability of each distinct gram's last symbol in the longest context of the tree.
+
+    grams: all there are whose contexts end in some pairs of symbols, with their counts in training (0 allowed). pairs: (256, 256)
+    counts of symbols after each symbol, over the whole corpus."""
+    root = pairs.sum(axis=0) + 1.0
+    root /= root.sum()
+    total, kinds = pairs.sum(axis=1)[:, None], (pairs > 0).sum(axis=1)[:, None]
+    single = np.where(total > 0, (pairs + kinds * root) / np.maximum(total + kinds, 1), root)
+    plain = pairs / np.maximum(total, 1)
+    levels = []
+    for d in range(2, depth + 1):
+        keys, at = np.unique(grams & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        m = np.bincount(at, weights=n, minlength=len(keys))
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        total, kinds = np.bincount(of, weights=m), np.bincount(of, weights=m > 0)
+        shorter = keys & ((1 << 8 * d) - 1)
+        below = np.searchsorted(levels[-1][0], shorter) if levels else None
+        expected = levels[-1][6][below] if levels else plain[shorter >> 8, shorter & 255]
+        share = m / np.maximum(total[of], 1)
+        seen = m > 0
+        divergence = np.bincount(of[seen], weights=m[seen] * np.log(share[seen] / expected[seen]), minlength=len(contexts))
+        kept = (total >= least) & (divergence > gain * kinds)
+        levels.append((keys, m, contexts, of, total, kinds, share, kept, below, at))
+    for d in range(depth, 2, -1):
+        ends = levels[d - 2][2][levels[d - 2][7]] & ((1 << 8 * (d - 1)) - 1)
+        levels[d - 3][7][np.searchsorted(levels[d - 3][2], ends)] = True
+    if not levels:
+        return single[(grams >> 8) & 255, grams & 255]
+    p = None
+    for keys, m, _, of, total, kinds, _, kept, below, _ in levels:
+        short = single[(keys >> 8) & 255, keys & 255] if p is None else p[below]
+        p = np.where(kept[of], (m + kinds[of] * short) / np.maximum(total + kinds, 1)[of], short)
+    return p[levels[-1][9]]
+
+
+# ---------------------------------------------------------------- units and parts
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Whole or real numbers as compressed planes of their bytes."""
+    return zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1) if len(a) else b""
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel() if raw else np.zeros(0, dtype=kind)
+
+
+_UNIT_ROWS = "kind string, unit int, doc_id long, held_out boolean, n_tokens long, words binary, spelt binary, part int, keys binary, n binary, own binary"
+_NONE = dict.fromkeys(c.split()[0] for c in _UNIT_ROWS.split(", "))
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame([_NONE | r for r in rows], columns=list(_NONE))
+    return out.astype({"doc_id": "Int64", "n_tokens": "Int64", "part": "Int32", "held_out": "boolean"})
+
+
+def _by_part(kind: str, unit: int, parts: int, keys: np.ndarray, n: np.ndarray, own: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """A row for each part of some sorted keys: the keys, their numbers, and what else goes back with the answers."""
+    part = (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = []
+    for k in range(parts):
+        at = order[ends[k] : ends[k + 1]]
+        if len(at):
+            rows.append({"kind": kind, "unit": unit, "part": k, "keys": packed(keys[at]), "n": packed(n[at]), "own": None if own is None else packed(own[at])})
+    if rows:
+        yield _frame(rows)
+
+
+def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
+    """Of each unit, rows of kind 'doc' (its documents with their spelt texts and word numbers), 'word' and 'gram' (by part, its distinct
+    words and grams with their counts in training), and 'pair' (its pairs of symbols with their counts in training)."""
     import xxhash
 
-    names = [c.split()[0] for c in _WORD_ROWS.split(", ")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, numbers = TaskContext.get().partitionId(), {END: 0}
         seen = np.zeros(1 << 16, dtype=np.int64)
+        keys, counts, held = [], [], 0
         for b in batches:
-            rows = []
-            for doc_id, text, held_out, text_key in zip(b["doc_id"], b["text"], b["held_out"], b["text_key"], strict=True):
-                c = Counter(words_of(text))
+            rows, data = [], []
+            for doc_id, text, held_out in zip(b["doc_id"], b["text"], b["held_out"], strict=True):
+                words = words_of(text)
+                data.append(spelt(words))
+                c = Counter(words)
                 c[END] = 1
                 local = np.array([numbers.setdefault(w, len(numbers)) for w in c], dtype=np.int64)
                 n = np.fromiter(c.values(), dtype=np.int64, count=len(c))
@@ -281,74 +178,169 @@ def _word_rows(docs: DataFrame) -> DataFrame:
                     if len(numbers) > len(seen):
                         seen = np.concatenate([seen, np.zeros(len(numbers), dtype=np.int64)])
                     seen[local] += n
-                packed = zlib.compress(np.diff(local, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes(), 1)
-                rows.append((doc_id, held_out, text_key, int(n.sum()), packed))
-            out = pd.DataFrame(rows, columns=["doc_id", "held_out", "text_key", "n_tokens", "words"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out.assign(kind="doc", unit=unit, local=0, key=0, n=0)[names]
-        words = list(numbers)
-        if len(words) > len(seen):
-            seen = np.concatenate([seen, np.zeros(len(words), dtype=np.int64)])
-        for at in range(0, len(words), 100_000):
-            part = words[at : at + 100_000]
-            key = np.array([xxhash.xxh64_intdigest(w) for w in part], dtype=np.uint64).view(np.int64)
-            out = pd.DataFrame({"kind": "word", "unit": unit, "local": np.arange(at, at + len(part)), "key": key, "n": seen[at : at + len(part)]})
-            yield out.assign(doc_id=pd.array([None] * len(part), dtype="Int64"), held_out=False, text_key=0, n_tokens=0, words=None)[names]
-
-    return docs.mapInPandas(run, _WORD_ROWS)
-
-
-def _base(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """doc_id, held_out, text_key, n_tokens, n_known and counted (the sum of log10(c+1)); N; V."""
-    spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/unigrams-{uuid.uuid4().hex}"
-    _word_rows(docs).write.partitionBy("kind").parquet(path)
-    rows = spark.read.schema(_WORD_ROWS).parquet(path)
-    words = rows.filter("kind = 'word'").select("unit", "local", "key", "n")
-    sums = words.groupBy("key").agg(F.sum("n").alias("c")).agg(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
-    counted = words.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).select("unit", "local", "c")
-    texts = rows.filter("kind = 'doc'").select("unit", "doc_id", "held_out", "text_key", "n_tokens", "words")
-
-    def add(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(len(words), dtype=np.int64)
-        c[words["local"]] = words["c"]
-        log = np.log10(c + 1.0)
-        known, total = [], []
-        for packed in docs["words"]:
-            both = np.frombuffer(zlib.decompress(packed), dtype="<u4").astype(np.int64).reshape(2, -1)
-            local, n = np.cumsum(both[0]), both[1]
-            known.append(int(n[c[local] > 0].sum()))
-            total.append(float(log[local] @ n))
-        out = docs[["doc_id", "held_out", "text_key", "n_tokens"]].assign(n_known=known, counted=total)
-        return out.astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, held_out boolean, text_key long, n_tokens long, n_known long, counted double"
-    return texts.groupBy("unit").cogroup(counted.groupBy("unit")).applyInPandas(add, schema), int(sums["tokens"] or 0), int(sums["kinds"] or 0)
+                both = np.diff(local, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes()
+                rows.append({"kind": "doc", "unit": unit, "doc_id": doc_id, "held_out": held_out, "n_tokens": int(n.sum()), "words": zlib.compress(both, 1), "spelt": zlib.compress(data[-1], 1)})
+            if rows:
+                yield _frame(rows)
+            apart = b["held_out"].to_numpy(bool)
+            for some in _runs(data):
+                grams = grams_of(data[some], depth) << 1
+                grams |= np.repeat(apart[some], [len(d) for d in data[some]])
+                k, n = np.unique(grams, return_counts=True)
+                keys.append(k >> 1)
+                counts.append(np.where(k & 1, 0, n))
+                held += len(k)
+                if held > 4_000_000:
+                    k, n = summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held = [k], [n], 0
+        if keys:
+            k, n = summed(np.concatenate(keys), np.concatenate(counts))
+            yield from _by_part("gram", unit, parts, k, n)
+            pair, m = summed(k & 0xFFFF, n)
+            yield _frame([{"kind": "pair", "unit": unit, "keys": pair.tobytes(), "n": m.tobytes()}])
+            word = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers)).view(np.int64)
+            if len(numbers) > len(seen):
+                seen = np.concatenate([seen, np.zeros(len(numbers), dtype=np.int64)])
+            order = np.argsort(word)
+            yield from _by_part("word", unit, parts, word[order], seen[order], order.astype(np.uint32))
+
+    return in_small_batches(docs).mapInPandas(run, _UNIT_ROWS)
+
+
+def _totals(entries: DataFrame, split: bool) -> DataFrame:
+    """(part, keys, n) with the sums over the units; if ``split``, of each two last symbols of the contexts by themselves, named ends."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([unpacked(x, "<i8") for x in rows["keys"]])
+        keys, n = summed(keys, np.concatenate([unpacked(x, "<i8") for x in rows["n"]]))
+        ends = (keys >> 8) & 0xFFFF if split else np.zeros(len(keys), dtype=np.int64)
+        order = np.argsort(ends, kind="stable")
+        kinds, first = np.unique(ends[order], return_index=True)
+        cuts = np.split(order, first[1:])
+        return pd.DataFrame({"part": rows["part"].iloc[0], "ends": kinds, "keys": [packed(keys[k]) for k in cuts], "n": [packed(n[k]) for k in cuts]})
+
+    return entries.groupBy("part").applyInPandas(add, "part int, ends long, keys binary, n binary")
+
+
+def _subtrees(totals: DataFrame, pairs: np.ndarray, depth: int, least: int, gain: float) -> DataFrame:
+    """(part, keys, value): the log10 probabilities of the grams."""
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked(x, "<i8") for x in rows["keys"]]
+        p = probabilities(np.concatenate(keys), np.concatenate([unpacked(x, "<i8") for x in rows["n"]]).astype(np.float64), pairs, depth, least, gain)
+        log = np.split(np.log10(p).astype(np.float32), np.cumsum([len(k) for k in keys])[:-1])
+        return pd.DataFrame({"part": rows["part"].to_numpy(), "keys": rows["keys"].to_numpy(), "value": [packed(x) for x in log]})
+
+    return totals.groupBy("ends").applyInPandas(learn, "part int, keys binary, value binary")
+
+
+def _answers(entries: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """(kind, unit, own, value) for each row of the entries, with the table's values of its keys; own: the keys, or what the row says."""
+
+    def look_up(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"kind": [], "unit": [], "own": [], "value": []})
+        keys = np.concatenate([unpacked(x, "<i8") for x in known["keys"]])
+        values = np.concatenate([unpacked(x, value) for x in known["value"]])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = [packed(values[np.searchsorted(keys, unpacked(x, "<i8"))]) for x in asked["keys"]]
+        own = [k if o is None else o for k, o in zip(asked["keys"], asked["own"], strict=True)]
+        return pd.DataFrame({"kind": asked["kind"].to_numpy(), "unit": asked["unit"].to_numpy(), "own": own, "value": found})
+
+    return entries.groupBy("part").cogroup(table.groupBy("part")).applyInPandas(look_up, "kind string, unit int, own binary, value binary")
+
+
+class Scores:
+    """Log10 probabilities of known grams, found by a table of slots and, where two grams share a slot, by search."""
+
+    def __init__(self, keys: np.ndarray, log: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.log = keys[order], log[order].astype(np.float64)
+        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        self.slot = np.zeros(1 << self.bits, dtype=np.int32)
+        self.slot[self._slots(self.keys)] = np.arange(len(keys))
+
+    def _slots(self, grams: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, data: list[bytes], depth: int = DEPTH) -> np.ndarray:
+        """The score of each spelt text."""
+        out = []
+        for some in _runs(data):
+            grams = grams_of(data[some], depth)
+            at = self.slot[self._slots(grams)]
+            missed = np.flatnonzero(self.keys[at] != grams)
+            at[missed] = np.searchsorted(self.keys, grams[missed])
+            out.append(np.add.reduceat(self.log[at], np.cumsum([0, *(len(d) for d in data[some][:-1])])))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 # ---------------------------------------------------------------- operator
 
 
-def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LEAST_COUNT, gain: float = GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every text.
 
     Rows where ``held_out`` is true are scored but teach nothing. Null and empty texts have the end as their
     only token; rows with repeated or null ids each count and keep their row; other columns are not read. Without
     training rows every symbol is equally likely. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), held_out.alias("held_out"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    tree = docs.sparkSession.sparkContext.broadcast(learn(rows.filter(~F.col("held_out"))))  # at most MOST_ENTRIES entries
-    base, tokens, kinds = _base(rows)
+    parts = 4 * ceil(max(1, rows.rdd.getNumPartitions()) ** (2 / 3))
+    path = f"{shared_folder(spark)}/suffix-tree-{uuid.uuid4().hex}"
+    _unit_rows(rows, parts, depth).write.partitionBy("kind").parquet(path)
+    units = spark.read.schema(_UNIT_ROWS).parquet(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_kind(kind: str) -> DataFrame:
+        return units.filter(F.col("kind") == kind).select("kind", "unit", "part", "keys", "n", "own")
+
+    # At most 65,536 pairs a unit, summed to as many.
+    pairs = np.zeros((256, 256))
+
+    def pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"own_id": b["doc_id"].astype("Int64"), "own_key": b["text_key"].to_numpy(), "score": tree.value.scores(b["text"].tolist())})
+            for k, n in zip(b["keys"], b["n"], strict=True):
+                yield pd.DataFrame({"pair": np.frombuffer(k, dtype="<i8"), "n": np.frombuffer(n, dtype="<i8")})
 
-    scores = rows.select("doc_id", "text_key", "text").mapInPandas(run, "own_id long, own_key long, score double").dropDuplicates(["own_id", "own_key"])
-    both = base.join(scores, base["doc_id"].eqNullSafe(scores["own_id"]) & (base["text_key"] == scores["own_key"]))
+    for r in of_kind("pair").select("keys", "n").mapInPandas(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    words = _totals(of_kind("word"), False)
+
+    def word_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = [unpacked(x, "<i8") for x in b["n"]]
+            yield pd.DataFrame({"tokens": [int(x.sum()) for x in n], "kinds": [int((x > 0).sum()) for x in n]})
+
+    sums = words.mapInPandas(word_sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
+    tokens, kinds = int(sums["tokens"] or 0), int(sums["kinds"] or 0)
+    grams = _answers(of_kind("gram"), _subtrees(_totals(of_kind("gram"), True), pairs, depth, least, gain), "<f4")
+    answers = _answers(of_kind("word"), words.withColumnRenamed("n", "value"), "<i8").unionByName(grams)
     log_all = float(np.log10(tokens + kinds + 1))
-    return both.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("counted") - F.col("n_tokens") * log_all).alias("base_score"), "score")
+
+    def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        own = answers[answers["kind"] == "word"]
+        local = np.concatenate([unpacked(x, "<u4") for x in own["own"]])
+        c = np.zeros(len(local), dtype=np.int64)
+        c[local] = np.concatenate([unpacked(x, "<i8") for x in own["value"]])
+        log, known, base = np.log10(c + 1.0), [], []
+        for raw in docs["words"]:
+            both = np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.int64).reshape(2, -1)
+            at, n = np.cumsum(both[0]), both[1]
+            known.append(int(n[c[at] > 0].sum()))
+            base.append(float(log[at] @ n))
+        own = answers[answers["kind"] == "gram"]
+        scores = Scores(np.concatenate([unpacked(x, "<i8") for x in own["own"]]), np.concatenate([unpacked(x, "<f4") for x in own["value"]]))
+        found = [scores.of([zlib.decompress(x) for x in docs["spelt"].iloc[at : at + 512]], depth) for at in range(0, len(docs), 512)]
+        out = docs[["doc_id", "held_out", "n_tokens"]].assign(n_known=known, train_tokens=tokens)
+        out["base_score"] = np.array(base) - docs["n_tokens"].to_numpy(np.int64) * log_all
+        return out.assign(score=np.concatenate(found)).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts = units.filter("kind = 'doc'").select("unit", "doc_id", "held_out", "n_tokens", "words", "spelt")
+    return texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(score, schema)
 
 
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

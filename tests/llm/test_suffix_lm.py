@@ -26,46 +26,70 @@ def test_base_and_score(spark):
         assert x["score"] < 0
 
 
-def _tree(spark, texts, **more):
-    return S.learn(spark.createDataFrame([(t,) for t in texts], "text string"), **more)
+def grams(texts, depth):
+    return [s[i - depth : i + 1] for t in texts for s in [S.END * depth + S.spelt(S.words_of(t))] for i in range(depth, len(s))]
 
 
-def test_distributions_add_up(spark):
-    tree = _tree(spark, ["abra cadabra", "abra abra abra", "cadabra"] * 9, depth=4, least_share=1e-9)
-    assert any(len(c) > 1 for c in tree.contexts[1:])
-    for history in (b"\n\n\n\n", b"abra", b"dabr", b"zzzz", b"ra a"):
-        code = int.from_bytes(history, "big")
-        assert tree._p(np.array([(code << 8) | x for x in range(256)], dtype=np.int64), 4).sum() == pytest.approx(1)
+def brute(texts, depth, least, gain):
+    """The probability of a gram's last symbol, worked out context by context from plain counts."""
+    counts = [Counter(g[depth - d :] for g in grams(texts, depth)) for d in range(depth + 1)]
+    after = [Counter() for _ in range(depth + 1)]
+    for d in range(depth + 1):
+        for g, n in counts[d].items():
+            after[d][g[:-1]] += n
 
+    def diverges(context):
+        d, own = len(context), {g: n for g, n in counts[len(context)].items() if g[:-1] == context}
+        gained = sum(n * np.log(n / after[d][context] / (counts[d - 1][g[1:]] / after[d - 1][context[1:]])) for g, n in own.items())
+        return after[d][context] >= least and gained > gain * len(own)
 
-def test_longest_suffix_against_brute_force(spark):
-    """Each symbol's probability, worked out context by context from plain counts."""
-    texts = ["the cat sat", "the dog sat", "a cat ran"] * 20
-    tree = _tree(spark, texts, depth=3, least_share=1e-9, gain=-1e9)
-    counts = [Counter() for _ in range(4)]
-    for t in texts:
-        s = S.END * 3 + S.spelt(t)
-        for i in range(3, len(s)):
-            for d in range(4):
-                counts[d][s[i - d : i + 1]] += 1
+    kept = {c for d in range(2, depth + 1) for c in after[d] if diverges(c)}
+    kept |= {c[k:] for c in kept for k in range(len(c) - 1)} | set(after[1])
 
     def p(gram):
-        d = len(gram) - 1
-        if d == 0:
+        if len(gram) == 1:
             return (counts[0][gram] + 1) / (sum(counts[0].values()) + 256)
-        own = {g: n for g, n in counts[d].items() if g[:-1] == gram[:-1]}
-        if sum(own.values()) < 2:
+        d, context = len(gram) - 1, gram[:-1]
+        if context not in kept:
             return p(gram[1:])
-        return (own.get(gram, 0) + len(own) * p(gram[1:])) / (sum(own.values()) + len(own))
+        kinds = sum(g[:-1] == context for g in counts[d])
+        return (counts[d][gram] + kinds * p(gram[1:])) / (after[d][context] + kinds)
+
+    return p, kept
 
-    for t in ("the cat ran", "a dog", "", "zebra"):
-        s = S.END * 3 + S.spelt(t)
-        assert tree.scores([t])[0] == pytest.approx(sum(np.log10(p(s[i - 3 : i + 1])) for i in range(3, len(s))))
 
+@pytest.mark.parametrize(("least", "gain"), [(1, -1e9), (2, 0.0), (3, 0.5), (1, 1e9)])
+def test_longest_suffix_against_brute_force(spark, least, gain):
+    taught, others = ["the cat sat", "the dog sat", "a cat ran"] * 3 + ["abra cadabra"], ["the cat ran", "a dog", "", "zebra", "\u2603 abracadabra"]
+    p, kept = brute(taught, 3, least, gain)
+    assert (max(map(len, kept)) > 1) == (gain < 1e9)
+    docs = spark.createDataFrame([(k, t, k >= len(taught)) for k, t in enumerate(taught + others)], "doc_id long, text string, apart boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in S.score_texts(docs, docs["apart"], 3, least, gain).collect()}
+    for k, t in enumerate(taught + others):
+        assert got[k] == pytest.approx(sum(np.log10(p(g)) for g in grams([t], 3)), rel=1e-5)
 
-def test_divergence_prunes(spark):
-    texts = ["ab ba aa bb " * 5] * 5
-    assert len(_tree(spark, texts, depth=3, gain=1e9).contexts[1]) == 0
+
+def test_distributions_add_up():
+    texts = ["abra cadabra", "abra abra abra", "cadabra"] * 9
+    pairs = np.zeros((256, 256))
+    for g in grams(texts, 4):
+        pairs[g[-2], g[-1]] += 1
+    seen = Counter(int.from_bytes(g, "big") for g in grams(texts, 4))
+    for history in (b"\n\n\n\n", b"abra", b"dabr", b"zzzz", b"ra a"):
+        asked = [(int.from_bytes(history, "big") << 8) | x for x in range(256)]
+        every = sorted({*asked, *(k for k in seen if (k >> 8) & 0xFFFF == asked[0] >> 8 & 0xFFFF)})
+        p = dict(zip(every, S.probabilities(np.array(every), np.array([float(seen[k]) for k in every]), pairs, 4, 1, 0.0), strict=True))
+        assert sum(p[k] for k in asked) == pytest.approx(1)
+
+
+def test_few_long_texts(spark):
+    """Contexts from before a text occur once a text, however long the texts are."""
+    texts = [" ".join(f"word{k % (7 + j)} and{k % 5}" for k in range(3000)) for j in range(2)]
+    p, _ = brute(texts, S.DEPTH, S.LEAST_COUNT, S.GAIN)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in S.score_texts(docs, F.lit(False)).collect()}
+    each = Counter(grams(texts[:1], S.DEPTH))
+    assert got[0] == pytest.approx(sum(n * np.log10(p(g)) for g, n in each.items()), rel=1e-5)
 
 
 def test_odd_rows(odd, none):
