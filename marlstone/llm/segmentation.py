@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of
+from .common import in_small_batches, read_table, text_of
 
 SPACE = "▁"
 #: Stands for a space mark that the text itself has; no piece matches it.
@@ -29,7 +29,7 @@ N_BEST = 4
 #: A character in bytes scores this much below the lowest piece, as the library's unknown pieces do.
 UNKNOWN_PENALTY = 10.0
 NEVER = -1e8
-_KEPT = 300_000
+_KEPT = 500_000
 
 
 class Vocabulary:
@@ -59,6 +59,7 @@ class Vocabulary:
         self.words = re.compile("(?s).+" if inside else f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
         self.new: dict[str, tuple[bytes, float, float, int]] = {}
         self.old: dict[str, tuple[bytes, float, float, int]] = {}
+        self.ranked: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def edges(self, word: str) -> Iterator[tuple[int, int, tuple[int, ...], float]]:
         """The edges (start, end, ids, score) of a word's lattice by their ends."""
@@ -90,22 +91,35 @@ class Vocabulary:
         ids = [x for part in reversed(parts) for x in part]
         return pack(f"<{len(ids)}I", *ids), first[n], first[n] - second[n], len(ids)
 
-    def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a word, best first, ties to the ids that compare lower."""
+    def n_best(self, word: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best (score, ids) of a word, best first; of equal scores, what the search finds first.
+
+        The agenda holds partial segmentations from the end back as links to what they go on from, so their length costs nothing."""
         ends: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(word) + 1)]
         forward = [0.0] + [-np.inf] * len(word)
         for i, j, ids, s in self.edges(word):
             ends[j].append((i, ids, s))
             forward[j] = max(forward[j], forward[i] + s)
-        agenda: list[tuple[float, tuple[int, ...], int, float]] = [(-forward[-1], (), len(word), 0.0)]
-        out: list[tuple[float, tuple[int, ...]]] = []
+        # (estimate, place, order of making): of equal estimates the one nearest to the beginning goes first.
+        agenda: list[tuple[float, int, int, float, tuple | None]] = [(-forward[-1], len(word), 0, 0.0, None)]
+        out: list[tuple[float, bytes]] = []
+        taken, made = [0] * (len(word) + 1), 0
         while agenda and len(out) < n:
-            _, ids, at, done = heapq.heappop(agenda)
+            _, at, _, done, chain = heapq.heappop(agenda)
             if not at:
-                out.append((done, ids))
+                ids, link = [], chain
+                while link:
+                    ids.extend(link[0])
+                    link = link[1]
+                out.append((done, pack(f"<{len(ids)}I", *ids)))
+                continue
+            # With exact heuristics, no more than the n best rests from a place are part of the n best.
+            if taken[at] == n:
                 continue
+            taken[at] += 1
             for start, piece, s in ends[at]:
-                heapq.heappush(agenda, (-(done + s + forward[start]), piece + ids, start, done + s))
+                made += 1
+                heapq.heappush(agenda, (-(done + s + forward[start]), start, made, done + s, (piece, chain)))
         return out
 
     def split(self, text: str) -> list[str]:
@@ -129,14 +143,16 @@ class Vocabulary:
         return found
 
     def segment(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a text, best first: (score, ids)."""
+        """The n best segmentations of a text, best first: (score, ids). The words that lose least by their second choice give all
+        their choices by the A* search, the others their best."""
         words = self.split(text)
         best = self.look_up(words)
         ids = [x[0] for x in best]
         total = sum(x[1] for x in best)
-        weak = heapq.nsmallest(n - 1, range(len(words)), key=lambda k: best[k][2]) if n > 1 else []
-        choices = [[(best[k][1] - s, np.array(i, dtype="<u4").tobytes()) for s, i in self.n_best(words[k], n)] for k in weak if best[k][2] < np.inf]
-        weak = [k for k in weak if best[k][2] < np.inf]
+        weak = [k for k in heapq.nsmallest(n - 1, range(len(words)), key=lambda k: best[k][2]) if best[k][2] < np.inf] if n > 1 else []
+        choices = [self.choices(words[k], n) for k in weak]
+        for k, c in zip(weak, choices, strict=True):
+            ids[k] = c[0][1]
         out, seen = [], set()
         agenda: list[tuple[float, tuple[int, ...]]] = [(0.0, (0,) * len(weak))]
         while agenda and len(out) < n:
@@ -148,14 +164,24 @@ class Vocabulary:
             if any(pick):
                 own = ids.copy()
                 for k, c, p in zip(weak, choices, pick, strict=True):
-                    if p:
-                        own[k] = c[p][1]
+                    own[k] = c[p][1]
             out.append((total - lost, b"".join(own)))
             for k, p in enumerate(pick):
                 if p + 1 < len(choices[k]):
-                    heapq.heappush(agenda, (lost - choices[k][p][0] + choices[k][p + 1][0], (*pick[:k], p + 1, *pick[k + 1 :])))
+                    heapq.heappush(agenda, (lost + choices[k][p + 1][0] - choices[k][p][0], (*pick[:k], p + 1, *pick[k + 1 :])))
         return out
 
+    def choices(self, word: str, n: int) -> list[tuple[float, bytes]]:
+        """(what is lost against the best, ids) of a word's n best segmentations; short words' are remembered."""
+        if (found := self.ranked.get((word, n))) is None:
+            own = self.n_best(word, n)
+            found = [(own[0][0] - s, i) for s, i in own]
+            if len(word) < 64:
+                if len(self.ranked) > _KEPT // 4:
+                    self.ranked = {}
+                self.ranked[word, n] = found
+        return found
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, the added first space left out."""
         raw = b"".join(map(self.plain.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -189,7 +215,7 @@ def encode_n_best(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataFram
                 found = [[{"score": s, "ids": i} for s, i in v.segment(t, n)] for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "text": part["text"].to_numpy(), "segmentations": found})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, "doc_id long, text string, segmentations array<struct<score:double,ids:binary>>")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, "doc_id long, text string, segmentations array<struct<score:double,ids:binary>>")
 
 
 def decode(rows: DataFrame, ids: str, model_path: str) -> DataFrame:
@@ -222,7 +248,7 @@ def digest_n_best(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataFram
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, "doc_id long, n_pieces long, score double, ids_crc32 long, round_trip boolean, n_found int, n_best string")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, "doc_id long, n_pieces long, score double, ids_crc32 long, round_trip boolean, n_found int, n_best string")
 
 
 def piece_model_path() -> str:

@@ -4,6 +4,7 @@ import zlib
 
 from compare import SF
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,24 @@ def test_n_best_is_exact(text):
     assert len({ids for _, ids in got}) == len(got)
 
 
+@pytest.mark.parametrize("text", ["aaaa", "a a a a", "the the", "abab" * 30])
+def test_ties_give_different_segmentations(text):
+    got = V.segment(text, 6)
+    assert len({ids for _, ids in got}) == len(got) and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+
+
+def test_no_segmentation_twice():
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        got = V.segment(text or "", 4)
+        assert len({ids for _, ids in got}) == len(got)
+
+
+def test_long_text_without_spaces():
+    for word in ("ab" * 50_000, "x" * 100_000):
+        got = V.segment(word, 4)
+        assert len({ids for _, ids in got}) == 4 and all(V.decode(ids) == word for _, ids in got)
+
+
 def test_whole_table(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = G.op2_n_best_segmentation(spark, SF).collect()
