@@ -1,11 +1,13 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text's terms are its five-word shingles, weighted by their counts. Every weighted term draws a gamma-based
-sample: with r and c from Gamma(2, 1) and b uniform, all fixed by the term's hash, t = floor(ln(w) / r + b) and
-ln a = ln c - r (t - b) - r. Terms are dealt by hash into ``SLOTS`` slots, and a slot keeps its smallest a; within a
-slot, two texts keep the same (term, t) with a probability equal to the generalised Jaccard similarity of their weights
-there. The share of equal slots among those in use estimates the similarity of the whole. One sample for each term, instead
-of one for each term and slot, is what makes the fingerprint affordable without Python.
+A text's terms are its five-word shingles, weighted by their counts. Every unit of a term's weight, told apart by its number, is
+dealt by hash into one of ``SLOTS`` slots, so a heavy term is spread evenly over the slots, and of two texts the one where it
+weighs less has its units among the other's: over all slots, the sums of the smaller and of the larger weights are those of the
+whole texts. Every weighted term of a slot draws a gamma-based sample: with r and c from Gamma(2, 1) and b uniform, all fixed by
+the hash of term and slot, t = floor(ln(w) / r + b) and ln a = ln c - r (t - b) - r. A slot keeps its smallest a; two texts keep
+the same (term, t) there with a probability equal to the generalised Jaccard similarity of their weights in the slot. As the
+slots get equal shares of the whole, the share of equal ones among those in use estimates the similarity of the whole. One sample
+for each term of a slot, instead of one for each term and slot, is what makes the fingerprint affordable without Python.
 """
 
 from __future__ import annotations
@@ -40,31 +42,46 @@ def terms(text: Column, shingle: int = SHINGLE) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
 
 
-def _sample(term: Column, weight: Column | None) -> Column:
-    """Slot and ln a of a weighted term in one whole number, smaller for smaller a within a slot."""
-    h, g = F.xxhash64(F.lit(1), term), F.xxhash64(F.lit(2), term)
+def _dealt(term: Column, unit: Column) -> Column:
+    """The term and, in its lowest seven bits, the slot of the unit of this number."""
+    return term.bitwiseAND(F.lit(-128)).bitwiseOR(F.pmod(F.xxhash64(term, unit), F.lit(SLOTS)))
+
+
+def _sample(item: Column, weight: Column | None) -> Column:
+    """Slot and ln a of a weighted term of a slot in one whole number, smaller for smaller a within the slot."""
+    h, g = F.xxhash64(F.lit(1), item), F.xxhash64(F.lit(2), item)
     unit = lambda x, shift: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21)
     b, c = unit(g, 22), -F.ln(unit(h, 1) * unit(g, 43))
 
     def code(r: Column) -> Column:
         t = F.lit(0.0) if weight is None else F.floor(F.ln(weight) / r + b)
         log_a = F.ln(c) - r * (t - b + 1)
-        return F.shiftleft(F.pmod(g, F.lit(SLOTS)), _LOW) + F.floor((log_a + 64) * F.lit(_UNIT))
+        return F.shiftleft(item.bitwiseAND(F.lit(127)), _LOW) + F.floor((log_a + 64) * F.lit(_UNIT))
 
     r = -F.ln(unit(h, 43) * unit(h, 22))
     return code(r) if weight is None else let(r, code)
 
 
+def _by_runs(s: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of each distinct value of a sorted array and of how often it is there."""
+    ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+    return let(ends, lambda e: F.transform(e, lambda at, k: body(F.get(s, at - 1), at - F.coalesce(F.get(e, F.when(k > 0, k - 1)), F.lit(0)))))
+
+
 def slots(text: Column) -> Column:
-    """The fingerprint: for each of ``SLOTS`` slots a number from 1 to 32767 for what it keeps, or 0 if no term fell into it."""
+    """The fingerprint of a text."""
+    return slots_of(terms(text))
 
-    def codes(t: Column) -> Column:
-        def weighted(s: Column) -> Column:
-            ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
-            return let(ends, lambda e: F.transform(e, lambda at, k: _sample(F.get(s, at - 1), (at - F.coalesce(F.get(e, F.when(k > 0, k - 1)), F.lit(0))).cast("double"))))
 
+def slots_of(term_hashes: Column) -> Column:
+    """The fingerprint of an array of terms, repeats included: for each of ``SLOTS`` slots a number from 1 to 32767 for what it keeps, or 0 if no term fell into it."""
+
+    def codes(t: Column) -> Column:
+        units = lambda s: F.flatten(_by_runs(s, lambda term, n: F.transform(F.sequence(F.lit(1), n), lambda k: _dealt(term, k))))
+        weighted = lambda items: _by_runs(items, lambda item, n: _sample(item, n.cast("double")))
         repeated = F.size(F.array_distinct(t)) < F.size(t)
-        return F.when(repeated, let(F.sort_array(t), weighted)).otherwise(F.transform(t, lambda x: _sample(x, None)))
+        once = let(F.transform(t, lambda x: _dealt(x, F.lit(1))), lambda items: F.transform(items, lambda x: _sample(x, None)))
+        return F.when(repeated, let(F.sort_array(t), lambda s: let(F.sort_array(units(s)), weighted))).otherwise(once)
 
     def kept(s: Column) -> Column:
         slot = lambda x: F.shiftright(x, _LOW)
@@ -75,7 +92,7 @@ def slots(text: Column) -> Column:
         step = lambda acc, x: F.struct((slot(x) + 1).cast("int").alias("at"), F.concat(acc["out"], gap(slot(x) - acc["at"]), F.array(value(x))).alias("out"))
         return F.aggregate(first, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(acc["out"], gap(SLOTS - acc["at"])))
 
-    return let(F.sort_array(let(terms(text), codes)), kept)
+    return let(F.sort_array(let(term_hashes, codes)), kept)
 
 
 def as_text(fingerprint: Column) -> Column:

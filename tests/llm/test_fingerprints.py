@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -16,6 +17,7 @@ def weights(text):
 
 
 def jaccard(a, b):
+    a, b = Counter(a), Counter(b)
     both = set(a) | set(b)
     return sum(min(a[x], b[x]) for x in both) / sum(max(a[x], b[x]) for x in both) if both else 1.0
 
@@ -46,6 +48,33 @@ def test_weights_count(spark):
     assert abs(sum(r["near"] for r in got) / len(got) - want) < 0.05
 
 
+def test_uneven_weights(spark):
+    """The collision rate is that of the generalised similarity when weights are from 1 to 1,000."""
+    rng = random.Random(5)
+    cases = []
+    for kind in range(6):
+        a = {f"t{kind}x{k}": rng.choice((1, 2, 5, 30, 1000)) if kind else 900 * (k == 0) + 1 for k in range(40)}
+        b = {x: max(1, int(n * rng.choice((0.1, 0.5, 1, 1, 2)))) if kind else 1 + 90 * (x == "t0x0") for x, n in a.items()}
+        b |= {f"t{kind}y{k}": 3 for k in range(kind)}
+        cases.append((kind, a, b))
+    one = [(kind, " ".join(f"{x}" for t, n in w.items() for x in [t] * n), side) for kind, a, b in cases for side, w in (("a", a), ("b", b))]
+    rows = spark.createDataFrame(one, "kind int, text string, side string").withColumn("made", P.slots_of(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))))
+    pairs = rows.filter("side = 'a'").alias("x").join(rows.filter("side = 'b'").alias("y"), "kind").select("kind", P.likeness(F.col("x.made"), F.col("y.made")).alias("near"))
+    got = {r["kind"]: r["near"] for r in pairs.collect()}
+    for kind, a, b in cases:
+        assert abs(got[kind] - jaccard(a, b)) < 0.16, (kind, got[kind], jaccard(a, b))
+    assert abs(sum(got[k] - jaccard(a, b) for k, a, b in cases)) / len(cases) < 0.06
+
+
+def test_one_line_rules(spark):
+    """The same line 900 times against 90 times, among other lines; and a few others against one."""
+    heavy, light = "one two three four five", [f"a{k} b{k} c{k} d{k} e{k}" for k in range(95)]
+    pairs = [(" ".join([heavy] * 900 + light), " ".join([heavy] * 90 + light)), (" ".join([heavy] * 900 + light), " ".join([heavy] * 900 + [x.upper() for x in light]))]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", P.likeness(P.slots(F.col("a")), P.slots(F.col("b"))).alias("near")).collect()
+    for r in got:
+        assert abs(r["near"] - jaccard(weights(r["a"]), weights(r["b"]))) < 0.16
+
+
 def test_odd_rows(odd, none):
     got = P.fingerprint_documents(odd).collect()
     assert len(got) == odd.count()
