@@ -11,29 +11,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import packing, quality, secrets, simhash, toxicity
-from marlstone.llm.common import read_table, shared_folder
+from marlstone.llm import near_texts, packing, quality, secrets, toxicity
+from marlstone.llm.common import configured, read_table, shared_folder
 
 
+@configured
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon scores under one half."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).filter("toxicity < 0.5").select(*docs.columns)
 
 
+@configured
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.7 or more."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).filter("quality >= 0.7").select(*docs.columns)
 
 
+@configured
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id. Rows without an id stay, one for each text,
-    if any of them has no near copy with an id."""
-    kept = simhash.near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    if any of them has no near copy with an id. Repeated rows are copies too."""
+    kept = near_texts.near_texts(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
+@configured
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a mark and n_chars counted again."""
     found = secrets.find_secrets(docs, keep=tuple(docs.columns))
@@ -41,6 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@configured
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
     return packing.pack_documents(docs, packing.word_tokenizer_path())

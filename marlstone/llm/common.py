@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests on one machine."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of this machine if all tasks run on it, else an error."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-"))
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
@@ -38,19 +43,26 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``; Python workers get its rows ``BATCH_BYTES`` at a time, so that long texts don't add up. A size that the session sets stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    df.sparkSession.conf.set(key, df.sparkSession.conf.get(key, str(BATCH_BYTES)))
-    return df
+def configured(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A registered query or a stage of the pipeline. Its session hands rows to Python workers ``BATCH_BYTES`` at a time, so that long texts don't
+    add up, unless it has a size of its own. Operators leave the session as it is."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        spark.conf.set(key, spark.conf.get(key, str(BATCH_BYTES)))
+        return query(spark, *args)
+
+    return run
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out_fold: int, max_rows: int) -> DataFrame:
-    """At most about ``max_rows`` labelled texts outside the held-out fold: doc_id, text, label (0 or 1).
+    """At most about ``max_rows`` labelled texts outside the held-out fold: doc_id, text, label (0 or 1); of equal texts, the one with the
+    smallest id.
 
     Rows are kept by a hash of the id against a threshold set from the number of labelled rows, so
     the choice does not depend on partitioning. The kept labels are bounded and go to the executors
-    as a broadcast side; the texts are not shuffled. Labels other than 0 and 1 are left out.
+    as a broadcast side; of the other documents no text is shuffled. Labels other than 0 and 1 are left out.
     """
     usable = (
         labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label"))
@@ -60,4 +72,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     share = max_rows / max(1, usable.count())
     if share < 1:
         usable = usable.filter(F.pmod(F.xxhash64(F.lit("sample"), "label_id"), F.lit(1_000_003)) < int(share * 1_000_003))
-    return docs.select(F.col("doc_id").alias("label_id"), text_of(docs).alias("text")).join(F.broadcast(usable), "label_id").withColumnRenamed("label_id", "doc_id")
+    texts = docs.select(F.col("doc_id").alias("label_id"), text_of(docs).alias("text")).join(F.broadcast(usable), "label_id")
+    return texts.groupBy("text").agg(F.min(F.struct("label_id", "label")).alias("first")).select(F.col("first.label_id").alias("doc_id"), "text", F.col("first.label").alias("label"))

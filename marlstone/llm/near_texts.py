@@ -1,9 +1,10 @@
 """Near copies by exact Jaccard similarity over sets of five-word shingles.
 
-Candidates share a band of MinHash values: a pair at a similarity of ``LEAST`` shares none of the ``BANDS`` with a probability
-of 3e-5, more similar ones with less. Every link is verified by the sets themselves. Equal texts are one class throughout.
-What shares a band is first compared with the band's smallest and largest member; only bands that are not in one
-component by then are compared pair by pair, large ones in bounded blocks that return a spanning forest.
+Candidates are first the links of SimHash fingerprints over the same shingles, by the generalised pigeonhole search of ``simhash``, and then what
+shares a band of MinHash values: SimHash alone would need a radius of over ten bits for pairs at a similarity of ``LEAST``, while such a pair
+shares none of the ``BANDS`` with a probability of 3e-5, more similar ones with less. Every link is verified by the sets themselves.
+Equal texts are one class throughout. What shares a band is first compared with the band's smallest and largest member; only bands
+that are not in one component by then are compared pair by pair, large ones in bounded blocks that return a spanning forest.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_small_batches, text_of
+from .common import cut, text_of
 from .components import components
-from .simhash import _LOWER, _hashes
+from .simhash import _LOWER, link_fingerprints, majority, shingle_hashes
 from .words import mixed
 
 SHINGLE = 5
@@ -37,8 +38,12 @@ _AT_ONCE = 1 << 13
 
 def shingle_set(text: str) -> np.ndarray:
     """The sorted hashes of a text's shingles; a text under five words is one shingle, one without words is zero."""
+    return np.unique(_hashes(text))
+
+
+def _hashes(text: str) -> np.ndarray:
     words = text.encode().translate(_LOWER).split()
-    return np.unique(_hashes(words, SHINGLE)) if words else np.zeros(1, dtype=np.uint64)
+    return shingle_hashes(words, SHINGLE) if words else np.zeros(1, dtype=np.uint64)
 
 
 def bands_of(shingles: np.ndarray) -> np.ndarray:
@@ -57,11 +62,23 @@ def _enough(shared, a, b):
 
 
 def _signed(rows: DataFrame) -> DataFrame:
+    """key, its MinHash bands, and its SimHash fingerprint fp."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "bands": [bands_of(shingle_set(t)) for t in b["text"]]})
+            made = [(bands_of(np.unique(h)), majority(h)) for h in map(_hashes, b["text"])]
+            yield pd.DataFrame({"key": b["key"], "bands": [m[0] for m in made], "fp": np.array([m[1] for m in made], dtype=np.int64)})
+
+    return rows.select("key", "text").mapInPandas(run, "key long, bands array<long>, fp long")
+
 
-    return in_small_batches(rows).select("key", "text").mapInPandas(run, "key long, bands array<long>")
+def _by_fingerprint(signed: DataFrame) -> DataFrame:
+    """(a, b): of each fingerprint its texts with the one of the smallest key, and those of linked fingerprints."""
+    classes = cut(signed.groupBy("fp").agg(F.min("key").alias("first")))
+    same = signed.join(classes, "fp").filter("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    side = lambda end: classes.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
+    linked = link_fingerprints(classes).join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return same.unionByName(linked)
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -71,7 +88,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                 some = b.iloc[at : at + 200]
                 yield pd.DataFrame({"key": some["key"], "shingles": [shingle_set(t).view(np.int64) for t in some["text"]]})
 
-    return in_small_batches(rows).select("key", "text").mapInPandas(run, "key long, shingles array<long>")
+    return rows.select("key", "text").mapInPandas(run, "key long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -118,13 +135,17 @@ def near_texts(docs: DataFrame) -> DataFrame:
     and get their component's smallest id, null if it has none. Other columns are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("key", F.xxhash64("text"))
-    entries = cut(_signed(rows).select("key", F.explode("bands").alias("value")).distinct())
+    signed = cut(_signed(rows))
+    entries = cut(signed.select("key", F.explode("bands").alias("value")).distinct())
     shared = entries.groupBy("value").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high")).filter("members > 1")
     shared = cut(entries.join(shared, "value"))
-    # Texts that share no band with another are not needed again.
-    sets = cut(_sets(rows.join(shared.select("key").distinct(), "key", "left_semi")).dropDuplicates(["key"]))
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    first = cut(shared.select("key", F.explode(F.array("low", "high")).alias("end")).filter("key != end").select(*ends("key", "end")).distinct())
+    in_band = shared.select("key", F.explode(F.array("low", "high")).alias("end")).filter("key != end").select(*ends("key", "end"))
+    alike = _by_fingerprint(signed.select("key", "fp").distinct()).select(*ends("a", "b"))
+    first = cut(in_band.unionByName(alike).distinct())
+    # Texts that are no one's candidate are not needed again.
+    needed = shared.select("key").unionByName(first.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    sets = cut(_sets(rows.join(needed, "key", "left_semi")).dropDuplicates(["key"]))
     links = cut(_verified(first, sets))
     roots = components(links, "a", "b")
     placed = shared.select("value", "key", "members").join(roots, shared["key"] == roots["node"], "left").select("value", "key", "members", F.coalesce("root", "key").alias("root"))

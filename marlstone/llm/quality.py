@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, in_small_batches, labelled_sample, read_table, text_of
+from .common import cut, fold_of, labelled_sample, read_table, text_of
 from .words import SYMBOL, in_batches, mixed, words_of
 
 DIMENSIONS = 64
@@ -160,7 +160,7 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = HIDDE
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int = 2, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The classifier from at most about ``sample_rows`` labelled rows. Without labels its score is one half; with one
     label only, near that label."""
-    sample = cut(labelled_sample(in_small_batches(docs), labels, "quality", folds, held_out_fold, sample_rows).dropDuplicates(["text"]))
+    sample = cut(labelled_sample(docs, labels, "quality", folds, held_out_fold, sample_rows))
     index = index_vectors()
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int =
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with quality (0 to 1); a column of that name is replaced. Null and empty texts get the score of a text
     without words; rows with repeated or null ids are scored one by one; an empty table gives no rows."""
-    shared = in_small_batches(docs).sparkSession.sparkContext.broadcast(model)  # BUCKETS vectors of DIMENSIONS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS vectors of DIMENSIONS floats
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

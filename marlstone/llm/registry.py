@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from . import fingerprints, licenses, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity
+from .common import configured
 
 _MODULES = (fingerprints, licenses, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity)
 
 
 def queries():
-    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+    return {name: configured(q) for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():

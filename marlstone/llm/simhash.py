@@ -19,9 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_small_batches, read_table, text_of
+from .common import cut, read_table, text_of
 from .components import components
-from .words import mixed
 
 RADIUS = 4
 SHINGLE = 4
@@ -34,15 +33,6 @@ PROBE_COST = 20.0
 MEMBERS = 48
 #: Rows of either side in a block of a crowded value.
 BLOCK = 8192
-#: Of wide fingerprints: shingles of the fingerprint that is searched, its radius, shingles of the more fingerprints that verify, their number
-#: and in how many of their bits a pair may differ. At a Jaccard similarity of 0.8 a pair differs in 29 of 192 on average.
-NEAR_SHINGLE = 2
-NEAR_RADIUS = 8
-WIDE_SHINGLE = 5
-WIDE = 3
-WIDE_RADIUS = 36
-_WIDE = tuple(f"w{k}" for k in range(WIDE))
-
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -53,19 +43,10 @@ _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The signed 64-bit fingerprint of a text."""
     words = text.encode().translate(_LOWER).split()
-    return _majority(_hashes(words, shingle)) if words else 0
-
+    return majority(shingle_hashes(words, shingle)) if words else 0
 
-def wide_fingerprint(text: str, near: int = NEAR_SHINGLE, shingle: int = WIDE_SHINGLE) -> list[int]:
-    """The fingerprint over ``near``-word shingles, then ``WIDE`` more over ``shingle``-word shingles, each with bits of its own."""
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return [0] * (WIDE + 1)
-    h = _hashes(words, shingle)
-    return [_majority(_hashes(words, near)), *(_majority(mixed(h + np.uint64(k))) for k in range(WIDE))]
 
-
-def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """The hashes of the shingles of a text of one word or more."""
     import xxhash
 
@@ -75,21 +56,20 @@ def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.array([digest(buffer[a:b], 42) for a, b in zip(starts, ends[last:], strict=False)], dtype=np.uint64)
 
 
-def _majority(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
+    """The signed number whose bits are those set in over half the hashes."""
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).view(">i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """doc_id and fingerprint (long) of every row of ``docs``; if ``wide``, the more of wide_fingerprint as w0, w1..."""
-    names = ["fp", *(_WIDE if wide else ())]
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (long) of every row of ``docs``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [wide_fingerprint(t, shingle) if wide else [fingerprint(t, shingle)] for t in b["text"]]
-            yield pd.DataFrame(np.array(made, dtype=np.int64).reshape(-1, len(names)), columns=names).assign(doc_id=b["doc_id"].astype("Int64").to_numpy())
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").to_numpy(), "fp": np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.int64)})
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- parts and shares
@@ -173,10 +153,9 @@ def allocate(costs: list[np.ndarray], radius: int) -> np.ndarray:
 # ---------------------------------------------------------------- links
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int, wide: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (one of left, one of right) within the radius. wide: rows of left and then of right, to verify pairs by."""
-    nodes, at_first, where = np.unique(np.concatenate([left, right]), return_index=True, return_inverse=True)
-    wide = None if wide is None else wide[at_first].view(np.uint64)
+def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (one of left, one of right) within the radius."""
+    nodes, where = np.unique(np.concatenate([left, right]), return_inverse=True)
     a, b = where[: len(left)], where[len(left) :]
     root = np.arange(len(nodes))
     out: list[tuple[int, int]] = []
@@ -192,9 +171,6 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int, wide: np.ndarray |
         some = a[at : at + 256]
         i, j = np.nonzero(np.bitwise_count(raw[some][:, None] ^ raw[b][None, :]) <= radius)
         i, j = some[i], b[j]
-        if wide is not None:
-            near = np.concatenate([np.bitwise_count(wide[i[k : k + 65536]] ^ wide[j[k : k + 65536]]).sum(axis=1) <= WIDE_RADIUS for k in range(0, len(i) + 1, 65536)])
-            i, j = i[near], j[near]
         while len(i):
             keep = root[i] != root[j]
             i, j = i[keep], j[keep]
@@ -212,11 +188,8 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int, wide: np.ndarray |
 
 def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints at ``radius`` or fewer bits, enough to connect all that are
-    within reach of each other. ``fps``: distinct fingerprints in a column fp; if it has the columns of wide_fingerprint
-    beside it, links must be within ``WIDE_RADIUS`` bits of those too."""
-    spark = fps.sparkSession
-    wide = tuple(c for c in fps.columns if c in _WIDE)
-    more, fps = fps, fps.select("fp")
+    within reach of each other. ``fps``: distinct fingerprints in a column fp; other columns are not read."""
+    spark, fps = fps.sparkSession, fps.select("fp")
 
     def pairs_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros((BITS, BITS)), 0
@@ -274,10 +247,6 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     # Either of a pair finds the other, so it is enough that the larger does.
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("q"))) <= radius
     links = probes.join(index.join(crowded, key, "left_anti"), key).filter(near & (F.col("x") < F.col("q"))).select(F.col("x").alias("a"), F.col("q").alias("b"))
-    if wide:  # few rows by now
-        side = lambda end: more.select(F.col("fp").alias(end), F.array(*wide).alias(f"wide_{end}"))
-        apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        links = links.join(side("a"), "a").join(side("b"), "b").filter(apart <= WIDE_RADIUS).select("a", "b")
     if crowded.isEmpty():
         return links
     asked = crowded.join(probes.join(crowded, key, "left_semi").groupBy(*key).agg(F.count("*").alias("probes")), key)
@@ -289,11 +258,9 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         fp, member = rows["fp"].to_numpy(np.int64), rows["member"].to_numpy(bool)
-        beside = rows[list(wide)].to_numpy(np.int64)[np.concatenate([np.flatnonzero(member), np.flatnonzero(~member)])] if wide else None
-        return pd.DataFrame(_forest(fp[member], fp[~member], radius, beside), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_forest(fp[member], fp[~member], radius), columns=["a", "b"], dtype="int64")
 
-    entries = members.unionByName(askers)
-    return links.unionByName((entries.join(more, "fp") if wide else entries).groupBy(*key, "r", "c").applyInPandas(block, "a long, b long"))
+    return links.unionByName(members.unionByName(askers).groupBy(*key, "r", "c").applyInPandas(block, "a long, b long"))
 
 
 # ---------------------------------------------------------------- operator
@@ -306,20 +273,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     like any other; rows with a null doc_id take part and get their component's smallest id, null if it has none.
     Other columns are not read. An empty table gives no rows.
     """
-    return _linked(cut(with_fingerprints(docs, shingle)), radius)
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id over links of a Jaccard similarity of 0.8 or more over sets of five-word shingles; see near_texts."""
-    from .near_texts import near_texts
-
-    return near_texts(docs)
-
-
-def _linked(marked: DataFrame, radius: int) -> DataFrame:
-    wide = [c for c in marked.columns if c in _WIDE]
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in wide]))
-    roots = components(link_fingerprints(classes.select("fp", *wide), radius), "a", "b")
+    marked = cut(with_fingerprints(docs, shingle))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(link_fingerprints(classes, radius), "a", "b")
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(lowest, "root").select(F.col("fp").alias("class_fp"), "component_id")

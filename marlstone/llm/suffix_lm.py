@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_small_batches, read_table, shared_folder, text_of
+from .common import fold_of, read_table, shared_folder, text_of
 from .words import mixed
 
 DEPTH = 6
@@ -204,7 +204,7 @@ def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
             order = np.argsort(word)
             yield from _by_part("word", unit, parts, word[order], seen[order], order.astype(np.uint32))
 
-    return in_small_batches(docs).mapInPandas(run, _UNIT_ROWS)
+    return docs.mapInPandas(run, _UNIT_ROWS)
 
 
 def _totals(entries: DataFrame, split: bool) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, in_small_batches, labelled_sample, read_table, text_of
+from .common import cut, fold_of, labelled_sample, read_table, text_of
 
 #: Letters that look alike, by the Latin letter they are read as.
 HOMOGLYPHS = {
@@ -37,7 +37,8 @@ EXCEPTIONS = (
 )
 
 SAMPLE_ROWS = 12_000
-LEXICON_SIZE = 5_000
+#: A term must be in so many of the sample's texts of label 1.
+LEAST_TEXTS = 3
 PREFIXES = range(4, 9)
 FEATURES = 5
 
@@ -112,8 +113,8 @@ def terms_of(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
-    """Log-odds weights of the terms most tied to label 1. ``sample``: text, label."""
+def learn_lexicon(sample: DataFrame, least: int = LEAST_TEXTS) -> dict[str, float]:
+    """Log-odds weights of the terms surely tied to label 1. ``sample``: text, label; it is bounded, and so is the lexicon."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,7 +133,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
     counts = sample.mapInPandas(count, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     weight = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
     sure = weight / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    kept = counts.filter("a >= 3").select("term", weight.alias("weight"), sure.alias("sure")).filter("weight > 1.5 and sure > 2").orderBy(F.desc("sure"), "term").limit(size)
+    kept = counts.filter(F.col("a") >= least).select("term", weight.alias("weight"), sure.alias("sure")).filter("weight > 1.5 and sure > 2").orderBy("term")
     return {r["term"]: r["weight"] for r in kept.collect()}
 
 
@@ -149,7 +150,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[dict[str, float], list[float]]:
     """The lexicon's weights and the scale's. Two thirds of at most about ``sample_rows`` labelled rows
     make the lexicon, the rest the scale."""
-    sample = cut(labelled_sample(in_small_batches(docs), labels, "toxic", folds, held_out_fold, sample_rows).dropDuplicates(["text"]))
+    sample = cut(labelled_sample(docs, labels, "toxic", folds, held_out_fold, sample_rows))
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3))
     weights = learn_lexicon(sample.filter(part != 0))
 
@@ -157,9 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int =
         lexicon = Lexicon(weights, exceptions)
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"x": [np.array(lexicon.features(t)) for t in b["text"]], "label": b["label"].to_numpy()})
+                yield pd.DataFrame({"id": b["doc_id"].to_numpy(), "x": [np.array(lexicon.features(t)) for t in b["text"]], "label": b["label"].to_numpy()})
 
-    measured = sample.filter(part == 0).mapInPandas(measure, "x array<double>, label int").toPandas()  # at most about sample_rows/3 rows of numbers
+    # At most about sample_rows/3 rows of numbers.
+    measured = sample.filter(part == 0).mapInPandas(measure, "id long, x array<double>, label int").toPandas().sort_values("id")
     if measured["label"].nunique() < 2:
         rate = (measured["label"].sum() + 0.5) / (len(measured) + 1) if len(measured) else 0.01
         return weights, [0.0] * FEATURES + [float(np.log(rate / (1 - rate)))]
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int =
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """``docs`` with toxicity (0 to 1) and n_hits; a column of either name is replaced. Null and empty texts get the
     score of no hits; rows with repeated or null ids are scored one by one; an empty table gives no rows."""
-    shared = in_small_batches(docs).sparkSession.sparkContext.broadcast(model)  # at most LEXICON_SIZE terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
 
     @F.pandas_udf("score double, n_hits long")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

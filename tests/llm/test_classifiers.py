@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,18 @@ def test_quality_held_out(spark):
     assert held_out_accuracy(spark, found, "quality") > 0.9
 
 
+def test_models_are_repeatable(spark):
+    """Repeated labelled texts, and tables dealt otherwise, give the same bytes."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    more = docs.unionByName(docs.selectExpr("doc_id + 1000000 AS doc_id", "text"))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels = labels.unionByName(labels.selectExpr("doc_id + 1000000 AS doc_id", "1 - quality AS quality", "1 - toxic AS toxic"))
+    first = T.fit(more, labels), Q.fit(more, labels)
+    again = T.fit(more.repartition(7), labels.repartition(3)), Q.fit(more.repartition(5), labels)
+    assert pickle.dumps(sorted(first[0][0].items())) == pickle.dumps(sorted(again[0][0].items())) and first[0][1] == again[0][1]
+    assert all(np.array_equal(getattr(first[1], f), getattr(again[1], f)) for f in ("vectors", "w1", "b1", "w2", "b2", "temperature", "centre", "scale"))
+
+
 def test_folding_and_exceptions():
     lexicon = T.Lexicon({f" {T.fold('idiot').strip()} ": 3.0, f" {T.fold('tras').strip()}": 2.0})
     assert len(lexicon.hits(T.fold("You 1d10t, іdіоt and IDIOT!"))) == 3  # digits, Cyrillic letters, capitals

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
+from itertools import combinations
 
 import corpus_pipeline as C
+import pyarrow.parquet as pq
 from compare import SF
 
 from marlstone.llm import near_texts as N
@@ -74,6 +77,28 @@ def test_pipeline_keeps_texts_below_the_threshold(spark):
     assert kept == [70, 87, 92, 106, 144, 185]
 
 
+def test_recall_by_bands_of_similarity():
+    """Of all pairs of sf0.01 that share a five-word shingle and are at 0.8 or more: what shares a band, by similarity."""
+    texts = {t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t}
+    sets = [shingles(t) for t in texts]
+    bands = [set(N.bands_of(N.shingle_set(t)).tolist()) for t in texts]
+    by_shingle = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            by_shingle[x].append(k)
+    pairs = {p for ks in by_shingle.values() if len(ks) < 400 for p in combinations(ks, 2)}
+    found = defaultdict(list)
+    for a, b in pairs:
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        if j >= 0.8:
+            found[int(j * 20)].append(bool(bands[a] & bands[b]))
+    assert sum(map(len, found.values())) > 0 and all(sum(x) >= 0.9 * len(x) for x in found.values())
+
+
+def test_texts_of_repeated_words_stay_apart(spark):
+    assert found(spark, [(1, "a b"), (2, "a b a b a b"), (3, "a b")]) == {1: 1, 2: 2, 3: 1}
+
+
 def test_texts_ruled_by_one_line_stay_apart(spark):
     """Equal fingerprints by majority, different sets of shingles."""
     line = "the same line of seven words here " * 40

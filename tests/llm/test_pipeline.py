@@ -3,7 +3,7 @@ from __future__ import annotations
 from compare import SF
 import corpus_pipeline as C
 
-from marlstone.llm import secrets, simhash
+from marlstone.llm import near_texts, secrets
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -17,7 +17,7 @@ def test_stages_and_run(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
         if k == 2:
-            found = simhash.near_copies(before)
+            found = near_texts.near_texts(before)
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted({r["component_id"] for r in found.collect()})
         if k == 3:
             assert docs.count() == before.count()

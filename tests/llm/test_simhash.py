@@ -61,32 +61,6 @@ def test_crowds(spark):
     assert [roots.get(x, x) for x in fps] == want
 
 
-def test_near_copies(spark):
-    """Components against brute force over both fingerprints; nearly all pairs of similarity 0.8 or more are found."""
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    made = {r["doc_id"]: simhash.wide_fingerprint(r["text"]) for r in rows}
-    first = {}
-    for i in sorted(made):
-        first.setdefault(made[i][0], i)
-    wide = {fp: np.min([m[1:] for m in made.values() if m[0] == fp], axis=0) for fp in first}
-    fps, w = list(first), np.array([wide[fp] for fp in first]).view(np.uint64)
-    f, low = np.array(fps).view(np.uint64), {fp: fp for fp in fps}
-    root = lambda x: x if low[x] == x else root(low[x])
-    for k in range(len(f)):
-        near = (np.bitwise_count(f[k] ^ f) <= simhash.NEAR_RADIUS) & (np.bitwise_count(w[k] ^ w).sum(axis=1) <= simhash.WIDE_RADIUS)
-        for j in np.flatnonzero(near):
-            low[root(fps[k])] = root(fps[int(j)])
-    least = {}
-    for i, m in sorted(made.items()):
-        least.setdefault(root(m[0]), i)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows)).collect()}
-    assert got == {i: least[root(m[0])] for i, m in made.items()}
-    words = {r["doc_id"]: r["text"].lower().split() for r in rows}
-    sets = {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} for i, x in words.items()}
-    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
-    assert sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near) > 0
-
-
 def test_shares_cover_the_radius():
     costs = [np.abs(np.random.default_rng(i).normal(size=(6, 40))) for i in range(4)]
     for c in costs:
