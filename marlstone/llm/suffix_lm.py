@@ -37,7 +37,7 @@ GAIN = 2.0
 END = b"\n"
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_SYMBOLS_AT_ONCE = 1 << 21
+_SYMBOLS_AT_ONCE = 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -72,11 +72,16 @@ def _runs(data: list[bytes]) -> Iterator[slice]:
             first, n = k + 1, 0
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and the sums of their numbers."""
-    order = np.argsort(keys, kind="stable")
-    found, first = np.unique(keys[order], return_index=True)
-    return found, np.add.reduceat(n[order], first) if len(found) else n[:0]
+def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of sorted runs, sorted, and the sums of their numbers."""
+    every, counts = np.concatenate(keys), np.concatenate(n)
+    if not len(every):
+        return every, counts
+    order = np.argsort(every, kind="stable")  # which merges runs
+    every, counts = every[order], counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[first], np.add.reduceat(counts, first)
 
 
 # ---------------------------------------------------------------- the tree
@@ -154,6 +159,12 @@ def _by_part(kind: str, unit: int, parts: int, keys: np.ndarray, n: np.ndarray,
         yield _frame(rows)
 
 
+def _pairs(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams' last two symbols with the sums of their counts."""
+    found = np.bincount(grams & 0xFFFF, weights=n, minlength=1 << 16)
+    return np.flatnonzero(found), found[found > 0].astype(np.int64)
+
+
 def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
     """Of each unit, rows of kind 'doc' (its documents with their spelt texts and word numbers), 'word' and 'gram' (by part, its distinct
     words and grams with their counts in training), and 'pair' (its pairs of symbols with their counts in training)."""
@@ -162,7 +173,7 @@ def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, numbers = TaskContext.get().partitionId(), {END: 0}
         seen = np.zeros(1 << 16, dtype=np.int64)
-        keys, counts, held = [], [], 0
+        keys, counts, held, merged = [], [], 0, 0
         for b in batches:
             rows, data = [], []
             for doc_id, text, held_out in zip(b["doc_id"], b["text"], b["held_out"], strict=True):
@@ -190,13 +201,14 @@ def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
                 keys.append(k >> 1)
                 counts.append(np.where(k & 1, 0, n))
                 held += len(k)
-                if held > 4_000_000:
-                    k, n = summed(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, held = [k], [n], 0
+                if held > merged + 1_000_000:
+                    k, n = summed(keys, counts)
+                    keys, counts, held, merged = [k], [n], 0, len(k)
         if keys:
-            k, n = summed(np.concatenate(keys), np.concatenate(counts))
+            k, n = summed(keys, counts)
+            del keys, counts
             yield from _by_part("gram", unit, parts, k, n)
-            pair, m = summed(k & 0xFFFF, n)
+            pair, m = _pairs(k, n)
             yield _frame([{"kind": "pair", "unit": unit, "keys": pair.tobytes(), "n": m.tobytes()}])
             word = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers)).view(np.int64)
             if len(numbers) > len(seen):
@@ -211,8 +223,7 @@ def _totals(entries: DataFrame, split: bool) -> DataFrame:
     """(part, keys, n) with the sums over the units; if ``split``, of each two last symbols of the contexts by themselves, named ends."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpacked(x, "<i8") for x in rows["keys"]])
-        keys, n = summed(keys, np.concatenate([unpacked(x, "<i8") for x in rows["n"]]))
+        keys, n = summed([unpacked(x, "<i8") for x in rows["keys"]], [unpacked(x, "<i8") for x in rows["n"]])
         ends = (keys >> 8) & 0xFFFF if split else np.zeros(len(keys), dtype=np.int64)
         order = np.argsort(ends, kind="stable")
         kinds, first = np.unique(ends[order], return_index=True)
@@ -252,27 +263,38 @@ def _answers(entries: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 
 class Scores:
-    """Log10 probabilities of known grams, found by a table of slots and, where two grams share a slot, by search."""
+    """Log10 probabilities of known grams, found by tables of slots: each table holds one gram a slot, the next one what is left."""
 
     def __init__(self, keys: np.ndarray, log: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.log = keys[order], log[order].astype(np.float64)
-        self.bits = max(8, int(len(keys)).bit_length() + 1)
-        self.slot = np.zeros(1 << self.bits, dtype=np.int32)
-        self.slot[self._slots(self.keys)] = np.arange(len(keys))
-
-    def _slots(self, grams: np.ndarray) -> np.ndarray:
+        self.keys, self.log, self.tables = keys, log.astype(np.float64), []
+        left = np.arange(len(keys))
+        while len(left):
+            shift = 63 - max(8, len(left).bit_length())
+            slot = np.zeros(1 << (64 - shift), dtype=np.int32)
+            at = self._slots(keys[left], len(self.tables), shift)
+            slot[at] = left
+            left = left[slot[at] != left]
+            self.tables.append((shift, slot))
+
+    @staticmethod
+    def _slots(grams: np.ndarray, table: int, shift: int) -> np.ndarray:
+        turn = np.uint64((0x9E3779B97F4A7C15 * (2 * table + 1)) & (1 << 64) - 1)
         with np.errstate(over="ignore"):
-            return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+            h = grams.view(np.uint64) * turn
+            h ^= h >> np.uint64(32)
+            h *= turn
+        return (h >> np.uint64(shift)).view(np.int64)
 
     def of(self, data: list[bytes], depth: int = DEPTH) -> np.ndarray:
         """The score of each spelt text."""
         out = []
         for some in _runs(data):
             grams = grams_of(data[some], depth)
-            at = self.slot[self._slots(grams)]
+            at = self.tables[0][1][self._slots(grams, 0, self.tables[0][0])]
             missed = np.flatnonzero(self.keys[at] != grams)
-            at[missed] = np.searchsorted(self.keys, grams[missed])
+            for k, (shift, slot) in enumerate(self.tables[1:], 1):
+                at[missed] = slot[self._slots(grams[missed], k, shift)]
+                missed = missed[self.keys[at[missed]] != grams[missed]]
             out.append(np.add.reduceat(self.log[at], np.cumsum([0, *(len(d) for d in data[some][:-1])])))
         return np.concatenate(out) if out else np.zeros(0)
 
