@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, read_table, shared_folder, text_of
+from .common import cut, fold_of, read_table, shared_folder, text_of
 from .words import mixed
 
 DEPTH = 6
@@ -136,27 +135,33 @@ def unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel() if raw else np.zeros(0, dtype=kind)
 
 
-_UNIT_ROWS = "kind string, unit int, doc_id long, held_out boolean, n_tokens long, words binary, spelt binary, part int, keys binary, n binary, own binary"
+_UNIT_ROWS = "kind string, unit int, doc_id long, held_out boolean, words binary, part int, keys binary, n binary"
 _NONE = dict.fromkeys(c.split()[0] for c in _UNIT_ROWS.split(", "))
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame([_NONE | r for r in rows], columns=list(_NONE))
-    return out.astype({"doc_id": "Int64", "n_tokens": "Int64", "part": "Int32", "held_out": "boolean"})
+    return out.astype({"doc_id": "Int64", "part": "Int32", "held_out": "boolean"})
 
 
-def _by_part(kind: str, unit: int, parts: int, keys: np.ndarray, n: np.ndarray, own: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """A row for each part of some sorted keys: the keys, their numbers, and what else goes back with the answers."""
-    part = (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _order(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some sorted keys by parts, and where the parts begin and end in it."""
+    part = (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = []
-    for k in range(parts):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            rows.append({"kind": kind, "unit": unit, "part": k, "keys": packed(keys[at]), "n": packed(n[at]), "own": None if own is None else packed(own[at])})
-    if rows:
-        yield _frame(rows)
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _by_part(kind: str, unit: int, parts: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A row for each part of some sorted keys: the keys and their numbers."""
+    order, ends = _order(keys, parts)
+    cuts = [(k, order[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+    yield _frame([{"kind": kind, "unit": unit, "part": k, "keys": packed(keys[at]), "n": packed(n[at])} for k, at in cuts])
+
+
+def _word_keys(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
 def _pairs(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,32 +170,30 @@ def _pairs(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(found), found[found > 0].astype(np.int64)
 
 
+_ANSWERS = "kind string, unit int, part int, keys binary, value binary"
+
+
 def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
-    """Of each unit, rows of kind 'doc' (its documents with their spelt texts and word numbers), 'word' and 'gram' (by part, its distinct
-    words and grams with their counts in training), and 'pair' (its pairs of symbols with their counts in training)."""
-    import xxhash
+    """Of each unit, rows of kind 'doc' (its documents as numbers of its words), 'names' (its words), 'word' and 'gram' (by part, its
+    distinct words and grams with their counts in training), and 'pair' (its pairs of symbols with their counts in training)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, numbers = TaskContext.get().partitionId(), {END: 0}
         seen = np.zeros(1 << 16, dtype=np.int64)
-        keys, counts, held, merged = [], [], 0, 0
+        keys, counts, held = [], [], 0
         for b in batches:
             rows, data = [], []
             for doc_id, text, held_out in zip(b["doc_id"], b["text"], b["held_out"], strict=True):
                 words = words_of(text)
                 data.append(spelt(words))
-                c = Counter(words)
-                c[END] = 1
-                local = np.array([numbers.setdefault(w, len(numbers)) for w in c], dtype=np.int64)
-                n = np.fromiter(c.values(), dtype=np.int64, count=len(c))
-                order = np.argsort(local)
-                local, n = local[order], n[order]
+                local = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.uint32)
+                if len(numbers) > len(seen):
+                    seen = np.concatenate([seen, np.zeros(len(numbers), dtype=np.int64)])
                 if not held_out:
-                    if len(numbers) > len(seen):
-                        seen = np.concatenate([seen, np.zeros(len(numbers), dtype=np.int64)])
-                    seen[local] += n
-                both = np.diff(local, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes()
-                rows.append({"kind": "doc", "unit": unit, "doc_id": doc_id, "held_out": held_out, "n_tokens": int(n.sum()), "words": zlib.compress(both, 1), "spelt": zlib.compress(data[-1], 1)})
+                    seen[0] += 1
+                    some, n = np.unique(local, return_counts=True)
+                    seen[some] += n
+                rows.append({"kind": "doc", "unit": unit, "doc_id": doc_id, "held_out": held_out, "words": packed(local)})
             if rows:
                 yield _frame(rows)
             apart = b["held_out"].to_numpy(bool)
@@ -201,30 +204,30 @@ def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
                 keys.append(k >> 1)
                 counts.append(np.where(k & 1, 0, n))
                 held += len(k)
-                if held > merged + 1_000_000:
+                if held > 600_000:
                     k, n = summed(keys, counts)
-                    keys, counts, held, merged = [k], [n], 0, len(k)
+                    keys, counts, held = [k], [n], 0
         if keys:
             k, n = summed(keys, counts)
             del keys, counts
             yield from _by_part("gram", unit, parts, k, n)
             pair, m = _pairs(k, n)
             yield _frame([{"kind": "pair", "unit": unit, "keys": pair.tobytes(), "n": m.tobytes()}])
-            word = np.fromiter(map(xxhash.xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers)).view(np.int64)
-            if len(numbers) > len(seen):
-                seen = np.concatenate([seen, np.zeros(len(numbers), dtype=np.int64)])
+            words = list(numbers)
+            yield _frame([{"kind": "names", "unit": unit, "words": zlib.compress(b" ".join(words[1:]), 1)}])
+            word = _word_keys(words)
             order = np.argsort(word)
-            yield from _by_part("word", unit, parts, word[order], seen[order], order.astype(np.uint32))
+            yield from _by_part("word", unit, parts, word[order], seen[order])
 
     return docs.mapInPandas(run, _UNIT_ROWS)
 
 
-def _totals(entries: DataFrame, split: bool) -> DataFrame:
-    """(part, keys, n) with the sums over the units; if ``split``, of each two last symbols of the contexts by themselves, named ends."""
+def _totals(entries: DataFrame) -> DataFrame:
+    """(part, ends, keys, n): the grams' sums over the units, those of each two last symbols of the contexts (ends) by themselves."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = summed([unpacked(x, "<i8") for x in rows["keys"]], [unpacked(x, "<i8") for x in rows["n"]])
-        ends = (keys >> 8) & 0xFFFF if split else np.zeros(len(keys), dtype=np.int64)
+        ends = (keys >> 8) & 0xFFFF
         order = np.argsort(ends, kind="stable")
         kinds, first = np.unique(ends[order], return_index=True)
         cuts = np.split(order, first[1:])
@@ -245,21 +248,32 @@ def _subtrees(totals: DataFrame, pairs: np.ndarray, depth: int, least: int, gain
     return totals.groupBy("ends").applyInPandas(learn, "part int, keys binary, value binary")
 
 
-def _answers(entries: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """(kind, unit, own, value) for each row of the entries, with the table's values of its keys; own: the keys, or what the row says."""
+def _gram_answers(entries: DataFrame, table: DataFrame) -> DataFrame:
+    """(kind, unit, part, keys, value) for each row of the entries, with the table's values of its keys."""
 
     def look_up(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame({"kind": [], "unit": [], "own": [], "value": []})
         keys = np.concatenate([unpacked(x, "<i8") for x in known["keys"]])
-        values = np.concatenate([unpacked(x, value) for x in known["value"]])
+        values = np.concatenate([unpacked(x, "<f4") for x in known["value"]])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         found = [packed(values[np.searchsorted(keys, unpacked(x, "<i8"))]) for x in asked["keys"]]
-        own = [k if o is None else o for k, o in zip(asked["keys"], asked["own"], strict=True)]
-        return pd.DataFrame({"kind": asked["kind"].to_numpy(), "unit": asked["unit"].to_numpy(), "own": own, "value": found})
+        return asked[["kind", "unit", "part", "keys"]].assign(value=found)
+
+    return entries.groupBy("part").cogroup(table.groupBy("part")).applyInPandas(look_up, _ANSWERS)
 
-    return entries.groupBy("part").cogroup(table.groupBy("part")).applyInPandas(look_up, "kind string, unit int, own binary, value binary")
+
+def _word_answers(entries: DataFrame) -> DataFrame:
+    """(kind, unit, part, keys, value) for each row of the entries, with its words' counts over all units and without the keys; and for
+    each part a row of kind 'sums' with the number of its tokens and of its distinct words in training."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpacked(x, "<i8") for x in rows["keys"]]
+        keys, n = summed(asked, [unpacked(x, "<i8") for x in rows["n"]])
+        out = rows[["kind", "unit", "part"]].assign(keys=None, value=[packed(n[np.searchsorted(keys, k)]) for k in asked])
+        sums = pd.DataFrame({"kind": ["sums"], "unit": [-1], "part": rows["part"].iloc[:1].to_numpy(), "keys": [None], "value": [np.array([n.sum(), (n > 0).sum()]).tobytes()]})
+        return pd.concat([out, sums])
+
+    return entries.groupBy("part").applyInPandas(add, _ANSWERS)
 
 
 class Scores:
@@ -317,7 +331,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
     units = spark.read.schema(_UNIT_ROWS).parquet(path)
 
     def of_kind(kind: str) -> DataFrame:
-        return units.filter(F.col("kind") == kind).select("kind", "unit", "part", "keys", "n", "own")
+        return units.filter(F.col("kind") == kind).select("kind", "unit", "part", "keys", "n")
 
     # At most 65,536 pairs a unit, summed to as many.
     pairs = np.zeros((256, 256))
@@ -329,39 +343,45 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
 
     for r in of_kind("pair").select("keys", "n").mapInPandas(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
-    words = _totals(of_kind("word"), False)
+    counted = cut(_word_answers(of_kind("word")))
 
-    def word_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def both_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = [unpacked(x, "<i8") for x in b["n"]]
-            yield pd.DataFrame({"tokens": [int(x.sum()) for x in n], "kinds": [int((x > 0).sum()) for x in n]})
+            yield pd.DataFrame(np.array([np.frombuffer(x, dtype="<i8") for x in b["value"]]).reshape(-1, 2), columns=["tokens", "kinds"])
 
-    sums = words.mapInPandas(word_sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
+    sums = counted.filter("kind = 'sums'").select("value").mapInPandas(both_sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = int(sums["tokens"] or 0), int(sums["kinds"] or 0)
-    grams = _answers(of_kind("gram"), _subtrees(_totals(of_kind("gram"), True), pairs, depth, least, gain), "<f4")
-    answers = _answers(of_kind("word"), words.withColumnRenamed("n", "value"), "<i8").unionByName(grams)
+    grams = of_kind("gram")
+    answers = counted.filter("kind = 'word'").unionByName(_gram_answers(grams, _subtrees(_totals(grams), pairs, depth, least, gain)))
     log_all = float(np.log10(tokens + kinds + 1))
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        own = answers[answers["kind"] == "word"]
-        local = np.concatenate([unpacked(x, "<u4") for x in own["own"]])
-        c = np.zeros(len(local), dtype=np.int64)
-        c[local] = np.concatenate([unpacked(x, "<i8") for x in own["value"]])
-        log, known, base = np.log10(c + 1.0), [], []
-        for raw in docs["words"]:
-            both = np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.int64).reshape(2, -1)
-            at, n = np.cumsum(both[0]), both[1]
-            known.append(int(n[c[at] > 0].sum()))
-            base.append(float(log[at] @ n))
+        named = docs["kind"] == "names"
+        words = [END, *zlib.decompress(docs["words"][named].iloc[0]).split()]
+        docs = docs[~named]
+        keys = _word_keys(words)
+        order = np.argsort(keys)
+        own = answers[answers["kind"] == "word"].sort_values("part")
+        c = np.zeros(len(words), dtype=np.int64)
+        c[order[_order(keys[order], parts)[0]]] = np.concatenate([unpacked(x, "<i8") for x in own["value"]])
+        log = np.log10(c + 1.0)
         own = answers[answers["kind"] == "gram"]
-        scores = Scores(np.concatenate([unpacked(x, "<i8") for x in own["own"]]), np.concatenate([unpacked(x, "<f4") for x in own["value"]]))
-        found = [scores.of([zlib.decompress(x) for x in docs["spelt"].iloc[at : at + 512]], depth) for at in range(0, len(docs), 512)]
-        out = docs[["doc_id", "held_out", "n_tokens"]].assign(n_known=known, train_tokens=tokens)
-        out["base_score"] = np.array(base) - docs["n_tokens"].to_numpy(np.int64) * log_all
-        return out.assign(score=np.concatenate(found)).astype({"doc_id": "Int64"})
+        scores = Scores(np.concatenate([unpacked(x, "<i8") for x in own["keys"]]), np.concatenate([unpacked(x, "<f4") for x in own["value"]]))
+        n, known, base, found = [], [], [], []
+        for at in range(0, len(docs), 256):
+            data = []
+            for raw in docs["words"].iloc[at : at + 256]:
+                local = unpacked(raw, "<u4")
+                data.append(spelt([words[k] for k in local.tolist()]))
+                n.append(len(local) + 1)
+                known.append(int((c[local] > 0).sum()) + int(c[0] > 0))
+                base.append(float(log[local].sum() + log[0]) - n[-1] * log_all)
+            found.append(scores.of(data, depth))
+        out = docs[["doc_id", "held_out"]].assign(n_tokens=n, n_known=known, train_tokens=tokens, base_score=base, score=np.concatenate(found) if found else [])
+        return out.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts = units.filter("kind = 'doc'").select("unit", "doc_id", "held_out", "n_tokens", "words", "spelt")
+    texts = units.filter("kind IN ('doc', 'names')").select("kind", "unit", "doc_id", "held_out", "words")
     return texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(score, schema)
 
 
