@@ -325,13 +325,15 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), held_out.alias("held_out"))
-    parts = 4 * ceil(max(1, rows.rdd.getNumPartitions()) ** (2 / 3))
+    # As many tasks as units or parts, so that what a task reads does not grow with the corpus.
+    tasks = max(1, rows.rdd.getNumPartitions())
+    parts = 4 * ceil(tasks ** (2 / 3))
     path = f"{shared_folder(spark)}/suffix-tree-{uuid.uuid4().hex}"
     _unit_rows(rows, parts, depth).write.partitionBy("kind").parquet(path)
     units = spark.read.schema(_UNIT_ROWS).parquet(path)
 
     def of_kind(kind: str) -> DataFrame:
-        return units.filter(F.col("kind") == kind).select("kind", "unit", "part", "keys", "n")
+        return units.filter(F.col("kind") == kind).select("kind", "unit", "part", "keys", "n").repartition(parts, "part")
 
     # At most 65,536 pairs a unit, summed to as many.
     pairs = np.zeros((256, 256))
@@ -341,7 +343,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
             for k, n in zip(b["keys"], b["n"], strict=True):
                 yield pd.DataFrame({"pair": np.frombuffer(k, dtype="<i8"), "n": np.frombuffer(n, dtype="<i8")})
 
-    for r in of_kind("pair").select("keys", "n").mapInPandas(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in units.filter("kind = 'pair'").select("keys", "n").mapInPandas(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
     counted = cut(_word_answers(of_kind("word")))
 
@@ -352,7 +354,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
     sums = counted.filter("kind = 'sums'").select("value").mapInPandas(both_sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = int(sums["tokens"] or 0), int(sums["kinds"] or 0)
     grams = of_kind("gram")
-    answers = counted.filter("kind = 'word'").unionByName(_gram_answers(grams, _subtrees(_totals(grams), pairs, depth, least, gain)))
+    answers = counted.filter("kind = 'word'").unionByName(_gram_answers(grams, _subtrees(_totals(grams), pairs, depth, least, gain).repartition(parts, "part")))
     log_all = float(np.log10(tokens + kinds + 1))
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -382,7 +384,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     texts = units.filter("kind IN ('doc', 'names')").select("kind", "unit", "doc_id", "held_out", "words")
-    return texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(score, schema)
+    return texts.repartition(tasks, "unit").groupBy("unit").cogroup(answers.repartition(tasks, "unit").groupBy("unit")).applyInPandas(score, schema)
 
 
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
