@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -90,11 +91,77 @@ def strip_label(answer: Column, label: str) -> Column:
     return F.regexp_replace(F.regexp_replace(answer, f"^{label}", ""), "^[: ]+", "")
 
 
-def context_chunk(title: Column, url: Column, page: Column, content: Column) -> Column:
-    return F.concat(
-        F.lit("<ContextChunk><title>"), F.coalesce(title, F.lit("Unknown")), F.lit("</title><url>"), F.coalesce(url, F.lit("")), F.lit("</url><page>"),
-        F.coalesce(page.cast("string"), F.lit("")), F.lit("</page><content>"), content, F.lit("</content></ContextChunk>"),
-    )
+#: What stands for an image in a prompt, by its title, and what announces the user's own.
+KNOWLEDGE_IMAGE = ("[KNOWLEDGE BASE IMAGE: ", "] - This is an image from the knowledge base that has been attached to this message. Please analyze this image as reference material for answering the question.")
+USER_IMAGE = "USER PROVIDED IMAGE: The user has provided an image for analysis. Please analyze this image and reference it in your response when relevant to the question. The image is attached to this message."
+
+
+def context_content(content: Column, title: Column) -> Column:
+    """A chunk's content as a prompt holds it: an image's data address becomes a placeholder."""
+    image = F.startswith(content, F.lit("data:image/")) & F.contains(content, F.lit("base64,"))
+    return F.when(image, F.concat(F.lit(KNOWLEDGE_IMAGE[0]), F.coalesce(title, F.lit("Unknown")), F.lit(KNOWLEDGE_IMAGE[1]))).otherwise(content)
+
+
+def context_chunk(title: Column, url: Column, start_page: Column, end_page: Column, content: Column) -> Column:
+    """A chunk in the prompt's markup, whose tags are a fixed format."""
+    parts = (("title", F.coalesce(title, F.lit("Unknown"))), ("url", F.coalesce(url, F.lit(""))), ("startPage", start_page), ("endPage", end_page), ("content", content))
+    tagged = [x for tag, value in parts for x in (F.lit(f"<{tag}>"), F.coalesce(value.cast("string"), F.lit("")), F.lit(f"</{tag}>"))]
+    return F.concat(F.lit("<ContextChunk>"), *tagged, F.lit("</ContextChunk>"))
+
+
+def few_shot_example(fields: dict[str, Column], tagged: bool = False) -> Column:
+    """An example of a prompt, a line for each field: under a heading or, for models that read tags better, in a tag."""
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in fields.items()])
+    return F.concat(F.lit("<Example>\n"), lines, F.lit("\n</Example>")) if tagged else F.concat(F.lit("## Example\n"), lines)
+
+
+# ---------------------------------------------------------------- messages
+
+MESSAGE = "struct<role:string,parts:array<struct<kind:string,text:string,data:string,reasoning:string,file:struct<name:string,mime_type:string,bytes:string>>>,message_id:string>"
+#: Roles and kinds of parts.
+ROLES, KINDS = ("user", "assistant", "system"), ("text", "data", "reasoning", "file")
+
+
+def normalised(message: Column) -> Column:
+    """A message of JSON as a struct: role, parts and message_id; null if the JSON, the role or a part's kind is none."""
+    parsed = F.from_json(message, MESSAGE)
+    known = parsed["role"].isin(*ROLES) & F.forall(parsed["parts"], lambda p: F.coalesce(p["kind"].isin(*KINDS), F.lit(False)))
+    return F.when(known, parsed)
+
+
+def first_part(message: Column, kind: str) -> Column:
+    """The text, data (as JSON) or reasoning of a normalised message's first part of that kind; null if it has none."""
+    return F.try_element_at(F.filter(message["parts"], lambda p: p["kind"] == kind), F.lit(1))[kind]
+
+
+def content_parts(message: Column) -> Column:
+    """A normalised message's parts as a chat model takes them: structs of type and value. Images go as data addresses, other files by their bytes,
+    data and reasoning fail the query, as there is no such content."""
+
+    def part(p: Column) -> Column:
+        image = F.startswith(p["file"]["mime_type"], F.lit("image/"))
+        address = F.concat(F.lit("data:"), p["file"]["mime_type"], F.lit(";base64,"), p["file"]["bytes"])
+        kind = F.when(p["kind"] == "text", "text").when((p["kind"] == "file") & image, "image_url").when(p["kind"] == "file", "file")
+        value = F.when(p["kind"] == "text", p["text"]).when(image, address).otherwise(p["file"]["bytes"])
+        return F.struct(F.coalesce(kind, F.raise_error(F.concat(F.lit("no content for a part of kind "), p["kind"])).cast("string")).alias("type"), value.alias("value"))
+
+    return F.transform(message["parts"], part)
+
+
+def nullable_schema(schema: dict) -> dict:
+    """A JSON schema with ``["x", "null"]`` written as a nullable x, and without ``additionalProperties: false``, at every depth."""
+    out = {}
+    for key, value in schema.items():
+        if key == "additionalProperties" and value is False:
+            continue
+        if key == "type" and isinstance(value, list) and "null" in value:
+            rest = [x for x in value if x != "null"]
+            out |= {"type": rest[0] if len(rest) == 1 else rest, "nullable": True}
+        elif isinstance(value, dict):
+            out[key] = nullable_schema(value)
+        else:
+            out[key] = [nullable_schema(x) if isinstance(x, dict) else x for x in value] if isinstance(value, list) else value
+    return out
 
 
 # ---------------------------------------------------------------- personal data
@@ -116,6 +183,25 @@ def located(text: Column, entity: str, pattern: str) -> Column:
     return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), state, step, lambda s: s["found"])
 
 
+def item_pattern(item: str) -> str:
+    """The pattern that finds an item's words whatever white space is between them; one that matches nothing for an item without words."""
+    return r"\s+".join(re.escape(w) for w in item.split()) or r"(?!)"
+
+
+def item_starts(text: Column, item: str) -> Column:
+    """Every place (code points from 0) where an item starts, overlapping ones too."""
+    found = F.split(text, f"(?={item_pattern(item)})", -1)
+    upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - 1, F.lit(1))), lambda k: F.aggregate(F.slice(found, 1, k), F.lit(0), lambda s, x: s + F.length(x)))
+    inner = F.when(F.size(found) > 1, upto).otherwise(F.array().cast("array<int>"))
+    at_start = F.when(text.rlike(f"^(?:{item_pattern(item)})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(at_start, inner))
+
+
+def category_tag(name: Column) -> Column:
+    """What stands for a category of personal data in instructions and masked texts: upper case, spaces as hyphens."""
+    return F.upper(F.replace(name, F.lit(" "), F.lit("-")))
+
+
 def masked(text: Column, detectors: dict[str, str] = PII) -> Column:
     """The text with every detected item replaced by its entity in brackets."""
     return reduce(lambda c, d: F.regexp_replace(c, d[1], f"[{d[0].upper()}]"), detectors.items(), text)

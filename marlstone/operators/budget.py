@@ -18,10 +18,22 @@ def pack_context(rows: DataFrame, group: list[str], order: list[Column], tokens:
     return rows.withColumn("running", total).filter(F.col("running") < budget)
 
 
-def truncate_history(rows: DataFrame, conversation: str, turn: str, tokens: str, budget: int, per_message: int = 3, priming: int = 3) -> DataFrame:
-    """The newest messages whose cost, each with ``per_message`` and all with ``priming``, stays within ``budget``."""
-    w = Window.partitionBy(conversation).orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cost", F.sum(F.col(tokens) + per_message).over(w) + priming).filter(F.col("cost") <= budget)
+def truncate_history(rows: DataFrame, conversation: str, turn: str, tokens: str, budget: int, summary: int, per_message: int = 3, priming: int = 3) -> DataFrame:
+    """Of each conversation the messages before its last, the question, that go with it: all of them if they cost no more than ``budget`` less the
+    question's own cost, else the newest that cost no more than that less ``summary``, with ``summarised`` true.
+
+    Messages cost their tokens and ``per_message`` each, and every list of them ``priming``."""
+    whole = Window.partitionBy(conversation)
+    newest = Window.partitionBy(conversation).orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(turn).over(whole)
+    own = F.col(tokens) + per_message
+    is_question = F.col(turn) == F.col("_last")
+    marked = rows.withColumn("_last", last)
+    marked = marked.withColumn("_room", F.lit(budget) - (F.max(F.when(is_question, own)).over(whole) + priming))
+    marked = marked.withColumn("cost", F.sum(F.when(is_question, 0).otherwise(own)).over(newest) + priming).withColumn("_all", F.sum(F.when(is_question, 0).otherwise(own)).over(whole) + priming)
+    over = F.col("_all") > F.col("_room")
+    kept = marked.withColumn("summarised", over).filter(~is_question & (~over | (F.col("cost") <= F.col("_room") - summary)))
+    return kept.drop("_last", "_room", "_all")
 
 
 def message_cost(rows: DataFrame, conversation: str, tokens: str, per_message: int = 3, priming: int = 3) -> DataFrame:

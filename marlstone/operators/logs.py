@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PII, masked
+from ..functions.text import PII, located, masked
 
 
 def pruned(logs: DataFrame, ts: str, cutoff: Column) -> DataFrame:
@@ -17,9 +17,9 @@ def pruned_count(logs: DataFrame, ts: str, cutoff: Column) -> DataFrame:
     return logs.agg(F.count_if(F.col(ts) < cutoff).alias("deleted"), F.lit(0).cast("long").alias("failures"))
 
 
-def sampled(logs: DataFrame, key: str, percent: int) -> DataFrame:
-    """A share of the rows by a hash of the key: the same rows on every run."""
-    return logs.filter(F.crc32(F.col(key).cast("string")) % 100 < percent)
+def sampled(logs: DataFrame, key: str, percent: float) -> DataFrame:
+    """A share of the rows by the first 16 bits of the key's MD5: the same rows on every run."""
+    return logs.filter(F.substring(F.md5(F.col(key).cast("string")), 1, 4) < f"{round(percent * 655.36):04x}")
 
 
 def lifted(logs: DataFrame, props: str, schema: str) -> DataFrame:
@@ -31,3 +31,9 @@ def lifted(logs: DataFrame, props: str, schema: str) -> DataFrame:
 def masked_logs(logs: DataFrame, columns: list[str], detectors: dict[str, str] = PII) -> DataFrame:
     """Flag-and-mask: detected items masked in the named columns, the history dropped."""
     return logs.select(*[masked(F.col(c), detectors).alias(c) if c in columns else F.col(c) for c in logs.columns if c != "history"], F.lit(None).cast("string").alias("history"))
+
+
+def flagged_logs(logs: DataFrame, columns: list[str], detectors: dict[str, str] = PII) -> DataFrame:
+    """Flag only: texts and history as they were, and what was detected in each named column beside it as ``<column>_pii``."""
+    items = lambda c: F.flatten(F.array(*[located(F.col(c), name, p) for name, p in detectors.items()]))
+    return logs.select("*", *[items(c).alias(f"{c}_pii") for c in columns])

@@ -1,4 +1,4 @@
-"""Quotas in cron windows ``*/n``: who is admitted, and what is left."""
+"""Quotas in cron windows: who is admitted, what is left, and when the next window begins."""
 
 from __future__ import annotations
 
@@ -6,29 +6,95 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket(ms: Column, window_ms: int) -> Column:
-    """The window that a request falls into; one on a tick still belongs to the window before it."""
-    return F.ceil(ms / F.lit(window_ms))
-
-
 def next_tick(ms: Column, window_ms: int) -> Column:
-    """The first tick strictly after a time."""
+    """The first tick of ``*/n`` strictly after a time."""
     return (F.floor(ms / F.lit(window_ms)) + 1) * window_ms
 
 
+def with_records(rows: DataFrame, keys: list[str], ms: str, window_ms: int) -> DataFrame:
+    """``rows`` with ``record``: the number of the window at whose end their record lapses, or one less if it was made on a tick.
+
+    A record lives to the first tick strictly after it was made, that tick included. So requests up to a tick share the record of their
+    window, but for one made on the tick itself, by the first request of its window, which also serves the next window. In a row of windows
+    that begin on their ends, each second one is served by the one before."""
+    found = rows.withColumn("_window", F.ceil(F.col(ms) / F.lit(window_ms)))
+    on_end = found.groupBy(*keys, "_window").agg(F.min(ms).alias("_first")).filter(F.col("_first") == F.col("_window") * window_ms)
+    runs = on_end.withColumn("_run", F.col("_window") - F.row_number().over(Window.partitionBy(*keys).orderBy("_window")))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("_window"))
+    served = runs.withColumn("_nth", nth).filter("_nth % 2 = 1").select(*keys, (F.col("_window") + 1).alias("_window"), F.lit(1).alias("_back"))
+    return found.join(served, [*keys, "_window"], "left").withColumn("record", F.col("_window") - F.coalesce("_back", F.lit(0))).drop("_window", "_back")
+
+
 def admitted(rows: DataFrame, keys: list[str], ms: str, order: str, cost: str, limit: float, window_ms: int) -> DataFrame:
-    """``left`` (before the request) and ``admitted``: the first of a window, or one that finds a balance of 1 or more.
+    """``left`` (before the request) and ``admitted``: the first of a record, or one that finds a balance of 1 or more.
 
-    Costs are not negative, so once the balance is under 1 it stays so, and rejected requests change nothing."""
-    w = Window.partitionBy(*keys, "bucket").orderBy(ms, order)
-    before = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    found = rows.withColumn("bucket", bucket(F.col(ms), window_ms)).withColumn("left", F.lit(limit) - before)
-    return found.withColumn("admitted", (F.row_number().over(w) == 1) | (F.round("left", 6) >= 1))
+    Only admitted requests are charged. Costs are not negative, so once the balance is under 1 it stays so."""
+    w = Window.partitionBy(*keys, "record").orderBy(ms, order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.coalesce(F.sum(cost).over(earlier), F.lit(0.0))
+    found = with_records(rows, keys, ms, window_ms).withColumn("admitted", (F.row_number().over(w) == 1) | (F.round(F.lit(limit) - asked, 6) >= 1))
+    charged = F.coalesce(F.sum(F.when(F.col("admitted"), F.col(cost)).otherwise(0.0)).over(earlier), F.lit(0.0))
+    return found.withColumn("left", F.lit(limit) - charged)
 
 
 def balances(rows: DataFrame, keys: list[str], ms: str, order: str, cost: str, limit: float, window_ms: int) -> DataFrame:
-    """For each key, what its last window leaves after the admitted requests, and when it resets."""
-    found = admitted(rows, keys, ms, order, cost, limit, window_ms).filter("admitted")
-    each = found.groupBy(*keys, "bucket").agg(F.sum(cost).alias("used"))
-    last = each.groupBy(*keys).agg(F.max_by("used", "bucket").alias("used"), F.max("bucket").alias("bucket"))
-    return last.select(*keys, F.round(F.lit(limit) - F.col("used"), 4).alias("balance"), (F.col("bucket") * window_ms).alias("reset_ms"))
+    """For each key, what its last record holds after the admitted requests, and the tick at which it lapses."""
+    found = admitted(rows, keys, ms, order, cost, limit, window_ms)
+    each = found.groupBy(*keys, "record").agg(F.sum(F.when(F.col("admitted"), F.col(cost)).otherwise(0.0)).alias("used"), F.min(ms).alias("made"))
+    last = each.groupBy(*keys).agg(F.max_by(F.struct("used", "made"), "record").alias("last"))
+    return last.select(*keys, F.round(F.lit(limit) - F.col("last.used"), 4).alias("balance"), next_tick(F.col("last.made"), window_ms).alias("reset_ms"))
+
+
+# ---------------------------------------------------------------- cron expressions
+
+#: The fields of an expression and their ranges; day 7 of the week is day 0, Sunday.
+FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
+#: Names of months and days.
+NAMES = {n: k for k, n in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)} | {n: k for k, n in enumerate("sun mon tue wed thu fri sat".split())}
+
+
+def _values(field: str, low: int, high: int) -> set[int]:
+    out: set[int] = set()
+    for part in field.lower().split(","):
+        span, _, step = part.partition("/")
+        first, _, last = span.partition("-")
+        number = lambda x: NAMES[x] if x in NAMES else int(x)
+        a = low if first == "*" else number(first)
+        b = high if first == "*" or (step and not last) else number(last or first)
+        if not low <= a <= b <= high or (step and int(step) < 1):
+            raise ValueError(f"not a cron field: {field}")
+        out |= set(range(a, b + 1, int(step or 1)))
+    return out
+
+
+def cron_fields(expression: str) -> dict[str, set[int]]:
+    """The values of each field of a five-field cron expression: ``*``, numbers and names, ranges, steps and lists of these."""
+    parts = expression.split()
+    if len(parts) != len(FIELDS):
+        raise ValueError(f"not a cron expression of five fields: {expression}")
+    return {name: _values(p, low, high) for p, (name, low, high) in zip(parts, FIELDS, strict=True)}
+
+
+def cron_next(at: Column, expression: str) -> Column:
+    """The first time of a cron expression strictly after the timestamp ``at``, in the session's time zone; null if none comes within the
+    horizon (8 days where only times and days of the week are set, else 8 years, which hold every date).
+
+    If both days of the month and of the week are restricted, either is enough."""
+    f, parts = cron_fields(expression), expression.split()
+    times = sorted(h * 60 + m for h in f["hour"] for m in f["minute"])
+    weekdays = sorted({d % 7 + 1 for d in f["weekday"]})  # Spark counts from Sunday as 1
+    free_day, free_weekday = parts[2].startswith("*"), parts[4].startswith("*")
+    horizon = 8 if parts[2] == parts[3] == "*" else 8 * 366
+    minute = F.hour(at) * 60 + F.minute(at)
+    later_today = F.array_min(F.filter(F.array(*map(F.lit, times)), lambda t: t > minute))
+
+    def fits(day: Column) -> Column:
+        in_month, in_week = F.dayofmonth(day).isin(sorted(f["day"])), F.dayofweek(day).isin(weekdays)
+        both = in_month | in_week if not (free_day or free_weekday) else in_month & in_week
+        return F.month(day).isin(sorted(f["month"])) & both
+
+    today = F.to_date(at)
+    days = F.sequence(F.date_add(today, 1), F.date_add(today, horizon))
+    after = F.get(F.filter(days, fits), F.lit(0))
+    when = lambda day, t: F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + t * 60)
+    return F.when(fits(today) & later_today.isNotNull(), when(today, later_today)).otherwise(when(after, F.lit(times[0])))

@@ -6,7 +6,7 @@ partitioning. A single query vector is a literal of the plan; tables of query ve
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +22,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in doubles; null for a zero or null vector."""
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+def cosine(a: Column, b: Column, strict: bool = False) -> Column:
+    """Cosine similarity in doubles; null for a null vector. A zero vector gives null too or, if ``strict``, fails the query."""
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    zero = F.raise_error(F.lit("cosine of a zero vector")).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(norm == 0, zero).otherwise(dot(a, b) / norm)
 
 
 def _scored(rows: DataFrame, query: Sequence[float], vec: str, shift: float) -> DataFrame:
@@ -49,8 +51,12 @@ def hybrid_top_k(rows: DataFrame, query: Sequence[float], required: Sequence[str
     for field in [*required, vec]:
         has = has.filter(F.col(field).isNotNull())
     near = _scored(has, query, vec, 0.0).orderBy(F.desc("score"), key).limit(knn)
-    total = F.round(F.lit(1000.0 * clauses) + 50.0 * (1.0 + F.col("score")), DIGITS)
-    return near.withColumn("score", total).orderBy(F.desc("score"), key).limit(n)
+    base = F.lit(1000.0 * clauses)
+    found = near.withColumn("score", F.round(base + 50.0 * (1.0 + F.col("score")), DIGITS))
+    if n > knn:  # what meets the clauses but is not among the nearest has their score alone
+        rest = has.join(near.select(key), key, "left_anti").orderBy(key).limit(n - knn)
+        found = found.unionByName(rest.withColumn("score", base))
+    return found.orderBy(F.desc("score"), key).limit(n)
 
 
 def first_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -79,6 +85,27 @@ def reciprocal_rank_fusion(text: DataFrame, image: DataFrame, key: str = "vec_id
     return fused.select(key, "fused", F.col("_first.list").alias("from_list"), F.col("_first.rank").alias("first_rank")).orderBy(F.desc("fused"), "from_list", "first_rank")
 
 
+def combined(text: DataFrame, image: DataFrame, key: str = "vec_id", constant: int = 60) -> DataFrame:
+    """key and score of two result lists of a set size (key, score): fused by reciprocal ranks if both have rows, else the one that has, by its own score."""
+    if text.isEmpty() or image.isEmpty():
+        return text.unionByName(image).select(key, "score").orderBy(F.desc("score"), key)
+    fused = reciprocal_rank_fusion(ranked(text, key=key), ranked(image, key=key), key, constant)
+    return fused.select(key, F.col("fused").alias("score"))
+
+
+def searched(stores: dict[str | None, DataFrame], environment: str | None, search: Callable[[DataFrame], DataFrame], space: str | None = None) -> DataFrame:
+    """A search in the store that the environment names. A store alone, under the name None, takes no environment but may be narrowed to a
+    space; stores with environments are live and staging, and take no space."""
+    if None in stores:
+        rows = stores[None]
+        return search(rows if space is None else rows.filter(F.col("space_id") == space))
+    if environment not in ("live", "staging") or environment not in stores:
+        raise ValueError(f"no such environment: {environment}")
+    if space is not None:
+        raise ValueError("a store with environments has no spaces")
+    return search(stores[environment])
+
+
 def word_split(main: DataFrame, fragments: DataFrame, n: int, key: str = "vec_id", field: str = "text") -> DataFrame:
     """ceil(n/2) of the whole-query list and floor(n/2) of the fragments' lists, without fill-in. Fragment rows of one input
     field count once (the last fragment's); those that the main list has are left out."""

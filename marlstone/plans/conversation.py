@@ -20,7 +20,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.truncate_history(_turns(spark, sf_dir), "conv_id", "turn", "n", 200).select("conv_id", "turn", "role", "n", "cost")
+    return B.truncate_history(_turns(spark, sf_dir), "conv_id", "turn", "n", 120, 30).select("conv_id", "turn", "role", "n", "cost", "summarised")
 
 
 def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def rank_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shaped(spark, sf_dir, "SELECT page_id, CASE WHEN page_id % 3 != 0 THEN url END AS u, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS INT) END AS p, substr(html, 1, 40) AS c FROM {pages}", "pages")
-    return rows.select("page_id", T.context_chunk(T.title(F.col("u")), F.col("u"), F.col("p"), F.col("c")).alias("chunk"))
+    rows = shaped(spark, sf_dir, "SELECT page_id, CASE WHEN page_id % 3 != 0 THEN url END AS u, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS INT) END AS p, CASE WHEN page_id % 5 = 4 THEN concat('data:image/png;base64,', md5(html)) ELSE html END AS c FROM {pages}", "pages")
+    return rows.select("page_id", T.context_chunk(T.title(F.col("u")), F.col("u"), F.col("p"), F.col("p") + 1, T.context_content(F.col("c"), T.title(F.col("u")))).alias("chunk"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +93,17 @@ _ANSWERS = """a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('<thin
 QUERIES = {f.__name__: f for f in (context_pack, history_truncate, message_tokens, last_question, concat_chunks, rank_assign, context_render, think_extract, json_fence, answer_strip, prompt_render, confidence, usage_rollup)}
 ORACLE_SQL = {
     "context_pack": f"SELECT source, doc_id, n_token, running FROM (SELECT source, doc_id, n_token, sum(n_token) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT source, doc_id, {_N} AS n_token FROM documents)) WHERE running < 1000",
-    "history_truncate": f"SELECT conv_id, turn, role, n, cost FROM (SELECT *, (sum(n + 3) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) + 3)::BIGINT AS cost FROM (SELECT *, {_N} AS n FROM conversations)) WHERE cost <= 200",
+    "history_truncate": f"""WITH m AS (SELECT conv_id, turn, role, n, turn = max(turn) OVER (PARTITION BY conv_id) AS asks FROM (SELECT *, {_N} AS n FROM conversations)),
+      q AS (SELECT conv_id, 120 - max(n + 3 + 3) AS room FROM m WHERE asks GROUP BY conv_id), h AS (SELECT conv_id, sum(n + 3) + 3 AS every FROM m WHERE NOT asks GROUP BY conv_id),
+      k AS (SELECT a.conv_id, a.turn, a.role, a.n, (SELECT sum(b.n + 3) + 3 FROM m b WHERE b.conv_id = a.conv_id AND NOT b.asks AND b.turn >= a.turn)::BIGINT AS cost FROM m a WHERE NOT a.asks)
+      SELECT conv_id, turn, role, n, cost, every > room AS summarised FROM k JOIN q USING (conv_id) JOIN h USING (conv_id) WHERE every <= room OR cost <= room - 30""",
     "message_tokens": f"SELECT conv_id, (sum({_N} + 3) + 3)::BIGINT AS n_tokens FROM conversations GROUP BY conv_id",
     "last_question": "SELECT conv_id, arg_max(text, turn) AS question, count(*) - 1 AS n_history FROM conversations GROUP BY conv_id",
     "concat_chunks": "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY conv_id",
     "rank_assign": "SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INTEGER AS rank FROM documents",
-    "context_render": """SELECT page_id, '<ContextChunk><title>' || coalesce(CASE WHEN page_id % 3 <> 0 THEN list_extract(string_split(url, '/'), -1) END, 'Unknown') || '</title><url>' || coalesce(CASE WHEN page_id % 3 <> 0 THEN url END, '')
-      || '</url><page>' || coalesce(CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR END, '') || '</page><content>' || substr(html, 1, 40) || '</content></ContextChunk>' AS chunk FROM pages""",
+    "context_render": f"""SELECT page_id, '<ContextChunk><title>' || coalesce(t, 'Unknown') || '</title><url>' || coalesce(u, '') || '</url><startPage>' || coalesce(p::VARCHAR, '') || '</startPage><endPage>' || coalesce((p + 1)::VARCHAR, '')
+      || '</endPage><content>' || CASE WHEN page_id % 5 = 4 THEN '{T.KNOWLEDGE_IMAGE[0]}' || coalesce(t, 'Unknown') || '{T.KNOWLEDGE_IMAGE[1]}' ELSE html END || '</content></ContextChunk>' AS chunk
+      FROM (SELECT *, list_extract(string_split(u, '/'), -1) AS t FROM (SELECT page_id, html, CASE WHEN page_id % 3 <> 0 THEN url END AS u, CASE WHEN page_id % 2 = 0 THEN page_id END AS p FROM pages))""",
     "think_extract": f"WITH {_ANSWERS} SELECT event_id, trim(coalesce(regexp_extract(whole, '(?s)<think>(.*?)</think>', 1), '')) AS thought, trim(regexp_replace(whole, '(?s)<think>.*?</think>', '', 'g')) AS rest FROM a",
     "json_fence": f"WITH {_ANSWERS} SELECT event_id, trim(regexp_replace(answer, '```json|```', '', 'g')) AS body FROM a",
     "answer_strip": f"WITH {_ANSWERS} SELECT event_id, regexp_replace(regexp_replace(answer, '^Answer', ''), '^[: ]+', '') AS answer FROM a",

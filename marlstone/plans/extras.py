@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,19 @@ def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "nth", "p.start_page", "p.end_page")
 
 
+def rounded(vector: str) -> Column:
+    """A vector's components in units of 1e-5, which no summation order changes."""
+    return F.transform(vector, lambda x: F.round(x.cast("double") * 100_000).cast("long")).alias("vector")
+
+
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return models.embedded(rows, "text", "text_embeddings", models.HashingEmbedder()).select("conv_id", "turn", F.size("text_embeddings").alias("dimension"))
+    return models.embedded(rows, "text", "text_embeddings", models.HashingEmbedder()).select("conv_id", "turn", rounded("text_embeddings"))
 
 
 def re_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.array(F.lit(0.0).cast("float")).alias("text_embeddings"))
-    return models.re_embedded(rows, models.HashingEmbedder(32)).select("conv_id", "turn", F.size("text_embeddings").alias("dimension"))
+    return models.re_embedded(rows, models.HashingEmbedder(32)).select("conv_id", "turn", rounded("text_embeddings"))
 
 
 def generate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +82,11 @@ def ext_user_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, rows: DataFrame, run) -> DataFrame:
     """What a stream makes of ``rows``, replayed to its end from files in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/marlstone"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="marlstone-")
     folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/in")
     schema: StructType = spark.read.parquet(f"{folder}/in").schema
@@ -98,11 +108,11 @@ def _deltas(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
 
 
 def stream_think(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, _deltas(spark, sf_dir, F.col("text")), S.split_thoughts).groupBy("message_id", "kind").agg(F.count("*").alias("parts"), F.sum(F.length("text")).alias("n_chars"))
+    return _streamed(spark, _deltas(spark, sf_dir, F.col("text")), S.split_thoughts).groupBy("message_id", "kind").agg(F.sum(F.length("text")).alias("n_chars"))
 
 
 def stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.assembled(_deltas(spark, sf_dir, F.substring("text", 1, 60)).withColumn("tokens", F.lit(1)))
+    return S.assembled(_deltas(spark, sf_dir, F.col("text")).withColumn("tokens", F.lit(1)))
 
 
 def ext_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +124,10 @@ ORACLE_SQL = {
     "log_lift": "SELECT event_id, regexp_extract(props, '\\d+')::BIGINT AS k FROM events",
     "find_in_base64": "SELECT event_id, user_id = 7 AS found FROM events",
     "stream_rate_limit": 'SELECT event_id, user_id, admitted FROM (' + store.ORACLE_SQL["rate_limit"] + ")",
-    "stream_assembly": "SELECT conv_id * 1000 + turn AS message_id, '<think>why ' || role || '</think>' || substr(text, 1, 60) AS text, 1 AS tokens FROM conversations",
+    "stream_think": """SELECT message_id, kind, sum(n)::BIGINT AS n_chars FROM (SELECT conv_id * 1000 + turn AS message_id, 'thought' AS kind, length('why ' || role) AS n FROM conversations
+      UNION ALL SELECT conv_id * 1000 + turn, 'answer', length(text) FROM conversations WHERE text <> '') GROUP BY message_id, kind""",
+    "ext_daily_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "sample_logs": "SELECT event_id, event_type FROM events WHERE substr(md5(event_id::VARCHAR), 1, 4) < '4000'",
+    "stream_assembly": "SELECT conv_id * 1000 + turn AS message_id, '<think>why ' || role || '</think>' || text AS text, 1 AS tokens FROM conversations",
     "ext_user_spend": "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
 }

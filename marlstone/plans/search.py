@@ -41,7 +41,7 @@ def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     a = rows.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
     b = rows.select((F.col("vec_id") - 1).alias("a_id"), F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
-    return a.join(b, "a_id").select("a_id", "b_id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    return a.join(b, "a_id").select("a_id", "b_id", F.round(V.cosine(F.col("a"), F.col("b"), strict=True), 6).alias("cosine"))
 
 
 def preview_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,24 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.reciprocal_rank_fusion(V.ranked(text), V.ranked(image))
 
 
+def combined_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused list where both searches find something."""
+    return V.combined(*_lists(spark, sf_dir))
+
+
 def single_list_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text list by its own scores, as no image is near enough."""
     text, image = _lists(spark, sf_dir)
-    return text.unionByName(image.limit(0)).orderBy(F.desc("score"), "vec_id")
+    return V.combined(text, image.filter("score > 5"))
+
+
+def environment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hybrid search in the staging environment, with more results than near vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    stores = {"live": rows.filter("vec_id % 2 = 0"), "staging": rows.filter("vec_id % 2 = 1")}
+    query = _vec(spark, sf_dir, 2)
+    found = V.searched(stores, "staging", lambda store: V.hybrid_top_k(store, query, ["label"], [3, 7], 150, 1))
+    return found.select("vec_id", "label", "score")
 
 
 def word_split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +121,7 @@ def _score(where: str, query: int, shift: str = " + 1", extra: str = "") -> str:
 _LISTS = f"""t AS (SELECT vec_id, score FROM ({_score("true", 0)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 30),
 i AS (SELECT vec_id, score FROM ({_score("true", 1)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 20)"""
 
-QUERIES = {f.__name__: f for f in (kb_text_search, kb_image_search, kb_query_modality, hybrid_knn, pairwise_cosine, preview_search, dedup_first, rrf_fusion, single_list_fallback, word_split_search, field_mapping, top_k_per_collection)}
+QUERIES = {f.__name__: f for f in (kb_text_search, kb_image_search, kb_query_modality, hybrid_knn, pairwise_cosine, preview_search, dedup_first, rrf_fusion, combined_results, single_list_fallback, environment_search, word_split_search, field_mapping, top_k_per_collection)}
 ORACLE_SQL = {
     "kb_text_search": f"SELECT vec_id, label AS collection, score FROM ({_score('e.label = 3', 0)}) WHERE score >= 1.0 ORDER BY score DESC, vec_id LIMIT 30",
     "kb_image_search": f"SELECT vec_id, label AS collection, score FROM ({_score('e.label = 1 AND e.vec_id % 4 = 1', 1)}) WHERE score >= 0.8 ORDER BY score DESC, vec_id LIMIT 20",
@@ -120,6 +135,11 @@ ORACLE_SQL = {
     "rrf_fusion": f"""WITH {_LISTS},
       both_lists AS (SELECT vec_id, 0 AS list, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM t UNION ALL SELECT vec_id, 1, row_number() OVER (ORDER BY score DESC, vec_id) FROM i)
       SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, min(list) AS from_list, arg_min(rank, list)::INTEGER AS first_rank FROM both_lists GROUP BY vec_id""",
+    "combined_results": f"""WITH {_LISTS},
+      both_lists AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM t UNION ALL SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) FROM i)
+      SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM both_lists GROUP BY vec_id""",
+    "environment_search": f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS near FROM ({_score('e.vec_id % 2 = 1 AND e.label IS NOT NULL AND e.vec_id NOT IN (3, 7)', 2, '')}))
+      (SELECT vec_id, label, round(1000.0 + 50.0 * (1.0 + score), 6) AS score FROM s WHERE near <= 100) UNION ALL (SELECT vec_id, label, 1000.0 FROM s WHERE near > 100 ORDER BY vec_id LIMIT 50)""",
     "single_list_fallback": f"WITH {_LISTS} SELECT vec_id, score FROM t",
     "word_split_search": f"""WITH m AS (SELECT vec_id, text, score FROM ({_score('true', 0, ' + 1', ", concat('t', e.vec_id % 300) AS text")}) ORDER BY score DESC, vec_id LIMIT 10),
       f AS ((SELECT vec_id, text, score, 0 AS fragment FROM ({_score('true', 1, ' + 1', ", concat('t', e.vec_id % 300) AS text")}) ORDER BY score DESC, vec_id LIMIT 10)

@@ -18,8 +18,8 @@ LISTING = """SELECT doc_id AS id, source AS parent_id, concat('d', doc_id, CASE
 STATES = """SELECT doc_id AS id, source AS parent_id, concat('https://s/', CASE WHEN doc_id % 13 = 0 THEN 'old' ELSE source END, '/', doc_id) AS web_url,
   CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 1 ELSE 1700000000000 - doc_id * 60000 END AS modified_ms, 1700000000000 - (doc_id % 30) * 3600000 AS upserted_ms,
   CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 11 <> 1 THEN 'successful' END AS status, CAST(doc_id % 5 AS INT) AS retry FROM {documents} WHERE doc_id % 8 <> 3"""
-CHUNKS_NEW = "SELECT doc_id % 100 AS doc_id, substr(text, 1, 20) AS content, source AS collection, lang AS title FROM {documents} WHERE doc_id % 7 <> 0"
-CHUNKS_OLD = "SELECT doc_id % 100 AS doc_id, substr(text, 1, 20) AS content, source AS collection, CASE WHEN doc_id % 9 = 0 THEN 'xx' ELSE lang END AS title FROM {documents} WHERE doc_id % 6 <> 0"
+CHUNKS_NEW = "SELECT doc_id % 100 AS doc_id, text AS content, source AS collection, lang AS title FROM {documents} WHERE doc_id % 7 <> 0"
+CHUNKS_OLD = "SELECT doc_id % 100 AS doc_id, text AS content, source AS collection, CASE WHEN doc_id % 9 = 0 THEN 'xx' ELSE lang END AS title FROM {documents} WHERE doc_id % 6 <> 0"
 WINDOW_MS = 6 * 3600 * 1000
 
 
@@ -170,8 +170,13 @@ def token_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.balances(_requests(spark, sf_dir), ["user_id"], "ms", "event_id", "cost", 150.0, WINDOW_MS)
 
 
+#: The next reset of the quota, and of reports made on working days.
+CRON_REPORT = "15,45 8-18/5 * * mon-fri"
+
+
 def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(spark, sf_dir).select("event_id", quota.next_tick(F.col("ms"), 300_000).alias("next_ms"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    return rows.select("event_id", quota.next_tick(F.unix_millis("at"), 300_000).alias("next_ms"), F.unix_millis(quota.cron_next(F.col("at"), CRON_REPORT)).alias("report_ms"))
 
 
 def quota_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,9 +247,12 @@ _DIFF = f"""WITH n AS ({_CH.format(CHUNKS_NEW.replace("{documents}", "documents"
 d AS (SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.content_key, o.content_key) AS content_key, coalesce(n.nth, o.nth) AS nth,
   CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' WHEN n.collection = o.collection AND n.title = o.title THEN 'keep' ELSE 'update' END AS action
   FROM n FULL JOIN o ON n.doc_id = o.doc_id AND n.content_key = o.content_key AND n.nth = o.nth)"""
-_Q = f"""r AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, round(abs(value), 4) AS cost, ceil(epoch_ms(ts)::DOUBLE / {WINDOW_MS})::BIGINT AS bucket FROM events),
-q AS (SELECT *, 150.0::DOUBLE - coalesce(sum(cost) OVER (PARTITION BY user_id, bucket ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains, row_number() OVER (PARTITION BY user_id, bucket ORDER BY ms, event_id) AS nth FROM r),
-a AS (SELECT *, nth = 1 OR round(remains, 6) >= 1 AS admitted FROM q)"""
+_Q = f"""r AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, round(abs(value), 4) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, cost, n, ms AS made, 150.0::DOUBLE AS had, true AS admitted, 150.0::DOUBLE - cost AS has FROM r WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, cost, n, CASE WHEN lapsed THEN ms ELSE made END, had, admitted, CASE WHEN admitted THEN had - cost ELSE had END FROM (
+    SELECT r.user_id, r.event_id, r.cost, r.n, r.ms, f.made, r.ms > (f.made // {WINDOW_MS} + 1) * {WINDOW_MS} AS lapsed, CASE WHEN lapsed THEN 150.0::DOUBLE ELSE f.has END AS had, lapsed OR round(f.has, 6) >= 1 AS admitted
+    FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))"""
 _ST = "SELECT event_id, event_type AS question, props AS answer, CASE WHEN user_id % 4 <> 0 THEN 's' || (user_id % 4) END AS space_id, trunc(value)::INTEGER % 50 AS updated FROM events"
 _G = "SELECT c_custkey AS user_id, 'src' || (c_custkey % 20) AS parent_id, 'https://s/' || c_nationkey AS web_url FROM customer WHERE c_custkey % 20 <> 6"
 _C = "SELECT source AS parent_id, count(*) AS n_chunks, 'c-' || source AS collection FROM documents GROUP BY source ORDER BY n_chunks DESC, parent_id LIMIT 1000"
@@ -281,9 +289,11 @@ ORACLE_SQL = {
     "examples_update": f"SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'changed' ELSE question END AS question, space_id FROM ({_ST})",
     "examples_delete": f"SELECT event_id, space_id FROM ({_ST}) WHERE (space_id IS NULL OR space_id <> 's1') AND event_id % 3 <> 0",
     "publish_rotate": "SELECT CASE r_regionkey WHEN 0 THEN 'inactive' WHEN 1 THEN 'staging' ELSE 'live' END AS role, r_name AS index, CASE r_regionkey WHEN 2 THEN 'm1' ELSE 'm' || r_regionkey END AS model FROM region WHERE r_regionkey < 3",
-    "rate_limit": f"WITH {_Q} SELECT event_id, user_id, round(remains, 4) AS \"left\", admitted FROM a",
-    "token_balance": f"WITH {_Q}, u AS (SELECT user_id, bucket, sum(cost) AS used FROM a WHERE admitted GROUP BY user_id, bucket) SELECT user_id, round(150.0::DOUBLE - arg_max(used, bucket), 4) AS balance, max(bucket) * {WINDOW_MS} AS reset_ms FROM u GROUP BY user_id",
-    "cron_next": "SELECT event_id, ((epoch_ms(ts) // 300000) + 1) * 300000 AS next_ms FROM events",
+    "rate_limit": f"WITH RECURSIVE {_Q} SELECT event_id, user_id, round(had, 4) AS \"left\", admitted FROM f",
+    "token_balance": f"WITH RECURSIVE {_Q} SELECT user_id, round(arg_max(has, n), 4) AS balance, (arg_max(made, n) // {WINDOW_MS} + 1) * {WINDOW_MS} AS reset_ms FROM f GROUP BY user_id",
+    "cron_next": """SELECT event_id, any_value((epoch_ms(ts) // 300000 + 1) * 300000) AS next_ms, min(epoch_ms(day + to_minutes(m))) AS report_ms
+      FROM (SELECT event_id, ts, unnest(generate_series(date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 8 DAY, INTERVAL 1 DAY)) AS day FROM events), (SELECT unnest([495, 525, 795, 825, 1095, 1125]) AS m)
+      WHERE day + to_minutes(m) > ts AND isodow(day) <= 5 GROUP BY event_id""",
     "quota_lookup": "SELECT user_id, event_type, count(*) AS records, count(*) > 1 AS error FROM events GROUP BY user_id, event_type",
     "list_collections": _C,
     "granted_collections": f"SELECT g.user_id, c.parent_id, c.collection, g.web_url FROM ({_C}) c JOIN ({_G}) g ON c.parent_id = g.parent_id",

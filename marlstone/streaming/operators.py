@@ -12,26 +12,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def rate_limited(requests: DataFrame, limit: float, window_ms: int) -> DataFrame:
-    """event_id, user_id, ms and admitted for a stream of event_id, user_id, ms, cost: a new window starts with a full
-    balance, a balance under 1 rejects, and each admitted cost is taken off. Rows of a user are taken in order of time within a batch."""
+    """event_id, user_id, ms and admitted for a stream of event_id, user_id, ms, cost: a record lives to the first tick after it was made, that tick
+    included; a new one starts with a full balance, a balance under 1 rejects, and each admitted cost is taken off. Rows of a user are
+    taken in order of time within a batch."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bucket, left = state.get if state.exists else (-1, limit)
+        made, left = state.get if state.exists else (None, limit)
         rows = pd.concat(list(parts)).sort_values(["ms", "event_id"])
         out = []
         for event_id, ms, cost in zip(rows["event_id"], rows["ms"], rows["cost"], strict=True):
-            now = -(-int(ms) // window_ms)
-            if now != bucket:
-                bucket, left, admitted = now, limit, True
+            if made is None or int(ms) > (made // window_ms + 1) * window_ms:
+                made, left, admitted = int(ms), limit, True
             else:
                 admitted = round(left, 6) >= 1
             if admitted:
                 left -= float(cost)
             out.append((event_id, key[0], ms, admitted))
-        state.update((bucket, left))
+        state.update((made, left))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "ms", "admitted"])
 
-    return requests.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, ms long, admitted boolean", "bucket long, balance double", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, ms long, admitted boolean", "made long, balance double", "append", GroupStateTimeout.NoTimeout)
 
 
 def split_thoughts(chunks: DataFrame) -> DataFrame:

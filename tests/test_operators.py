@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
+from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.functions import chunking, models, text
-from marlstone.operators import budget, examples, quota, sync, vector
+from marlstone.operators import budget, chats, examples, quota, sync, vector
 from marlstone.sources import files
 from marlstone.streaming import operators as streams
 
@@ -39,40 +42,167 @@ def test_fragments():
     assert chunking.fragments_of(" ") == []
 
 
+def fold(rows, limit, window):
+    """Requests one by one: a record lapses after the first tick past its making, a new one is not asked for its balance, and only admitted requests are charged."""
+    records, out = {}, {}
+    for event_id, user, ms, cost in sorted(rows, key=lambda r: (r[2], r[0])):
+        made, tokens = records.get(user, (None, None))
+        if made is None or ms > (made // window + 1) * window:
+            made, tokens, allowed = ms, limit, True
+        else:
+            allowed = tokens >= 1
+        out[event_id] = (allowed, tokens)
+        records[user] = (made, tokens - cost if allowed else tokens)
+    return out, records
+
+
 def test_rate_limit_equals_the_fold(spark):
     random.seed(3)
-    rows = [(i, random.randrange(4), random.randrange(1, 40) * 250 + 1, float(random.randrange(0, 6))) for i in range(300)]
-    df = spark.createDataFrame(rows, "event_id long, user_id long, ms long, cost double")
-    got = {r["event_id"]: r["admitted"] for r in quota.admitted(df, ["user_id"], "ms", "event_id", "cost", 7.0, 1000).collect()}
-    state = {}
-    for i, u, ms, cost in sorted(rows, key=lambda r: (r[2], r[0])):
-        b = -(-ms // 1000)
-        if state.get(u, (None, 0))[0] != b:
-            state[u] = (b, 7.0 - cost)
-            assert got[i]
-        else:
-            assert got[i] == (state[u][1] >= 1)
-            if got[i]:
-                state[u] = (b, state[u][1] - cost)
+    for step in (250, 500, 1000):  # the coarser, the more requests on ticks
+        rows = [(i, random.randrange(6), random.randrange(0, 16) * step, float(random.randrange(0, 6))) for i in range(200)]
+        df = spark.createDataFrame(rows, "event_id long, user_id long, ms long, cost double")
+        want, records = fold(rows, 7.0, 1000)
+        got = quota.admitted(df, ["user_id"], "ms", "event_id", "cost", 7.0, 1000).collect()
+        assert {r["event_id"]: (r["admitted"], r["left"]) for r in got} == want
+        held = {r["user_id"]: (r["balance"], r["reset_ms"]) for r in quota.balances(df, ["user_id"], "ms", "event_id", "cost", 7.0, 1000).collect()}
+        assert held == {u: (tokens, (made // 1000 + 1) * 1000) for u, (made, tokens) in records.items()}
+
+
+def test_rejected_requests_cost_nothing(spark):
+    df = spark.createDataFrame([(1, 1, 100, 9.5), (2, 1, 200, 3.0), (3, 1, 300, 3.0)], "event_id long, user_id long, ms long, cost double")
+    got = quota.admitted(df, ["user_id"], "ms", "event_id", "cost", 10.0, 1000).orderBy("event_id").collect()
+    assert [(r["left"], r["admitted"]) for r in got] == [(10.0, True), (0.5, False), (0.5, False)]
+
+
+@pytest.mark.parametrize("expression", ["*/5 * * * *", "15,45 8-18/5 * * mon-fri", "0 0 29 2 *", "30 12 1,15 * fri", "59 23 31 dec *", "0 6 * * 7", "7/20 3 * * *"])
+def test_cron_against_minutes(spark, expression):
+    fields, parts = quota.cron_fields(expression), expression.split()
+
+    def fits(t):
+        in_month, in_week = t.day in fields["day"], t.isoweekday() % 7 in {d % 7 for d in fields["weekday"]}
+        days = in_month or in_week if not (parts[2].startswith("*") or parts[4].startswith("*")) else in_month and in_week
+        return t.minute in fields["minute"] and t.hour in fields["hour"] and t.month in fields["month"] and days
+
+    def after(t):
+        t = t.replace(second=0) + timedelta(minutes=1)
+        while not fits(t):
+            t = t + timedelta(minutes=1) if t.minute % 60 or fits_day(t) else t + timedelta(hours=1)
+        return t
+
+    fits_day = lambda t: any(fits(t.replace(minute=m)) for m in range(60))
+    times = [datetime(2023, 12, 31, 23, 59, 30), datetime(2024, 2, 29, 0, 0), datetime(2024, 3, 1, 8, 15), datetime(2025, 5, 9, 18, 45, 1), datetime(2024, 7, 6, 12, 30)]
+    df = spark.createDataFrame([(k, t.strftime("%Y-%m-%d %H:%M:%S")) for k, t in enumerate(times)], "k int, t string")
+    got = {r["k"]: r["n"] for r in df.select("k", F.date_format(quota.cron_next(F.col("t").cast("timestamp"), expression), "yyyy-MM-dd HH:mm:ss").alias("n")).collect()}
+    assert got == {k: after(t).strftime("%Y-%m-%d %H:%M:%S") for k, t in enumerate(times)}
+
+
+@pytest.mark.parametrize("expression", ["* * * *", "60 * * * *", "* 5-1 * * *", "*/0 * * * *", "x * * * *"])
+def test_bad_cron(expression):
+    with pytest.raises(ValueError):
+        quota.cron_fields(expression)
 
 
 def test_budgets_equal_the_loops(spark):
     random.seed(4)
-    rows = [(c, t, random.randrange(0, 30)) for c in range(5) for t in range(12)]
+    rows = [(c, t, random.randrange(0, 30)) for c in range(9) for t in range(random.randrange(1, 12))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, n long")
     packed = {(r["conv_id"], r["turn"]) for r in budget.pack_context(df, ["conv_id"], [F.asc("turn")], "n", 60).collect()}
-    kept = {(r["conv_id"], r["turn"]) for r in budget.truncate_history(df, "conv_id", "turn", "n", 90).collect()}
-    for c in range(5):
+    found = budget.truncate_history(df, "conv_id", "turn", "n", 150, 20).collect()
+    for c in range(9):
         total = 0
-        for _, t, n in sorted(r for r in rows if r[0] == c):
+        mine = sorted(r for r in rows if r[0] == c)
+        for _, t, n in mine:
             total += n
             assert ((c, t) in packed) == (total < 60)
             if total >= 60:
                 break
-        mine = sorted(r for r in rows if r[0] == c)
-        while mine and sum(n + 3 for *_, n in mine) + 3 > 90:
-            mine.pop(0)
-        assert {(c, t) for _, t, _ in mine} == {k for k in kept if k[0] == c}
+        cost = lambda messages: sum(n + 3 for *_, n in messages) + 3
+        *history, question = mine
+        room, kept = 150 - cost([question]), list(history)
+        if cost(history) > room:
+            while kept and cost(kept) > room - 20:
+                kept.pop(0)
+        assert {r["turn"] for r in found if r["conv_id"] == c} == {t for _, t, _ in kept}
+        assert {r["summarised"] for r in found if r["conv_id"] == c} <= {cost(history) > room}
+
+
+def test_search_dispatch(spark):
+    df = spark.createDataFrame([(k, [1.0, float(k)], "s" if k % 2 else "t") for k in range(6)], "vec_id long, embedding array<double>, space_id string")
+    top = lambda rows: vector.filtered_top_k(rows, [1.0, 0.0], F.lit(True), 9, 0.0)
+    ids = lambda rows: [r["vec_id"] for r in rows.collect()]
+    assert ids(vector.searched({None: df}, "live", top)) == [0, 1, 2, 3, 4, 5]
+    assert ids(vector.searched({None: df}, None, top, "s")) == [1, 3, 5]
+    assert ids(vector.searched({"live": df.filter("vec_id < 2"), "staging": df}, "live", top)) == [0, 1]
+    for environment, space in ((None, None), ("other", None), ("live", "s")):
+        with pytest.raises(ValueError):
+            vector.searched({"live": df, "staging": df}, environment, top, space)
+    text, image = top(df).select("vec_id", "score"), top(df).filter("vec_id > 3").select("vec_id", "score")
+    assert ids(vector.combined(text, image))[:2] == [4, 5]
+    assert ids(vector.combined(text, image.limit(0))) == [0, 1, 2, 3, 4, 5] and ids(vector.combined(text.limit(0), image)) == [4, 5]
+    got = [(r["vec_id"], r["score"]) for r in vector.hybrid_top_k(df, [1.0, 0.0], ["space_id"], [0], 4, 1, knn=2).collect()]
+    assert [i for i, _ in got] == [1, 2, 3, 4] and [s for _, s in got[2:]] == [1000.0, 1000.0]
+    with pytest.raises(Exception, match="zero vector"):
+        spark.sql("SELECT array(0.0D) AS a").select(vector.cosine(F.col("a"), F.col("a"), strict=True)).collect()
+
+
+def test_chats(spark):
+    chunks = spark.createDataFrame([(1, "the sky is blue", "sky", "u1", 3, 4), (2, "grass is green", "grass", "u2", 5, 3)], "vec_id long, content string, title string, url string, page int, n_token int")
+    chunks = models.embedded(chunks, "content", "embedding", models.HashingEmbedder())
+    talk = lambda *texts: spark.createDataFrame([(k, "user", t) for k, t in enumerate(texts)], "turn int, role string, text string")
+    ask = lambda *texts, **more: chats.answered(talk(*texts), chunks, models.HashingEmbedder(), chats.JsonEcho(), threshold=1.3, **more).collect()
+    assert [(r["n_context"], r["answer"]) for r in ask("the sky is blue")] == [(1, "the sky is blue")]
+    assert [(r["n_context"], r["answer"], r["prompt_tokens"]) for r in ask("zebra")] == [(0, chats.CANNOT_ANSWER, 0)]
+    assert [r["answer"] for r in ask("zebra", cannot_answer="none")] == ["none"]
+    assert ask("one two", "three four", "the sky is blue", history=30, summary=5)[0]["answer"] == "the sky is blue"
+    with pytest.raises(ValueError):
+        ask()
+    shots = chunks.selectExpr("vec_id", "content AS question", "title AS answer", "embedding")
+    got = chats.few_shot(shots, "the sky is blue", "Say.", models.HashingEmbedder(), models.LastLine(), n=1).collect()
+    assert [(r["answer"], r["examples"]) for r in got] == [("the sky is blue", [1])]
+    got = chats.few_shot(shots, "the sky is blue", "Say.", models.HashingEmbedder(), models.LastLine(), n=1, removed=shots.filter("vec_id = 1").select("vec_id")).collect()
+    assert [r["examples"] for r in got] == [[2]]
+
+
+def test_examples_in_order(spark):
+    store = spark.createDataFrame([("a", "q1", "x"), ("b", "q2", "y")], "_id string, question string, answer string")
+    got = examples.updated(store, ["b", "a"], [{"question": "new"}, {"answer": "z"}], "_id").orderBy("_id").collect()
+    assert [tuple(r) for r in got] == [("a", "q1", "z"), ("b", "new", "y")]
+    with pytest.raises(ValueError):
+        examples.updated(store, ["b"], [], "_id")
+    assert examples.updated(store, ["b", "a"], [{"question": "n"}], "_id", strict=False).filter("question = 'n'").count() == 1
+
+
+def test_vectors_by_hand(spark):
+    """Vectors that no SQL states, from the words' checksums."""
+    import zlib
+
+    v = [0.0] * 8
+    for w in ("hello", "world", "hello"):
+        h = zlib.crc32(w.encode())
+        v[h % 8] += 1 if h >> 31 else -1
+    norm = sum(x * x for x in v) ** 0.5
+    got = models.embedded(spark.createDataFrame([("Hello world hello",)], "t string"), "t", "v", models.HashingEmbedder(8)).first()["v"]
+    assert got == pytest.approx([x / norm for x in v])
+
+
+def test_messages(spark):
+    rows = ['{"role": "user", "parts": [{"kind": "text", "text": "a"}]}', '{"role": "user", "parts": [{"kind": "video"}]}', "no json", '{"role": "robot", "parts": []}', '{"role": "user", "parts": []}', None]
+    df = spark.createDataFrame([(r,) for r in rows], "m string").withColumn("n", text.normalised(F.col("m")))
+    assert [r["t"] for r in df.select(text.first_part(F.col("n"), "text").alias("t")).collect()] == ["a", None, None, None, None, None]
+    assert [r["ok"] for r in df.select(F.col("n").isNotNull().alias("ok")).collect()] == [True, False, False, False, True, False]
+    data = '{"role": "user", "parts": [{"kind": "data", "data": "d"}]}'
+    with pytest.raises(Exception, match="no content"):
+        spark.createDataFrame([(data,)], "m string").select(text.content_parts(text.normalised(F.col("m")))).collect()
+    schema = {"type": "object", "additionalProperties": False, "properties": {"n": {"type": ["integer", "null"]}, "xs": {"type": "array", "items": [{"type": ["string", "null"]}]}}}
+    assert text.nullable_schema(schema) == {"type": "object", "properties": {"n": {"type": "integer", "nullable": True}, "xs": {"type": "array", "items": [{"type": "string", "nullable": True}]}}}
+
+
+def test_item_starts(spark):
+    cases = [("aa aaa", "a"), ("Ann  lee", "Ann lee"), ("", "x"), ("x", ""), ("a.b ab", "a.b"), ("aXaXa", "aXa")]
+    for body, item in cases:
+        got = spark.createDataFrame([(body,)], "b string").select(text.item_starts(F.col("b"), item)).first()[0]
+        pattern = r"\s+".join(re.escape(w) for w in item.split())
+        assert sorted(got) == ([m.start() for m in re.finditer(f"(?={pattern})", body)] if pattern else []), (body, item, got)
 
 
 def test_chunk_diff_goldens(spark):
