@@ -3,8 +3,8 @@
 Candidates are first the links of SimHash fingerprints over the same shingles, by the generalised pigeonhole search of ``simhash``, and then what
 shares a band of MinHash values: SimHash alone would need a radius of over ten bits for pairs at a similarity of ``LEAST``, while such a pair
 shares none of the ``BANDS`` with a probability of 3e-5, more similar ones with less. Every link is verified by the sets themselves.
-Equal texts are one class throughout. What shares a band is first compared with the band's smallest and largest member; only bands
-that are not in one component by then are compared pair by pair, large ones in bounded blocks that return a spanning forest.
+Equal texts are one class throughout. What shares a band is first compared with the band's smallest member; only bands that are not in
+one component by then are compared pair by pair, in bounded blocks that hold each text's set once and return a spanning forest.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ LEAST = (4, 5)
 BANDS = 20
 #: MinHash values of a band.
 ROWS = 4
-#: Members of a band up to which its pairs are made one by one.
-SMALL = 64
-#: Rows of either side in a block of a larger band.
+#: Rows of either side in a block of a band.
 BLOCK = 256
+#: Rows of small bands that are looked at together.
+TOGETHER = 2048
 
 _TURNS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _AT_ONCE = 1 << 13
@@ -62,20 +62,20 @@ def _enough(shared, a, b):
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """key, its MinHash bands, and its SimHash fingerprint fp."""
+    """key, the size n of its set, its MinHash bands, and its SimHash fingerprint fp."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [(bands_of(np.unique(h)), majority(h)) for h in map(_hashes, b["text"])]
-            yield pd.DataFrame({"key": b["key"], "bands": [m[0] for m in made], "fp": np.array([m[1] for m in made], dtype=np.int64)})
+            made = [(len(s := np.unique(h)), bands_of(s), majority(h)) for h in map(_hashes, b["text"])]
+            yield pd.DataFrame({"key": b["key"], "n": np.array([m[0] for m in made], dtype=np.int64), "bands": [m[1] for m in made], "fp": np.array([m[2] for m in made], dtype=np.int64)})
 
-    return rows.select("key", "text").mapInPandas(run, "key long, bands array<long>, fp long")
+    return rows.select("key", "text").mapInPandas(run, "key long, n long, bands array<long>, fp long")
 
 
 def _by_fingerprint(signed: DataFrame) -> DataFrame:
-    """(a, b): of each fingerprint its texts with the one of the smallest key, and those of linked fingerprints."""
-    classes = cut(signed.groupBy("fp").agg(F.min("key").alias("first")))
-    same = signed.join(classes, "fp").filter("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    """(a, b), structs of key and n: of each fingerprint its texts with the one of the smallest key, and those of linked fingerprints."""
+    classes = cut(signed.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first")))
+    same = signed.join(classes, "fp").select(F.struct("key", "n").alias("a"), F.col("first").alias("b"))
     side = lambda end: classes.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
     linked = link_fingerprints(classes).join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     return same.unionByName(linked)
@@ -97,35 +97,51 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_enough(shared, F.size("set_a"), F.size("set_b"))).select("a", "b")
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the similar pairs of one side's row and the other side's."""
-    keys, slot = rows["key"].to_numpy(np.int64), rows["slot"].to_numpy()
-    sets = [np.asarray(s, dtype=np.int64) for s in rows["shingles"]]
+def _forest(keys: np.ndarray, sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs of one of left and one of right (places among the keys), those of one root being linked already."""
     size = np.array([len(s) for s in sets])
     kinds, number = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.concatenate([[0], np.cumsum(size)])
-    right = np.flatnonzero(slot == rows["c"].iloc[0])
-    in_right = np.concatenate([number[first[k] : first[k + 1]] for k in right]) if len(right) else number[:0]
-    starts = np.concatenate([[0], np.cumsum(size[right])[:-1]]).astype(np.int64) if len(right) else number[:0]
-    root = np.arange(len(keys))
-    out = []
-    for i in np.flatnonzero(slot == rows["r"].iloc[0]) if len(right) else ():
-        mark = np.zeros(len(kinds), dtype=np.int32)
-        mark[number[first[i] : first[i + 1]]] = 1
+    in_right = np.concatenate([number[first[k] : first[k + 1]] for k in right])
+    starts = np.concatenate([[0], np.cumsum(size[right])[:-1]]).astype(np.int64)
+    root = np.unique(root, return_inverse=True)[1]
+    mark, out = np.zeros(len(kinds), dtype=np.int32), []
+    for i in left:
+        if (root[right] == root[i]).all():
+            continue
+        own = number[first[i] : first[i + 1]]
+        mark[own] = 1
         shared = np.add.reduceat(mark[in_right], starts)
+        mark[own] = 0
         for j in right[_enough(shared.astype(np.int64), size[i], size[right])]:
             if root[i] != root[j]:
                 out.append((keys[i], keys[j]))
                 root[root == root[j]] = root[i]
+    return out
+
+
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    """The forests of the bands in a block: of a small band among its members, of a large one between two of its slots."""
+    out: list[tuple[int, int]] = []
+    keys, root, slot = rows["key"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), rows["slot"].to_numpy()
+    r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+    for at in rows.groupby("value").indices.values():
+        left, right = np.flatnonzero(slot[at] == r[at]), np.flatnonzero(slot[at] == c[at])
+        if len(left) and len(right):
+            out += _forest(keys[at], [np.asarray(rows["shingles"].iat[k], dtype=np.int64) for k in at], root[at], left, right)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _blocks(crowds: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within the large bands. crowds: value, key and the band's number of members."""
+def _blocks(open_bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within bands. open_bands: value, key, its root, and the band's number of members."""
+    few = -(-max(open_bands.count(), 1) // TOGETHER)
     slots = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = crowds.select("value", "key", slots.alias("slots"), F.pmod(F.xxhash64("key", "value"), slots).cast("int").alias("slot"))
-    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other")).select("value", "key", "slot", F.least("slot", "other").alias("r"), F.greatest("slot", "other").alias("c"))
-    return cells.join(sets, "key").groupBy("value", "r", "c").applyInPandas(_block, "a long, b long")
+    # A band of one slot is looked at with others; of a larger one, every two slots by themselves.
+    together = F.when(slots > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(few)))
+    dealt = open_bands.select("value", "key", "root", together.alias("together"), slots.alias("slots"), F.pmod(F.xxhash64("key", "value"), slots).cast("int").alias("slot"))
+    other = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other")
+    cells = dealt.select("*", other).select("value", "key", "root", "together", "slot", F.least("slot", "other").alias("r"), F.greatest("slot", "other").alias("c"), (F.col("slots") > 1).alias("large"))
+    return cells.join(sets, "key").groupBy("large", "together", "r", "c").applyInPandas(_block, "a long, b long")
 
 
 def near_texts(docs: DataFrame) -> DataFrame:
@@ -136,13 +152,13 @@ def near_texts(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("key", F.xxhash64("text"))
     signed = cut(_signed(rows))
-    entries = cut(signed.select("key", F.explode("bands").alias("value")).distinct())
-    shared = entries.groupBy("value").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high")).filter("members > 1")
+    entries = cut(signed.select("key", "n", F.explode("bands").alias("value")).distinct())
+    shared = entries.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("low")).filter("members > 1")
     shared = cut(entries.join(shared, "value"))
-    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    in_band = shared.select("key", F.explode(F.array("low", "high")).alias("end")).filter("key != end").select(*ends("key", "end"))
-    alike = _by_fingerprint(signed.select("key", "fp").distinct()).select(*ends("a", "b"))
-    first = cut(in_band.unionByName(alike).distinct())
+    pairs = shared.select(F.struct("key", "n").alias("a"), F.col("low").alias("b")).unionByName(_by_fingerprint(signed.select("key", "n", "fp").distinct()))
+    # Sets of too different sizes cannot be similar enough.
+    alike = (F.col("a.key") != F.col("b.key")) & _enough(F.least("a.n", "b.n"), F.col("a.n"), F.col("b.n"))
+    first = cut(pairs.filter(alike).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct())
     # Texts that are no one's candidate are not needed again.
     needed = shared.select("key").unionByName(first.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
     sets = cut(_sets(rows.join(needed, "key", "left_semi")).dropDuplicates(["key"]))
@@ -150,11 +166,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
     roots = components(links, "a", "b")
     placed = shared.select("value", "key", "members").join(roots, shared["key"] == roots["node"], "left").select("value", "key", "members", F.coalesce("root", "key").alias("root"))
     open_bands = placed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("value")
-    left = cut(placed.join(open_bands, "value", "left_semi"))
-    small = left.filter(F.col("members") <= SMALL)
-    other = small.select("value", F.col("key").alias("b"), F.col("root").alias("b_root"))
-    pairs = small.select("value", F.col("key").alias("a"), F.col("root").alias("a_root")).join(other, "value").filter("a < b AND a_root != b_root").select("a", "b").distinct()
-    links = links.unionByName(_verified(pairs.join(first, ["a", "b"], "left_anti"), sets)).unionByName(_blocks(left.filter(F.col("members") > SMALL), sets))
+    links = links.unionByName(_blocks(cut(placed.join(open_bands, "value", "left_semi")), sets))
     roots = components(links, "a", "b")
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     named = cut(classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first_id", F.coalesce("root", "key").alias("root")))

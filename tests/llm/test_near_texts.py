@@ -63,7 +63,7 @@ def test_recall_by_direct_pairs(spark):
 
 
 def test_crowds_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "BLOCK", 16)
     rng = random.Random(4)
     base = [f"w{j}" for j in range(60)]
     rows = [(i, _changed(rng, base, rng.choice((0, 1, 2, 3)))) for i in range(120)]
