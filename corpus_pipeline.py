@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import near_texts, packing, quality, secrets, toxicity
-from marlstone.llm.common import configured, read_table, shared_folder
+from marlstone.llm.common import configured, cut, read_table, shared_folder
 
 
 @configured
@@ -33,8 +33,12 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id. Rows without an id stay, one for each text,
     if any of them has no near copy with an id. Repeated rows are copies too."""
-    kept = near_texts.near_texts(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = near_texts.near_texts(docs)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
+    kept = cut(kept)
+    one_each = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    # Only where an id has several rows can rows repeat.
+    return one_each if kept.filter("rows > 1").isEmpty() else one_each.dropDuplicates(["doc_id", "text"])
 
 
 @configured

@@ -32,6 +32,9 @@ BLOCK = 256
 #: Rows of small bands that are looked at together.
 TOGETHER = 2048
 
+#: So many keys go to the tasks as a broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
 _TURNS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _AT_ONCE = 1 << 13
 
@@ -161,11 +164,16 @@ def near_texts(docs: DataFrame) -> DataFrame:
     first = cut(pairs.filter(alike).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct())
     # Texts that are no one's candidate are not needed again.
     needed = shared.select("key").unionByName(first.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    needed = cut(needed)
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
     sets = cut(_sets(rows.join(needed, "key", "left_semi")).dropDuplicates(["key"]))
     links = cut(_verified(first, sets))
     roots = components(links, "a", "b")
     placed = shared.select("value", "key", "members").join(roots, shared["key"] == roots["node"], "left").select("value", "key", "members", F.coalesce("root", "key").alias("root"))
-    open_bands = placed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("value")
+    # Bands of the same members are one.
+    members = (F.count("*").alias("m"), F.bit_xor("key").alias("x"), F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("s"))
+    open_bands = placed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most"), *members).filter("least != most")
+    open_bands = open_bands.groupBy("m", "x", "s", "least", "most").agg(F.min("value").alias("value")).select("value")
     links = links.unionByName(_blocks(cut(placed.join(open_bands, "value", "left_semi")), sets))
     roots = components(links, "a", "b")
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
