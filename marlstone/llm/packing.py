@@ -38,15 +38,17 @@ _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SPACES = re.compile(r"[ \t-\r]+")
-_KEPT = 500_000
+#: Keys of a generation: chunks, which are put together from parts, and parts, which go through the tokenizer.
+_CHUNKS_KEPT = 200_000
+_PARTS_KEPT = 400_000
 
 
 class Memory(dict):
-    """What ``make`` gives for each key, remembered in two generations of up to ``_KEPT`` keys."""
+    """What ``make`` gives for each key, remembered in two generations of up to ``kept`` keys."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], kept: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.kept, self.old = make, kept, {}
 
     def __missing__(self, key: str) -> bytes:
         if (found := self.old.get(key)) is None:
@@ -55,7 +57,7 @@ class Memory(dict):
         return found
 
     def turn(self) -> None:
-        if len(self) > _KEPT:
+        if len(self) > self.kept:
             self.old = dict(self)
             self.clear()
 
@@ -76,7 +78,7 @@ class WordTokens:
         # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for letters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        self.parts, self.chunks = Memory(self._part), Memory(self._chunk)
+        self.parts, self.chunks = Memory(self._part, _PARTS_KEPT), Memory(self._chunk, _CHUNKS_KEPT)
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
