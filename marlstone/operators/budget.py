@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def word_tokens(text: Column) -> Column:
     """Offline stand-in for a tokenizer: the number of space-separated words."""
@@ -12,7 +14,13 @@ def word_tokens(text: Column) -> Column:
 
 
 def pack_context(rows: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int) -> DataFrame:
-    """Ranked rows while the running total stays under ``budget``; the first overflow ends the list. A missing count is 0."""
+    """Ranked rows while the running total (``running``) stays under ``budget``; the first overflow ends the list. A missing count is 0. A group
+    may be of any size; rows should be narrow, see ``running``."""
+    return running(rows, group, order, running=F.col(tokens)).filter(F.col("running") < budget)
+
+
+def pack_hits(rows: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int) -> DataFrame:
+    """``pack_context`` for groups of a set size, such as the hits of a search, each in one task."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(w)
     return rows.withColumn("running", total).filter(F.col("running") < budget)

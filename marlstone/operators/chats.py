@@ -56,7 +56,7 @@ def answered(
     fixed = spark.createDataFrame([(question, 0, cannot_answer, 0)], "question string, n_context long, answer string, prompt_tokens long")
     if order.isEmpty():
         return fixed
-    packed = B.pack_context(hits, ["_chat"], [F.asc("rank")], "n_token", context)
+    packed = B.pack_hits(hits, ["_chat"], [F.asc("rank")], "n_token", context)
     block = T.context_chunk(F.col("title"), F.col("url"), F.col("page"), F.col("page"), T.context_content(F.col("content"), F.col("title")))
     joined = B.concatenated(packed.withColumn("_block", block), "_chat", "rank", "_block", "\n\n")
     counted = packed.groupBy("_chat").agg(F.count("*").alias("n_context"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import budget as B
+from ..operators.prefix import numbered
 from ..session import shaped, table
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("n_token", B.word_tokens(F.col("text")))
-    return B.pack_context(rows, ["source"], [F.asc("doc_id")], "n_token", 1000).select("source", "doc_id", "n_token", "running")
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", B.word_tokens(F.col("text")).alias("n_token"))
+    return B.pack_context(rows, ["source"], [F.asc("doc_id")], "n_token", 1000)
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +37,8 @@ def concat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    return numbered(rows, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import chunking, models
-from ..session import shaped, table
+from ..session import shaped, shared_folder, table
 from ..streaming import operators as S
 from . import store
 
@@ -82,12 +81,7 @@ def ext_user_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, rows: DataFrame, run) -> DataFrame:
     """What a stream makes of ``rows``, replayed to its end from files in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="marlstone-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/in")
     schema: StructType = spark.read.parquet(f"{folder}/in").schema
     made = run(spark.readStream.schema(schema).parquet(f"{folder}/in"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access, examples, logs, quota, sync
+from ..operators.prefix import numbered
 from ..session import shaped, table
 
 AS_OF = 1_700_000_000_000
@@ -229,10 +230,8 @@ def log_timezone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of bulk batches of 50, within each collection."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 50))
+    return numbered(rows, ["source"], [F.asc("doc_id")], "_nth").select("doc_id", "source", F.floor((F.col("_nth") - 1) / 50).alias("batch"))
 
 
 _L, _S = LISTING.replace("{documents}", "documents"), STATES.replace("{documents}", "documents")
