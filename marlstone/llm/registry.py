@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity
+from . import codes, fingerprints, licenses, mixing, packing, quality, runs, secrets, segmentation, simhash, suffix_lm, topk, toxicity
 from .common import configured
 
-_MODULES = (fingerprints, licenses, packing, quality, secrets, segmentation, simhash, suffix_lm, topk, toxicity)
+_MODULES = (codes, fingerprints, licenses, mixing, packing, quality, runs, secrets, segmentation, simhash, suffix_lm, topk, toxicity)
 
 
 def queries():
