@@ -5,7 +5,7 @@ A model is a plain object that Spark sends to its tasks; columns of texts go thr
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from typing import Protocol
 
 import numpy as np
@@ -19,11 +19,14 @@ class Embedder(Protocol):
 
 
 class LanguageModel(Protocol):
-    def generate(self, prompts: list[str]) -> list[str]: ...
+    def generate(self, prompts: list[str], schema: dict | None = None) -> list[str]:
+        """A reply to each prompt; with a schema, JSON of that form."""
+        ...
 
 
 class HashingEmbedder:
-    """Signed word hashing into a unit vector."""
+    """Signed word hashing: each lower-cased word adds 1 to, or takes 1 from, the component that its MD5 names. Components are whole numbers, so scores do
+    not depend on the order of sums; searches by cosine don't need unit vectors."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
@@ -31,16 +34,16 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, h % self.dimension] += 1 if h >> 31 else -1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+            for w in t.lower().encode().split():
+                h = int.from_bytes(hashlib.md5(w).digest()[:4], "big")
+                out[i, (h & 0x7FFFFFFF) % self.dimension] += 1 if h >> 31 else -1
+        return out
 
 
 class LastLine:
     """Answers with the prompt's last line that has words."""
 
-    def generate(self, prompts: list[str]) -> list[str]:
+    def generate(self, prompts: list[str], schema: dict | None = None) -> list[str]:
         return [next((x.strip() for x in reversed(p.splitlines()) if x.strip()), "") for p in prompts]
 
 
@@ -82,10 +85,14 @@ def re_embedded(rows: DataFrame, model: Embedder) -> DataFrame:
     return rows
 
 
-def generated(rows: DataFrame, prompt: str, into: str, model: LanguageModel) -> DataFrame:
+def generated(rows: DataFrame, prompt: str, into: str, model: LanguageModel, schema: dict | None = None) -> DataFrame:
+    """``rows`` with the model's replies; a null prompt is not asked and has none."""
+
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series(model.generate([p or "" for p in column]), dtype=object)
+        asked = column.dropna()
+        more = {} if schema is None else {"schema": schema}
+        return pd.Series(model.generate(asked.tolist(), **more) if len(asked) else [], index=asked.index, dtype=object).reindex(column.index, fill_value=None)
 
     return rows.withColumn(into, run(F.col(prompt)))
 

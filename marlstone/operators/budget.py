@@ -21,9 +21,13 @@ def pack_context(rows: DataFrame, group: list[str], order: list[Column], tokens:
 
 def pack_hits(rows: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int) -> DataFrame:
     """``pack_context`` for groups of a set size, such as the hits of a search, each in one task."""
+    return running_tokens(rows, group, order, tokens).filter(F.col("running") < budget)
+
+
+def running_tokens(rows: DataFrame, group: list[str], order: list[Column], tokens: str) -> DataFrame:
+    """``running``: the total up to each row of a group of a set size."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(w)
-    return rows.withColumn("running", total).filter(F.col("running") < budget)
+    return rows.withColumn("running", F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(w))
 
 
 def truncate_history(rows: DataFrame, conversation: str, turn: str, tokens: str, budget: int, summary: int, per_message: int = 3, priming: int = 3) -> DataFrame:

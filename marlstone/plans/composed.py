@@ -10,10 +10,14 @@ from ..functions import text as T
 from ..operators import budget as B
 from ..operators import chats, examples, logs
 from ..operators import vector as V
-from ..session import shaped, table
+from ..session import cut, shaped, table
+from .vectors_sql import all_near_sql, near_sql, vectors_sql
 
-#: The chunks of the offline knowledge base: whole messages of conversations, embedded offline.
-_CHUNKS = "SELECT conv_id * 1000 + turn AS vec_id, text AS content, role AS title, concat('https://s/', conv_id) AS url, CAST(turn AS INT) AS page FROM {conversations} WHERE role <> 'user'"
+#: The chunks of the offline knowledge base: whole messages of conversations, in the collection of their role, embedded offline.
+_CHUNKS = "SELECT conv_id * 1000 + turn AS vec_id, conv_id, text AS content, role AS title, role AS collection, concat('https://s/', conv_id) AS url, CAST(turn AS INT) AS page FROM {conversations} WHERE role <> 'user'"
+#: In which collection a conversation asks, and which messages stand for images.
+_SCOPE = "CASE WHEN conv_id % 4 = 3 THEN 'system' ELSE 'assistant' END"
+_HISTORY, _SUMMARY, _CONTEXT = 60, 20, 150
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,19 +25,31 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.embedded(rows, "content", "embedding", models.HashingEmbedder())
 
 
-def _chat(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").filter("conv_id = 0").select("turn", "role", "text")
-    return chats.answered(first, _chunks(spark, sf_dir), models.HashingEmbedder(), chats.JsonEcho(), threshold=threshold)
+def _chats(spark: SparkSession, sf_dir: str, threshold: float, images: bool = False) -> DataFrame:
+    chunks, told = _chunks(spark, sf_dir), table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = {}
+    if images:  # every third conversation asks with an image, whose vector is that of its first message
+        first = models.embedded(told.filter("conv_id % 3 = 0 AND turn = 0"), "text", "embedding", models.HashingEmbedder())
+        more = {"images": chunks.filter("page % 2 = 1"), "image_queries": first.select("conv_id", "embedding"), "image_threshold": 1.05}
+    scopes = told.select("conv_id", F.expr(_SCOPE).alias("collection")).distinct()
+    asked = cut(chats.retrieval_queries(told, chats.JsonEcho(), models.HashingEmbedder()))
+    found = chats.answered(told, asked, chunks, chats.JsonEcho(), collections=scopes, threshold=threshold, context=_CONTEXT, history=_HISTORY, summary=_SUMMARY, **more)
+    return found.select("conv_id", "question", "query", "answer", F.array_join("sources", " ").alias("sources"), F.array_join("context_ids", ",").alias("context_ids"), "n_context", "history", "summarised", "prompt_tokens", "completion_tokens")
 
 
 def rag_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer to the last message of a conversation, from what the knowledge base has on it."""
-    return _chat(spark, sf_dir, 1.0)
+    """The answer to every conversation's last message, from what its collection has on it; some find nothing near enough."""
+    return _chats(spark, sf_dir, 1.2)
+
+
+def rag_chat_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where some conversations ask with an image too."""
+    return _chats(spark, sf_dir, 1.2, images=True)
 
 
 def rag_chat_without_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed answer where no chunk is near enough."""
-    return _chat(spark, sf_dir, 9.0)
+    return _chats(spark, sf_dir, 9.0)
 
 
 def general_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +62,24 @@ def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.embedded(rows, "question", "embedding", models.HashingEmbedder())
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each conversation: its last message, which it leaves out as an example."""
+    last = B.last_message(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return last.select(F.col("conv_id").alias("query_id"), F.col("question").alias("query"), F.array(F.col("conv_id") * 1000 + F.col("n_history")).alias("excluded"))
+
+
 def few_shot_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer in the manner of the store's nearest examples, and these."""
-    return chats.few_shot(_shots(spark, sf_dir), "why is the sky blue", "Answer in the manner of the examples.", models.HashingEmbedder(), models.LastLine())
+    """An answer to every conversation's last message in the manner of the store's nearest examples, and these."""
+    found = chats.few_shot(_asked(spark, sf_dir), _shots(spark, sf_dir), "Answer in the manner of the examples.", models.HashingEmbedder(), models.LastLine())
+    return found.withColumn("examples", F.array_join("examples", ","))
 
 
 def few_shot_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as if some examples were new and others gone."""
     rows = _shots(spark, sf_dir)
     added, kept = rows.filter("vec_id % 3 = 0"), rows.filter("vec_id % 3 <> 0")
-    return chats.few_shot(kept, "why is the sky blue", "Answer in the manner of the examples.", models.HashingEmbedder(), models.LastLine(), added=added, removed=kept.filter("vec_id % 5 = 1").select("vec_id"))
+    found = chats.few_shot(_asked(spark, sf_dir), kept, "Answer in the manner of the examples.", models.HashingEmbedder(), models.LastLine(), added=added, removed=kept.filter("vec_id % 5 = 1").select("vec_id"))
+    return found.withColumn("examples", F.array_join("examples", ","))
 
 
 _MESSAGES = """SELECT conv_id, turn, concat('{{"role": "', CASE WHEN turn % 7 = 6 THEN 'robot' ELSE 'user' END, '", "parts": [',
@@ -133,9 +157,57 @@ def item_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.array_join(T.item_starts(F.col("body"), "ann lee"), ",").alias("starts"))
 
 
-QUERIES = {f.__name__: f for f in (rag_chat, rag_chat_without_hits, general_chat, few_shot_generate, few_shot_preview, message_parts, message_content, multimodal_embed, example_create, publish_copy, positional_zip, bulk_outcome, pii_on_ingest, log_flagging, item_locations)}
+_LAST = "trim(regexp_extract(rtrim({}, ' ' || chr(10) || chr(13) || chr(9)), '[^\n]*$'), ' ' || chr(9) || chr(13))"
+_N = "(CASE WHEN trim({0}) = '' THEN 0 ELSE len(string_split_regex(trim({0}), ' +')) END)"
+
+
+def _rag_sql(threshold: float, images: bool) -> str:
+    image = f"""iq AS (SELECT conv_id AS id, text AS t FROM conversations WHERE conv_id % 3 = 0 AND turn = 0), {vectors_sql("SELECT * FROM iq", "iv")},
+      im AS (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY score DESC, r) AS rank, score FROM ({near_sql("iv", "cv")}) JOIN c ON c.id = r JOIN asks a ON a.conv_id = q WHERE c.collection = a.scope AND c.page % 2 = 1 AND score >= 1.05 QUALIFY rank <= 20)""" if images else "im AS (SELECT q, r, rank, score FROM tx WHERE false)"
+    context = """'<ContextChunk><title>' || title || '</title><url>' || url || '</url><startPage>' || page || '</startPage><endPage>' || page || '</endPage><content>' || content || '</content></ContextChunk>'"""
+    return f"""WITH last AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS end_, {_N.format("text")} AS n FROM conversations),
+      base AS (SELECT conv_id, {_SCOPE} AS scope, arg_max(text, turn) AS question, string_agg(CASE WHEN turn < end_ THEN role || ': ' || text END, chr(10) ORDER BY turn) AS told FROM last GROUP BY conv_id),
+      ref AS (SELECT *, '{chats.REFORMULATE}' || chr(10) || told || chr(10) || 'Follow-up:' || chr(10) || question AS asked FROM base),
+      asks AS (SELECT *, CASE WHEN told IS NULL THEN question ELSE {_LAST.format("asked")} END AS query FROM ref),
+      c AS (SELECT conv_id * 1000 + turn AS id, text AS content, role AS title, role AS collection, 'https://s/' || conv_id AS url, turn AS page, {_N.format("text")} AS n FROM conversations WHERE role <> 'user'),
+      {vectors_sql("SELECT conv_id AS id, query AS t FROM asks", "qv")}, {vectors_sql("SELECT id, content AS t FROM c", "cv")},
+      tx AS (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY score DESC, r) AS rank, score FROM ({near_sql("qv", "cv")}) JOIN c ON c.id = r JOIN asks a ON a.conv_id = q WHERE c.collection = a.scope AND score >= {threshold} QUALIFY rank <= 30),
+      {image},
+      bo AS (SELECT *, min(list) OVER (PARTITION BY q) <> max(list) OVER (PARTITION BY q) AS two FROM (SELECT *, 0 AS list FROM tx UNION ALL SELECT *, 1 FROM im)),
+      fu AS (SELECT q, r, round(sum(CASE WHEN two THEN 1.0::DOUBLE / (60 + rank) ELSE score END), 9) AS score, min({{'l': list, 'k': rank}}) AS first FROM bo GROUP BY q, r),
+      hi AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, first, r) AS rank FROM fu),
+      pa AS (SELECT hi.*, c.*, sum(n) OVER (PARTITION BY q ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM hi JOIN c ON c.id = hi.r QUALIFY running < {_CONTEXT}),
+      cx AS (SELECT q, string_agg({context}, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(id::VARCHAR, ',' ORDER BY rank) AS context_ids, string_agg(url, ' ' ORDER BY rank) AS sources, string_agg('"' || url || '"', ', ' ORDER BY rank) AS listed, count(*) AS n_context FROM pa GROUP BY q),
+      room AS (SELECT conv_id, {_HISTORY} - max(n + 6) FILTER (WHERE turn = end_) AS room, sum(n + 3) FILTER (WHERE turn < end_) + 3 AS every FROM last GROUP BY conv_id),
+      cost AS (SELECT l.conv_id, l.turn, l.role, l.text, sum(n + 3) OVER (PARTITION BY l.conv_id ORDER BY l.turn DESC ROWS UNBOUNDED PRECEDING) + 3 AS cost, room, every FROM last l JOIN room USING (conv_id) WHERE turn < end_),
+      hs AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE every <= room OR cost <= room - {_SUMMARY}) AS kept, string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE every > room AND cost > room - {_SUMMARY}) AS gone FROM cost GROUP BY conv_id),
+      su AS (SELECT *, '{chats.SUMMARISE}' || chr(10) || gone AS told_off, {_LAST.format("gone")} AS reply FROM hs),
+      hy AS (SELECT conv_id, coalesce(concat_ws(chr(10), kept, 'Summary: ' || reply), '') AS history, gone IS NOT NULL AS summarised, coalesce({_N.format("told_off")}, 0) AS p2, coalesce({_N.format("reply")}, 0) AS c2 FROM su),
+      al AS (SELECT a.*, coalesce(h.history, '') AS history, coalesce(h.summarised, false) AS summarised, coalesce(p2, 0) AS p2, coalesce(c2, 0) AS c2, cx.*, hit.q IS NOT NULL AS hit,
+        concat_ws(chr(10) || chr(10), '{chats.ANSWER}', context, nullif(coalesce(h.history, ''), ''), question) AS prompt, {_LAST.format("question")} AS line
+        FROM asks a LEFT JOIN hy h USING (conv_id) LEFT JOIN cx ON cx.q = a.conv_id LEFT JOIN (SELECT DISTINCT q FROM hi) hit ON hit.q = a.conv_id)
+      SELECT conv_id, question, query, CASE WHEN hit THEN line ELSE '{chats.CANNOT_ANSWER}' END AS answer, CASE WHEN hit THEN coalesce(sources, '') ELSE '' END AS sources, coalesce(context_ids, '') AS context_ids, coalesce(n_context, 0) AS n_context, history, summarised,
+        (CASE WHEN hit THEN (CASE WHEN told IS NULL THEN 0 ELSE {_N.format("asked")} END) + p2 + {_N.format("prompt")} ELSE 0 END)::BIGINT AS prompt_tokens,
+        (CASE WHEN hit THEN (CASE WHEN told IS NULL THEN 0 ELSE {_N.format("query")} END) + c2 + {_N.format("""('{"thought": "", "answer": "' || line || '", "challenge_verification": "", "sources": [' || coalesce(listed, '') || ']}')""")} ELSE 0 END)::BIGINT AS completion_tokens FROM al"""
+
+
+def _shots_sql(rows: str) -> str:
+    """Few-shot answers over examples (id, question, answer)."""
+    return f"""WITH s AS ({rows}), a AS (SELECT conv_id AS id, arg_max(text, turn) AS t, conv_id * 1000 + count(*) - 1 AS own FROM conversations GROUP BY conv_id), {vectors_sql("SELECT id, t FROM a", "qv")}, {vectors_sql("SELECT id, question AS t FROM s", "sv")},
+      p AS ({all_near_sql("qv", "sv")}),
+      k AS (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY score DESC, r) AS rank FROM p JOIN a ON a.id = q WHERE r <> own QUALIFY rank <= 5)
+      SELECT a.id AS query_id, regexp_replace(regexp_replace(trim({_LAST.format("('Answer: ' || t)")}), '^Answer', ''), '^[: ]+', '') AS answer, coalesce((SELECT string_agg(r::VARCHAR, ',' ORDER BY rank) FROM k WHERE k.q = a.id), '') AS examples FROM a"""
+
+
+_SHOTS = "SELECT conv_id * 1000 + turn AS id, text AS question, 'about ' || role AS answer FROM conversations"
+
+QUERIES = {f.__name__: f for f in (rag_chat, rag_chat_with_images, rag_chat_without_hits, general_chat, few_shot_generate, few_shot_preview, message_parts, message_content, multimodal_embed, example_create, publish_copy, positional_zip, bulk_outcome, pii_on_ingest, log_flagging, item_locations)}
 ORACLE_SQL = {
-    "rag_chat_without_hits": f"SELECT arg_max(text, turn) AS question, 0::BIGINT AS n_context, '{chats.CANNOT_ANSWER}' AS answer, 0::BIGINT AS prompt_tokens FROM conversations WHERE conv_id = 0",
+    "rag_chat": _rag_sql(1.2, False),
+    "rag_chat_with_images": _rag_sql(1.2, True),
+    "rag_chat_without_hits": _rag_sql(9.0, False),
+    "few_shot_generate": _shots_sql(_SHOTS),
+    "few_shot_preview": _shots_sql(f"SELECT id, question, answer FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY id % 3 <> 0, id) AS nth FROM ({_SHOTS}) WHERE id % 3 = 0 OR id % 5 <> 1) WHERE nth = 1"),
     "general_chat": """SELECT conv_id, arg_max(text, turn) AS question, count(*) - 1 AS n_history, trim(regexp_extract(trim(arg_max(text, turn), ' ' || chr(10) || chr(13) || chr(9)), '[^\n]*$')) AS answer FROM conversations GROUP BY conv_id""",
     "message_parts": """SELECT conv_id, turn, turn % 7 <> 6 AS valid, CASE WHEN turn % 7 <> 6 THEN md5(text) END AS first_text, CASE WHEN turn % 7 <> 6 AND turn % 3 = 1 THEN 'd' END AS first_data,
       CASE WHEN turn % 7 <> 6 AND turn % 2 = 0 THEN 'r' || turn END AS first_reasoning FROM conversations""",

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..operators import vector as V
+from ..operators.many import search_many, word_split_many
 from ..session import shaped, table
+from .vectors_sql import all_near_sql, vectors_sql
 
 
 def _vec(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
@@ -100,14 +103,29 @@ def field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_k_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest five of its own collection for every twentieth vector; candidates meet queries within a collection only."""
-    from pyspark.sql import Window
+    """The nearest five of its own collection for every twentieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding", F.array("vec_id").alias("excluded"))
+    return search_many(queries, rows, 5, collection="label", shift=0.0)
+
 
+def kb_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a query of another collection than its own, with a threshold of its own and some rows left out."""
     rows = table(spark, sf_dir, "embeddings")
-    q = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    found = q.join(rows, "label").filter("query_id != vec_id").withColumn("score", F.round(V.cosine(F.col("q"), F.col("embedding")), 6))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "rank", "vec_id", "score")
+    queries = rows.filter("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), ((F.col("label") + 1) % 10).alias("label"), "embedding", F.when(F.col("vec_id") % 40 == 0, 1.0 + F.col("label") / 100).alias("threshold"),
+        F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.col("vec_id") + i).alias("excluded"),
+    )
+    return search_many(queries, rows, 30, threshold=1.1, collection="label")
+
+
+def word_split_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-split searches of every conversation's first ten words among all messages of other conversations' roles."""
+    told = table(spark, sf_dir, "conversations")
+    store = models.embedded(told.select((F.col("conv_id") * 1000 + F.col("turn")).alias("vec_id"), F.col("text").alias("question"), "role"), "question", "embedding", models.HashingEmbedder())
+    first = F.array_join(F.slice(F.split(F.trim("text"), " +"), 1, 10), " ")
+    queries = told.filter("turn = 0").select(F.col("conv_id").alias("query_id"), F.regexp_replace(first, "[^ A-Za-z]", "").alias("query"), F.lit("assistant").alias("role"))
+    return word_split_many(queries, store, models.HashingEmbedder(), 7, words=3, collection="role").select("query_id", "rank", "vec_id", "score")
 
 
 _COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
@@ -121,8 +139,22 @@ def _score(where: str, query: int, shift: str = " + 1", extra: str = "") -> str:
 _LISTS = f"""t AS (SELECT vec_id, score FROM ({_score("true", 0)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 30),
 i AS (SELECT vec_id, score FROM ({_score("true", 1)}) WHERE score >= 0 ORDER BY score DESC, vec_id LIMIT 20)"""
 
-QUERIES = {f.__name__: f for f in (kb_text_search, kb_image_search, kb_query_modality, hybrid_knn, pairwise_cosine, preview_search, dedup_first, rrf_fusion, combined_results, single_list_fallback, environment_search, word_split_search, field_mapping, top_k_per_collection)}
+QUERIES = {f.__name__: f for f in (kb_text_search, kb_image_search, kb_query_modality, hybrid_knn, pairwise_cosine, preview_search, dedup_first, rrf_fusion, combined_results, single_list_fallback, environment_search, word_split_search, field_mapping, top_k_per_collection, kb_search_many, word_split_many_queries)}
 ORACLE_SQL = {
+    "kb_search_many": f"""SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+      SELECT q.vec_id AS query_id, c.vec_id, round({_COS.format(a='q.embedding', b='c.embedding')} + 1, 6) AS score, CASE WHEN q.vec_id % 40 = 0 THEN 1.0 + q.label / 100 ELSE 1.1 END AS least
+      FROM embeddings q JOIN embeddings c ON c.label = (q.label + 1) % 10 AND NOT c.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 30 WHERE q.vec_id % 20 = 0) WHERE score >= least) WHERE rank <= 30""",
+    "word_split_many_queries": f"""WITH q AS (SELECT conv_id AS id, regexp_replace(array_to_string(string_split_regex(trim(text), ' +')[1:10], ' '), '[^ A-Za-z]', '', 'g') AS t FROM conversations WHERE turn = 0),
+      w AS (SELECT id, t, list_filter(string_split_regex(t, ' +'), lambda x: x <> '') AS words FROM q),
+      f AS (SELECT id, k AS nth, array_to_string(words[3 * k + 1 : 3 * k + 3], ' ') AS t FROM w, unnest(range(0, (len(words) + 2) // 3)) u(k)),
+      s AS (SELECT conv_id * 1000 + turn AS id, text AS question FROM conversations WHERE role = 'assistant'),
+      {vectors_sql("SELECT * FROM q", "qv")}, {vectors_sql("SELECT id * 1000 + nth AS id, t FROM f", "fv")}, {vectors_sql("SELECT id, question AS t FROM s", "sv")},
+      all_q AS ({all_near_sql("qv", "sv")}), all_f AS ({all_near_sql("fv", "sv")}),
+      m AS (SELECT q, r, score, question, row_number() OVER (PARTITION BY q ORDER BY score DESC, r) AS rank FROM all_q JOIN s ON s.id = r QUALIFY rank <= 7),
+      p AS (SELECT q // 1000 AS q, q % 1000 AS nth, r, score, question FROM all_f JOIN s ON s.id = r QUALIFY row_number() OVER (PARTITION BY all_f.q ORDER BY score DESC, r) <= 7),
+      o AS (SELECT * FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q, question ORDER BY nth DESC, score DESC, r) = 1) o WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.q = o.q AND m.question = o.question)),
+      b AS (SELECT q, r, score FROM m WHERE rank <= CASE WHEN q IN (SELECT q FROM p) THEN 4 ELSE 7 END UNION ALL (SELECT q, r, score FROM o WHERE q IN (SELECT q FROM m) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, r) <= 3))
+      SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, r)::INTEGER AS rank, r AS vec_id, score FROM b""",
     "kb_text_search": f"SELECT vec_id, label AS collection, score FROM ({_score('e.label = 3', 0)}) WHERE score >= 1.0 ORDER BY score DESC, vec_id LIMIT 30",
     "kb_image_search": f"SELECT vec_id, label AS collection, score FROM ({_score('e.label = 1 AND e.vec_id % 4 = 1', 1)}) WHERE score >= 0.8 ORDER BY score DESC, vec_id LIMIT 20",
     "kb_query_modality": "SELECT event_id, CASE WHEN event_id % 4 = 0 AND props IS NOT NULL THEN 'image' WHEN event_id % 3 = 0 AND trim(event_type) <> '' THEN 'text' ELSE 'none' END AS modality FROM events",
