@@ -3,8 +3,9 @@
 Candidates are first the links of SimHash fingerprints over the same shingles, by the generalised pigeonhole search of ``simhash``, and then what
 shares a band of MinHash values: SimHash alone would need a radius of over ten bits for pairs at a similarity of ``LEAST``, while such a pair
 shares none of the ``BANDS`` with a probability of 3e-5, more similar ones with less. Every link is verified by the sets themselves.
-Equal texts are one class throughout. What shares a band is first compared with the band's smallest member; only bands that are not in
-one component by then are compared pair by pair, in bounded blocks that hold each text's set once and return a spanning forest.
+Equal texts are one class throughout. The members of a band meet in bounded blocks that hold each set once; there, pairs are found by the rarest
+members of their sets, so that a passage that many texts share brings no pairs by itself, and a block returns a spanning forest. Fingerprints' pairs are looked at after that,
+where bands have not joined their texts yet.
 """
 
 from __future__ import annotations
@@ -27,10 +28,8 @@ LEAST = (4, 5)
 BANDS = 20
 #: MinHash values of a band.
 ROWS = 4
-#: Rows of either side in a block of a band.
-BLOCK = 256
-#: Rows of small bands that are looked at together.
-TOGETHER = 2048
+#: Members of the sets of a slot of a band, or of small bands that are looked at together.
+VOLUME = 1 << 20
 
 #: So many keys go to the tasks as a broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -100,23 +99,52 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_enough(shared, F.size("set_a"), F.size("set_b"))).select("a", "b")
 
 
-def _forest(keys: np.ndarray, sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs of one of left and one of right (places among the keys), those of one root being linked already."""
-    size = np.array([len(s) for s in sets])
-    kinds, number = np.unique(np.concatenate(sets), return_inverse=True)
+def _forest(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs of one of left and one of right (places among the keys).
+
+    With the members of each set in one order, the rarest here first, a similar pair's first common member stands within the first ninth of
+    the smaller set and the first fifth of the larger: what follows it must hold the whole overlap. Only pairs that meet so are counted in full."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
-    in_right = np.concatenate([number[first[k] : first[k + 1]] for k in right])
-    starts = np.concatenate([[0], np.cumsum(size[right])[:-1]]).astype(np.int64)
-    root = np.unique(root, return_inverse=True)[1]
-    mark, out = np.zeros(len(kinds), dtype=np.int32), []
+    owner = np.repeat(np.arange(len(sets)), size)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    often = np.bincount(number)
+    order = np.empty(len(often), dtype=np.int64)
+    order[np.argsort(often, kind="stable")] = np.arange(len(often))
+    token = order[number]
+    token = token[np.lexsort((token, owner))]
+    place = np.arange(len(token)) - first[owner]
+    asked = np.zeros(len(sets), dtype=bool)
+    asked[right] = True
+    index = {}
+    for share in (9, 5):
+        at = np.flatnonzero((place <= size[owner] // share) & asked[owner])
+        at = at[np.argsort(token[at], kind="stable")]
+        index[share] = at, token[at]
+    mark, root, out = np.zeros(len(often), dtype=np.int64), np.arange(len(keys)), []
     for i in left:
         if (root[right] == root[i]).all():
             continue
-        own = number[first[i] : first[i + 1]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[in_right], starts)
-        mark[own] = 0
-        for j in right[_enough(shared.astype(np.int64), size[i], size[right])]:
+        met = []
+        for own_share, other_share in ((9, 5), (5, 9)):
+            own = np.arange(first[i], min(first[i] + size[i] // own_share + 1, first[i + 1]))
+            at, tokens = index[other_share]
+            low = np.searchsorted(tokens, token[own], "left")
+            many = np.searchsorted(tokens, token[own], "right") - low
+            hit = at[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            j = owner[hit]
+            rest = np.minimum(size[i] - np.repeat(place[own], many), size[j] - place[hit])
+            larger = size[j] >= size[i] if own_share == 9 else size[j] < size[i]
+            met.append(j[larger & (root[j] != root[i]) & _enough(rest, size[i], size[j])])
+        met = np.unique(np.concatenate(met))
+        if not len(met):
+            continue
+        starts = np.cumsum(size[met]) - size[met]
+        members = token[np.repeat(first[met] - starts, size[met]) + np.arange(size[met].sum())]
+        mark[token[first[i] : first[i + 1]]] = 1
+        shared = np.add.reduceat(mark[members], starts)
+        mark[token[first[i] : first[i + 1]]] = 0
+        for j in met[_enough(shared, size[i], size[met])]:
             if root[i] != root[j]:
                 out.append((keys[i], keys[j]))
                 root[root == root[j]] = root[i]
@@ -126,27 +154,35 @@ def _forest(keys: np.ndarray, sets: list[np.ndarray], root: np.ndarray, left: np
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     """The forests of the bands in a block: of a small band among its members, of a large one between two of its slots."""
     out: list[tuple[int, int]] = []
-    keys, root, slot = rows["key"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), rows["slot"].to_numpy()
-    r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+    keys, slot, r, c = rows["key"].to_numpy(np.int64), rows["slot"].to_numpy(), rows["r"].to_numpy(), rows["c"].to_numpy()
     for at in rows.groupby("value").indices.values():
         left, right = np.flatnonzero(slot[at] == r[at]), np.flatnonzero(slot[at] == c[at])
-        if len(left) and len(right):
-            out += _forest(keys[at], [np.asarray(rows["shingles"].iat[k], dtype=np.int64) for k in at], root[at], left, right)
+        if len(left) and len(right) and len(at) > 1:
+            out += _forest(keys[at], [np.asarray(rows["shingles"].iat[k], dtype=np.int64) for k in at], left, right)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _blocks(open_bands: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within bands. open_bands: value, key, its root, and the band's number of members."""
-    few = -(-max(open_bands.count(), 1) // TOGETHER)
-    slots = F.ceil(F.col("members") / BLOCK).cast("int")
-    # A band of one slot is looked at with others; of a larger one, every two slots by themselves.
+def _blocks(bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within bands. bands: value, key, and ``volume``, the size of all the band's sets.
+
+    A band of up to ``VOLUME`` goes to a block with others, each of its sets once; a larger one is dealt into slots of that size, and every two slots meet in a block."""
+    slots = F.ceil(F.col("volume") / VOLUME).cast("int")
+    small = bands.filter(slots == 1).agg(F.sum("n").alias("n")).first()["n"] or 0
+    few = 1 + 2 * small // VOLUME
     together = F.when(slots > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(few)))
-    dealt = open_bands.select("value", "key", "root", together.alias("together"), slots.alias("slots"), F.pmod(F.xxhash64("key", "value"), slots).cast("int").alias("slot"))
+    dealt = bands.select("value", "key", together.alias("together"), slots.alias("slots"), F.pmod(F.xxhash64("key", "value"), slots).cast("int").alias("slot"))
     other = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other")
-    cells = dealt.select("*", other).select("value", "key", "root", "together", "slot", F.least("slot", "other").alias("r"), F.greatest("slot", "other").alias("c"), (F.col("slots") > 1).alias("large"))
+    cells = dealt.select("*", other).select("value", "key", "together", "slot", F.least("slot", "other").alias("r"), F.greatest("slot", "other").alias("c"), (F.col("slots") > 1).alias("large"))
     return cells.join(sets, "key").groupBy("large", "together", "r", "c").applyInPandas(_block, "a long, b long")
 
 
+def _needed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets of some keys."""
+    keys = cut(keys)
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return cut(_sets(rows.join(keys, "key", "left_semi")).dropDuplicates(["key"]))
+
+
 def near_texts(docs: DataFrame) -> DataFrame:
     """doc_id and component_id: the smallest doc_id reachable over links of texts of a Jaccard similarity of 0.8 or more.
 
@@ -154,27 +190,20 @@ def near_texts(docs: DataFrame) -> DataFrame:
     and get their component's smallest id, null if it has none. Other columns are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("key", F.xxhash64("text"))
-    signed = cut(_signed(rows))
-    entries = cut(signed.select("key", "n", F.explode("bands").alias("value")).distinct())
-    shared = entries.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("low")).filter("members > 1")
-    shared = cut(entries.join(shared, "value"))
-    pairs = shared.select(F.struct("key", "n").alias("a"), F.col("low").alias("b")).unionByName(_by_fingerprint(signed.select("key", "n", "fp").distinct()))
-    # Sets of too different sizes cannot be similar enough.
-    alike = (F.col("a.key") != F.col("b.key")) & _enough(F.least("a.n", "b.n"), F.col("a.n"), F.col("b.n"))
-    first = cut(pairs.filter(alike).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct())
-    # Texts that are no one's candidate are not needed again.
-    needed = shared.select("key").unionByName(first.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
-    needed = cut(needed)
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
-    sets = cut(_sets(rows.join(needed, "key", "left_semi")).dropDuplicates(["key"]))
-    links = cut(_verified(first, sets))
-    roots = components(links, "a", "b")
-    placed = shared.select("value", "key", "members").join(roots, shared["key"] == roots["node"], "left").select("value", "key", "members", F.coalesce("root", "key").alias("root"))
+    signed = cut(_signed(rows).dropDuplicates(["key"]))
+    entries = signed.select("key", "n", F.explode("bands").alias("value"))
+    members = (F.count("*").alias("m"), F.bit_xor("key").alias("x"), F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("s"), F.sum("n").alias("volume"))
     # Bands of the same members are one.
-    members = (F.count("*").alias("m"), F.bit_xor("key").alias("x"), F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("s"))
-    open_bands = placed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most"), *members).filter("least != most")
-    open_bands = open_bands.groupBy("m", "x", "s", "least", "most").agg(F.min("value").alias("value")).select("value")
-    links = links.unionByName(_blocks(cut(placed.join(open_bands, "value", "left_semi")), sets))
+    bands = entries.groupBy("value").agg(*members).filter("m > 1").groupBy("m", "x", "s", "volume").agg(F.min("value").alias("value")).select("value", "volume")
+    shared = cut(entries.join(bands, "value"))
+    links = cut(_blocks(shared, _needed(rows, shared.select("key").distinct())))
+    roots = components(links, "a", "b")
+    # Of the pairs by fingerprint only those that bands have not joined, and whose sizes allow it.
+    end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    near = _by_fingerprint(signed.select("key", "n", "fp")).filter((F.col("a.key") != F.col("b.key")) & _enough(F.least("a.n", "b.n"), F.col("a.n"), F.col("b.n")))
+    near = near.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct().join(end("a"), "a", "left").join(end("b"), "b", "left")
+    near = cut(near.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    links = links.unionByName(_verified(near, _needed(rows, near.select(F.explode(F.array("a", "b")).alias("key")).distinct())))
     roots = components(links, "a", "b")
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     named = cut(classes.join(roots, classes["key"] == roots["node"], "left").select("key", "first_id", F.coalesce("root", "key").alias("root")))

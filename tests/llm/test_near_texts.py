@@ -7,7 +7,9 @@ from collections import defaultdict
 from itertools import combinations
 
 import corpus_pipeline as C
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from compare import SF
 
 from marlstone.llm import near_texts as N
@@ -63,7 +65,7 @@ def test_recall_by_direct_pairs(spark):
 
 
 def test_crowds_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "VOLUME", 900)
     rng = random.Random(4)
     base = [f"w{j}" for j in range(60)]
     rows = [(i, _changed(rng, base, rng.choice((0, 1, 2, 3)))) for i in range(120)]
@@ -86,7 +88,7 @@ def test_recall_by_bands_of_similarity():
     for k, s in enumerate(sets):
         for x in s:
             by_shingle[x].append(k)
-    pairs = {p for ks in by_shingle.values() if len(ks) < 400 for p in combinations(ks, 2)}
+    pairs = {p for ks in by_shingle.values() for p in combinations(ks, 2)}
     found = defaultdict(list)
     for a, b in pairs:
         j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
@@ -105,3 +107,39 @@ def test_texts_ruled_by_one_line_stay_apart(spark):
     rows = [(i, line + " ".join(f"own{i}x{k}" for k in range(20))) for i in range(3)]
     assert len({simhash.fingerprint(t, 2) for _, t in rows}) == 1
     assert found(spark, rows) == {0: 0, 1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forests_against_all_pairs(seed):
+    """Components of a crowd that shares a passage, with near copies of several sizes, between two sides."""
+    rng = np.random.default_rng(seed)
+    passage, sets = rng.integers(0, 2**60, 150), []
+    for _ in range(60):
+        own = rng.integers(0, 2**60, int(rng.integers(1, 60)))
+        sets.append(np.unique(np.concatenate([passage[rng.random(150) < rng.choice([1, 0.97, 0.9])], own])))
+        if rng.random() < 0.5:
+            sets.append(np.unique(np.concatenate([sets[-1][rng.random(len(sets[-1])) < 0.95], rng.integers(0, 2**60, 5)])))
+    sets += [rng.integers(0, 2**60, k) for k in (1, 1, 2, 4, 5)] + [np.array([7]), np.array([7])]
+    n = len(sets)
+    cut = n if seed % 2 else n // 2
+    left, right = np.arange(cut), np.arange(n) if seed % 2 else np.arange(cut, n)
+
+    def joined(links):
+        low = list(range(n))
+        for a, b in links:
+            a, b = low[a], low[b]
+            low = [min(a, b) if x in (a, b) else x for x in low]
+        return low
+
+    alike = [(i, j) for i in left for j in right if i != j and 5 * len(s := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(s))]
+    got = N._forest(np.arange(n), sets, left, right)
+    assert len(alike) > 10 and set(got) <= {*alike, *((b, a) for a, b in alike)} and joined(got) == joined(alike)
+
+
+def test_crowd_below_the_threshold(spark):
+    """Texts that share a passage of 150 words and have 30 of their own, and a few real copies among them."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(150)]
+    rows = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(30)])) for i in range(400)]
+    rows += [(1000 + i, _changed(rng, rows[i][1].split(), 2)) for i in range(20)]
+    assert found(spark, rows) == {i: i % 1000 for i, _ in rows}
