@@ -26,15 +26,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.unionByName(low.select("u", F.col("low").alias("v"))).filter("u != v").distinct()
 
 
+#: Rows of an edge table that a task reads.
+ROWS_A_TASK = 100_000
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): each linked node with the smallest node of its component. Self-links, repeats and
-    either direction are allowed, null ends are left out; nodes without links give no rows."""
+    either direction are allowed, null ends are left out; nodes without links give no rows.
+
+    Rounds end once every edge leads from a node with no other to one that leads nowhere."""
     known = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    edges, before = cut(edges), None
+    edges = cut(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
     while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
-        if not state["n"] or state == before:
+        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))
+        each = ends.groupBy("node").agg(F.count("to").alias("out"), F.count_if(F.col("to").isNull()).alias("in"))
+        state = each.agg(F.sum("out").alias("n"), F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).alias("open")).first()
+        if not state["open"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges.coalesce(1 + state["n"] // ROWS_A_TASK))))

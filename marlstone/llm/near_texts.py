@@ -4,7 +4,7 @@ Candidates are first the links of SimHash fingerprints over the same shingles, b
 shares a band of MinHash values: SimHash alone would need a radius of over ten bits for pairs at a similarity of ``LEAST``, while such a pair
 shares none of the ``BANDS`` with a probability of 3e-5, more similar ones with less. Every link is verified by the sets themselves.
 Equal texts are one class throughout. The members of a band meet in bounded blocks that hold each set once; there, pairs are found by the rarest
-members of their sets, so that a passage that many texts share brings no pairs by itself, and a block returns a spanning forest. Fingerprints' pairs are looked at after that,
+members of their sets, so that a passage that many texts share brings no pairs by itself, and a block returns its components. Fingerprints' pairs are looked at after that,
 where bands have not joined their texts yet.
 """
 
@@ -100,7 +100,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _forest(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs of one of left and one of right (places among the keys).
+    """The components of the similar pairs of one of left and one of right (places among the keys), as stars: (key, the least key of its component).
 
     With the members of each set in one order, the rarest here first, a similar pair's first common member stands within the first ninth of
     the smaller set and the first fifth of the larger: what follows it must hold the whole overlap. Only pairs that meet so are counted in full."""
@@ -121,7 +121,7 @@ def _forest(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: n
         at = np.flatnonzero((place <= size[owner] // share) & asked[owner])
         at = at[np.argsort(token[at], kind="stable")]
         index[share] = at, token[at]
-    mark, root, out = np.zeros(len(often), dtype=np.int64), np.arange(len(keys)), []
+    mark, root = np.zeros(len(often), dtype=np.int64), np.arange(len(keys))
     for i in left:
         if (root[right] == root[i]).all():
             continue
@@ -146,13 +146,14 @@ def _forest(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: n
         mark[token[first[i] : first[i + 1]]] = 0
         for j in met[_enough(shared, size[i], size[met])]:
             if root[i] != root[j]:
-                out.append((keys[i], keys[j]))
                 root[root == root[j]] = root[i]
-    return out
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, keys)
+    return [(a, b) for a, b in zip(keys.tolist(), least[root].tolist(), strict=True) if a != b]
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    """The forests of the bands in a block: of a small band among its members, of a large one between two of its slots."""
+    """The components of the bands in a block: of a small band among its members, of a large one between two of its slots."""
     out: list[tuple[int, int]] = []
     keys, slot, r, c = rows["key"].to_numpy(np.int64), rows["slot"].to_numpy(), rows["r"].to_numpy(), rows["c"].to_numpy()
     for at in rows.groupby("value").indices.values():
@@ -197,9 +198,9 @@ def near_texts(docs: DataFrame) -> DataFrame:
     bands = entries.groupBy("value").agg(*members).filter("m > 1").groupBy("m", "x", "s", "volume").agg(F.min("value").alias("value")).select("value", "volume")
     shared = cut(entries.join(bands, "value"))
     links = cut(_blocks(shared, _needed(rows, shared.select("key").distinct())))
-    roots = components(links, "a", "b")
-    # Of the pairs by fingerprint only those that bands have not joined, and whose sizes allow it.
-    end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    # Of the pairs by fingerprint only those that no band has joined outright, and whose sizes allow it.
+    labels = links.groupBy("a").agg(F.min("b").alias("b"))
+    end = lambda name: labels.select(F.col("a").alias(name), F.col("b").alias(f"root_{name}"))
     near = _by_fingerprint(signed.select("key", "n", "fp")).filter((F.col("a.key") != F.col("b.key")) & _enough(F.least("a.n", "b.n"), F.col("a.n"), F.col("b.n")))
     near = near.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct().join(end("a"), "a", "left").join(end("b"), "b", "left")
     near = cut(near.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))

@@ -133,7 +133,7 @@ def test_forests_against_all_pairs(seed):
 
     alike = [(i, j) for i in left for j in right if i != j and 5 * len(s := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(s))]
     got = N._forest(np.arange(n), sets, left, right)
-    assert len(alike) > 10 and set(got) <= {*alike, *((b, a) for a, b in alike)} and joined(got) == joined(alike)
+    assert len(alike) > 10 and joined(got) == joined(alike)
 
 
 def test_crowd_below_the_threshold(spark):
