@@ -167,6 +167,16 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "user_id", F.round("left", 4).alias("left"), "admitted")
 
 
+def cron_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is admitted, and what is left before each request, where windows end at irregular ticks."""
+    found = quota.admitted(_requests(spark, sf_dir), ["user_id"], "ms", "event_id", "cost", 150.0, CRON_REPORT)
+    return found.select("event_id", "user_id", F.round("left", 4).alias("left"), "admitted", "next_ms")
+
+
+def cron_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.balances(_requests(spark, sf_dir), ["user_id"], "ms", "event_id", "cost", 150.0, CRON_REPORT)
+
+
 def token_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.balances(_requests(spark, sf_dir), ["user_id"], "ms", "event_id", "cost", 150.0, WINDOW_MS)
 
@@ -252,6 +262,13 @@ f AS (SELECT user_id, event_id, cost, n, ms AS made, 150.0::DOUBLE AS had, true
   SELECT user_id, event_id, cost, n, CASE WHEN lapsed THEN ms ELSE made END, had, admitted, CASE WHEN admitted THEN had - cost ELSE had END FROM (
     SELECT r.user_id, r.event_id, r.cost, r.n, r.ms, f.made, r.ms > (f.made // {WINDOW_MS} + 1) * {WINDOW_MS} AS lapsed, CASE WHEN lapsed THEN 150.0::DOUBLE ELSE f.has END AS had, lapsed OR round(f.has, 6) >= 1 AS admitted
     FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))"""
+_QC = """k AS (SELECT epoch_ms(d + to_minutes(m)) AS tick FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)) + INTERVAL 8 DAY, INTERVAL 1 DAY)) AS d FROM events), (SELECT unnest([495, 525, 795, 825, 1095, 1125]) AS m) WHERE isodow(d) <= 5),
+r AS (SELECT e.*, k.tick FROM (SELECT event_id, user_id, epoch_ms(ts) AS ms, round(abs(value), 4) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) e ASOF JOIN k ON e.ms < k.tick),
+f AS (SELECT user_id, event_id, cost, n, tick, tick AS until, 150.0::DOUBLE AS had, true AS admitted, 150.0::DOUBLE - cost AS has FROM r WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, cost, n, tick, CASE WHEN lapsed THEN tick ELSE until END, had, admitted, CASE WHEN admitted THEN had - cost ELSE had END FROM (
+    SELECT r.user_id, r.event_id, r.cost, r.n, r.tick, f.until, r.ms > f.until AS lapsed, CASE WHEN lapsed THEN 150.0::DOUBLE ELSE f.has END AS had, lapsed OR round(f.has, 6) >= 1 AS admitted
+    FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))"""
 _ST = "SELECT event_id, event_type AS question, props AS answer, CASE WHEN user_id % 4 <> 0 THEN 's' || (user_id % 4) END AS space_id, trunc(value)::INTEGER % 50 AS updated FROM events"
 _G = "SELECT c_custkey AS user_id, 'src' || (c_custkey % 20) AS parent_id, 'https://s/' || c_nationkey AS web_url FROM customer WHERE c_custkey % 20 <> 6"
 _C = "SELECT source AS parent_id, count(*) AS n_chunks, 'c-' || source AS collection FROM documents GROUP BY source ORDER BY n_chunks DESC, parent_id LIMIT 1000"
@@ -259,7 +276,7 @@ _C = "SELECT source AS parent_id, count(*) AS n_chunks, 'c-' || source AS collec
 _ALL = (
     sync_plan, sync_summary, modified_predicate, failure_retry, folder_status, failed_last, chunk_diff, chunk_outcome, image_diff, delete_document, delete_collection, rename_collection, put_state, all_folders,
     states_by_parent, image_flag, example_get_many, examples_page, examples_by_field, examples_by_space, examples_validate, examples_update, examples_delete, publish_rotate, rate_limit, token_balance, cron_next,
-    quota_lookup, list_collections, granted_collections, accessible_collections, access_check, prune_logs, prune_logs_count, log_masking, log_timezone, batches,
+    cron_quota, cron_balance, quota_lookup, list_collections, granted_collections, accessible_collections, access_check, prune_logs, prune_logs_count, log_masking, log_timezone, batches,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
@@ -289,6 +306,8 @@ ORACLE_SQL = {
     "examples_delete": f"SELECT event_id, space_id FROM ({_ST}) WHERE (space_id IS NULL OR space_id <> 's1') AND event_id % 3 <> 0",
     "publish_rotate": "SELECT CASE r_regionkey WHEN 0 THEN 'inactive' WHEN 1 THEN 'staging' ELSE 'live' END AS role, r_name AS index, CASE r_regionkey WHEN 2 THEN 'm1' ELSE 'm' || r_regionkey END AS model FROM region WHERE r_regionkey < 3",
     "rate_limit": f"WITH RECURSIVE {_Q} SELECT event_id, user_id, round(had, 4) AS \"left\", admitted FROM f",
+    "cron_quota": f"WITH RECURSIVE {_QC} SELECT event_id, user_id, round(had, 4) AS \"left\", admitted, tick AS next_ms FROM f",
+    "cron_balance": f"WITH RECURSIVE {_QC} SELECT user_id, round(arg_max(has, n), 4) AS balance, arg_max(until, n) AS reset_ms FROM f GROUP BY user_id",
     "token_balance": f"WITH RECURSIVE {_Q} SELECT user_id, round(arg_max(has, n), 4) AS balance, (arg_max(made, n) // {WINDOW_MS} + 1) * {WINDOW_MS} AS reset_ms FROM f GROUP BY user_id",
     "cron_next": """SELECT event_id, any_value((epoch_ms(ts) // 300000 + 1) * 300000) AS next_ms, min(epoch_ms(day + to_minutes(m))) AS report_ms
       FROM (SELECT event_id, ts, unnest(generate_series(date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 8 DAY, INTERVAL 1 DAY)) AS day FROM events), (SELECT unnest([495, 525, 795, 825, 1095, 1125]) AS m)

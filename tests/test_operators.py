@@ -68,6 +68,45 @@ def test_rate_limit_equals_the_fold(spark):
         assert held == {u: (tokens, (made // 1000 + 1) * 1000) for u, (made, tokens) in records.items()}
 
 
+@pytest.mark.parametrize("expression", ["15,45 8-18/5 * * mon-fri", "* * * * *", "0 0 29 2 *", "30 12 1,15 * fri", "0 6 * * 7"])
+def test_cron_windows_equal_the_fold(spark, expression):
+    """Requests on and around irregular ticks, one by one: the tick after a record's making is a search over minutes."""
+    rng = random.Random(7)
+    start = datetime(2024, 2, 26)
+    fields, parts = quota.cron_fields(expression), expression.split()
+
+    def fits(t):
+        in_month, in_week = t.day in fields["day"], t.isoweekday() % 7 in {d % 7 for d in fields["weekday"]}
+        days = in_month or in_week if not (parts[2].startswith("*") or parts[4].startswith("*")) else in_month and in_week
+        return t.minute in fields["minute"] and t.hour in fields["hour"] and t.month in fields["month"] and days
+
+    minutes = [k for k in range(60 * 24 * 60) if fits(start + timedelta(minutes=k))]
+    origin = (start - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
+    ticks = [origin + 60_000 * k for k in minutes]
+    near = [t + rng.choice([0, 0, -1, 1, 30_000, 59_999]) for t in ticks if t < origin + 20 * 86_400_000]
+    rows = [(i, rng.randrange(3), rng.choice(near) if near and rng.random() < 0.7 else origin + rng.randrange(20 * 86_400_000), float(rng.randrange(0, 6))) for i in range(250)]
+    next_tick = lambda ms: next((t for t in ticks if t > ms), None)
+    want, records = {}, {}
+    for event_id, user, ms, cost in sorted(rows, key=lambda r: (r[2], r[0])):
+        until, tokens = records.get(user, (None, None))
+        lapsed = user not in records or (until is not None and ms > until)
+        until, tokens, allowed = (next_tick(ms), 7.0, True) if lapsed else (until, tokens, tokens >= 1)
+        want[event_id] = (allowed, tokens)
+        records[user] = (until, tokens - cost if allowed else tokens)
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ms long, cost double").withColumn("_day", F.lit("x"))
+    got = quota.admitted(df.drop("_day"), ["user_id"], "ms", "event_id", "cost", 7.0, expression).collect()
+    assert {r["event_id"]: (r["admitted"], r["left"]) for r in got} == want
+    if expression != "0 0 29 2 *":  # its next tick is years away
+        held = {r["user_id"]: (r["balance"], r["reset_ms"]) for r in quota.balances(df.drop("_day"), ["user_id"], "ms", "event_id", "cost", 7.0, expression).collect()}
+        assert held == {u: (tokens, until) for u, (until, tokens) in records.items()}
+
+
+def test_ticks_at_the_edges(spark):
+    df = spark.createDataFrame([(None,), (-5,), (0,), (4_102_444_800_001,)], "ms long")
+    got = [tuple(r) for r in quota.ticked(df, "ms", "0 0 * * *").collect()]
+    assert got[0] == (None, None, None, None) and got[1][1:] == (None, None, None) and got[2] == (0, 0, True, 86_400_000) and got[3][1:] == (None, None, None)
+
+
 def test_rejected_requests_cost_nothing(spark):
     df = spark.createDataFrame([(1, 1, 100, 9.5), (2, 1, 200, 3.0), (3, 1, 300, 3.0)], "event_id long, user_id long, ms long, cost double")
     got = quota.admitted(df, ["user_id"], "ms", "event_id", "cost", 10.0, 1000).orderBy("event_id").collect()
