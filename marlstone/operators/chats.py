@@ -108,9 +108,13 @@ def answered(
     parts = F.array_sort(F.array_agg(F.when(F.col("running") < context, F.struct("rank", "vec_id", block.alias("block")))))
     contexts = totalled.groupBy(conversation).agg(parts.alias("_parts"), F.lit(True).alias("_hit"))
     told = histories(messages, model, history, summary, conversation).select(conversation, "history", "summarised", F.col("prompt_tokens").alias("_p2"), F.col("completion_tokens").alias("_c2"))
-    ready = asked.join(contexts, conversation, "left").join(told, conversation, "left")
+    ready = asked
+    if image_queries is not None:
+        ready = ready.join(image_queries.filter("embedding IS NOT NULL").select(conversation, F.lit(T.USER_IMAGE).alias("_image")).distinct(), conversation, "left")
+    ready = ready.join(contexts, conversation, "left").join(told, conversation, "left")
     body = F.nullif(F.array_join(F.transform("_parts", lambda x: x["block"]), "\n\n"), F.lit(""))
-    prompt = F.concat_ws("\n\n", F.lit(ANSWER), body, F.nullif("history", F.lit("")), "question")
+    image = F.col("_image") if image_queries is not None else F.lit(None).cast("string")
+    prompt = F.concat_ws("\n\n", F.lit(ANSWER), image, body, F.nullif("history", F.lit("")), "question")
     made = models.generated(ready.withColumn("_prompt", F.when(F.col("_hit"), prompt)), "_prompt", "_reply", model, schema=SCHEMA)
     made = made.withColumn("_data", F.from_json(T.fenced_json(T.without_thought(F.col("_reply"))), FIELDS))
     none = F.raise_error(F.lit("the model's reply is no JSON with an answer")).cast("string")

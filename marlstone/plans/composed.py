@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions import text as T
 from ..operators import budget as B
-from ..operators import chats, examples, logs
+from ..operators import chats, examples, logs, pii
 from ..operators import vector as V
 from ..session import cut, shaped, table
 from .vectors_sql import all_near_sql, near_sql, vectors_sql
@@ -139,11 +139,35 @@ def bulk_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_on_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the detectors find in the chunks that an upsert inserts; a document without any has no row."""
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
     found = logs.flagged_logs(rows, ["content"], {"email": T.PII["email"]})
     return found.select("doc_id", F.explode("content_pii").alias("item")).select("doc_id", F.col("item.text").alias("text"), F.col("item.location").alias("location"))
 
 
+_BODY = """concat('Ask ann  lee or u', user_id, '@x.example, not U', user_id, '@x.example, about ', event_type, '; ann', chr(10), 'lee and u', user_id, '@x.example. Note:', chr(10), '  ', {base64}, ' end')"""
+_NOTE = "concat('the card of p', event_id, '@y.example is here')"
+
+
+def pii_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of what a model finds in each text: in plain, in base64, or nowhere as it was made up."""
+    body = _BODY.format(base64=f"CAST(base64(CAST({_NOTE} AS BINARY)) AS STRING)")
+    rows = shaped(spark, sf_dir, f"SELECT event_id, {body} AS body FROM {{events}}", "events")
+    found = pii.detected(rows, "body", {"email": "an address of mail", "name": "a person"}, _detector(), context="notes")
+    return pii.located(found, "body", "items").select("event_id", "entity", "item", "location")
+
+
+def _detector() -> pii.PatternTable:
+    return pii.PatternTable({"NAME": r"ann\s+lee", "EMAIL": r"[A-Za-z]\d+@[a-z]+\.example"}, {"NUMBER": "555 0123"})
+
+
+def pii_detect_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with what the model finds replaced, and what finding it cost."""
+    body = _BODY.format(base64="'none'")
+    rows = shaped(spark, sf_dir, f"SELECT event_id, {body} AS body FROM {{events}}", "events")
+    found = pii.detected(rows, "body", {"email": "an address of mail"}, _detector())
+    return pii.masked(found, "body", "items", "masked").select("event_id", "masked", F.size("items").alias("n_items"), "prompt_tokens", "completion_tokens")
+
+
 def log_flagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows with what was detected in the question beside it, nothing masked."""
     rows = shaped(spark, sf_dir, "SELECT event_id, concat('mail u', user_id, '@x.example now') AS question, props AS history FROM {events}", "events")
@@ -184,7 +208,7 @@ def _rag_sql(threshold: float, images: bool) -> str:
       su AS (SELECT *, '{chats.SUMMARISE}' || chr(10) || gone AS told_off, {_LAST.format("gone")} AS reply FROM hs),
       hy AS (SELECT conv_id, coalesce(concat_ws(chr(10), kept, 'Summary: ' || reply), '') AS history, gone IS NOT NULL AS summarised, coalesce({_N.format("told_off")}, 0) AS p2, coalesce({_N.format("reply")}, 0) AS c2 FROM su),
       al AS (SELECT a.*, coalesce(h.history, '') AS history, coalesce(h.summarised, false) AS summarised, coalesce(p2, 0) AS p2, coalesce(c2, 0) AS c2, cx.*, hit.q IS NOT NULL AS hit,
-        concat_ws(chr(10) || chr(10), '{chats.ANSWER}', context, nullif(coalesce(h.history, ''), ''), question) AS prompt, {_LAST.format("question")} AS line
+        concat_ws(chr(10) || chr(10), '{chats.ANSWER}', {f"CASE WHEN conv_id % 3 = 0 THEN '{T.USER_IMAGE}' END" if images else "NULL"}, context, nullif(coalesce(h.history, ''), ''), question) AS prompt, {_LAST.format("question")} AS line
         FROM asks a LEFT JOIN hy h USING (conv_id) LEFT JOIN cx ON cx.q = a.conv_id LEFT JOIN (SELECT DISTINCT q FROM hi) hit ON hit.q = a.conv_id)
       SELECT conv_id, question, query, CASE WHEN hit THEN line ELSE '{chats.CANNOT_ANSWER}' END AS answer, CASE WHEN hit THEN coalesce(sources, '') ELSE '' END AS sources, coalesce(context_ids, '') AS context_ids, coalesce(n_context, 0) AS n_context, history, summarised,
         (CASE WHEN hit THEN (CASE WHEN told IS NULL THEN 0 ELSE {_N.format("asked")} END) + p2 + {_N.format("prompt")} ELSE 0 END)::BIGINT AS prompt_tokens,
@@ -201,7 +225,7 @@ def _shots_sql(rows: str) -> str:
 
 _SHOTS = "SELECT conv_id * 1000 + turn AS id, text AS question, 'about ' || role AS answer FROM conversations"
 
-QUERIES = {f.__name__: f for f in (rag_chat, rag_chat_with_images, rag_chat_without_hits, general_chat, few_shot_generate, few_shot_preview, message_parts, message_content, multimodal_embed, example_create, publish_copy, positional_zip, bulk_outcome, pii_on_ingest, log_flagging, item_locations)}
+QUERIES = {f.__name__: f for f in (rag_chat, rag_chat_with_images, rag_chat_without_hits, general_chat, few_shot_generate, few_shot_preview, message_parts, message_content, multimodal_embed, example_create, publish_copy, positional_zip, bulk_outcome, pii_on_ingest, pii_detect, pii_detect_mask, log_flagging, item_locations)}
 ORACLE_SQL = {
     "rag_chat": _rag_sql(1.2, False),
     "rag_chat_with_images": _rag_sql(1.2, True),
@@ -218,9 +242,22 @@ ORACLE_SQL = {
     "positional_zip": "SELECT event_id AS index, event_type, props FROM events WHERE event_id % 4 <> 1",
     "bulk_outcome": """SELECT user_id, count(*) AS items, count(*) FILTER (WHERE bad) AS failed, arg_min(CASE WHEN event_id % 17 = 0 THEN 'rate limit' ELSE 'internal' END, event_id) FILTER (WHERE bad) AS first_error, bool_or(bad) AS raises
       FROM (SELECT *, event_id % 17 = 0 OR event_id % 23 = 0 AS bad FROM events) GROUP BY user_id""",
+    "pii_detect": f"""WITH b AS (SELECT event_id, length('' || user_id) AS k, length(event_type) AS e, 'u' || user_id || '@x.example' AS low, 'U' || user_id || '@x.example' AS high FROM events)
+      SELECT event_id, 'NAME' AS entity, 'ann lee' AS item, unnest([4, 54 + 2 * k + e])::INTEGER AS location FROM b
+      UNION ALL SELECT event_id, 'EMAIL', low, unnest([16, 66 + 2 * k + e])::INTEGER FROM b
+      UNION ALL SELECT event_id, 'EMAIL', high, (33 + k)::INTEGER FROM b
+      UNION ALL SELECT event_id, 'EMAIL', 'p' || event_id || '@y.example', (87 + 3 * k + e)::INTEGER FROM b
+      UNION ALL SELECT event_id, 'NUMBER', '555 0123', NULL FROM b""",
+    "pii_detect_mask": f"""WITH b AS (SELECT event_id, event_type, 'u' || user_id || '@x.example' AS low, 'U' || user_id || '@x.example' AS high FROM events),
+      c AS (SELECT *, 'Ask ann  lee or ' || low || ', not ' || high || ', about ' || event_type || '; ann' || chr(10) || 'lee and ' || low || '. Note:' || chr(10) || '  none end' AS body,
+        '| entity | text |' || chr(10) || '| --- | --- |' || chr(10) || '| NAME | ann lee |' || chr(10) || '| EMAIL | ' || low || ' |' || chr(10) || '| EMAIL | ' || high || ' |' || chr(10) || '| NUMBER | 555 0123 |' AS found,
+        '{{"pii": [{{"entity": "NAME", "text": "ann lee"}}, {{"entity": "EMAIL", "text": "x"}}, {{"entity": "EMAIL", "text": "x"}}, {{"entity": "NUMBER", "text": "555 0123"}}]}}' AS json FROM b),
+      d AS (SELECT *, 'List the personal and sensitive data in the text as a Markdown table with the columns entity and text.' || chr(10) || 'EMAIL: an address of mail' || chr(10) || 'Text:' || chr(10) || body AS p1, 'Turn all rows of the table into JSON.' || chr(10) || 'Table:' || chr(10) || found AS p2 FROM c)
+      SELECT event_id, 'Ask [NAME] or [EMAIL], not [EMAIL], about ' || event_type || '; [NAME] and [EMAIL]. Note:' || chr(10) || '  none end' AS masked, 4::INTEGER AS n_items,
+      ({_N.format("p1")} + {_N.format("p2")})::BIGINT AS prompt_tokens, ({_N.format("found")} + {_N.format("json")})::BIGINT AS completion_tokens FROM d""",
     "log_flagging": "SELECT event_id, 'mail u' || user_id || '@x.example now' AS question, props AS history, 'email:u' || user_id || '@x.example:5' AS items FROM events",
     "item_locations": "SELECT event_id, '0,13,' || (26 + length(event_type)) AS starts FROM events",
-    "pii_on_ingest": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 2 = 0),
+    "pii_on_ingest": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
       m AS (SELECT doc_id, regexp_extract_all(t, '{T.PII["email"]}') AS hits, regexp_split_to_array(t, '{T.PII["email"]}') AS gaps FROM d),
       k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)
       SELECT doc_id, hits[i] AS text, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0))::INTEGER AS location FROM k""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import chunking, models
+from ..operators import pii
 from ..session import shaped, shared_folder, table
 from ..streaming import operators as S
 from . import store
@@ -28,7 +29,8 @@ def word_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def find_in_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shaped(spark, sf_dir, "SELECT event_id, concat('see ', CAST(base64(CAST(concat('secret mail of user ', user_id, ' in the log') AS BINARY)) AS STRING), ' end') AS body FROM {events}", "events")
-    return rows.select("event_id", chunking.found_in_base64(F.col("body"), "Of User 7 ").alias("found"))
+    found = pii.starts_in_base64(F.col("body"), F.lit("Of User 7 "))
+    return rows.select("event_id", chunking.found_in_base64(F.col("body"), "Of User 7 ").alias("found"), F.array_join(found, ",").alias("starts"))
 
 
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +118,7 @@ def ext_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
 ORACLE_SQL = {
     "log_lift": "SELECT event_id, regexp_extract(props, '\\d+')::BIGINT AS k FROM events",
-    "find_in_base64": "SELECT event_id, user_id = 7 AS found FROM events",
+    "find_in_base64": "SELECT event_id, user_id = 7 AS found, CASE WHEN user_id = 7 THEN '4' ELSE '' END AS starts FROM events",
     "stream_rate_limit": 'SELECT event_id, user_id, admitted FROM (' + store.ORACLE_SQL["rate_limit"] + ")",
     "stream_think": """SELECT message_id, kind, sum(n)::BIGINT AS n_chars FROM (SELECT conv_id * 1000 + turn AS message_id, 'thought' AS kind, length('why ' || role) AS n FROM conversations
       UNION ALL SELECT conv_id * 1000 + turn, 'answer', length(text) FROM conversations WHERE text <> '') GROUP BY message_id, kind""",
