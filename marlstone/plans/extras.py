@@ -12,6 +12,7 @@ from ..functions import chunking, models
 from ..operators import pii
 from ..session import shaped, shared_folder, table
 from ..streaming import operators as S
+from ..streaming import quotas
 from . import store
 
 #: Fixed value: characters of a page, of texts that come without pages.
@@ -81,13 +82,20 @@ def ext_user_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, customer["c_nationkey"] == nation["n_nationkey"]).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, run) -> DataFrame:
-    """What a stream makes of ``rows``, replayed to its end from files in the shared folder."""
+def _streamed(spark: SparkSession, rows: DataFrame, run, **confs: str) -> DataFrame:
+    """What a stream makes of ``rows``, replayed to its end from files in the shared folder, under session settings that hold for it alone."""
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/in")
     schema: StructType = spark.read.parquet(f"{folder}/in").schema
     made = run(spark.readStream.schema(schema).parquet(f"{folder}/in"))
-    made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -95,6 +103,24 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, store._requests(spark, sf_dir), lambda s: S.rate_limited(s, 150.0, store.WINDOW_MS)).select("event_id", "user_id", "admitted")
 
 
+_STORE = {"spark.sql.streaming.stateStore.providerClass": quotas.STORE}
+
+
+def stream_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, each followed by two chunks of its answer of which the last charges its cost, under a quota of irregular windows."""
+    asks = store._requests(spark, sf_dir)
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), F.lit(last).alias("last_chunk")) for n, kind, last in ((0, "ask", False), (1, "chunk", False), (2, "chunk", True))]))
+    told = asks.select("*", steps.alias("s")).select("user_id", (F.col("event_id") * 3 + F.col("s.step")).alias("event_id"), "ms", "s.kind", F.col("event_id").alias("message_id"), F.when(F.col("s.last_chunk"), F.col("cost")).alias("tokens"), "s.last_chunk")
+    found = _streamed(spark, told, lambda s: quotas.charged_requests(s, 150.0, store.CRON_REPORT), **_STORE)
+    return found.filter("kind = 'ask'").select((F.col("event_id") / 3).cast("long").alias("event_id"), "user_id", F.round("balance", 4).alias("left"), "admitted")
+
+
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of a day answers of every user's look-ups of event types; some make it forget."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_type").alias("item"), F.col("event_id").cast("string").alias("value"), (F.col("event_id") % 7 == 0).alias("forgets"))
+    return _streamed(spark, rows, lambda s: quotas.cached(s, ttl_ms=86_400_000), **_STORE).select(F.col("key").cast("long").alias("user_id"), "event_id", "item", "value", "hit")
+
+
 def _deltas(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     """Answers with a thought, cut every five characters."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("<think>why "), F.col("role"), F.lit("</think>"), text).alias("body"))
@@ -115,11 +141,16 @@ def ext_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, S.closing(table(spark, sf_dir, "events").select("ts", "event_type"), "ts"), lambda s: S.windowed_counts(s, "ts", "event_type"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
+QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_charges, stream_cache, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
 ORACLE_SQL = {
     "log_lift": "SELECT event_id, regexp_extract(props, '\\d+')::BIGINT AS k FROM events",
     "find_in_base64": "SELECT event_id, user_id = 7 AS found, CASE WHEN user_id = 7 THEN '4' ELSE '' END AS starts FROM events",
     "stream_rate_limit": 'SELECT event_id, user_id, admitted FROM (' + store.ORACLE_SQL["rate_limit"] + ")",
+    "stream_charges": 'SELECT event_id, user_id, "left", admitted FROM (' + store.ORACLE_SQL["cron_quota"] + ")",
+    "stream_cache": """WITH RECURSIVE r AS (SELECT event_id, user_id, event_type AS item, epoch_ms(ts) AS ms, event_id % 7 = 0 AS forgets, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT *, CASE WHEN forgets THEN NULL ELSE event_id END AS held, ms AS made, false AS hit FROM r WHERE n = 1
+        UNION ALL SELECT r.*, CASE WHEN r.forgets THEN NULL WHEN young THEN f.held ELSE r.event_id END, CASE WHEN young THEN f.made ELSE r.ms END, young FROM (SELECT r, f, f.held IS NOT NULL AND r.ms < f.made + 86400000 AS young FROM f JOIN r ON r.user_id = f.user_id AND r.item = f.item AND r.n = f.n + 1))
+      SELECT user_id, event_id, item, held::VARCHAR AS value, hit FROM f WHERE NOT forgets""",
     "stream_think": """SELECT message_id, kind, sum(n)::BIGINT AS n_chars FROM (SELECT conv_id * 1000 + turn AS message_id, 'thought' AS kind, length('why ' || role) AS n FROM conversations
       UNION ALL SELECT conv_id * 1000 + turn, 'answer', length(text) FROM conversations WHERE text <> '') GROUP BY message_id, kind""",
     "ext_daily_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -73,11 +73,6 @@ def assembled(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("message_id").agg(F.array_join(F.transform(parts, lambda x: x["delta"]), "").alias("text"), F.max("tokens").alias("tokens"))
 
 
-def charged(chunks: DataFrame) -> DataFrame:
-    """What each stream costs once its last chunk has come."""
-    return chunks.filter("last_chunk").select("message_id", F.coalesce("tokens", F.lit(0)).alias("cost"))
-
-
 def log_sink(logs: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Buffered log writing: a micro-batch a second."""
     return logs.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").outputMode("append")
