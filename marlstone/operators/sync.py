@@ -23,20 +23,25 @@ def link_expired(upserted_ms: Column, as_of_ms: int, refresh_ms: int = LINK_REFR
     return F.coalesce(F.lit(as_of_ms) - upserted_ms > refresh_ms, F.lit(True))
 
 
+def needs_upsert(kind: Column, known: Column, state_ms: Column, source_ms: Column, upserted_ms: Column, state_url: Column, url: Column, status: Column, retry: Column, as_of_ms: int, max_retry: int = MAX_RETRY) -> Column:
+    """Whether a listed file is to be upserted: it has no state or time; a link changed or is due; an image's address changed; else it changed, or did not succeed and may be tried again."""
+    changed = modified(state_ms, source_ms)
+    again = (F.coalesce(status, F.lit("successful")) != "successful") & (F.coalesce(retry, F.lit(0)) < max_retry)
+    return (
+        F.when(known.isNull() | state_ms.isNull(), True)
+        .when(kind == "link", changed | link_expired(upserted_ms, as_of_ms))
+        .when((kind == "image") & (state_url != url), True)
+        .otherwise(changed | again)
+    )
+
+
 def plan(listing: DataFrame, states: DataFrame, as_of_ms: int, max_retry: int = MAX_RETRY) -> DataFrame:
     """One row for each file of either side with its action: upsert, none, unsupported or remove.
 
     listing: id, name, web_url, modified_ms. states: id, web_url, modified_ms, upserted_ms, status, retry."""
     s = states.select("id", F.lit(True).alias("known"), F.col("web_url").alias("s_url"), F.col("modified_ms").alias("s_ms"), "upserted_ms", F.coalesce("status", F.lit("successful")).alias("status"), F.coalesce("retry", F.lit(0)).alias("retry"))
     both = listing.join(s, "id", "full_outer").withColumn("kind", reader(F.col("name")))
-    changed = modified(F.col("s_ms"), F.col("modified_ms"))
-    again = (F.col("status") != "successful") & (F.col("retry") < max_retry)
-    upsert = (
-        F.when(F.col("known").isNull() | F.col("s_ms").isNull(), True)
-        .when(F.col("kind") == "link", changed | link_expired(F.col("upserted_ms"), as_of_ms))
-        .when((F.col("kind") == "image") & (F.col("s_url") != F.col("web_url")), True)
-        .otherwise(changed | again)
-    )
+    upsert = needs_upsert(F.col("kind"), F.col("known"), F.col("s_ms"), F.col("modified_ms"), F.col("upserted_ms"), F.col("s_url"), F.col("web_url"), F.col("status"), F.col("retry"), as_of_ms, max_retry)
     action = F.when(F.col("name").isNull(), "remove").when(F.col("kind").isNull(), "unsupported").when(upsert, "upsert").otherwise("none")
     return both.select("id", "kind", action.alias("action"))
 

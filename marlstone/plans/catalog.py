@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composed, conversation, extras, search, store, texts
+from . import composed, connector, conversation, extras, search, store, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (composed, conversation, extras, search, store, texts)
+_MODULES = (composed, connector, conversation, extras, search, store, texts)
 
 
 def queries() -> dict[str, Query]:
