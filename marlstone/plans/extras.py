@@ -12,7 +12,7 @@ from ..functions import chunking, models
 from ..operators import pii
 from ..session import shaped, shared_folder, table
 from ..streaming import operators as S
-from ..streaming import quotas
+from ..streaming import quotas, upserts
 from . import store
 
 #: Fixed value: characters of a page, of texts that come without pages.
@@ -103,6 +103,36 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, store._requests(spark, sf_dir), lambda s: S.rate_limited(s, 150.0, store.WINDOW_MS)).select("event_id", "user_id", "admitted")
 
 
+_FIRST = "SELECT doc_id, 1 AS version, concat('c-', source) AS collection, lang AS title, array(md5(text), concat('mail u', doc_id, '@x.example'), concat('note ', lang)) AS contents FROM {documents} WHERE doc_id % 5 <> 0"
+_SECOND = """SELECT doc_id, 2 AS version, concat('c-', CASE WHEN doc_id % 9 = 0 THEN 'moved' ELSE source END) AS collection, lang AS title,
+  CASE WHEN doc_id % 6 <> 0 THEN array(md5(text), concat('note ', lang), concat('note ', lang), concat('mail new', doc_id, '@x.example')) END AS contents FROM {documents} WHERE doc_id % 3 = 0"""
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a chunk table after two versions of the documents came in, one after the other."""
+    folder = f"{shared_folder(spark).rstrip('/')}/upserts-{uuid.uuid4().hex}"
+    for sql in (_FIRST, _SECOND):
+        shaped(spark, sf_dir, sql, "documents").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+        upserts.upserts(stream, folder, f"{folder}/state", models.HashingEmbedder(8), upserts.PatternDetector({"email": r"[a-z]+\d+@x\.example"})).trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks after a stream of document versions."""
+    return upserts.current(upserts.changes(spark, _upserted(spark, sf_dir))).select("doc_id", "collection", "title", "content", F.size("embedding").alias("dimension"), "nth")
+
+
+def stream_upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks each batch inserted, updated and deleted."""
+    return upserts.changes(spark, _upserted(spark, sf_dir)).groupBy("batch", "action").agg(F.count("*").alias("n"))
+
+
+def stream_upsert_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was detected in the chunks that batches inserted."""
+    return upserts.callbacks(spark, _upserted(spark, sf_dir)).select("doc_id", "batch", F.explode("items").alias("i")).select("doc_id", "batch", "i.entity", "i.text")
+
+
 _STORE = {"spark.sql.streaming.stateStore.providerClass": quotas.STORE}
 
 
@@ -141,11 +171,20 @@ def ext_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, S.closing(table(spark, sf_dir, "events").select("ts", "event_type"), "ts"), lambda s: S.windowed_counts(s, "ts", "event_type"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_charges, stream_cache, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
+_TWO = """a AS (SELECT doc_id, 'c-' || source AS collection, lang AS title, unnest([md5(text), 'mail u' || doc_id || '@x.example', 'note ' || lang]) AS content FROM documents WHERE doc_id % 5 <> 0),
+  b AS (SELECT doc_id, 'c-' || CASE WHEN doc_id % 9 = 0 THEN 'moved' ELSE source END AS collection, lang AS title, unnest([md5(text), 'note ' || lang, 'note ' || lang, 'mail new' || doc_id || '@x.example']) AS content FROM documents WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0),
+  x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content) AS nth FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content) AS nth FROM b),
+  d AS (SELECT 1 AS batch, coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.content, y.content) AS content, CASE WHEN x.doc_id IS NULL THEN 'insert' WHEN y.doc_id IS NULL THEN 'delete' WHEN x.collection <> y.collection THEN 'update' ELSE 'keep' END AS action
+    FROM (SELECT * FROM x WHERE doc_id % 3 = 0) x FULL JOIN y ON x.doc_id = y.doc_id AND x.content = y.content AND x.nth = y.nth UNION ALL SELECT 0, doc_id, content, 'insert' FROM a)"""
+
+QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_upsert, stream_upsert_changes, stream_upsert_callbacks, stream_charges, stream_cache, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
 ORACLE_SQL = {
     "log_lift": "SELECT event_id, regexp_extract(props, '\\d+')::BIGINT AS k FROM events",
     "find_in_base64": "SELECT event_id, user_id = 7 AS found, CASE WHEN user_id = 7 THEN '4' ELSE '' END AS starts FROM events",
     "stream_rate_limit": 'SELECT event_id, user_id, admitted FROM (' + store.ORACLE_SQL["rate_limit"] + ")",
+    "stream_upsert": f"WITH {_TWO} SELECT doc_id, collection, title, content, 8 AS dimension, nth::INTEGER AS nth FROM y UNION ALL SELECT doc_id, collection, title, content, 8, nth::INTEGER FROM x WHERE doc_id % 3 <> 0",
+    "stream_upsert_changes": f"WITH {_TWO} SELECT batch::BIGINT AS batch, action, count(*) AS n FROM d WHERE action <> 'keep' GROUP BY batch, action",
+    "stream_upsert_callbacks": f"WITH {_TWO} SELECT doc_id, batch::BIGINT AS batch, 'email' AS entity, content[6:] AS text FROM d WHERE action = 'insert' AND content LIKE 'mail %'",
     "stream_charges": 'SELECT event_id, user_id, "left", admitted FROM (' + store.ORACLE_SQL["cron_quota"] + ")",
     "stream_cache": """WITH RECURSIVE r AS (SELECT event_id, user_id, event_type AS item, epoch_ms(ts) AS ms, event_id % 7 = 0 AS forgets, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
       f AS (SELECT *, CASE WHEN forgets THEN NULL ELSE event_id END AS held, ms AS made, false AS hit FROM r WHERE n = 1
