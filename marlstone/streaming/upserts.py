@@ -43,7 +43,8 @@ def _log(spark: SparkSession, folder: str, name: str, schema: str, batches: int)
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch") < batches)
+    # By the folders' numbers, so that a folder which is written anew is not read.
+    return spark.read.schema(f"{schema}, part long").parquet(path).filter(F.col("part") < batches).drop("part")
 
 
 def changes(spark: SparkSession, folder: str, batches: int = 2**62) -> DataFrame:
