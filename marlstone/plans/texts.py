@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.html import page_content
 from ..session import shaped, table
 
 #: Files made from documents: a name with one of several endings.
@@ -31,6 +32,11 @@ def first_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", T.first_url(F.col("body")).alias("url"))
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' main content by a walk over their tags; ``html_text`` is that of patterns, with spaces for tags."""
+    return table(spark, sf_dir, "pages").select("page_id", page_content(F.col("html")).alias("content"))
+
+
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.main_text(F.col("html")).alias("content"))
 
@@ -61,7 +67,11 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = T.PII["email"]
-_HTML = "html"
+_HTML = _BARE = "html"
+for _p in (r"(?s)<!--.*?-->", *[rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in T.HIDDEN], r"(?s)<[^>]*>"):
+    _BARE = f"regexp_replace({_BARE}, '{_p}', '', 'g')"
+for _a, _b in (("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_a}', '{_b}')"
 for _p in (r"(?s)<!--.*?-->", *[rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in T.HIDDEN], r"(?s)<[^>]*>"):
     _HTML = f"regexp_replace({_HTML}, '{_p}', ' ', 'g')"
 _HTML = f"regexp_replace({_HTML}, '&(copy|middot);', '', 'g')"
@@ -69,7 +79,7 @@ for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
     _HTML = f"replace({_HTML}, '{_a}', '{_b}')"
 _NAME = _FILES.replace("{documents}", "documents")
 
-QUERIES = {f.__name__: f for f in (file_extension, title_from_url, url_rebase, first_url, html_text, base64_clean, base64_validity, file_validation, pii_locate, pii_mask)}
+QUERIES = {f.__name__: f for f in (file_extension, title_from_url, url_rebase, first_url, html_text, page_text, base64_clean, base64_validity, file_validation, pii_locate, pii_mask)}
 ORACLE_SQL = {
     "file_extension": f"""SELECT doc_id, ext AS extension, CASE WHEN ext IN ('pdf') THEN 'pdf' WHEN ext = 'url' THEN 'link' WHEN ext IN ('txt','md','doc','docx','rtf','html') THEN 'text' WHEN ext IN ('jpg','jpeg','png') THEN 'image' END AS reader
       FROM (SELECT doc_id, lower(coalesce(regexp_extract(regexp_replace(list_extract(string_split(name, '/'), -1), '&action.*$', ''), '\\.([^.]*)$', 1), '')) AS ext FROM ({_NAME}))""",
@@ -77,6 +87,7 @@ ORACLE_SQL = {
     "url_rebase": "SELECT page_id, 'https://new.example/folder/' || list_extract(string_split(url, '/'), -1) AS url FROM pages",
     "first_url": "SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN regexp_extract(url, 'https?://[^\\s]+') END AS url FROM pages",
     "html_text": f"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '\\s+', ' ', 'g'), '[^\\x20-\\x7E]', '', 'g'), ' +', ' ', 'g')) AS content FROM pages",
+    "page_text": f"SELECT page_id, trim(regexp_replace(regexp_replace({_BARE}, '[\\s\u00a0]+', ' ', 'g'), '[^\\x20-\\x7E]+', '', 'g')) AS content FROM pages",
     "base64_clean": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type || repeat('=', ((4 - length(event_type) % 4) % 4)::INTEGER) END AS body, CASE WHEN event_id % 3 <> 0 THEN 'image/png' END AS mime FROM events",
     "base64_validity": "SELECT event_id, regexp_matches(b, '^[A-Za-z0-9+/]*={0,2}$') AND length(b) >= 100 AS valid FROM (SELECT event_id, repeat(event_type, (event_id % 20)::INTEGER) || CASE WHEN event_id % 7 = 0 THEN '!' ELSE '=' END AS b FROM events)",
     "file_validation": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'type' WHEN event_id % 4 <> 0 THEN 'size' ELSE 'ok' END AS state FROM events",
