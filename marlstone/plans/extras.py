@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from ..functions import chunking, models
 from ..operators import pii
 from ..session import shaped, shared_folder, table
+from ..sources import pages
 from ..streaming import operators as S
 from ..streaming import quotas, upserts
 from . import store
@@ -103,6 +104,25 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, store._requests(spark, sf_dir), lambda s: S.rate_limited(s, 150.0, store.WINDOW_MS)).select("event_id", "user_id", "admitted")
 
 
+_ITEMS = """SELECT source AS folder, CAST(doc_id AS STRING) AS id, concat('d', doc_id, '.md') AS name, concat('https://s/', doc_id) AS web_url, 1700000000000 - doc_id AS modified_ms,
+  CAST(CASE WHEN doc_id % 40 = 0 THEN doc_id % 7 END AS INT) AS child_count FROM {documents}"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    pages.write_pages(shaped(spark, sf_dir, _ITEMS, "documents"), path, 25)
+    return path
+
+
+def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a listing that comes in pages."""
+    return pages.files_of(pages.listed(spark, _pages(spark, sf_dir))).drop("child_count")
+
+
+def paged_listing_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.folders_of(pages.listed(spark, _pages(spark, sf_dir)))
+
+
 _FIRST = "SELECT doc_id, 1 AS version, concat('c-', source) AS collection, lang AS title, array(md5(text), concat('mail u', doc_id, '@x.example'), concat('note ', lang)) AS contents FROM {documents} WHERE doc_id % 5 <> 0"
 _SECOND = """SELECT doc_id, 2 AS version, concat('c-', CASE WHEN doc_id % 9 = 0 THEN 'moved' ELSE source END) AS collection, lang AS title,
   CASE WHEN doc_id % 6 <> 0 THEN array(md5(text), concat('note ', lang), concat('note ', lang), concat('mail new', doc_id, '@x.example')) END AS contents FROM {documents} WHERE doc_id % 3 = 0"""
@@ -177,11 +197,13 @@ _TWO = """a AS (SELECT doc_id, 'c-' || source AS collection, lang AS title, unne
   d AS (SELECT 1 AS batch, coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.content, y.content) AS content, CASE WHEN x.doc_id IS NULL THEN 'insert' WHEN y.doc_id IS NULL THEN 'delete' WHEN x.collection <> y.collection THEN 'update' ELSE 'keep' END AS action
     FROM (SELECT * FROM x WHERE doc_id % 3 = 0) x FULL JOIN y ON x.doc_id = y.doc_id AND x.content = y.content AND x.nth = y.nth UNION ALL SELECT 0, doc_id, content, 'insert' FROM a)"""
 
-QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, stream_upsert, stream_upsert_changes, stream_upsert_callbacks, stream_charges, stream_cache, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
+QUERIES = {f.__name__: f for f in (chunk_documents, word_fragments, find_in_base64, page_range, embed_texts, re_embed, generate_answers, sample_logs, log_lift, stream_rate_limit, paged_listing, paged_listing_folders, stream_upsert, stream_upsert_changes, stream_upsert_callbacks, stream_charges, stream_cache, stream_think, stream_assembly, ext_daily_counts, ext_user_spend)}
 ORACLE_SQL = {
     "log_lift": "SELECT event_id, regexp_extract(props, '\\d+')::BIGINT AS k FROM events",
     "find_in_base64": "SELECT event_id, user_id = 7 AS found, CASE WHEN user_id = 7 THEN '4' ELSE '' END AS starts FROM events",
     "stream_rate_limit": 'SELECT event_id, user_id, admitted FROM (' + store.ORACLE_SQL["rate_limit"] + ")",
+    "paged_listing": "SELECT source AS folder, doc_id::VARCHAR AS id, 'd' || doc_id || '.md' AS name, 'https://s/' || doc_id AS web_url, 1700000000000 - doc_id AS modified_ms FROM documents WHERE doc_id % 40 <> 0",
+    "paged_listing_folders": "SELECT source AS folder, doc_id::VARCHAR AS id, 'd' || doc_id || '.md' AS name, 'https://s/' || doc_id AS web_url, 1700000000000 - doc_id AS modified_ms, (doc_id % 7)::INTEGER AS child_count FROM documents WHERE doc_id % 40 = 0",
     "stream_upsert": f"WITH {_TWO} SELECT doc_id, collection, title, content, 8 AS dimension, nth::INTEGER AS nth FROM y UNION ALL SELECT doc_id, collection, title, content, 8, nth::INTEGER FROM x WHERE doc_id % 3 <> 0",
     "stream_upsert_changes": f"WITH {_TWO} SELECT batch::BIGINT AS batch, action, count(*) AS n FROM d WHERE action <> 'keep' GROUP BY batch, action",
     "stream_upsert_callbacks": f"WITH {_TWO} SELECT doc_id, batch::BIGINT AS batch, 'email' AS entity, content[6:] AS text FROM d WHERE action = 'insert' AND content LIKE 'mail %'",
