@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,45 +16,36 @@ SEPARATORS = ("\n\n", "\n", " ", ".", ",", "​", "，", "、", "．", "。", ""
 FRAGMENT_SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", ";", ",", " ")
 
 
-def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Chunks of at most ``size`` characters where the separators allow it, neighbours sharing up to ``overlap``."""
-    mark = next((s for s in separators if s == "" or s in text), "")
-    finer = list(separators)[list(separators).index(mark) + 1 :] if mark in separators else []
-    parts = list(text) if mark == "" else [p for p in text.split(mark) if p]
-    out: list[str] = []
-    held: list[str] = []
-
-    def put() -> None:
-        nonlocal held
-        out.extend(_merged(held, mark, size, overlap))
-        held = []
-
-    for p in parts:
-        if len(p) < size:
-            held.append(p)
-            continue
-        put()
-        out.extend(split_text(p, size, overlap, finer) if finer else [p])
-    put()
+def windows(lengths: Sequence[int], gap: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Stretches (first, end) of parts in a row, with gaps between them, that fit in ``size``: each as long as it can be, and beginning with the last parts of the one before that
+    take at most ``overlap`` and leave room for the part that comes next. A part that is larger is a stretch by itself."""
+    upto = [0, *accumulate(n + gap for n in lengths)]
+    out, first = [], 0
+    while first < len(lengths):
+        # What a stretch takes is upto[end] - upto[first] - gap.
+        end = max(first + 1, bisect_right(upto, size + gap + upto[first]) - 1)
+        out.append((first, end))
+        if end == len(lengths):
+            break
+        most = min(overlap, size - lengths[end] - gap)
+        first = min(end, bisect_left(upto, upto[end] - gap - most, first)) if most >= 0 else end
     return out
 
 
-def _merged(parts: list[str], mark: str, size: int, overlap: int) -> list[str]:
+def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """Chunks of at most ``size`` characters where the separators allow it, neighbours sharing up to ``overlap``: a text is cut at the coarsest separator that it has; short parts in a row are
+    put together, others are cut again at finer ones."""
+    level = next((k for k, s in enumerate(separators) if not s or s in text), len(separators))
+    mark, finer = "".join(separators[level : level + 1]), separators[level + 1 :]
+    parts = [p for p in text.split(mark) if p] if mark else list(text)
     out: list[str] = []
-    window: list[str] = []
-    total = 0
-    for p in parts:
-        extra = len(p) + (len(mark) if window else 0)
-        if window and total + extra > size:
-            if joined := mark.join(window).strip():
-                out.append(joined)
-            while window and (total > overlap or total + len(p) + len(mark) > size):
-                total -= len(window[0]) + (len(mark) if len(window) > 1 else 0)
-                window.pop(0)
-        total += len(p) + (len(mark) if window else 0)
-        window.append(p)
-    if window and (joined := mark.join(window).strip()):
-        out.append(joined)
+    for short, run in groupby(parts, key=lambda p: len(p) < size):
+        row = list(run)
+        if short:
+            joined = (mark.join(row[a:b]).strip() for a, b in windows([len(p) for p in row], len(mark), size, overlap))
+            out += [c for c in joined if c]
+        else:
+            out += [c for p in row for c in (split_text(p, size, overlap, finer) if finer else [p])]
     return out
 
 

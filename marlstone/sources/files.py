@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.office import file_text
 from ..functions.text import first_url, main_text, reader
 
 
@@ -22,6 +26,23 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(reader(F.col("name")).isin("text")).select("name", F.when(html, main_text(F.col("value"))).otherwise(F.col("value")).alias("content"))
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """name, path, content and note of text files of all kinds (txt, md, html, docx, rtf, and doc where it is rich text), a row a file but for empty ones; what cannot be read has an empty content and a note that says why.
+
+    Files are parsed in the tasks that read them, one at a time; a file is whole in one of them."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.substring_index("path", "/", -1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, p, data in zip(b["name"], b["path"], b["content"], strict=True):
+                text, note = file_text(n, data)
+                yield pd.DataFrame({"name": [n], "path": [p], "content": [text], "note": [note]})
+
+    kept = rows.filter(reader(name) == "text").select(name.alias("name"), "path", "content")
+    return kept.mapInPandas(run, "name string, path string, content string, note string")
+
+
 def links(spark: SparkSession, path: str) -> DataFrame:
     """name and address of web links (``.url`` files)."""
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("name"), "value")
