@@ -6,6 +6,7 @@ A model is a plain object that Spark sends to its tasks; columns of texts go thr
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -24,6 +25,37 @@ class LanguageModel(Protocol):
         ...
 
 
+class Tokenizer(Protocol):
+    def count(self, texts: list[str]) -> list[int]: ...
+
+
+class VocabularyFile:
+    """Token counts by a tokenizer's file, which every machine must have at that path; it is read once in each Python worker."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def count(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer as Vocabulary
+
+    return Vocabulary.from_file(path)
+
+
+def counted(rows: DataFrame, text: str, into: str, tokenizer: Tokenizer) -> DataFrame:
+    """``rows`` with the number of tokens of a text; none for a null one."""
+
+    @F.pandas_udf("int")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series(tokenizer.count([t or "" for t in column]), dtype="int32")
+
+    return rows.withColumn(into, F.coalesce(run(F.col(text)), F.lit(0)))
+
+
 class HashingEmbedder:
     """Signed word hashing: each lower-cased word adds 1 to, or takes 1 from, the component that its MD5 names. Components are whole numbers, so scores do
     not depend on the order of sums; searches by cosine don't need unit vectors."""

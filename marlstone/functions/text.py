@@ -203,9 +203,9 @@ def item_starts(text: Column, item: str) -> Column:
     return F.array_distinct(F.concat(at_start, inner))
 
 
-def category_tag(name: Column) -> Column:
+def category_tag(name: str) -> str:
     """What stands for a category of personal data in instructions and masked texts: upper case, spaces as hyphens."""
-    return F.upper(F.replace(name, F.lit(" "), F.lit("-")))
+    return name.upper().replace(" ", "-")
 
 
 def masked(text: Column, detectors: dict[str, str] = PII) -> Column:

@@ -13,6 +13,15 @@ def word_tokens(text: Column) -> Column:
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim(text), " +")))
 
 
+#: Fixed value: what an image costs in a context.
+IMAGE_TOKENS = 1000
+
+
+def chunk_tokens(kind: Column, text_tokens: Column) -> Column:
+    """What a chunk costs in a context: an image's fixed number, else its text's tokens (none for a null text)."""
+    return F.when(kind == "image", IMAGE_TOKENS).otherwise(F.coalesce(text_tokens, F.lit(0)))
+
+
 def pack_context(rows: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int) -> DataFrame:
     """Ranked rows while the running total (``running``) stays under ``budget``; the first overflow ends the list. A missing count is 0. A group
     may be of any size; rows should be narrow, see ``running``."""

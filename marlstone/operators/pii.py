@@ -74,7 +74,7 @@ def detected(rows: DataFrame, text: str, config: dict[str, str], model: models.L
 
     config: the definition of each category by name. The first pass asks for a Markdown table of what is found, with the context of the texts if there is one; the second turns the table into
     JSON. Null texts are not asked and have null items; a reply that is no such JSON gives none."""
-    named = "\n".join(f"{name.upper().replace(' ', '-')}: {meaning}" for name, meaning in config.items())
+    named = "\n".join(f"{T.category_tag(name)}: {meaning}" for name, meaning in config.items())
     first = F.concat_ws("\n", F.lit("List the personal and sensitive data in the text as a Markdown table with the columns entity and text."), F.lit(named), F.lit(f"About the text: {context}") if context else F.lit(None), F.concat(F.lit("Text:\n"), F.col(text)))
     asked = models.generated(rows.withColumn("_first", F.when(F.col(text).isNotNull(), first)), "_first", "_table", model)
     second = F.concat(F.lit("Turn all rows of the table into JSON.\nTable:\n"), F.col("_table"))

@@ -83,6 +83,11 @@ def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(keys.select(on).distinct(), on, "left_anti")
 
 
+def without_folder(states: DataFrame, folder: str) -> DataFrame:
+    """The next snapshot when a folder's own state is deleted: the row of that id that has no parent. A file's state of the same id stays."""
+    return states.filter(~F.coalesce((F.col("id") == folder) & F.col("parent_id").isNull(), F.lit(False)))
+
+
 def renamed(rows: DataFrame, collection: str, to: str, folder_url: str) -> DataFrame:
     """The next snapshot when a collection and its folder are renamed."""
     own = F.col("collection") == collection

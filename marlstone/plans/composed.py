@@ -11,7 +11,7 @@ from ..operators import budget as B
 from ..operators import chats, examples, logs, pii
 from ..operators import vector as V
 from ..session import cut, shaped, table
-from .vectors_sql import all_near_sql, near_sql, vectors_sql
+from .vectors_sql import all_near_sql, near_sql, vector_sql, vectors_sql
 
 #: The chunks of the offline knowledge base: whole messages of conversations, in the collection of their role, embedded offline.
 _CHUNKS = "SELECT conv_id * 1000 + turn AS vec_id, conv_id, text AS content, role AS title, role AS collection, concat('https://s/', conv_id) AS url, CAST(turn AS INT) AS page FROM {conversations} WHERE role <> 'user'"
@@ -107,14 +107,14 @@ def multimodal_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the image's or the text's vector stands for a message, and its length."""
     parts = _messages(spark, sf_dir).filter("m IS NOT NULL AND NOT exists(m.parts, p -> p.kind IN ('data', 'reasoning'))").withColumn("parts", T.content_parts(F.col("m")))
     found = models.multimodal_embedded(parts, "parts", "v", models.HashingEmbedder(32), models.ImageBytes(16))
-    return found.select("conv_id", "turn", F.size("v").alias("dimension"))
+    return found.select("conv_id", "turn", F.transform("v", lambda x: x.cast("long")).alias("vector"))
 
 
 def example_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the store gets of some new rows: invalid ones are skipped."""
     rows = shaped(spark, sf_dir, "SELECT event_type AS question, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS STRING) END AS answer, CASE WHEN event_id % 5 = 0 THEN 'x' END AS _id FROM {events}", "events")
     made = examples.created(rows, ["question", "answer"], ["question"], models.HashingEmbedder(), "2024-01-01 00:00:00")
-    return made.select("question", "answer", "last_updated_time", F.size("question_embeddings").alias("dimension"), (F.length("_id") == 64).alias("has_id"))
+    return made.select("question", "answer", "last_updated_time", F.transform("question_embeddings", lambda x: x.cast("long")).alias("vector"), (F.length("_id") == 64).alias("has_id"))
 
 
 def publish_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +236,8 @@ ORACLE_SQL = {
     "message_parts": """SELECT conv_id, turn, turn % 7 <> 6 AS valid, CASE WHEN turn % 7 <> 6 THEN md5(text) END AS first_text, CASE WHEN turn % 7 <> 6 AND turn % 3 = 1 THEN 'd' END AS first_data,
       CASE WHEN turn % 7 <> 6 AND turn % 2 = 0 THEN 'r' || turn END AS first_reasoning FROM conversations""",
     "message_content": "SELECT conv_id, turn, 'text=' || md5(text) || ';text=second;file=AAAA' AS content FROM conversations WHERE turn % 2 = 1 AND turn % 3 <> 1 AND turn % 7 <> 6",
-    "multimodal_embed": "SELECT conv_id, turn, 32 AS dimension FROM conversations WHERE turn % 2 = 1 AND turn % 3 <> 1 AND turn % 7 <> 6",
-    "example_create": "SELECT event_type AS question, event_id::VARCHAR AS answer, TIMESTAMP '2024-01-01' AS last_updated_time, 64 AS dimension, true AS has_id FROM events WHERE event_type IS NOT NULL AND event_id % 3 <> 0 AND event_id % 5 <> 0",
+    "multimodal_embed": f"WITH {vectors_sql("SELECT conv_id * 1000 + turn AS id, md5(text) || ' second' AS t FROM conversations", "v", 32)} SELECT conv_id, turn, {vector_sql("v", "conv_id * 1000 + turn", 32, "'x'")} AS vector FROM conversations WHERE turn % 2 = 1 AND turn % 3 <> 1 AND turn % 7 <> 6",
+    "example_create": f"WITH {vectors_sql("SELECT DISTINCT event_type AS id, event_type AS t FROM events", "v")} SELECT event_type AS question, event_id::VARCHAR AS answer, TIMESTAMP '2024-01-01' AS last_updated_time, {vector_sql("v", "event_type", 64, "event_type")} AS vector, true AS has_id FROM events WHERE event_type IS NOT NULL AND event_id % 3 <> 0 AND event_id % 5 <> 0",
     "publish_copy": "SELECT 'i' || (event_id % 3) AS index, event_id, event_type FROM events WHERE event_id % 3 < 2 UNION ALL SELECT 'i2', event_id, event_type FROM events WHERE event_id % 3 = 1",
     "positional_zip": "SELECT event_id AS index, event_type, props FROM events WHERE event_id % 4 <> 1",
     "bulk_outcome": """SELECT user_id, count(*) AS items, count(*) FILTER (WHERE bad) AS failed, arg_min(CASE WHEN event_id % 17 = 0 THEN 'rate limit' ELSE 'internal' END, event_id) FILTER (WHERE bad) AS first_error, bool_or(bad) AS raises

@@ -28,6 +28,12 @@ def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.message_cost(_turns(spark, sf_dir), "conv_id", "n")
 
 
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each chunk costs in a context, where every fourth stands for an image."""
+    rows = shaped(spark, sf_dir, "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'image' WHEN doc_id % 4 = 2 THEN 'text' END AS kind, text FROM {documents}", "documents")
+    return rows.select("doc_id", B.chunk_tokens(F.col("kind"), B.word_tokens(F.col("text"))).alias("n_token"))
+
+
 def last_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.last_message(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
@@ -89,7 +95,7 @@ _ANSWERS = """a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('<thin
   WHEN 2 THEN concat('```json', props, '```') ELSE concat('Answer: ', event_type) END AS whole, CASE event_id % 4 WHEN 0 THEN concat('<think>', event_type, '</think> ', props) WHEN 1 THEN concat(event_type, '</think>', props)
   WHEN 2 THEN concat('```json', props, '```') ELSE concat('Answer: ', event_type) END AS answer FROM events)"""
 
-QUERIES = {f.__name__: f for f in (context_pack, history_truncate, message_tokens, last_question, concat_chunks, rank_assign, context_render, think_extract, json_fence, answer_strip, prompt_render, confidence, usage_rollup)}
+QUERIES = {f.__name__: f for f in (context_pack, history_truncate, message_tokens, chunk_tokens, last_question, concat_chunks, rank_assign, context_render, think_extract, json_fence, answer_strip, prompt_render, confidence, usage_rollup)}
 ORACLE_SQL = {
     "context_pack": f"SELECT source, doc_id, n_token, running FROM (SELECT source, doc_id, n_token, sum(n_token) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT source, doc_id, {_N} AS n_token FROM documents)) WHERE running < 1000",
     "history_truncate": f"""WITH m AS (SELECT conv_id, turn, role, n, turn = max(turn) OVER (PARTITION BY conv_id) AS asks FROM (SELECT *, {_N} AS n FROM conversations)),
@@ -97,6 +103,7 @@ ORACLE_SQL = {
       k AS (SELECT a.conv_id, a.turn, a.role, a.n, (SELECT sum(b.n + 3) + 3 FROM m b WHERE b.conv_id = a.conv_id AND NOT b.asks AND b.turn >= a.turn)::BIGINT AS cost FROM m a WHERE NOT a.asks)
       SELECT conv_id, turn, role, n, cost, every > room AS summarised FROM k JOIN q USING (conv_id) JOIN h USING (conv_id) WHERE every <= room OR cost <= room - 30""",
     "message_tokens": f"SELECT conv_id, (sum({_N} + 3) + 3)::BIGINT AS n_tokens FROM conversations GROUP BY conv_id",
+    "chunk_tokens": f"SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 1000 ELSE {_N} END::INTEGER AS n_token FROM documents",
     "last_question": "SELECT conv_id, arg_max(text, turn) AS question, count(*) - 1 AS n_history FROM conversations GROUP BY conv_id",
     "concat_chunks": "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS joined FROM conversations GROUP BY conv_id",
     "rank_assign": "SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INTEGER AS rank FROM documents",

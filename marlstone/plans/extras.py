@@ -15,6 +15,7 @@ from ..sources import pages
 from ..streaming import operators as S
 from ..streaming import quotas, upserts
 from . import store
+from .vectors_sql import vector_sql, vectors_sql
 
 #: Fixed value: characters of a page, of texts that come without pages.
 PAGE = 1500
@@ -202,6 +203,8 @@ ORACLE_SQL = {
     "log_lift": "SELECT event_id, regexp_extract(props, '\\d+')::BIGINT AS k FROM events",
     "find_in_base64": "SELECT event_id, user_id = 7 AS found, CASE WHEN user_id = 7 THEN '4' ELSE '' END AS starts FROM events",
     "stream_rate_limit": 'SELECT event_id, user_id, admitted FROM (' + store.ORACLE_SQL["rate_limit"] + ")",
+    "embed_texts": f"WITH {vectors_sql("SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations", "v")} SELECT conv_id, turn, list_transform({vector_sql("v", "conv_id * 1000 + turn", 64, "text")}, lambda x: 100000 * x) AS vector FROM conversations",
+    "re_embed": f"WITH {vectors_sql("SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations", "v", 32)} SELECT conv_id, turn, list_transform({vector_sql("v", "conv_id * 1000 + turn", 32, "text")}, lambda x: 100000 * x) AS vector FROM conversations",
     "paged_listing": "SELECT source AS folder, doc_id::VARCHAR AS id, 'd' || doc_id || '.md' AS name, 'https://s/' || doc_id AS web_url, 1700000000000 - doc_id AS modified_ms FROM documents WHERE doc_id % 40 <> 0",
     "paged_listing_folders": "SELECT source AS folder, doc_id::VARCHAR AS id, 'd' || doc_id || '.md' AS name, 'https://s/' || doc_id AS web_url, 1700000000000 - doc_id AS modified_ms, (doc_id % 7)::INTEGER AS child_count FROM documents WHERE doc_id % 40 = 0",
     "stream_upsert": f"WITH {_TWO} SELECT doc_id, collection, title, content, 8 AS dimension, nth::INTEGER AS nth FROM y UNION ALL SELECT doc_id, collection, title, content, 8, nth::INTEGER FROM x WHERE doc_id % 3 <> 0",

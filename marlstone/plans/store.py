@@ -82,6 +82,11 @@ def delete_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.without(rows, rows.filter("source IN ('src1', 'src2')"), "source")
 
 
+def delete_folder_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shaped(spark, sf_dir, "SELECT CAST(doc_id % 50 AS STRING) AS id, CASE WHEN doc_id % 3 <> 0 THEN source END AS parent_id, doc_id FROM {documents}", "documents")
+    return sync.without_folder(rows, "6")
+
+
 def rename_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shaped(spark, sf_dir, "SELECT doc_id, source AS collection, concat('https://s/', source, '/', doc_id) AS web_url FROM {documents}", "documents")
     return sync.renamed(rows, "src3", "renamed", "https://s/renamed")
@@ -274,7 +279,7 @@ _G = "SELECT c_custkey AS user_id, 'src' || (c_custkey % 20) AS parent_id, 'http
 _C = "SELECT source AS parent_id, count(*) AS n_chunks, 'c-' || source AS collection FROM documents GROUP BY source ORDER BY n_chunks DESC, parent_id LIMIT 1000"
 
 _ALL = (
-    sync_plan, sync_summary, modified_predicate, failure_retry, folder_status, failed_last, chunk_diff, chunk_outcome, image_diff, delete_document, delete_collection, rename_collection, put_state, all_folders,
+    sync_plan, sync_summary, modified_predicate, failure_retry, folder_status, failed_last, chunk_diff, chunk_outcome, image_diff, delete_document, delete_collection, delete_folder_state, rename_collection, put_state, all_folders,
     states_by_parent, image_flag, example_get_many, examples_page, examples_by_field, examples_by_space, examples_validate, examples_update, examples_delete, publish_rotate, rate_limit, token_balance, cron_next,
     cron_quota, cron_balance, quota_lookup, list_collections, granted_collections, accessible_collections, access_check, prune_logs, prune_logs_count, log_masking, log_timezone, batches,
 )
@@ -292,6 +297,7 @@ ORACLE_SQL = {
       SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.page, o.page) AS page, CASE WHEN o.u IS NULL THEN 'insert' WHEN n.u IS NULL THEN 'delete' WHEN n.u <> o.u THEN 'update' ELSE 'keep' END AS action FROM n FULL JOIN o ON n.doc_id = o.doc_id AND n.page = o.page""",
     "delete_document": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "delete_collection": "SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src2')",
+    "delete_folder_state": "SELECT (doc_id % 50)::VARCHAR AS id, CASE WHEN doc_id % 3 <> 0 THEN source END AS parent_id, doc_id FROM documents WHERE NOT (doc_id % 50 = 6 AND doc_id % 3 = 0)",
     "rename_collection": "SELECT doc_id, CASE WHEN source = 'src3' THEN 'renamed' ELSE source END AS collection, 'https://s/' || CASE WHEN source = 'src3' THEN 'renamed' ELSE source END || '/' || doc_id AS web_url FROM documents",
     "put_state": f"SELECT id, CASE WHEN id % 3 = 0 THEN 'processing' ELSE status END AS status FROM ({_S})",
     "all_folders": "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'failed' ELSE 'successful' END AS status FROM documents WHERE doc_id % 25 = 0",

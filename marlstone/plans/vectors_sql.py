@@ -18,3 +18,9 @@ def near_sql(queries: str, rows: str) -> str:
 def all_near_sql(queries: str, rows: str) -> str:
     """``near_sql`` with the pairs that share nothing."""
     return f"SELECT q.id AS q, r.id AS r, coalesce(score, 1.0) AS score FROM {queries}_n q CROSS JOIN {rows}_n r LEFT JOIN ({near_sql(queries, rows)}) n ON n.q = q.id AND n.r = r.id"
+
+
+def vector_sql(name: str, key: str, dimension: int, text: str) -> str:
+    """The whole vector of the row with that key and text in ``vectors_sql``'s set, as a list of whole numbers; null for a text without words."""
+    found = f"(SELECT list_transform(range({dimension}), lambda k: coalesce(map_from_entries(list((d, c)))[k], 0)::BIGINT) FROM {name} WHERE {name}.id = {key} HAVING count(*) > 0)"
+    return f"CASE WHEN trim({text}) <> '' THEN coalesce({found}, list_transform(range({dimension}), lambda k: 0::BIGINT)) END"

@@ -62,9 +62,9 @@ def write_batch(rows: DataFrame, key: str, prompt: str, path: str) -> None:
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
-    """A batch job's results by custom_id; lines that are no JSON are skipped."""
-    parsed = spark.read.text(path).select(F.from_json("value", "custom_id string, response string", {"mode": "PERMISSIVE"}).alias("x"))
-    return parsed.filter(F.col("x.custom_id").isNotNull()).select("x.custom_id", "x.response")
+    """A batch job's results by custom_id; lines that are no JSON, and those whose status, if they have one, is no success (300 or over), are skipped."""
+    parsed = spark.read.text(path).select(F.from_json("value", "custom_id string, response string, status int", {"mode": "PERMISSIVE"}).alias("x"))
+    return parsed.filter(F.col("x.custom_id").isNotNull() & (F.coalesce("x.status", F.lit(200)) < 300)).select("x.custom_id", "x.response")
 
 
 def aligned(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:

@@ -321,11 +321,18 @@ def test_files_and_batches(spark, tmp_path):
     files.write_batch(rows, "id", "prompt", str(tmp_path / "batch"))
     assert spark.read.text(str(tmp_path / "batch")).count() == 2
     (tmp_path / "out").mkdir()
-    (tmp_path / "out" / "r.jsonl").write_text('{"custom_id": "2", "response": "yes"}\nnot json\n')
+    (tmp_path / "out" / "r.jsonl").write_text('{"custom_id": "2", "response": "yes"}\nnot json\n{"custom_id": "1", "response": "busy", "status": 429}\n')
     got = files.aligned(rows, files.read_batch(spark, str(tmp_path / "out")), "id")
     assert {r["id"]: r["response"] for r in got.collect()} == {1: "", 2: "yes"}
 
 
+def test_token_counts(spark):
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    df = spark.createDataFrame([("Hello world, hello",), ("",), (None,)], "t string")
+    got = [r["n"] for r in models.counted(df, "t", "n", models.VocabularyFile(str(path))).collect()]
+    assert got[0] >= 4 and got[1:] == [0, 0]
+
+
 def test_models(spark):
     df = spark.createDataFrame([("hello world",), (" ",), (None,)], "t string")
     rows = models.embedded(df, "t", "v", models.HashingEmbedder(8)).collect()
