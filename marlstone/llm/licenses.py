@@ -1,14 +1,15 @@
 """License scan: MinHash bands over overlapping windows find templates, exact shingle containment verifies them.
 
-A template of n words is looked for in windows of n + s - 1 words, s = max(1, n // 4) apart, so some window holds all of any
-copy of it. The window's shingles are then at least a share J of the template's and its own together, and the number of
+A template of n words is looked for in windows of n + s - 1 words or somewhat more, s = max(1, n // 4) apart from each text's start on, so some window holds all of any
+copy of it. Where a share ``CONTAINED`` of the template's shingles is in the window, what both have is at least a share J of what either has, and the number of
 bands (of one row each) is the least with 1 - (1 - J)^bands at or above ``SURE``. A retrieved template counts if a share
-``CONTAINED`` of its shingles is in the window.
+``CONTAINED`` of its shingles is in the window. Texts that are too short to hold that share are not looked at. Templates are statements, notices and whole licences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib.resources import files
 from math import ceil, log
 
 import numpy as np
@@ -41,6 +42,15 @@ TEMPLATES = {
 }
 
 
+def whole_licenses() -> dict[str, str]:
+    """The texts of whole licences: the files of the package's folder of templates, by name."""
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted((files(__package__) / "templates").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def all_templates() -> dict[str, str]:
+    return TEMPLATES | whole_licenses()
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k word hashes."""
     out = np.zeros(max(0, len(words) - k + 1), dtype=np.uint64)
@@ -61,53 +71,58 @@ class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, shingle: int = SHINGLE, contained: float = CONTAINED, sure: float = SURE):
         self.contained = contained
         self.classes: dict[int, list[tuple[str, np.ndarray]]] = {}
+        #: By number of words: words of a shingle, the windows' distance and their size in such steps, and the bands.
         self.plan: dict[int, tuple[int, int, int, int]] = {}
         for name, text in templates.items():
             words = words_of([text]).hash
             if n := len(words):
                 k = min(shingle, n)
                 self.classes.setdefault(n, []).append((name, np.unique(shingle_hashes(words, k))))
-                step = max(1, n // 4)
-                j = (n - k + 1) * contained / (n - k + step)
-                self.plan[n] = (k, n + step - 1, step, 1 if step == 1 and n - k == 0 else ceil(log(1 - sure) / log(1 - j)))
+        for n, own in self.classes.items():
+            k, step = min(shingle, n), max(1, n // 4)
+            steps = ceil((n - k + step) / step)
+            few = min(len(s) for _, s in own)
+            j = few * contained / (steps * step + few * (1 - contained))
+            self.plan[n] = (k, step, steps, 1 if n == k else ceil(log(1 - sure) / log(1 - j)))
         self.lows = {name: [int(_permuted(s, b).min()) for b in range(self.plan[n][3])] for n, own in self.classes.items() for name, s in own}
 
     def scan(self, texts: list[str]) -> list[tuple[int, str, float, int, int]]:
-        """Matches (text's number, template, containment, first word, words) of some texts."""
+        """Matches (text's number, template, containment, first word, words) of some texts; each text's are the same whatever others are scanned with it."""
         w = words_of(texts)
-        text = np.repeat(np.arange(len(texts)), w.counts)
         first = np.cumsum(w.counts) - w.counts
         found: dict[tuple[int, str], tuple[float, int, int]] = {}
-        hashed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        hashed: dict[int, np.ndarray] = {}
         for n, templates in self.classes.items():
-            k, size, step, bands = self.plan[n]
-            if len(text) < k:
+            k, step, steps, bands = self.plan[n]
+            many = w.counts - k + 1
+            long = np.flatnonzero(many >= max(1, min(len(own) for _, own in templates) * self.contained))
+            if not len(long):
                 continue
             if k not in hashed:
-                hashed[k] = shingle_hashes(w.hash, k), text[: len(text) - k + 1] == text[k - 1 :]
-            shingles, inside = hashed[k]
-            across, count = ~inside, size - k + 1
-            windows = np.arange(0, len(shingles), step)
+                hashed[k] = shingle_hashes(w.hash, k)
+            # The shingles of the texts that are long enough, in blocks of a step from each text's start.
+            size = many[long]
+            begin = np.cumsum(size) - size
+            shingles = hashed[k][np.repeat(first[long] - begin, size) + np.arange(size.sum())]
+            blocks = -(-size // step)
+            of = np.repeat(np.arange(len(long)), blocks)
+            start = begin[of] + step * (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
             near: dict[str, list[np.ndarray]] = {name: [] for name, _ in templates}
             for b in range(bands):
-                h = _permuted(shingles, b)
-                h[across] = np.iinfo(np.uint64).max
-                if count > 1:
-                    h = np.concatenate([h, np.full(count + step, np.iinfo(np.uint64).max, dtype=np.uint64)])
-                    low = np.lib.stride_tricks.sliding_window_view(h, count)[::step][: len(windows)].min(axis=1)
-                else:
-                    low = h
+                low = np.minimum.reduceat(_permuted(shingles, b), start)
+                least = low.copy()
+                for j in range(1, min(steps, len(low))):
+                    same = of[j:] == of[:-j]
+                    least[:-j] = np.where(same, np.minimum(least[:-j], low[j:]), least[:-j])
                 for name, _ in templates:
-                    near[name].append(np.flatnonzero(low == np.uint64(self.lows[name][b])))
+                    near[name].append(np.flatnonzero(least == np.uint64(self.lows[name][b])))
             for name, own in templates:
-                for at in windows[np.unique(np.concatenate(near[name]))].tolist():
-                    window = slice(at, at + count)
-                    hits = np.flatnonzero(np.isin(shingles[window], own) & inside[window]) + at
-                    for t in np.unique(text[hits]).tolist():
-                        mine = hits[text[hits] == t]
-                        share = len(np.unique(shingles[mine])) / len(own)
-                        if share >= self.contained and share > found.get((t, name), (0.0,))[0]:
-                            found[t, name] = share, int(mine[0] - first[t]), int(mine[-1] - mine[0] + k)
+                for at in np.unique(np.concatenate(near[name])).tolist():
+                    i = int(of[at])
+                    hits = np.flatnonzero(np.isin(shingles[start[at] : min(start[at] + step * steps, begin[i] + size[i])], own)) + start[at]
+                    share, t = len(np.unique(shingles[hits])) / len(own), int(long[i])
+                    if share >= self.contained and share > found.get((t, name), (0.0,))[0]:
+                        found[t, name] = share, int(hits[0] - begin[i]), int(hits[-1] - hits[0] + k)
         return [(t, name, *rest) for (t, name), rest in sorted(found.items())]
 
 
@@ -133,8 +148,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, shingl
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences in all of ``documents``; see scan_licenses."""
-    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    """Statements, notices and whole texts of licences in all of ``documents``; see scan_licenses."""
+    found = scan_licenses(read_table(spark, sf_dir, "documents"), all_templates())
     line = F.transform("licenses", lambda x: F.format_string("%s:%.4f:%d:%d", x["template"], x["containment"], x["first_word"], x["n_words"]))
     return found.select("doc_id", F.size("licenses").alias("n_licenses"), F.array_join(line, ",").alias("licenses"))
 
