@@ -26,7 +26,7 @@ def _either_case(word: str) -> str:
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret. A match counts if group ``group`` of it has at least ``least`` characters. Patterns use what
-    Java, RE2 and Python read alike."""
+    Java, RE2 and Python read alike, but for groups that hold on to what they took (``)*+``), which RE2 needs not and the SQL writes ``)*``."""
 
     kind: str
     pattern: str
@@ -43,11 +43,12 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 _GAP, _LINE = r"[\x20\t\r\n\\]", r"[A-Za-z0-9+/]{16,}={0,2}"
-#: From a private key's header over its body to the END line, with no other such line between; where END is missing, over
-#: the lines of base64 that follow, 360 at most (23 KB, twice the longest keys; Java's matcher nests by the line), and a short last one.
+#: From a private key's header over its body, however long, to the END line, with no other such line between; where END is missing, over
+#: all lines of base64 that follow and a short last one. What repeats never has to give way to what comes after it, so it may hold on to
+#: what it took (``*+``): Java's matcher then goes over it in a loop, where ``*`` would nest by the line.
 _PRIVATE_KEY = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    rf"|(?:{_GAP}*(?:Proc-Type|DEK-Info):[^\n]{{0,80}}){{0,8}}{_GAP}*{_LINE}{rf'(?:{_GAP}+{_LINE}){{0,60}}' * 6}(?:{_GAP}+[A-Za-z0-9+/]{{1,15}}={{0,2}})?|)"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_GAP}*(?:Proc-Type|DEK-Info):[^\n]{{0,80}}){{0,8}}{_GAP}*{_LINE}(?:{_GAP}+{_LINE})*+(?:{_GAP}+[A-Za-z0-9+/]{{1,15}}={{0,2}})?|)"
 )
 MORE_RULES = (
     Rule("private_key", _PRIVATE_KEY),
@@ -93,7 +94,7 @@ def _walk(items) -> tuple[set[str] | None, Query]:
     for op, arg in items:
         strings: set[str] | None = None
         inner, low, high = ANY, 1, 1
-        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
             low, high, sub = arg
             strings, inner = _walk(sub)
         elif op is sre.LITERAL:
@@ -217,7 +218,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    quoted = lambda s: s.replace("'", "''").replace(r"\x20", " ")
+    quoted = lambda s: s.replace("'", "''").replace(r"\x20", " ").replace(")*+", ")*")
     one = "SELECT doc_id, '{kind}' AS kind, {k} AS place, {least} AS least, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {group}) AS counted, regexp_split_to_array(t, '{p}') AS gaps FROM d"
     raw = " UNION ALL ".join(one.format(kind=r.kind, k=k, least=max(r.least, 1), p=quoted(r.pattern), group=r.group) for k, r in enumerate(RULES))
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)

@@ -37,7 +37,7 @@ def test_base_spans_against_plain_patterns(spark, odd):
 @settings(max_examples=200, deadline=None)
 @given(st.sampled_from(S.RULES), st.data())
 def test_queries_hold_for_every_match(rule, data):
-    text = data.draw(st.from_regex(re.compile(rule.pattern, re.ASCII))).lower()
+    text = data.draw(st.from_regex(re.compile(rule.pattern.replace(")*+", ")*"), re.ASCII))).lower()
     assert any(all(t in text for t in clause) for clause in S.trigram_query(rule.pattern))
 
 
@@ -67,6 +67,9 @@ def test_whole_private_keys_are_redacted(spark, duck):
         (6, f"{head}\n{body}\n\nbetween - them {head}\n{body}\n{end}.", "[SECRET]\n\nbetween - them [SECRET]."),
         (7, f"only the line {head}, no key", "only the line [SECRET], no key"),
         (8, head + "\n" + "\n".join(lines * 75) + "\n" + "a-b " * 20000, "[SECRET]-b " + "a-b " * 19999),
+        (9, f"before {head}\n" + "\n".join(lines * 3000) + "\n(after) all", "before [SECRET]\n(after) all"),  # no END, and lines beyond any key's
+        (10, f"before {head}\n" + "a-b --- " * 5000 + f"{end} after", "before [SECRET] after"),
+        (11, f"{head}\n" + "----x " * 3000 + "----- no line of its own", "[SECRET]\n" + "----x " * 3000 + "----- no line of its own"),
     ]
     docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
     got = {r["doc_id"]: r["clean"] for r in S.find_secrets(docs).select("doc_id", S.redact(F.col("text"), F.col("secrets")).alias("clean")).collect()}
@@ -74,4 +77,4 @@ def test_whole_private_keys_are_redacted(spark, duck):
     rule = next(r for r in S.RULES if r.kind == "private_key")
     for _, text, _ in texts:
         want = [m[0] for m in re.finditer(rule.pattern, text)]
-        assert duck.execute("SELECT regexp_extract_all(?, ?, 0)", [text, rule.pattern]).fetchone()[0] == want
+        assert duck.execute("SELECT regexp_extract_all(?, ?, 0)", [text, rule.pattern.replace(")*+", ")*")]).fetchone()[0] == want
