@@ -49,7 +49,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     Rows are kept by a hash of the id against a threshold set from the number of labelled rows, so
     the choice does not depend on partitioning. The kept labels are bounded and go to the executors
-    as a broadcast side; of the other documents no text is shuffled. Labels other than 0 and 1 are left out.
+    as a broadcast side; of the other documents no text is shuffled. Labels other than 0 and 1 are left out; an id with
+    both counts as 1.
     """
     usable = (
         labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import quality as Q
 from marlstone.llm import toxicity as T
+from marlstone.llm.common import fold_of, labelled_sample
 
 DATA = "/root/testdata/sf0.01"
 
@@ -106,3 +107,13 @@ def test_context_sums_by_parts(monkeypatch):
     monkeypatch.setattr(Q, "TEXT_AT_ONCE", 5)
     parts = Q.context_sums(texts, index)
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all() and whole[1].sum() == 3 * 16
+
+
+def test_labels_that_disagree(spark):
+    """An id with both labels counts as 1; other labels, null ids and the held-out fold are left out; of equal texts the smallest id counts."""
+    docs = spark.createDataFrame([(k, f"text {min(k, 8)}") for k in range(12)] + [(None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, 7), (4, None), (None, 1), (8, 0), (9, 1), (5, 1)], "doc_id long, toxic int")
+    held = {r["doc_id"] for r in docs.filter(fold_of(docs["doc_id"], 5) == 0).collect()}
+    got = {r["doc_id"]: r["label"] for r in labelled_sample(docs, labels, "toxic", 5, 0, 1000).collect()}
+    first = min({8, 9} - held, default=None)
+    assert got == {k: v for k, v in {1: 1, 2: 0, 5: 1, first: {8: 0, 9: 1}.get(first)}.items() if k is not None and k not in held}
