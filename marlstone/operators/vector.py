@@ -86,11 +86,14 @@ def reciprocal_rank_fusion(text: DataFrame, image: DataFrame, key: str = "vec_id
 
 
 def combined(text: DataFrame, image: DataFrame, key: str = "vec_id", constant: int = 60) -> DataFrame:
-    """key and score of two result lists of a set size (key, score): fused by reciprocal ranks if both have rows, else the one that has, by its own score."""
-    if text.isEmpty() or image.isEmpty():
-        return text.unionByName(image).select(key, "score").orderBy(F.desc("score"), key)
-    fused = reciprocal_rank_fusion(ranked(text, key=key), ranked(image, key=key), key, constant)
-    return fused.select(key, F.col("fused").alias("score"))
+    """key and score of two result lists of a set size (key, score): fused by reciprocal ranks if both have rows, else the one that has, by its own score. The plan itself finds out
+    which, by the lists among its rows."""
+    one = lambda rows, k: ranked(rows, key=key).select(key, "score", "rank", F.lit(k).alias("list"))
+    everything = Window.partitionBy(F.lit(0))  # two lists of a set size
+    both = one(text, 0).unionByName(one(image, 1)).withColumn("_two", F.min("list").over(everything) != F.max("list").over(everything))
+    score = F.round(F.sum(F.when(F.col("_two"), 1.0 / (constant + F.col("rank"))).otherwise(F.col("score"))), 9)
+    fused = both.groupBy(key).agg(score.alias("score"), F.min(F.struct("list", "rank")).alias("_first"))
+    return fused.orderBy(F.desc("score"), "_first", key).select(key, "score")
 
 
 def searched(stores: dict[str | None, DataFrame], environment: str | None, search: Callable[[DataFrame], DataFrame], space: str | None = None) -> DataFrame:
