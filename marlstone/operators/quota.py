@@ -47,7 +47,7 @@ def ticked(rows: DataFrame, ms: str, window: str | int) -> DataFrame:
     today = F.col("_fits") & (so_far < len(times))
     return own.withColumns({
         "window": F.col("_before") * len(times) + F.when(F.col("_fits"), before).otherwise(0),
-        "on_tick": F.col("_fits") & (F.pmod(past, F.lit(_MINUTE_MS)) == 0) & (so_far > before),
+        "on_tick": F.when(F.col("_fits").isNotNull(), F.col("_fits") & (F.pmod(past, F.lit(_MINUTE_MS)) == 0) & (so_far > before)),
         "next_ms": F.when(today, tick("_day", F.least(so_far + 1, F.lit(len(times))))).otherwise(tick("_next", F.lit(1))),
     }).drop("_day", "_fits", "_before", "_next")
 
