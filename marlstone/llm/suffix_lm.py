@@ -7,9 +7,11 @@ symbol. Distributions are smoothed by those of the shorter contexts, and each sy
 tree that ends the history. All training texts are counted, and the tree grows with them.
 
 One task's part of the documents is a unit. A unit's distinct grams (a symbol and the ``DEPTH`` before it) are summed with the
-other units' by parts of the grams' hashes. A subtree holds what ends in the same two symbols, so it is learned by itself from
-its grams; the probabilities go back by the same parts to the units, which score their documents with them. No task and no
-broadcast holds the tree.
+other units' by parts of the grams' hashes. Contexts of two symbols are learned once for all, from the counts of three symbols in a row. Where such a
+context is in the tree by its own divergence, nothing that lies behind it can change that, so the contexts of three symbols that end
+in it are roots of subtrees learned apart from each other; other contexts of two symbols are roots themselves. Subtrees are dealt
+into buckets by hash. The probabilities go back by the same parts to the units, which score their documents with them. No task and
+no broadcast holds the tree.
 """
 
 from __future__ import annotations
@@ -86,11 +88,45 @@ def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.
 # ---------------------------------------------------------------- the tree
 
 
-def probabilities(grams: np.ndarray, n: np.ndarray, pairs: np.ndarray, depth: int = DEPTH, least: int = LEAST_COUNT, gain: float = GAIN) -> np.ndarray:
+def _diverges(of: np.ndarray, m: np.ndarray, share: np.ndarray, expected: np.ndarray, total: np.ndarray, kinds: np.ndarray, least: int, gain: float) -> np.ndarray:
+    """Whether each context occurs ``least`` times and its next symbols (of: the context of each) differ from what is expected."""
+    seen = m > 0
+    divergence = np.bincount(of[seen], weights=m[seen] * np.log(share[seen] / expected[seen]), minlength=len(total))
+    return (total >= least) & (divergence > gain * kinds)
+
+
+class Triples:
+    """Three symbols in a row with their counts over the whole corpus, sorted; and of each context of two symbols its count, the
+    number of its next symbols, and whether it diverges. At most 2^24 rows, whatever the corpus."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, least: int = LEAST_COUNT, gain: float = GAIN):
+        self.keys, self.n = keys, n.astype(np.float64)
+        self.pairs = np.bincount(keys & 0xFFFF, weights=self.n, minlength=1 << 16).reshape(256, 256)
+        of = keys >> 8
+        self.total, self.kinds = np.bincount(of, weights=self.n, minlength=1 << 16), np.bincount(of, minlength=1 << 16).astype(np.float64)
+        plain = (self.pairs / np.maximum(self.pairs.sum(axis=1)[:, None], 1)).ravel()
+        self.kept = _diverges(of, self.n, self.n / self.total[of], plain[keys & 0xFFFF], self.total, self.kinds, least, gain)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0.0)
+
+    def bucket(self, grams: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of each gram's subtree."""
+        context = grams >> 8
+        root = np.where(self.kept[context & 0xFFFF], context & 0xFFFFFF | 1 << 24, context & 0xFFFF)
+        return (mixed(root.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def probabilities(
+    grams: np.ndarray, n: np.ndarray, pairs: np.ndarray, depth: int = DEPTH, least: int = LEAST_COUNT, gain: float = GAIN, triples: Triples | None = None
+) -> np.ndarray:
     """The smoothed probability of each distinct gram's last symbol in the longest context of the tree.
 
-    grams: all there are whose contexts end in some pairs of symbols, with their counts in training (0 allowed). pairs: (256, 256)
-    counts of symbols after each symbol, over the whole corpus."""
+    grams: all there are of some subtrees, with their counts in training (0 allowed); without ``triples``, all there are whose contexts
+    end in some pairs of symbols. pairs: (256, 256) counts of symbols after each symbol, over the whole corpus."""
     root = pairs.sum(axis=0) + 1.0
     root /= root.sum()
     total, kinds = pairs.sum(axis=1)[:, None], (pairs > 0).sum(axis=1)[:, None]
@@ -101,14 +137,16 @@ def probabilities(grams: np.ndarray, n: np.ndarray, pairs: np.ndarray, depth: in
         keys, at = np.unique(grams & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
         m = np.bincount(at, weights=n, minlength=len(keys))
         contexts, of = np.unique(keys >> 8, return_inverse=True)
-        total, kinds = np.bincount(of, weights=m), np.bincount(of, weights=m > 0)
+        whole = d == 2 and triples is not None
+        if whole:
+            m, total, kinds = triples.counts(keys), triples.total[contexts], triples.kinds[contexts]
+        else:
+            total, kinds = np.bincount(of, weights=m), np.bincount(of, weights=m > 0)
         shorter = keys & ((1 << 8 * d) - 1)
         below = np.searchsorted(levels[-1][0], shorter) if levels else None
         expected = levels[-1][6][below] if levels else plain[shorter >> 8, shorter & 255]
         share = m / np.maximum(total[of], 1)
-        seen = m > 0
-        divergence = np.bincount(of[seen], weights=m[seen] * np.log(share[seen] / expected[seen]), minlength=len(contexts))
-        kept = (total >= least) & (divergence > gain * kinds)
+        kept = triples.kept[contexts] if whole else _diverges(of, m, share, expected, total, kinds, least, gain)
         levels.append((keys, m, contexts, of, total, kinds, share, kept, below, at))
     for d in range(depth, 2, -1):
         ends = levels[d - 2][2][levels[d - 2][7]] & ((1 << 8 * (d - 1)) - 1)
@@ -164,10 +202,11 @@ def _word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
-def _pairs(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The grams' last two symbols with the sums of their counts."""
-    found = np.bincount(grams & 0xFFFF, weights=n, minlength=1 << 16)
-    return np.flatnonzero(found), found[found > 0].astype(np.int64)
+def _triples(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams' last three symbols with the sums of their counts, those in training."""
+    taught = n > 0
+    keys, at = np.unique((grams[taught] & 0xFFFFFF).astype(np.int32), return_inverse=True)
+    return keys, np.bincount(at, weights=n[taught], minlength=len(keys)).astype(np.int64)
 
 
 _ANSWERS = "kind string, unit int, part int, keys binary, value binary"
@@ -175,7 +214,7 @@ _ANSWERS = "kind string, unit int, part int, keys binary, value binary"
 
 def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
     """Of each unit, rows of kind 'doc' (its documents as numbers of its words), 'names' (its words), 'word' and 'gram' (by part, its
-    distinct words and grams with their counts in training), and 'pair' (its pairs of symbols with their counts in training)."""
+    distinct words and grams with their counts in training), and 'triple' (its three symbols in a row with their counts in training)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, numbers = TaskContext.get().partitionId(), {END: 0}
@@ -211,8 +250,8 @@ def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
             k, n = summed(keys, counts)
             del keys, counts
             yield from _by_part("gram", unit, parts, k, n)
-            pair, m = _pairs(k, n)
-            yield _frame([{"kind": "pair", "unit": unit, "keys": pair.tobytes(), "n": m.tobytes()}])
+            triple, m = _triples(k, n)
+            yield _frame([{"kind": "triple", "unit": unit, "keys": packed(triple), "n": packed(m)}])
             words = list(numbers)
             yield _frame([{"kind": "names", "unit": unit, "words": zlib.compress(b" ".join(words[1:]), 1)}])
             word = _word_keys(words)
@@ -222,30 +261,30 @@ def _unit_rows(docs: DataFrame, parts: int, depth: int) -> DataFrame:
     return docs.mapInPandas(run, _UNIT_ROWS)
 
 
-def _totals(entries: DataFrame) -> DataFrame:
-    """(part, ends, keys, n): the grams' sums over the units, those of each two last symbols of the contexts (ends) by themselves."""
+def _totals(entries: DataFrame, triples: Triples, buckets: int) -> DataFrame:
+    """(part, bucket, keys, n): the grams' sums over the units, those of each bucket of subtrees by themselves."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = summed([unpacked(x, "<i8") for x in rows["keys"]], [unpacked(x, "<i8") for x in rows["n"]])
-        ends = (keys >> 8) & 0xFFFF
-        order = np.argsort(ends, kind="stable")
-        kinds, first = np.unique(ends[order], return_index=True)
+        bucket = triples.bucket(keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        kinds, first = np.unique(bucket[order], return_index=True)
         cuts = np.split(order, first[1:])
-        return pd.DataFrame({"part": rows["part"].iloc[0], "ends": kinds, "keys": [packed(keys[k]) for k in cuts], "n": [packed(n[k]) for k in cuts]})
+        return pd.DataFrame({"part": rows["part"].iloc[0], "bucket": kinds, "keys": [packed(keys[k]) for k in cuts], "n": [packed(n[k]) for k in cuts]})
 
-    return entries.groupBy("part").applyInPandas(add, "part int, ends long, keys binary, n binary")
+    return entries.groupBy("part").applyInPandas(add, "part int, bucket long, keys binary, n binary")
 
 
-def _subtrees(totals: DataFrame, pairs: np.ndarray, depth: int, least: int, gain: float) -> DataFrame:
+def _subtrees(totals: DataFrame, triples: Triples, depth: int, least: int, gain: float) -> DataFrame:
     """(part, keys, value): the log10 probabilities of the grams."""
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [unpacked(x, "<i8") for x in rows["keys"]]
-        p = probabilities(np.concatenate(keys), np.concatenate([unpacked(x, "<i8") for x in rows["n"]]).astype(np.float64), pairs, depth, least, gain)
+        p = probabilities(np.concatenate(keys), np.concatenate([unpacked(x, "<i8") for x in rows["n"]]).astype(np.float64), triples.pairs, depth, least, gain, triples)
         log = np.split(np.log10(p).astype(np.float32), np.cumsum([len(k) for k in keys])[:-1])
         return pd.DataFrame({"part": rows["part"].to_numpy(), "keys": rows["keys"].to_numpy(), "value": [packed(x) for x in log]})
 
-    return totals.groupBy("ends").applyInPandas(learn, "part int, keys binary, value binary")
+    return totals.groupBy("bucket").applyInPandas(learn, "part int, keys binary, value binary")
 
 
 def _gram_answers(entries: DataFrame, table: DataFrame) -> DataFrame:
@@ -321,8 +360,10 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
 
     Rows where ``held_out`` is true are scored but teach nothing. Null and empty texts have the end as their
     only token; rows with repeated or null ids each count and keep their row; other columns are not read. Without
-    training rows every symbol is equally likely. An empty table gives no rows.
+    training rows every symbol is equally likely. An empty table gives no rows. ``depth``: 1 to 6 symbols, as a gram is one number.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError(f"depth {depth} is not from 1 to 6")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), held_out.alias("held_out"))
     # As many tasks as units or parts, so that what a task reads does not grow with the corpus.
@@ -335,16 +376,16 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
     def of_kind(kind: str) -> DataFrame:
         return units.filter(F.col("kind") == kind).select("kind", "unit", "part", "keys", "n").repartition(parts, "part")
 
-    # At most 65,536 pairs a unit, summed to as many.
-    pairs = np.zeros((256, 256))
-
-    def pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def triple_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k, n in zip(b["keys"], b["n"], strict=True):
-                yield pd.DataFrame({"pair": np.frombuffer(k, dtype="<i8"), "n": np.frombuffer(n, dtype="<i8")})
+                yield pd.DataFrame({"triple": unpacked(k, "<i4"), "n": unpacked(n, "<i8")})
 
-    for r in units.filter("kind = 'pair'").select("keys", "n").mapInPandas(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    # At most 2^24 rows, as columns.
+    found = units.filter("kind = 'triple'").select("keys", "n").mapInPandas(triple_rows, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
+    known = found["triple"].to_numpy().astype(np.int64)
+    order = np.argsort(known)
+    triples = Triples(known[order], found["n"].to_numpy()[order], least, gain)
     counted = cut(_word_answers(of_kind("word")))
 
     def both_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,7 +395,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: in
     sums = counted.filter("kind = 'sums'").select("value").mapInPandas(both_sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = int(sums["tokens"] or 0), int(sums["kinds"] or 0)
     grams = of_kind("gram")
-    answers = counted.filter("kind = 'word'").unionByName(_gram_answers(grams, _subtrees(_totals(grams), pairs, depth, least, gain).repartition(parts, "part")))
+    answers = counted.filter("kind = 'word'").unionByName(_gram_answers(grams, _subtrees(_totals(grams, triples, parts), triples, depth, least, gain).repartition(parts, "part")))
     log_all = float(np.log10(tokens + kinds + 1))
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

@@ -98,3 +98,36 @@ def test_odd_rows(odd, none):
     assert {r["n_tokens"] for r in got if r["doc_id"] in (3, 4, 5)} == {1}
     assert S.score_texts(none, F.lit(False)).count() == 0
     assert all(r["n_known"] == 0 for r in S.score_texts(odd, F.lit(True)).collect())
+
+
+@pytest.mark.parametrize(("depth", "least", "gain"), [(2, 1, 0.0), (3, 2, 0.5), (6, 4, 2.0), (6, 1, 60.0), (5, 1, -1e9)])
+def test_subtrees_apart_equal_the_whole(depth, least, gain):
+    """Buckets of subtrees give what all grams together give."""
+    rng = np.random.default_rng(depth)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 4)) + "xy" for _ in range(40)) for _ in range(30)]
+    texts += ["café naïve 雪的 word" * 3, "", "zz"]
+    seen = Counter(int.from_bytes(g, "big") for g in grams(texts, depth))
+    keys = np.array(sorted({*seen, *(int.from_bytes(g, "big") for g in grams(["unseen words here abxy"], depth))}))
+    n = np.array([float(seen[k]) for k in keys.tolist()])
+    triples = S.Triples(*S._triples(keys, n), least, gain)
+    pairs = np.zeros((256, 256))
+    np.add.at(pairs, ((keys >> 8) & 255, keys & 255), n)
+    assert (triples.pairs == pairs).all()
+    whole = S.probabilities(keys, n, pairs, depth, least, gain)
+    bucket = triples.bucket(keys, 16)
+    for b in np.unique(bucket):
+        at = bucket == b
+        assert S.probabilities(keys[at], n[at], pairs, depth, least, gain, triples) == pytest.approx(whole[at], rel=1e-12)
+
+
+def test_a_hot_pair_lies_in_many_buckets():
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(100)) + "x" for _ in range(60)]
+    texts = [t.replace(" ", "e ") for t in texts]
+    seen = Counter(int.from_bytes(g, "big") for g in grams(texts, 6))
+    keys = np.array(sorted(seen))
+    n = np.array([float(seen[k]) for k in keys.tolist()])
+    triples = S.Triples(*S._triples(keys, n))
+    hot = (keys >> 8) & 0xFFFF == int.from_bytes(b"e ", "big")
+    sizes = np.bincount(triples.bucket(keys[hot], 64))
+    assert sizes.max() < hot.sum() / 8
