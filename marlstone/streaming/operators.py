@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,37 +35,65 @@ def rate_limited(requests: DataFrame, limit: float, window_ms: int) -> DataFrame
     return requests.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, ms long, admitted boolean", "made long, balance double", "append", GroupStateTimeout.NoTimeout)
 
 
-def split_thoughts(chunks: DataFrame) -> DataFrame:
+#: Groups into which messages are dealt by hash, so that a micro-batch has a call and a state for each of these rather than for each message.
+BUCKETS = 1_024
+
+
+def _thoughts(held: str, inside: bool, delta: str) -> tuple[str, bool, list[tuple[bool, str]]]:
+    """What waits, whether a tag is open, and the pieces of text (thought or not) after one more chunk."""
+    if not held and "<" not in delta:
+        return held, inside, [(inside, delta)] if delta else []
+    out, held = [], held + delta
+    while held:
+        tag = "</think>" if inside else "<think>"
+        at = held.find(tag)
+        if at >= 0:
+            text, held, turn = held[:at], held[at + len(tag) :], True
+        else:
+            keep = next((k for k in range(min(len(tag) - 1, len(held)), 0, -1) if tag.startswith(held[-k:])), 0)
+            text, held, turn = held[: len(held) - keep], held[len(held) - keep :], False
+        if text:
+            out.append((inside, text))
+        if not turn:
+            break
+        inside = not inside
+    return held, inside, out
+
+
+def split_thoughts(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """message_id, nth, kind (thought or answer) and text for a stream of message_id, nth, delta. Text between think tags is
     thought, also where a tag is cut by a chunk's end: what may be the start of a tag waits for the next chunk, or until the
-    message ends with a chunk whose last_chunk, if there is such a column, is true."""
-    flagged = "last_chunk" in chunks.columns
+    message ends with a chunk whose last_chunk, if there is such a column, is true. A bucket's state has only the messages of which
+    something waits or a tag is open."""
+    ends = F.coalesce("last_chunk", F.lit(False)) if "last_chunk" in chunks.columns else F.lit(False)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, inside = state.get if state.exists else ("", False)
-        out = []
-        for nth, delta, ends in sorted((int(n), d, bool(e)) for part in parts for n, d, e in zip(part["nth"], part["delta"], part["last_chunk"] if flagged else [False] * len(part), strict=True)):
-            held += delta
-            while held:
-                tag = "</think>" if inside else "<think>"
-                at = held.find(tag)
-                if at >= 0:
-                    text, held, turn = held[:at], held[at + len(tag) :], True
-                else:
-                    keep = next((k for k in range(min(len(tag) - 1, len(held)), 0, -1) if tag.startswith(held[-k:])), 0)
-                    text, held, turn = held[: len(held) - keep], held[len(held) - keep :], False
-                if text:
-                    out.append((key[0], nth, "thought" if inside else "answer", text))
-                if not turn:
-                    break
-                inside = not inside
-            if ends and held:
-                out.append((key[0], nth, "thought" if inside else "answer", held))
-                held = ""
-        state.update((held, inside))
-        yield pd.DataFrame(out, columns=["message_id", "nth", "kind", "text"]) if out else pd.DataFrame({"message_id": pd.Series([], dtype="int64"), "nth": pd.Series([], dtype="int64"), "kind": pd.Series([], dtype=object), "text": pd.Series([], dtype=object)})
-
-    return chunks.groupBy("message_id").applyInPandasWithState(step, "message_id long, nth long, kind string, text string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+        before = state.get[0] if state.exists else "[]"
+        open_ = {m: (held, inside) for m, held, inside in json.loads(before)}
+        rows = pd.concat(list(parts)).sort_values(["lost", "message_id", "nth", "delta", "ends"])
+        ids, nths, kinds, texts = [], [], [], []
+        for lost, message, nth, delta, last in zip(*(rows[c].tolist() for c in ("lost", "message_id", "nth", "delta", "ends")), strict=True):
+            message = None if lost else message
+            held, inside, found = _thoughts(*open_.pop(message, ("", False)), delta)
+            if last and held:
+                found, held = [*found, (inside, held)], ""
+            if held or inside:
+                open_[message] = (held, inside)
+            for thought, text in found:
+                ids.append(message)
+                nths.append(nth)
+                kinds.append("thought" if thought else "answer")
+                texts.append(text)
+        after = json.dumps([(m, *x) for m, x in open_.items()])
+        if open_ and after != before:
+            state.update((after,))
+        elif not open_ and state.exists:
+            state.remove()
+        yield pd.DataFrame({"message_id": pd.Series(ids, dtype="Int64"), "nth": pd.Series(nths, dtype="int64"), "kind": pd.Series(kinds, dtype=object), "text": pd.Series(texts, dtype=object)})
+
+    lost = F.col("message_id").isNull()
+    rows = chunks.select(F.pmod(F.xxhash64("message_id"), F.lit(buckets)).alias("bucket"), lost.alias("lost"), F.coalesce("message_id", F.lit(0)).cast("long").alias("message_id"), F.col("nth").cast("long").alias("nth"), F.coalesce("delta", F.lit("")).alias("delta"), ends.alias("ends"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, "message_id long, nth long, kind string, text string", "waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 def assembled(chunks: DataFrame) -> DataFrame:

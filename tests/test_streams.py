@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from compare import SF, rows_of_spark
 from pyspark.sql import functions as F
@@ -41,3 +43,24 @@ def test_pages_of_whole_texts(spark):
         last[r["doc_id"]] = max(last.get(r["doc_id"], 0), r["end_page"])
     for i, n in lengths.items():
         assert last[i] == -(-n // extras.PAGE)
+
+
+def test_chunks_of_a_long_message(spark, tmp_path):
+    """Cutting a message takes time by its length, not by the square of it."""
+    spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, repeat('abcd é😀 ', {5_000}) AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.monotonic()
+    rows = extras._deltas(spark, str(tmp_path), F.col("text")).orderBy("nth").collect()
+    assert time.monotonic() - began < 60
+    assert "".join(r["delta"] for r in rows) == "<think>why user</think>" + "abcd é😀 " * 5_000
+    assert [r["nth"] for r in rows if r["last_chunk"]] == [len(rows) - 1] and {len(r["delta"]) for r in rows[:-1]} == {5}
+
+
+def test_messages_of_one_bucket(spark, tmp_path):
+    """Messages that share a state are kept apart over micro-batches, one of a null id too."""
+    schema = "message_id long, nth long, delta string, last_chunk boolean"
+    for rows in ([(1, 0, "a<th", False), (2, 0, "<think>x", None), (None, 0, "n<", False)], [(1, 1, "ink>b", False), (2, 1, "y</think>z", True), (None, 1, "m", True)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        made = streams.split_thoughts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), buckets=1)
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["message_id"] or 0, r["nth"], r["kind"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(0, 0, "answer", "n"), (0, 1, "answer", "<m"), (1, 0, "answer", "a"), (1, 1, "thought", "b"), (2, 0, "thought", "x"), (2, 1, "answer", "z"), (2, 1, "thought", "y")]
