@@ -101,6 +101,32 @@ def page_range(pages: Column, chunk: Column) -> Column:
     return F.when((F.size(pages) > 0) & (start >= 0), found).otherwise(none)
 
 
+def ranges_of(pages: Sequence[str], size: int = 1000, overlap: int = 200) -> list[tuple[int, int]]:
+    """First and last page (from 1), as of ``page_range``, of each chunk of the pages joined by blank lines."""
+    joined, at = "\n\n".join(pages), [0, *accumulate(len(p) + 2 for p in pages)]
+    ends = [a + len(p) for a, p in zip(at, pages, strict=False)]
+    out = []
+    for chunk in split_text(joined, size, overlap):
+        start = joined.find(chunk)
+        found = (bisect_right(at, start), min(bisect_left(ends, start + len(chunk)) + 1, len(pages)))
+        out.append(found if start >= 0 else (-1, -1))
+    return out
+
+
+def chunk_pages(rows: DataFrame, pages: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """A row for each chunk of the pages of a row, joined by blank lines: the row's other columns, ``nth`` from 0, ``start_page`` and ``end_page``. A row's pages are put together
+    once, and no text goes with its chunks."""
+
+    @F.pandas_udf("array<struct<start_page:int,end_page:int>>")
+    def find(column: pd.Series) -> pd.Series:
+        ranges = ([] if p is None else ranges_of(list(p), size, overlap) for p in column)
+        return pd.Series([[{"start_page": a, "end_page": b} for a, b in r] for r in ranges], dtype=object)
+
+    others = [c for c in rows.columns if c != pages]
+    found = rows.select(*others, F.posexplode(find(F.col(pages))).alias("nth", "_p"))
+    return found.select(*others, "nth", "_p.start_page", "_p.end_page")
+
+
 def found_in_base64(text: Column, item: str) -> Column:
     """Whether an item stands, in any case, in what a run of base64 in the text decodes to; other bytes are ignored."""
     runs = F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))

@@ -366,3 +366,26 @@ def test_next_ticks_of_repeated_events(spark, tmp_path, duck):
     spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP_NTZ '2024-01-05 18:50:00'), (1L, TIMESTAMP_NTZ '2024-01-05 18:50:00'), (2L, TIMESTAMP_NTZ '2024-01-02 08:14:59.5'), (3L, NULL) AS t(event_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
     sql = store.ORACLE_SQL["cron_next"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(tuple(r) for r in store.cron_next(spark, str(tmp_path)).collect()) == sorted(duck.sql(sql).fetchall())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab .\n", max_size=60), max_size=6), st.integers(5, 40))
+def test_ranges_of_chunks(pages, size):
+    """Ranges by running lengths against a walk over the pages."""
+    joined, want = "\n\n".join(pages), []
+    for chunk in chunking.split_text(joined, size, size // 4):
+        at, first, last, start = 0, -1, -1, joined.find(chunk)
+        for k, p in enumerate(pages, 1):
+            first = k if first == -1 and at + len(p) + 2 > start else first
+            last = k if last == -1 and start + len(chunk) - at <= len(p) else last
+            at += len(p) + 2
+        want.append((first, len(pages) if last == -1 else last) if start >= 0 else (-1, -1))
+    assert chunking.ranges_of(pages, size, size // 4) == want
+
+
+def test_no_text_goes_with_the_ranges_of_chunks(spark):
+    df = spark.createDataFrame([(1, ["a b " * 300, "c d " * 300]), (2, []), (3, None)], "k int, pages array<string>")
+    want = chunking.chunks(df.withColumn("body", F.array_join("pages", "\n\n")), "body").select("k", "nth", chunking.page_range(F.col("pages"), F.col("content")).alias("p")).select("k", "nth", "p.*").collect()
+    found = chunking.chunk_pages(df, "pages")
+    assert sorted(found.collect()) == sorted(want) and found.columns == ["k", "nth", "start_page", "end_page"]
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
