@@ -22,6 +22,8 @@ ROWS = 16_384
 QUERIES = 8_192
 #: Queries of a dense product.
 AT_ONCE = 256
+#: Rows that are scored in double precision at once.
+CANDIDATES = 65_536
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -35,27 +37,57 @@ def _unit(vectors: pd.Series) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _bars(score: np.ndarray, k: int) -> np.ndarray:
+    """For each line a value that at least k of its scores reach: the k-th highest of the maxima of groups of 16, or of all where these are few."""
+    n = score.shape[1]
+    if n <= k:
+        return np.full(len(score), -np.inf, dtype=np.float32)
+    groups = n // 16
+    of = score[:, : groups * 16].reshape(len(score), 16, groups).max(axis=1) if groups >= k else score
+    return np.partition(of, of.shape[1] - k, axis=1)[:, of.shape[1] - k]
+
+
 def _winners(queries: pd.DataFrame, rows: pd.DataFrame, k: int, shift: float) -> Iterator[pd.DataFrame]:
-    q, x = _unit(queries["v"]), _unit(rows["v"]).T
-    order, names = pd.factorize(rows["key"], sort=True)
-    least = queries["threshold"].to_numpy(np.float64)
-    for at in range(0, len(q), AT_ONCE):
-        score = rounded(q[at : at + AT_ONCE] @ x + shift)
-        with np.errstate(invalid="ignore"):
-            out = ~(score >= least[at : at + AT_ONCE, None])  # zero vectors have no score
-        for i, gone in enumerate(queries["excluded"].iloc[at : at + AT_ONCE]):
-            if gone is not None and len(gone):
-                out[i, np.isin(order, names.get_indexer(pd.Index(gone)))] = True
-        score[out] = -np.inf
-        if score.shape[1] > k:
-            bar = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-        else:
-            bar = np.full(len(score), -np.inf)
-        for i in range(len(score)):
-            found = np.flatnonzero((score[i] >= bar[i]) & (score[i] > -np.inf))
-            found = found[np.lexsort((order[found], -score[i][found]))[:k]]
-            if len(found):
-                yield pd.DataFrame({"query_id": queries["query_id"].iat[at + i], "key": rows["key"].to_numpy()[found], "score": score[i][found]})
+    """The best rows of each query. A product in single precision leaves every row that may be among them; those are scored in double precision and rounded."""
+    q, x = _unit(queries["v"]), _unit(rows["v"])
+    asked, usable = (np.flatnonzero(np.isfinite(v).all(axis=1)) for v in (q, x))  # zero vectors have no score
+    if not len(usable):
+        return
+    order, names = pd.factorize(rows["key"].iloc[usable], sort=True)
+    by_key = np.argsort(order, kind="stable")
+    rows, x, order = rows.iloc[usable[by_key]], x[usable[by_key]], order[by_key]
+    # Copies of a vector are scored once: its rows stand in a row, by key.
+    copy = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    together = np.argsort(copy, kind="stable")
+    rows, order, begins = rows.iloc[together], order[together], np.flatnonzero(np.diff(copy[together], prepend=-1))
+    x, many = x[together[begins]], np.diff(begins, append=len(together))
+    often = int(np.bincount(order).max())  # rows of a key
+    keys, ids, small = rows["key"].to_numpy(), queries["query_id"].to_numpy(), x.astype(np.float32).T
+    least, gone = queries["threshold"].to_numpy(np.float64), queries["excluded"].to_numpy()
+    # By how much a score may differ from its single-precision one at most, and what rounding adds.
+    off = (x.shape[1] + 8) * 2.0**-23 + 2 * 10.0**-DIGITS
+    for at in range(0, len(asked), AT_ONCE):
+        part = asked[at : at + AT_ONCE]
+        out = [(i, g) for i, g in enumerate(gone[part]) if g is not None and len(g)]
+        score = q[part].astype(np.float32) @ small
+        wanted = k + often * max((len(g) for _, g in out), default=0)
+        bar = np.maximum(_bars(score, wanted) - 2 * off, least[part] - shift - off).astype(np.float32)
+        line, column = np.nonzero(score >= bar[:, None])
+        exact = np.concatenate([np.einsum("ij,ij->i", q[part[line[i : i + CANDIDATES]]], x[column[i : i + CANDIDATES]]) for i in range(0, len(line), CANDIDATES)] or [np.empty(0)])
+        exact, each = rounded(exact + shift), np.minimum(many[column], wanted)
+        column = np.repeat(begins[column], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        line, exact = np.repeat(line, each), np.repeat(exact, each)
+        fit = exact >= least[part][line]
+        if out:
+            lines = np.repeat([i for i, _ in out], [len(g) for _, g in out])
+            codes = names.get_indexer(pd.Index(np.concatenate([np.asarray(g) for _, g in out])))
+            fit &= ~np.isin(line * len(names) + order[column], (lines * len(names) + codes)[codes >= 0])
+        line, column, exact = line[fit], column[fit], exact[fit]
+        best = np.lexsort((order[column], -exact, line))
+        line, column, exact = line[best], column[best], exact[best]
+        first = np.arange(len(line)) - np.searchsorted(line, line) < k
+        if len(line):
+            yield pd.DataFrame({"query_id": ids[part[line[first]]], "key": keys[column[first]], "score": exact[first]})
 
 
 def search_many(
@@ -70,15 +102,16 @@ def search_many(
     results are mixed, repeated rows count each. An empty side gives no rows.
     """
     own = lambda df, name, kind, other: (F.col(name) if name in df.columns else other).cast(kind)
+    vector = lambda df: F.col(vec).cast("array<float>" if dict(df.dtypes)[vec] == "array<float>" else "array<double>")
     kind = dict(rows.dtypes)[key]
     ids = dict(queries.dtypes)[query_id]
     scope = F.col(collection).cast("string") if collection else F.lit("")
     usable = F.col(vec).isNotNull() & (F.size(vec) > 0) & scope.isNotNull()
     asked = queries.filter(usable & F.col(query_id).isNotNull()).select(
-        scope.alias("scope"), F.size(vec).alias("length"), F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("v"),
+        scope.alias("scope"), F.size(vec).alias("length"), F.col(query_id).alias("query_id"), vector(queries).alias("v"),
         F.coalesce(own(queries, "threshold", "double", F.lit(None)), F.lit(threshold)).alias("threshold"), own(queries, "excluded", f"array<{kind}>", F.lit(None)).alias("excluded"),
     )
-    held = rows.filter(usable & F.col(key).isNotNull()).select(scope.alias("scope"), F.size(vec).alias("length"), F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"))
+    held = rows.filter(usable & F.col(key).isNotNull()).select(scope.alias("scope"), F.size(vec).alias("length"), F.col(key).alias("key"), vector(rows).alias("v"))
     grid = ["scope", "length"]
     many = asked.groupBy(*grid).agg(F.ceil(F.count("*") / block[0]).cast("int").alias("columns")).join(held.groupBy(*grid).agg(F.ceil(F.count("*") / block[1]).cast("int").alias("lines")), grid)
     place = lambda name, n: F.pmod(F.xxhash64(name), n).cast("int")

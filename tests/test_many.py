@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import models
-from marlstone.operators.many import fused_many, search_many, word_split_many
+from marlstone.operators.many import _winners, fused_many, search_many, word_split_many
 
 
 def half_up(x):
@@ -69,3 +71,12 @@ def test_word_split(spark):
         by.setdefault(r["query_id"], []).append(r["vec_id"])
     assert set(by) == {1, 4} and by[1][0] == 1 and len(set(by[1])) == len(by[1]) <= 3
     assert len(by[4]) == 2 and by[4][0] == 1
+
+
+def test_copies_of_a_vector_in_a_block():
+    """Copies are scored once and come by key, also where some are left out or a key is repeated; a block's results are not a frame for each query."""
+    rows = pd.DataFrame({"key": [9, 3, 3, 7, 1, 5, 8], "v": [[1.0, 1.0]] * 6 + [[1.0, 0.5]]})
+    queries = pd.DataFrame({"query_id": [1, 2, 3], "v": [[1.0, 1.0], [1.0, 1.0], [0.0, 0.0]], "threshold": [float("-inf")] * 3, "excluded": [None, np.array([3, 1, 4]), None]})
+    found = list(_winners(queries, rows, 4, 1.0))
+    assert len(found) == 1
+    assert [tuple(r) for r in found[0][["query_id", "key"]].itertuples(index=False)] == [(1, 1), (1, 3), (1, 3), (1, 5), (2, 5), (2, 7), (2, 9), (2, 8)]
