@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 
 from marlstone.streaming import quotas
@@ -72,3 +73,27 @@ def test_cache(stream):
     got = stream([first, second], LOOKS, lambda s: quotas.cached(s, ttl_ms=100, most=3, late="1 hour"))
     want = {1: ("1", False), 2: ("1", True), 3: ("3", False), 4: (None, False), 5: (None, True), 6: ("6", False), 9: ("9", False), 10: ("10", False), 11: ("11", False), 12: ("12", False)}  # d drives a out
     assert {r["event_id"]: (r["value"], r["hit"]) for r in got} == want and len(got) == len(want)
+
+
+class _Counted:
+    """A state or handle that holds nothing and notes what is asked of it."""
+
+    def __init__(self, calls: list[str]):
+        self.calls = calls
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name.endswith("State"):
+            return lambda *a: _Counted(self.calls)
+        return lambda *a: self.calls.append(name)
+
+
+@pytest.mark.parametrize("made", [quotas.Quota(1e9), quotas.Cache(100, 10)])
+def test_state_is_not_asked_for_each_row(made):
+    calls = []
+    made.init(_Counted(calls))
+    n = range(200)
+    rows = {"event_id": n, "ms": n, "kind": "chunk", "asks": False, "message_id": n, "tokens": 1.0, "next_ms": 1000, "item": "a", "value": "v", "forgets": [i % 2 == 0 for i in n]}
+    rows = pd.DataFrame(rows)
+    rows.loc[0, ["kind", "asks"]] = ["ask", True]
+    assert sum(map(len, made.handleInputRows((1,), iter([rows]), None))) in (100, 200)
+    assert len(calls) < 10
