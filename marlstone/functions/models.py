@@ -117,14 +117,21 @@ def re_embedded(rows: DataFrame, model: Embedder) -> DataFrame:
     return rows
 
 
+def replies(prompts: list[str | None], model: LanguageModel, schema: dict | None = None) -> list[str | None]:
+    """The model's reply to each prompt; a null one is not asked and has none."""
+    asked, out = [i for i, p in enumerate(prompts) if p is not None], [None] * len(prompts)
+    more = {} if schema is None else {"schema": schema}
+    for i, reply in zip(asked, model.generate([prompts[i] for i in asked], **more) if asked else [], strict=True):
+        out[i] = reply
+    return out
+
+
 def generated(rows: DataFrame, prompt: str, into: str, model: LanguageModel, schema: dict | None = None) -> DataFrame:
     """``rows`` with the model's replies; a null prompt is not asked and has none."""
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        asked = column.dropna()
-        more = {} if schema is None else {"schema": schema}
-        return pd.Series(model.generate(asked.tolist(), **more) if len(asked) else [], index=asked.index, dtype=object).reindex(column.index, fill_value=None)
+        return pd.Series(replies(column.tolist(), model, schema), index=column.index, dtype=object)
 
     return rows.withColumn(into, run(F.col(prompt)))
 

@@ -82,8 +82,17 @@ def without_thought(answer: Column) -> Column:
     return F.trim(F.regexp_replace(whole, "(?s)<think>.*?</think>", ""))
 
 
+#: What stands around JSON in an answer.
+FENCE = "```json|```"
+
+
 def fenced_json(answer: Column) -> Column:
-    return F.trim(F.regexp_replace(answer, "```json|```", ""))
+    return F.trim(F.regexp_replace(answer, FENCE, ""))
+
+
+def unfenced(answer: str) -> str:
+    """``fenced_json`` of one answer."""
+    return re.sub(FENCE, "", answer).strip(" ")
 
 
 def strip_label(answer: Column, label: str) -> Column:

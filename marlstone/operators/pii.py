@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,14 +17,37 @@ from . import budget as B
 
 #: What the second pass must give.
 SCHEMA = {"type": "object", "required": ["pii"], "properties": {"pii": {"type": "array", "items": {"type": "object", "properties": {"entity": {"type": "string"}, "text": {"type": "string"}}}}}}
-_ITEMS = "pii array<struct<entity:string,text:string>>"
+#: A quoted string of a reply, in either kind of quotes, and what in it is written otherwise in JSON.
+_QUOTED, _ESCAPED = re.compile(r"""(["'])((?:(?!\1)[^\\]|\\.)*)\1""", re.DOTALL), re.compile(r'\\.|"', re.DOTALL)
 #: Fixed value: what counts as a run of base64.
 RUN = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}")
 
 
 def starts(text: str, item: str) -> list[int]:
     """Where an item starts in a text (code points from 0), whatever white space is between its words; matches do not overlap. An item without words is nowhere."""
-    return [m.start() for m in re.finditer(T.item_pattern(item), text)]
+    found, words, span = [], item.split(), (0, 0)
+    while span := _next(text, words, span[1]):
+        found.append(span[0])
+    return found
+
+
+def _next(text: str, words: list[str], at: int) -> tuple[int, int] | None:
+    """The first place from ``at`` on where the words stand one after another with white space between: its start and end. What ``T.item_pattern`` matches, without
+    a pattern compiled for every item."""
+    start = text.find(words[0], at) if words else -1
+    while start >= 0:
+        end = start + len(words[0])
+        for w in words[1:]:
+            gap = end
+            while end < len(text) and text[end].isspace():
+                end += 1
+            if end == gap or not text.startswith(w, end):
+                break
+            end += len(w)
+        else:
+            return start, end
+        start = text.find(words[0], start + 1)
+    return None
 
 
 def base64_starts(text: str, item: str) -> list[int]:
@@ -53,20 +77,75 @@ def _places(text: str, item: str) -> list[int | None]:
     return starts(text, item) or base64_starts(text, item) or [None]
 
 
+_ITEM, _PLACED = "struct<entity:string,text:string>", "struct<entity:string,item:string,at:array<int>>"
+
+
+def _located(text: str | None, items: list[dict | None]) -> list[dict]:
+    """The items with a text, each with all its places."""
+    return [{"entity": x["entity"], "item": x["text"], "at": [None] if text is None else _places(text, x["text"])} for x in items if x is not None and x["text"] is not None]
+
+
+def _by_place(rows: DataFrame, others: list[str], placed: str) -> DataFrame:
+    """A row for every place of the ``_PLACED`` items."""
+    each = rows.select(*others, F.explode(placed).alias("_x"))
+    return each.select(*others, F.col("_x.entity").alias("entity"), F.col("_x.item").alias("item"), F.explode("_x.at").alias("location"))
+
+
 def located(rows: DataFrame, text: str, items: str) -> DataFrame:
     """A row for every place of every item of ``rows``: the row's columns but for ``items`` (an array of structs of entity and text), ``entity``, ``item`` and
     ``location``: each start in the text; where there is none, of each run of base64 that holds it; else null. Items without a text are left out, a row
     without items has no rows, in a null text every item has a null location."""
 
-    @F.pandas_udf("array<array<int>>")
+    @F.pandas_udf(f"array<{_PLACED}>")
     def find(texts: pd.Series, named: pd.Series) -> pd.Series:
-        each = lambda t, xs: [[None] if t is None else _places(t, x["text"]) for x in ([] if xs is None else xs)]
-        return pd.Series([each(t, xs) for t, xs in zip(texts, named, strict=True)], dtype=object)
+        return pd.Series([_located(t, [] if xs is None else xs) for t, xs in zip(texts, named, strict=True)], dtype=object)
+
+    return _by_place(rows.withColumn("_placed", find(F.col(text), F.col(items))), [c for c in rows.columns if c != items], "_placed")
+
+
+def _parsed(reply: str) -> object:
+    """The JSON that a reply begins with; strings may be in single quotes."""
+    try:
+        return json.JSONDecoder().raw_decode(reply)[0]
+    except ValueError:
+        inner = lambda m: {"\\'": "'", '"': '\\"'}.get(m[0], m[0])
+        return json.JSONDecoder().raw_decode(_QUOTED.sub(lambda m: f'"{_ESCAPED.sub(inner, m[2])}"', reply))[0]
 
-    usable = rows.withColumn("_items", F.filter(items, lambda x: x["text"].isNotNull()))
-    others = [c for c in rows.columns if c != items]
-    placed = usable.withColumn("_at", find(F.col(text), F.col("_items"))).select(*others, F.explode(F.arrays_zip("_items", "_at")).alias("_x"))
-    return placed.select(*others, F.col("_x._items.entity").alias("entity"), F.col("_x._items.text").alias("item"), F.explode("_x._at").alias("location"))
+
+def _items(reply: str | None) -> list[dict | None]:
+    """The items of the second pass's reply; none where it is no such JSON. What is no string is as JSON writes it."""
+    # a JSON string may hold half a surrogate pair, which UTF-8 has not
+    plain = lambda v: None if v is None else (v if isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)).encode("utf-8", "replace").decode()
+    try:
+        made = _parsed(T.unfenced(reply or "").lstrip())["pii"]
+        return [None if x is None else {"entity": plain(x.get("entity")), "text": plain(x.get("text"))} for x in made] if isinstance(made, list) else []
+    except (ValueError, TypeError, LookupError, AttributeError, RecursionError):
+        return []
+
+
+_SECOND = "Turn all rows of the table into JSON.\nTable:\n"
+
+
+def _asked(rows: DataFrame, text: str, config: dict[str, str], model: models.LanguageModel, context: str | None, finish: Callable, kind: str) -> DataFrame:
+    """``rows`` with ``prompt_tokens``, ``completion_tokens`` and ``_made.done``: what ``finish`` makes, as ``kind``, of each text and the items that the model finds.
+
+    Both passes and ``finish`` are one function: each of several would keep a Python worker of its own for every task. It counts as nondeterministic, so that no
+    filter asks the model again."""
+    named = "\n".join(f"{T.category_tag(name)}: {meaning}" for name, meaning in config.items())
+    about = [f"About the text: {context}"] if context else []
+    head = "\n".join(["List the personal and sensitive data in the text as a Markdown table with the columns entity and text.", named, *about, "Text:\n"])
+
+    @F.pandas_udf(f"struct<table:string,json:string,done:{kind}>")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        tables = models.replies([None if t is None else head + t for t in texts], model)
+        replies = models.replies([None if t is None else _SECOND + t for t in tables], model, SCHEMA)
+        done = [None if t is None else finish(t, _items(r)) for t, r in zip(texts, replies, strict=True)]
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in (("table", tables), ("json", replies), ("done", done))})
+
+    tokens = lambda *c: sum((B.word_tokens(x).cast("long") for x in c[1:]), B.word_tokens(c[0]).cast("long"))
+    table, reply = F.col("_made.table"), F.col("_made.json")
+    prompts = tokens(F.concat(F.lit(head), F.col(text)), F.concat(F.lit(_SECOND), table))
+    return rows.withColumn("_made", ask.asNondeterministic()(F.col(text))).select(*rows.columns, "_made", prompts.alias("prompt_tokens"), tokens(table, reply).alias("completion_tokens"))
 
 
 def detected(rows: DataFrame, text: str, config: dict[str, str], model: models.LanguageModel, context: str | None = None) -> DataFrame:
@@ -74,14 +153,14 @@ def detected(rows: DataFrame, text: str, config: dict[str, str], model: models.L
 
     config: the definition of each category by name. The first pass asks for a Markdown table of what is found, with the context of the texts if there is one; the second turns the table into
     JSON. Null texts are not asked and have null items; a reply that is no such JSON gives none."""
-    named = "\n".join(f"{T.category_tag(name)}: {meaning}" for name, meaning in config.items())
-    first = F.concat_ws("\n", F.lit("List the personal and sensitive data in the text as a Markdown table with the columns entity and text."), F.lit(named), F.lit(f"About the text: {context}") if context else F.lit(None), F.concat(F.lit("Text:\n"), F.col(text)))
-    asked = models.generated(rows.withColumn("_first", F.when(F.col(text).isNotNull(), first)), "_first", "_table", model)
-    second = F.concat(F.lit("Turn all rows of the table into JSON.\nTable:\n"), F.col("_table"))
-    made = models.generated(asked.withColumn("_second", second), "_second", "_json", model, schema=SCHEMA)
-    tokens = lambda *c: sum((B.word_tokens(F.col(x)).cast("long") for x in c[1:]), B.word_tokens(F.col(c[0])).cast("long"))
-    found = F.coalesce(F.from_json(T.fenced_json(F.col("_json")), _ITEMS)["pii"], F.array().cast("array<struct<entity:string,text:string>>"))
-    return made.select(*rows.columns, F.when(F.col(text).isNotNull(), found).alias("items"), tokens("_first", "_second").alias("prompt_tokens"), tokens("_table", "_json").alias("completion_tokens"))
+    asked = _asked(rows, text, config, model, context, lambda _, items: items, f"array<{_ITEM}>")
+    return asked.select(*rows.columns, F.col("_made.done").alias("items"), "prompt_tokens", "completion_tokens")
+
+
+def detected_located(rows: DataFrame, text: str, config: dict[str, str], model: models.LanguageModel, context: str | None = None) -> DataFrame:
+    """``located`` of what ``detected`` finds, in one pass through Python."""
+    asked = _asked(rows, text, config, model, context, _located, f"array<{_PLACED}>")
+    return _by_place(asked, [*rows.columns, "prompt_tokens", "completion_tokens"], "_made.done")
 
 
 def masked(rows: DataFrame, text: str, items: str, into: str) -> DataFrame:

@@ -152,8 +152,8 @@ def pii_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of what a model finds in each text: in plain, in base64, or nowhere as it was made up."""
     body = _BODY.format(base64=f"CAST(base64(CAST({_NOTE} AS BINARY)) AS STRING)")
     rows = shaped(spark, sf_dir, f"SELECT event_id, {body} AS body FROM {{events}}", "events")
-    found = pii.detected(rows, "body", {"email": "an address of mail", "name": "a person"}, _detector(), context="notes")
-    return pii.located(found, "body", "items").select("event_id", "entity", "item", "location")
+    found = pii.detected_located(rows, "body", {"email": "an address of mail", "name": "a person"}, _detector(), context="notes")
+    return found.select("event_id", "entity", "item", "location")
 
 
 def _detector() -> pii.PatternTable:

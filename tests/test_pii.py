@@ -7,6 +7,7 @@ import base64
 from pyspark.sql import functions as F
 
 from marlstone.operators import pii
+from marlstone.plans import composed
 
 ITEM = "array<struct<entity:string,text:string>>"
 
@@ -55,3 +56,50 @@ def test_masks(spark):
     rows = [(1, "ann lee, ann\nlee, ann", [("NAME", "ann lee"), ("FIRST", "ann")]), (2, "a.b axb", [("X", "a.b"), ("Y", " ")]), (3, None, [("X", "a")]), (4, "kept  as\nis", None)]
     got = {r["id"]: r["m"] for r in pii.masked(spark.createDataFrame(rows, f"id int, body string, items {ITEM}"), "body", "items", "m").collect()}
     assert got == {1: "[NAME], [NAME], [FIRST]", 2: "[X] axb", 3: None, 4: "kept  as\nis"}
+
+
+def python_nodes(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def echo():
+    """A model that replies with the text's last line."""
+
+    class Echo:
+        def generate(self, prompts, schema=None):
+            return [p.rpartition("\n")[2] for p in prompts]
+
+    return Echo()
+
+
+ODD = [
+    ('{"pii": [{"entity": "A", "text": "x"}]}', [("A", "x")]),
+    ('```json{"pii": [{"text": "x"}, null]}```', [(None, "x"), None]),
+    ('{"pii": [{"entity": "A", "text": 5550123}, {"entity": true, "text": {"b": [1]}}]}', [("A", "5550123"), ("true", '{"b":[1]}')]),
+    ("{'pii': [{'entity': 'it\\'s', 'text': 'say \"hi\"'}]} that's all", [("it's", 'say "hi"')]),
+    ('{"pii": [{"entity": "A", "text": "\\ud800z"}]}', [("A", "?z")]),
+    ('{"pii": {"entity": "A", "text": "x"}}', []), ('{"pii": [{"entity": "A"}, 7]}', []), ("[]", []), ("here: {}", []), ('{"pii": ' + "[" * 20_000, []), (None, None),
+]
+
+
+def test_odd_replies(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ODD)], "id int, body string")
+    got = {r["id"]: r["items"] and [None if x is None else tuple(x) for x in r["items"]] for r in pii.detected(df, "body", {}, echo()).collect()}
+    assert got == {i: found for i, (_, found) in enumerate(ODD)}
+
+
+def test_places_in_one_pass(spark):
+    note = b64("the mail of ann lee is private")
+    texts = ["ann lee and ann\nlee at 555 0123", f"x {note}", "", None, '{"pii": [{"entity": "A", "text": "pii"}, {"entity": "A", "text": null}, null]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    for model in (pii.PatternTable({"NAME": r"ann\s+lee", "PHONE": r"\d{3} \d{4}"}, {"ID": "none"}), echo()):
+        found = pii.detected(df, "body", {"name": "a person"}, model)
+        once = pii.detected_located(df, "body", {"name": "a person"}, model)
+        apart = pii.located(found, "body", "items")
+        assert once.schema == apart.schema and sorted(map(repr, once.collect())) == sorted(map(repr, apart.collect())) and once.count() > 0
+        # one Python worker a task, and no filter asks the model again
+        assert python_nodes(once) == python_nodes(found) == python_nodes(found.filter("completion_tokens > 1 AND size(items) > 0")) == 1
+
+
+def test_detecting_holds_one_python_worker_a_task(spark):
+    assert python_nodes(composed.pii_detect(spark, "/root/testdata/sf0.001")) == 1
