@@ -163,25 +163,38 @@ def detected_located(rows: DataFrame, text: str, config: dict[str, str], model:
     return _by_place(asked, [*rows.columns, "prompt_tokens", "completion_tokens"], "_made.done")
 
 
+def _masked(text: str | None, items: list[dict | None] | None) -> str | None:
+    if text is None:
+        return None
+    names = {" ".join(x["text"].split()): x["entity"] for x in reversed([] if items is None else items) if x is not None and x["text"] and x["text"].split()}
+    longest = [(x.split(), names[x]) for x in sorted(names, key=lambda x: (-len(x), x))]
+    out, at = [], 0
+    ahead = {k: span for k, (words, _) in enumerate(longest) if (span := _next(text, words, 0))}
+    while ahead:
+        first = min(ahead, key=lambda k: (ahead[k][0], k))
+        start, end = ahead[first]
+        out += [text[at:start], f"[{longest[first][1]}]"]
+        at = end
+        ahead = {k: span for k, was in ahead.items() if (span := was if was[0] >= at else _next(text, longest[k][0], at))}
+    return "".join([*out, text[at:]])
+
+
 def masked(rows: DataFrame, text: str, items: str, into: str) -> DataFrame:
     """``rows`` with the text in which every item, longest first, is replaced by its entity in brackets wherever its words stand; case counts."""
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, named: pd.Series) -> pd.Series:
-        def one(t: str | None, xs) -> str | None:
-            if t is None:
-                return None
-            names = {" ".join(x["text"].split()): x["entity"] for x in reversed([] if xs is None else xs) if x["text"] and x["text"].split()}
-            if not names:
-                return t
-            either = "|".join(T.item_pattern(x) for x in sorted(names, key=lambda x: (-len(x), x)))
-            return re.sub(either, lambda m: f"[{names[' '.join(m.group().split())]}]", t)
-
-        return pd.Series([one(t, xs) for t, xs in zip(texts, named, strict=True)], dtype=object)
+        return pd.Series([_masked(t, xs) for t, xs in zip(texts, named, strict=True)], dtype=object)
 
     return rows.withColumn(into, mask(F.col(text), F.col(items)))
 
 
+def detected_masked(rows: DataFrame, text: str, into: str, config: dict[str, str], model: models.LanguageModel, context: str | None = None) -> DataFrame:
+    """``masked`` with what ``detected`` finds, in one pass through Python."""
+    asked = _asked(rows, text, config, model, context, lambda t, items: {"items": items, "masked": _masked(t, items)}, f"struct<items:array<{_ITEM}>,masked:string>")
+    return asked.select(*rows.columns, F.col("_made.done.items").alias("items"), "prompt_tokens", "completion_tokens", F.col("_made.done.masked").alias(into))
+
+
 class PatternTable:
     """Stand-in for a model that detects: what patterns find in the text, and in what its base64 decodes to, each once; and what it makes up."""
 

@@ -164,8 +164,8 @@ def pii_detect_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with what the model finds replaced, and what finding it cost."""
     body = _BODY.format(base64="'none'")
     rows = shaped(spark, sf_dir, f"SELECT event_id, {body} AS body FROM {{events}}", "events")
-    found = pii.detected(rows, "body", {"email": "an address of mail"}, _detector())
-    return pii.masked(found, "body", "items", "masked").select("event_id", "masked", F.size("items").alias("n_items"), "prompt_tokens", "completion_tokens")
+    found = pii.detected_masked(rows, "body", "masked", {"email": "an address of mail"}, _detector())
+    return found.select("event_id", "masked", F.size("items").alias("n_items"), "prompt_tokens", "completion_tokens")
 
 
 def log_flagging(spark: SparkSession, sf_dir: str) -> DataFrame:

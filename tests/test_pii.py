@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import re
+from itertools import product
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import pii
 from marlstone.plans import composed
 
@@ -103,3 +106,30 @@ def test_places_in_one_pass(spark):
 
 def test_detecting_holds_one_python_worker_a_task(spark):
     assert python_nodes(composed.pii_detect(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_masks_in_one_pass(spark):
+    texts = ["ann lee, ann\u00a0\nlee, bo ann", "", None, "none of them", '{"pii": [{"entity": "A", "text": "pii"}, {"entity": "B", "text": "A"}, {"entity": "C", "text": " "}, null]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    for model in (pii.PatternTable({"NAME": r"ann\s+lee", "FIRST": "ann"}, {"ID": "none"}), echo()):
+        found = pii.detected(df, "body", {"name": "a person"}, model)
+        once = pii.detected_masked(df, "body", "m", {"name": "a person"}, model)
+        apart = pii.masked(found, "body", "items", "m")
+        assert once.schema == apart.schema and sorted(map(repr, once.collect())) == sorted(map(repr, apart.collect()))
+        assert python_nodes(once) == 1
+    got = {r["id"]: r["m"] for r in once.collect()}
+    assert got == {0: texts[0], 1: "", 2: None, 3: texts[3], 4: '{"[A]": [{"entity": "[B]", "text": "[A]"}, {"entity": "B", "text": "[B]"}, {"entity": "C", "text": " "}, null]}'}
+
+
+def test_masking_holds_one_python_worker_a_task(spark):
+    assert python_nodes(composed.pii_detect_mask(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_masks_are_what_one_pattern_gives():
+    items = [{"entity": k, "text": x} for k, x in (("A", "a b"), ("B", "b"), ("C", "ab"), ("D", "a"), ("E", "b  a"))]
+    for some in (items, items[:3], items[::2], items[3:]):
+        names = {" ".join(x["text"].split()): x["entity"] for x in some}
+        either = re.compile("|".join(T.item_pattern(x) for x in sorted(names, key=lambda x: (-len(x), x))))
+        for t in map("".join, product("ab \n.", repeat=5)):
+            assert pii._masked(t, some) == either.sub(lambda m: f"[{names[' '.join(m.group().split())]}]", t)
+            assert all(pii.starts(t, x["text"]) == [m.start() for m in re.finditer(T.item_pattern(x["text"]), t)] for x in some)
